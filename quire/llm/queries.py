@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import media, mixing, packing, toxicity
+from quire.llm import fingerprints, media, mixing, packing, toxicity
 from quire.llm.common import table
 
 
@@ -14,6 +14,10 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op4_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared(table(spark, sf_dir, "documents"))
+
+
 def op6_signature_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.audio_digest(table(spark, sf_dir, "documents"))
 
@@ -30,5 +34,5 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op6_signature_sniffing, op7_counterfactual_toxicity, op8_sainte_lague_mixing, op9_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op4_bottom_k_fingerprints, op6_signature_sniffing, op7_counterfactual_toxicity, op8_sainte_lague_mixing, op9_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
