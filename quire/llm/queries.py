@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import fingerprints, media, mixing, packing, toxicity
+from quire.llm import fingerprints, media, mixing, packing, substring, toxicity
 from quire.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op4_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_signature_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.audio_digest(table(spark, sf_dir, "documents"))
 
@@ -34,5 +38,28 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op4_bottom_k_fingerprints, op6_signature_sniffing, op7_counterfactual_toxicity, op8_sainte_lague_mixing, op9_best_fit_packing)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op4_bottom_k_fingerprints, op5_substring_dedup, op6_signature_sniffing, op7_counterfactual_toxicity, op8_sainte_lague_mixing, op9_best_fit_packing)}
+#: SQL for DuckDB over the same tables, where SQL can say what an operator returns.
+ORACLE_SQL: dict[str, str] = {
+    "op5_substring_dedup": r"""
+WITH words AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents
+), spots AS (
+  SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM words WHERE len(ws) >= 13
+), runs AS (
+  SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 12), ' ') AS run FROM spots
+), firsts AS (
+  SELECT run, min(doc_id) AS first_doc FROM runs GROUP BY run
+), bad AS (
+  SELECT doc_id, list(i) AS hits FROM runs JOIN firsts USING (run) WHERE first_doc < doc_id GROUP BY doc_id
+), covered AS (
+  SELECT doc_id, list_distinct(flatten(list_transform(hits, lambda j: range(j, j + 13)))) AS gone FROM bad
+), kept AS (
+  SELECT w.doc_id, len(w.ws) AS n_words, coalesce(len(c.gone), 0) AS n_removed,
+         CASE WHEN c.gone IS NULL THEN w.ws
+              ELSE list_transform(list_filter(range(1, len(w.ws) + 1), lambda k: NOT list_contains(c.gone, k)), lambda k: w.ws[k]) END AS ws
+  FROM words w LEFT JOIN covered c ON w.doc_id = c.doc_id
+)
+SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(coalesce(array_to_string(ws, ' '), '')) AS kept_sha256 FROM kept
+""",
+}
