@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import flat, mix64, text_bytes, texts, words_of
+from quire.llm.hashing import BASES, word_hashes
 
 WIDTH = 13
 BUCKET_BYTES = 4 << 20  # of text in a bucket, about
@@ -38,41 +39,6 @@ SHARD_WINDOWS = 1 << 20  # of all windows in a shard, about
 LEAST_SHARDS = 64
 LAST = np.iinfo(np.int64).max
 
-_M = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))  # odd multipliers of the two hashes
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-def word_hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each word: polynomials in the bytes, then mixed with the length. One pass over the bytes of the distinct words."""
-    coded = words.dictionary_encode()
-    distinct = coded.dictionary
-    sizes = np.asarray(pc.binary_length(distinct), dtype=np.int64)
-    ends = np.cumsum(sizes)
-    data = np.frombuffer(_bytes(distinct), np.uint8)
-    out = []
-    for base in _M:
-        inverse = np.uint64(pow(int(base), -1, 1 << 64))
-        n = len(data) + 1
-        terms = np.zeros(n, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(base, n)[:-1], out=terms[1:])
-        starts = ends - sizes
-        value = (terms[ends] - terms[starts]) * _powers(inverse, n)[starts]
-        out.append(mix64(value + sizes.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))
-    which = np.asarray(coded.indices, dtype=np.int64)
-    return out[0][which], out[1][which]
-
-
-def _bytes(strings: pa.Array) -> bytes:
-    """The strings' bytes end to end."""
-    joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(strings)], pa.int64()), strings), "") if len(strings) else [pa.scalar("")]
-    return joined[0].as_buffer().to_pybytes() if len(strings) else b""
-
-
 def windows(rows: np.ndarray, words: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(index of the first word, hash, second hash) of each window."""
     n = len(rows) - width + 1
@@ -81,7 +47,7 @@ def windows(rows: np.ndarray, words: pa.Array, width: int) -> tuple[np.ndarray,
         return np.zeros(0, np.int64), none, none
     first = np.flatnonzero(rows[:n] == rows[width - 1 :])
     out = []
-    for h, base in zip(word_hashes(words), _M, strict=True):
+    for h, base in zip(word_hashes(words), BASES, strict=True):
         total = np.zeros(n, np.uint64)
         for i in range(width):
             total *= base
