@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import fingerprints, lattice, media, mixing, packing, substring, toxicity
+from quire.llm import fingerprints, lattice, media, mixing, packing, simhash, substring, toxicity
 from quire.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.scored(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def op3_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.grouped(table(spark, sf_dir, "documents"))
+
+
 def op4_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared(table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op2_lattice_likelihood, op4_bottom_k_fingerprints, op5_substring_dedup, op6_signature_sniffing, op7_counterfactual_toxicity, op8_sainte_lague_mixing, op9_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op2_lattice_likelihood, op3_golay_simhash, op4_bottom_k_fingerprints, op5_substring_dedup, op6_signature_sniffing, op7_counterfactual_toxicity, op8_sainte_lague_mixing, op9_best_fit_packing)}
 #: SQL for DuckDB over the same tables, where SQL can say what an operator returns.
 ORACLE_SQL: dict[str, str] = {
     "op5_substring_dedup": r"""
