@@ -89,7 +89,7 @@ def _range(docs: DataFrame) -> Column:
 
 
 def dealt_by_order(docs: DataFrame) -> DataFrame:
-    """doc_id, text, at (the range), guest: within a range, in ORDER, the row after a document is the next one by descending id (after the last of all: the first). Equal ids are ordered by text, null ids come last."""
+    """doc_id, text, at (the range), guest: within a range, by guest, descending id and text, the row after a document is the next one by descending id (after the last of all: the first). Equal ids are ordered by text, null ids come last."""
     base = texts(docs)
     own = _range(base)
     tops = base.select("doc_id", own.alias("own")).groupBy("own").agg(F.max("doc_id").alias("top")).orderBy("own").collect()  # a row a range
@@ -106,15 +106,13 @@ def dealt_by_order(docs: DataFrame) -> DataFrame:
     return dealt.select("doc_id", "text", "to.at", "to.guest")
 
 
-ORDER = Window.partitionBy("at").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text")
-
-
 def compared(docs: DataFrame, k: int = K) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document."""
     dealt = dealt_by_order(docs)
+    order = Window.partitionBy("at").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text")
     half = F.floor(F.char_length("text") / 2).cast("int")
     # the sketch is made between two windows of one order: it isn't shuffled, and one exchange serves both
-    rows = dealt.withColumn("next_text", F.lead("text").over(ORDER)).withColumn("sketch", sketch(shingles(F.col("text")), k)).withColumn("next_sketch", F.lead("sketch").over(ORDER)).where("guest = 0")
+    rows = dealt.withColumn("next_text", F.lead("text").over(order)).withColumn("sketch", sketch(shingles(F.col("text")), k)).withColumn("next_sketch", F.lead("sketch").over(order)).where("guest = 0")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.char_length("text") - half), F.substring("next_text", F.lit(1), half)))
     rows = rows.withColumn("edited_sketch", sketch(shingles(F.col("edited")), k))
     return rows.select(

@@ -118,3 +118,19 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     both = taken(taken(placed.withColumn("start", F.col("end") - F.col("size")), "start"), "end")
     count = F.when(F.col("size") > 0, F.col("upto_end") - F.col("upto_start")).otherwise(0).cast("long")
     return both.select("doc_id", "source", "size", "source_size", "target", count.alias("taken"))
+
+
+def repeated(docs: DataFrame, **how) -> DataFrame:
+    """docs as the mix has them, all columns: a document is there as often as it is taken whole, and once more, cut to its first words, for what is left. n_chars, where there is one, follows the text. Rows of one id get the mean of what they take."""
+    per_id = mixed(docs, **how).groupBy(F.col("doc_id").alias("quire_id")).agg(F.sum("taken").alias("quire_taken"), F.count(F.lit(1)).alias("quire_rows"))
+    joined = docs.join(per_id, F.col("doc_id").cast("long").eqNullSafe(F.col("quire_id")))
+    words = F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD), F.lit(0))
+    asked = joined.withColumn("quire_take", F.floor(F.col("quire_taken") / F.col("quire_rows"))).withColumn("quire_words", F.size(words)).where("quire_take > 0")
+    whole = F.floor(F.col("quire_take") / F.col("quire_words"))
+    rest = F.col("quire_take") % F.col("quire_words")
+    copies = F.array_repeat(F.lit(-1).cast("long"), whole.cast("int"))
+    parts = asked.withColumn("quire_part", F.explode(F.when(rest > 0, F.array_append(copies, rest.cast("long"))).otherwise(copies)))
+    text = F.when(F.col("quire_part") < 0, F.col("text")).otherwise(F.array_join(F.slice(words, 1, F.greatest(F.col("quire_part"), F.lit(0)).cast("int")), " "))
+    cut = parts.withColumn("quire_text", text)
+    chars = F.when(F.col("quire_part") < 0, F.col("n_chars")).otherwise(F.char_length("quire_text")) if "n_chars" in docs.columns else None
+    return cut.select(*[F.col("quire_text").alias(c) if c == "text" else chars.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])

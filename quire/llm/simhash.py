@@ -30,8 +30,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import pieces_of, texts, words_of, written
+from quire.llm.common import mix64, pieces_of, texts, words_of, written
 from quire.llm.components import components
+from quire.llm.fingerprints import shingles
+from quire.llm.hashing import word_hashes
 
 SEED = 42
 SHINGLE = 3
@@ -227,3 +229,110 @@ def grouped(docs: DataFrame, n: int = SHINGLE, distance: int = DISTANCE) -> Data
     smallest = classes.groupBy("component").agg(F.min("first").alias("component_id"))
     by_print = written(classes.join(smallest, "component").select("fp", "component_id"), "components")
     return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+SIMILAR = 0.8  # of the sets of five-word shingles
+NEAR = 8  # bits of the single-word fingerprints
+
+
+def word_fingerprints(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(fingerprint over single words, each by 1 + log2 of its count; two hashes of the sequence of words) of each text."""
+    rows, words = words_of(pc.ascii_lower(text))
+    n = len(text)
+    out, first, second = (np.zeros(n, np.uint64) for _ in range(3))
+    if not len(words):
+        return out, first, second
+    coded = words.dictionary_encode()
+    which, size = np.asarray(coded.indices, dtype=np.int64), len(coded.dictionary)
+    h, g = word_hashes(coded.dictionary)
+    # hashes of the sequences: sums of word hashes mixed with their places
+    counts = np.bincount(rows, minlength=n)
+    place = (np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.uint64)
+    full = np.flatnonzero(counts)
+    begins = (np.cumsum(counts) - counts)[full]
+    for own, sums in ((h, first), (g, second)):
+        sums[full] = np.add.reduceat(mix64(own[which] ^ mix64(place + np.uint64(1))), begins)
+    pairs, times = np.unique(rows * size + which, return_counts=True)
+    row, word, weights = pairs // size, pairs % size, 1 + np.log2(times)
+    begins = np.searchsorted(row, full)
+    total = np.add.reduceat(weights, begins)
+    data = h[word].astype("<u8").view(np.uint8).reshape(-1, 8)
+    for k in range(8):
+        bits = np.unpackbits(data[:, k : k + 1], axis=1, bitorder="little")
+        sums = np.add.reduceat(bits * weights[:, None], begins, axis=0)
+        out[full] |= np.packbits(2 * sums > total[:, None], axis=1, bitorder="little")[:, 0].astype(np.uint64) << np.uint64(8 * k)
+    return out, first, second
+
+
+def candidates(prints: DataFrame, near: int = NEAR) -> DataFrame:
+    """a, b: pairs of ids of prints (doc_id, fp) that share a key and differ in at most `near` bits. Under each key, in order of fingerprints, a row meets the two before it and the key's first row: at most three pairs a row, however many share the key."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        golay = Golay()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 8192):
+                part = batch.slice(at, 8192)
+                fps, ids = np.asarray(part.column("fp")).view(np.uint64), np.asarray(part.column("doc_id"))
+                rows, keys = fuzzy_keys(fps, WIDE_SEGMENTS, WIDE_FAMILIES, golay)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[rows].view(np.int64)), pa.array(ids[rows])], ["key", "fp", "doc_id"])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail, lead = np.zeros((3, 0), np.int64), np.zeros(3, np.int64)
+        for batch in batches:
+            new = np.stack([np.asarray(batch.column(c)) for c in ("key", "fp", "doc_id")])
+            if not new.shape[1]:
+                continue
+            rows = np.concatenate([tail, new], axis=1)
+            k = tail.shape[1]
+            key, fp, ids = rows[0], rows[1].view(np.uint64), rows[2]
+            opens = np.ones(rows.shape[1], bool)
+            opens[1:] = key[1:] != key[:-1]
+            firsts = np.flatnonzero(opens)[np.cumsum(opens) - 1]
+            lead_fp, lead_id = fp[firsts].copy(), ids[firsts].copy()
+            if k and tail.shape[1] and lead[0] == key[0]:  # the first key goes on: its first row is an earlier batch's
+                own = firsts == 0
+                lead_fp[own], lead_id[own] = np.uint64(lead[1].astype(np.uint64)), lead[2]
+            out = []
+            for lag in (1, 2):
+                at = np.arange(max(k, lag), rows.shape[1])
+                at = at[(key[at] == key[at - lag]) & (np.bitwise_count(fp[at] ^ fp[at - lag]) <= near)]
+                out.append(np.stack([ids[at - lag], ids[at]]))
+            at = np.arange(k, rows.shape[1])
+            at = at[(lead_id[at] != ids[at]) & (np.bitwise_count(fp[at] ^ lead_fp[at]) <= near)]
+            out.append(np.stack([lead_id[at], ids[at]]))
+            pairs = np.unique(np.sort(np.concatenate(out, axis=1), axis=0), axis=1)
+            lead = np.array([key[-1], lead_fp[-1].astype(np.uint64).view(np.int64), lead_id[-1]])
+            tail = rows[:, -2:]
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0].copy()), pa.array(pairs[1].copy())], ["a", "b"])
+
+    rows = prints.select("doc_id", "fp").mapInArrow(keyed, "key long, fp long, doc_id long")
+    return rows.repartition("key").sortWithinPartitions("key", "fp", "doc_id").mapInArrow(met, "a long, b long").where("a <> b").distinct()
+
+
+def without_near_copies(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """docs without the documents that have an earlier one in their group; all columns stay. A group is linked by equal word sequences and by pairs of texts whose sets of five-word shingles have a Jaccard similarity of `similar` or more; its least id stays.
+
+    Rows of one id stay or go together; rows without an id stay.
+    """
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces_of(batch, limit=4 << 20):
+                arrays = word_fingerprints(part.column("text"))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x.view(np.int64)) for x in arrays)], ["doc_id", "fp", "h", "g"])
+
+    own = texts(docs).where("doc_id is not null")
+    printed = written(own.mapInArrow(prints, "doc_id long, fp long, h long, g long"), "words")
+    classes = written(printed.groupBy("h", "g", "fp").agg(F.min("doc_id").alias("doc_id")), "classes")
+    pairs = written(candidates(classes), "candidates")
+    asked = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    sets = own.join(asked, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).select("doc_id", F.array_distinct(shingles(F.col("text"))).alias("s"))
+    sets = written(sets, "sets")
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    linked = both.select("a", "b", shared.alias("n"), F.size("sa").alias("na"), F.size("sb").alias("nb")).where(F.col("n") >= similar * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b")
+    found = components(linked)
+    later = found.where("node <> component").select(F.col("node").alias("quire_gone"))
+    copies = printed.join(classes.withColumnRenamed("doc_id", "first"), ["h", "g", "fp"]).where("doc_id <> first").select(F.col("doc_id").alias("quire_gone"))
+    gone = written(later.unionByName(copies).distinct(), "gone")
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("quire_gone"), "left_anti")

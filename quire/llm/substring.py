@@ -58,7 +58,7 @@ def windows(rows: np.ndarray, words: pa.Array, width: int) -> tuple[np.ndarray,
 
 def _ids(table: pa.Table) -> np.ndarray:
     """The ids, a null one as the last."""
-    return np.asarray(pc.fill_null(flat(table["doc_id"]), LAST), dtype=np.int64)
+    return np.asarray(pc.fill_null(flat(table["quire_id"]), LAST), dtype=np.int64)
 
 
 class Plan:
@@ -101,16 +101,17 @@ def _table(schema: dict[str, pa.DataType], rows: list[tuple]) -> pa.Table:
 
 
 def deduplicated(docs: DataFrame, width: int = WIDTH, depth: int = DEPTH) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text of every document."""
-    base = texts(docs)
-    plan = Plan(text_bytes(base), width, depth)
-    bucketed = base.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(plan.buckets)).cast("int"))
+    """docs' columns, then quire_words, quire_removed, quire_kept (the words left, joined by a space) of every document."""
+    base = docs.withColumns({"quire_id": F.col("doc_id").cast("long"), "quire_text": F.coalesce(F.col("text").cast("string"), F.lit(""))})
+    plan = Plan(text_bytes(base.select(F.col("quire_text").alias("text"))), width, depth)
+    bucketed = base.withColumn("quire_bucket", F.pmod(F.xxhash64("quire_id"), F.lit(plan.buckets)).cast("int"))
     link = {"row": pa.int32(), "shard": pa.int32(), "bucket": pa.int32(), "cells": pa.binary(), "counts": pa.binary()}
+    columns = docs.columns
     keyed = {"shard": pa.int32(), "bucket": pa.int32(), "hashes": pa.binary(), "firsts": pa.binary()}
 
     def seen(table):
         """(words' rows, words, window starts, hashes, ids of the windows' documents) of a bucket."""
-        rows, words = words_of(table["text"])
+        rows, words = words_of(table["quire_text"])
         first, h, g = windows(rows, words, plan.width)
         return rows, words, first, h, g, _ids(table)[rows[first]]
 
@@ -118,7 +119,7 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, depth: int = DEPTH) -> Dat
         """The bucket's part of the sketch."""
         if not table.num_rows:
             return _table(link, [])
-        bucket = table["bucket"][0].as_py()
+        bucket = table["quire_bucket"][0].as_py()
         *_, h, g, ids = seen(table)
         out = []
         for row in range(plan.depth):
@@ -152,7 +153,7 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, depth: int = DEPTH) -> Dat
         """The bucket's distinct windows whose cells are all marked, with the least document of each."""
         if not texts_.num_rows or not marks.num_rows:
             return _table(keyed, [])
-        bucket = texts_["bucket"][0].as_py()
+        bucket = texts_["quire_bucket"][0].as_py()
         *_, h, g, ids = seen(texts_)
         keep = _marked(plan, h, g, {(m["row"], m["shard"]): m["counts"] for m in marks.to_pylist()})
         h, g, ids = (x[keep] for x in (h, g, ids))
@@ -181,9 +182,9 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, depth: int = DEPTH) -> Dat
 
     def removed(texts_, both):
         """The rows of the result. both: what `merged` (row >= 0) and `settled` (row < 0) answered."""
-        names = ["doc_id", "n_words", "n_removed", "kept_text"]
+        own = texts_.select(columns)
         if not texts_.num_rows:
-            return pa.table([pa.array([], pa.int64())] * 3 + [pa.array([], pa.string())], names=names)
+            return own.append_column("quire_words", pa.array([], pa.int64())).append_column("quire_removed", pa.array([], pa.int64())).append_column("quire_kept", pa.array([], pa.string()))
         rows, words, first, h, g, ids = seen(texts_)
         gone = np.zeros(len(words) + 1, np.int32)
         if both.num_rows:
@@ -207,13 +208,16 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, depth: int = DEPTH) -> Dat
         n_words, n_removed = np.bincount(rows, minlength=n), np.bincount(rows[drop], minlength=n)
         left = words.filter(pa.array(~drop))
         offsets = pa.array(np.concatenate([[0], np.cumsum(n_words - n_removed)]).astype(np.int32))
-        return pa.table([flat(texts_["doc_id"]), pa.array(n_words), pa.array(n_removed), pc.binary_join(pa.ListArray.from_arrays(offsets, left), " ")], names=names)
+        joined = pc.binary_join(pa.ListArray.from_arrays(offsets, left), " ")
+        return own.append_column("quire_words", pa.array(n_words)).append_column("quire_removed", pa.array(n_removed)).append_column("quire_kept", joined)
 
-    marks = bucketed.groupBy("bucket").applyInArrow(counted, _LINK).groupBy("row", "shard").applyInArrow(merged, _LINK)
-    keys = bucketed.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(repeated, _KEYS)
-    answers = keys.groupBy("shard").applyInArrow(settled, _KEYS)
+    # one exchange of the documents serves all three uses
+    by_bucket = lambda frame: bucketed.groupBy("quire_bucket").cogroup(frame.groupBy("bucket"))
+    marks = bucketed.groupBy("quire_bucket").applyInArrow(counted, _LINK).groupBy("row", "shard").applyInArrow(merged, _LINK)
+    answers = by_bucket(marks).applyInArrow(repeated, _KEYS).groupBy("shard").applyInArrow(settled, _KEYS)
     both = marks.unionByName(answers.select(F.lit(-1).alias("row"), "shard", "bucket", F.lit(None).cast("binary").alias("cells"), F.col("firsts").alias("counts")))
-    return bucketed.groupBy("bucket").cogroup(both.groupBy("bucket")).applyInArrow(removed, "doc_id long, n_words long, n_removed long, kept_text string")
+    whole = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return by_bucket(both).applyInArrow(removed, f"{whole}, quire_words long, quire_removed long, quire_kept string")
 
 
 def _marked(plan: Plan, h: np.ndarray, g: np.ndarray, bits: dict) -> np.ndarray:
@@ -242,4 +246,13 @@ def _distinct(h: np.ndarray, g: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return deduplicated(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    """doc_id, n_words, n_removed, kept_sha256 of every document."""
+    return deduplicated(texts(docs)).select("doc_id", F.col("quire_words").alias("n_words"), F.col("quire_removed").alias("n_removed"), F.sha2("quire_kept", 256).alias("kept_sha256"))
+
+
+def cleaned(docs: DataFrame) -> DataFrame:
+    """docs with the words of repeated windows taken out of the texts; a text that loses none stays as it is. n_chars, where there is one, follows the text."""
+    out = deduplicated(docs)
+    text = F.when(F.col("quire_removed") > 0, F.col("quire_kept")).otherwise(F.col("text"))
+    counted = F.when(F.col("quire_removed") > 0, F.char_length("quire_kept").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
+    return out.select(*[text.alias(c) if c == "text" else counted.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
