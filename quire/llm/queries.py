@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import fingerprints, lattice, media, mixing, packing, simhash, substring, toxicity
+from quire.llm import fingerprints, lattice, media, mixing, packing, simhash, substring, toolcalls, toxicity
 from quire.llm.common import table
 
 
@@ -14,6 +14,10 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolcalls.of_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op2_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.scored(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
 
@@ -46,9 +50,31 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op2_lattice_likelihood, op3_golay_simhash, op4_bottom_k_fingerprints, op5_substring_dedup, op6_signature_sniffing, op7_counterfactual_toxicity, op8_sainte_lague_mixing, op9_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_tool_call_linking, op2_lattice_likelihood, op3_golay_simhash, op4_bottom_k_fingerprints, op5_substring_dedup, op6_signature_sniffing, op7_counterfactual_toxicity, op8_sainte_lague_mixing, op9_best_fit_packing)}
 #: SQL for DuckDB over the same tables, where SQL can say what an operator returns.
 ORACLE_SQL: dict[str, str] = {
+    "op1_tool_call_linking": r"""
+WITH turns AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+), calls AS (
+  SELECT conv_id, 'call_' || turn::VARCHAR AS call_id, turn, text FROM turns WHERE role = 'user'
+), firsts AS (
+  SELECT conv_id, call_id, min(turn) AS first_turn FROM calls GROUP BY conv_id, call_id
+), opening AS (
+  SELECT conv_id, min(turn) AS opening FROM calls GROUP BY conv_id
+), answers AS (
+  SELECT conv_id, 'call_' || (turn - 1)::VARCHAR AS call_id, count(*) AS n, min(turn) AS t FROM turns WHERE role = 'assistant' GROUP BY 1, 2
+), answered AS (
+  SELECT a.conv_id, a.call_id, a.n, min(t.text) AS text FROM answers a JOIN turns t ON t.conv_id = a.conv_id AND t.turn = a.t AND t.role = 'assistant' GROUP BY 1, 2, 3
+)
+SELECT c.conv_id, c.call_id, c.turn, 'ask' AS name, CASE WHEN c.turn > o.opening THEN 1 ELSE 0 END::BIGINT AS level,
+       '{"text":' || to_json(c.text)::VARCHAR || ',"turn":' || c.turn::VARCHAR || '}' AS arguments,
+       length(c.text) > 0 AS valid, CASE WHEN length(c.text) > 0 THEN 0 ELSE 1 END::BIGINT AS n_problems,
+       c.turn > f.first_turn AS repeated, coalesce(a.n, 0)::BIGINT AS n_results,
+       CASE WHEN a.n IS NOT NULL THEN '{"content":' || to_json(a.text)::VARCHAR || '}' END AS result, a.n IS NOT NULL AS linked
+FROM calls c JOIN firsts f ON f.conv_id = c.conv_id AND f.call_id = c.call_id JOIN opening o ON o.conv_id = c.conv_id
+LEFT JOIN answered a ON a.conv_id = c.conv_id AND a.call_id = c.call_id
+""",
     "op5_substring_dedup": r"""
 WITH words AS (
   SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents
