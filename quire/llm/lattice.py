@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import base64
 import math
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -43,12 +44,11 @@ from quire.llm.hashing import Substrings, joined_bytes, word_hashes
 
 FOLDS = 10
 BUCKET_BYTES = 8 << 20
-LEAST_BUCKETS = 256
+LEAST_BUCKETS = 64
 SHARD_BYTES = 8 << 20  # of text for each shard of the words
 LEAST_SHARDS = 64
 ROUNDS = 2
 CLASSES = 6
-LONG = 48  # bytes from which a word is scored on its own
 Q_END = 1e-3
 _NONE = -np.inf
 _GAPS = b" \t\n\x0b\f\r"
@@ -106,106 +106,113 @@ def pieces(path: str) -> Pieces:
 
 
 class Lattices:
-    """The lattices of words: for each piece length, the piece that starts at each byte."""
+    """The lattices of words: every piece that a word has somewhere is an arc from its start to its end."""
 
     def __init__(self, words: pa.Array, vocabulary: Pieces):
         self.v = vocabulary
         spaced = pc.binary_join_element_wise("", flat(words), " ")  # each with its space in front
-        sizes = np.asarray(pc.binary_length(spaced), dtype=np.int64)
-        self.order = np.argsort(-sizes, kind="stable")  # longest first, so that the words that reach a place come first
-        spaced = spaced.take(pa.array(self.order))
-        self.sizes = sizes[self.order]
-        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.sizes = np.asarray(pc.binary_length(spaced), dtype=np.int64)
+        starts = np.cumsum(self.sizes) - self.sizes
         data = joined_bytes(spaced)
-        parts = Substrings(data)
-        ends = np.repeat(self.starts + self.sizes, self.sizes)
-        self.arcs = {}
+        parts, word_of = Substrings(data), np.repeat(np.arange(len(self.sizes)), self.sizes)
+        place = np.arange(len(data)) - starts[word_of]
+        left = self.sizes[word_of] - place
+        word, begin, length, piece = [], [], [], []
         for n in self.v.lengths:
-            if not len(self.sizes) or n > self.sizes[0]:
+            at = np.flatnonzero(left >= n)
+            if not len(at):
                 break
-            at = np.flatnonzero(np.arange(len(data)) + n <= ends)
-            found = np.full(len(data), -1, np.int32)
-            found[at] = self.v.find(parts.hashes(at, n), n)
-            if (found >= 0).any():
-                self.arcs[n] = found
-
-    def _sums(self, scores: dict[int, np.ndarray], back: bool) -> np.ndarray:
-        """Forward (or backward) log sums at each byte boundary of the words: word w's are at starts[w] + w + (0 ... size)."""
-        base = self.starts + np.arange(len(self.starts))
+            found = self.v.find(parts.hashes(at, n), n)
+            ok = (found >= 0) & (self.v.initial[found] == (place[at] == 0))
+            at = at[ok]
+            word.append(word_of[at])
+            begin.append(place[at])
+            length.append(np.full(len(at), n))
+            piece.append(found[ok])
+        none = [np.zeros(0, np.int64)]
+        self.word, self.begin, length, self.piece = (np.concatenate(x or none) for x in (word, begin, length, piece))
+        self.end = self.begin + length
+        self.orders: dict[bool, tuple] = {}
+        self.base = starts + np.arange(len(self.sizes))  # word w's boundaries 0 ... size are at base[w] + ...
+
+    def _sums(self, scores: np.ndarray, back: bool) -> np.ndarray:
+        """Forward (or backward) log sums at each boundary, in one step for all words a place. scores: of the arcs."""
+        order, to, source, groups, firsts, sizes = self._order(back)
+        scores = scores[order]
         out = np.full(int(self.sizes.sum()) + len(self.sizes), _NONE)
-        out[base + (self.sizes if back else 0)] = 0.0
-        n_long = int(np.searchsorted(-self.sizes, -LONG, side="left"))
-        for w in range(n_long):
-            self._one(w, base[w], scores, back, out)
-        reach = np.searchsorted(-self.sizes[n_long:], -np.arange(LONG + 1), side="right") + n_long
-        for t in range(1, int(self.sizes[n_long] if n_long < len(self.sizes) else 0) + 1):
-            own = slice(n_long, reach[t])
-            terms = []
-            for n, s in scores.items():
-                if n > t:
-                    break
-                here = base[own] + (self.sizes[own] - t if back else t)
-                other = here + (n if back else -n)
-                begin = self.starts[own] + (self.sizes[own] - t if back else t - n)
-                terms.append(out[other] + s[begin])
-            stacked = np.stack(terms)
-            most = stacked.max(0)
-            safe = np.where(np.isfinite(most), most, 0.0)
-            with np.errstate(divide="ignore"):
-                out[here] = safe + np.log(np.exp(stacked - safe).sum(0))
+        out[self.base + (self.sizes if back else 0)] = 0.0
+        for lo, hi, g, h in zip(firsts[:-1], firsts[1:], sizes[:-1], sizes[1:], strict=True):
+            terms, own = out[source[lo:hi]] + scores[lo:hi], groups[g:h] - lo
+            most = np.maximum.reduceat(terms, own)
+            total = np.add.reduceat(np.exp(terms - np.repeat(most, np.diff(own, append=hi - lo))), own)
+            out[to[groups[g:h]]] = most + np.log(total)
         return out
 
-    def _one(self, w: int, base: int, scores: dict[int, np.ndarray], back: bool, out: np.ndarray) -> None:
-        """The same for one long word, over the arcs that it has."""
-        start, size = int(self.starts[w]), int(self.sizes[w])
-        arcs = [(i, i + n, float(s)) for n, own in scores.items() if n <= size for i, s in enumerate(own[start : start + size].tolist()) if s > _NONE and i + n <= size]
-        into: list[list[tuple[int, float]]] = [[] for _ in range(size + 1)]
-        for i, j, s in arcs:
-            into[i if back else j].append((j if back else i, s))
-        sums = [_NONE] * (size + 1)
-        sums[size if back else 0] = 0.0
-        for t in range(size - 1, -1, -1) if back else range(1, size + 1):
-            got = [sums[o] + s for o, s in into[t]]
-            if got and (most := max(got)) > _NONE:
-                sums[t] = most + math.log(math.fsum(math.exp(g - most) for g in got))
-        out[base : base + size + 1] = sums
-
-    def scores(self, p: np.ndarray, stop: float) -> dict[int, np.ndarray]:
-        with np.errstate(divide="ignore"):
-            logs = np.log(np.append(np.where(self.v.initial, p, p * (1 - stop)), 0.0))
-        out = {}
-        first = np.zeros(int(self.sizes.sum()), bool)
-        first[self.starts] = True
-        for n, found in self.arcs.items():
-            out[n] = logs[found]
-            ok = self.v.initial[found] == first
-            out[n][~ok | (found < 0)] = _NONE
-        return out
+    def _order(self, back: bool) -> tuple:
+        """The arcs by the place where they end (start), then by word: (order, boundary of each, other boundary, first arc of each word and place, first arc of each place, first of its groups)."""
+        if back not in self.orders:
+            here, other = (self.begin, self.end) if back else (self.end, self.begin)
+            step = (int(self.sizes.max(initial=0)) - here if back else here) * max(1, len(self.sizes))
+            order = np.argsort(step + self.word)
+            key = (step + self.word)[order]
+            groups = np.flatnonzero(np.diff(key, prepend=-1))
+            place = key[groups] // max(1, len(self.sizes))
+            sizes = np.flatnonzero(np.diff(place, prepend=-1))
+            word = self.word[order]
+            self.orders[back] = (order, self.base[word] + here[order], self.base[word] + other[order], groups, [*groups[sizes].tolist(), len(order)], [*sizes.tolist(), len(groups)])
+        return self.orders[back]
+
+    def scores(self, p: np.ndarray, stop: float) -> np.ndarray:
+        return np.log(np.where(self.v.initial, p, p * (1 - stop)))[self.piece]
 
     def log_probs(self, p: np.ndarray, stop: float) -> np.ndarray:
-        """ln of each word's marginal probability, in the order given."""
-        out = np.empty(len(self.sizes))
-        if len(out):
-            sums = self._sums(self.scores(p, stop), False)
-            out[self.order] = sums[self.starts + np.arange(len(out)) + self.sizes] + math.log(stop)
-        return out
+        """ln of each word's marginal probability."""
+        return self._sums(self.scores(p, stop), False)[self.base + self.sizes] + math.log(stop)
 
     def expected(self, p: np.ndarray, stop: float) -> np.ndarray:
         """The expected number of each piece, one word one count."""
-        out = np.zeros(len(p))
-        if not len(self.sizes):
-            return out
         scores = self.scores(p, stop)
         forth, back = self._sums(scores, False), self._sums(scores, True)
-        shift = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        whole = forth[self.starts + np.arange(len(self.sizes)) + self.sizes]
-        for n, s in scores.items():
-            at = np.flatnonzero(s > _NONE)
-            w = shift[at]
-            out += np.bincount(self.arcs[n][at], np.exp(forth[at + w] + s[at] + back[at + w + n] - whole[w]), len(p))
+        start = self.base[self.word]
+        share = np.exp(forth[start + self.begin] + scores + back[start + self.end] - forth[(self.base + self.sizes)[self.word]])
+        return np.bincount(self.piece, share, len(p))
+
+
+CACHED = 400_000  # words whose spelling a worker keeps
+
+
+class Spellings:
+    """ln of words' lattice probabilities by class; the first CACHED words that a worker meets are kept, since most words of a bucket are in others too."""
+
+    def __init__(self, models: list, vocabulary: Pieces):
+        self.models, self.v, self.slots = models, vocabulary, {}
+        self.values = np.zeros((len(models), 0))
+
+    def of(self, words: pa.Array) -> np.ndarray:
+        names = _blob(words).decode().split("\n") if len(words) else []
+        slot = np.fromiter((self.slots.get(w, -1) for w in names), np.int64, len(names))
+        new = np.flatnonzero(slot < 0)
+        lattices = Lattices(words.take(pa.array(new)), self.v)
+        made = np.stack([lattices.log_probs(m.p, m.stop) for m in self.models])
+        out = np.empty((len(self.models), len(names)))
+        known = slot >= 0
+        out[:, known], out[:, new] = self.values[:, slot[known]], made
+        if room := max(0, CACHED - len(self.slots)):
+            self.slots.update(zip([names[i] for i in new[:room].tolist()], range(len(self.slots), CACHED), strict=False))
+            self.values = np.concatenate([self.values, made[:, :room]], axis=1)
         return out
 
 
+_spellings: dict[str, Spellings] = {}
+
+
+def spellings(fit: Fit, vocabulary: str) -> Spellings:
+    if fit.name not in _spellings:
+        _spellings.clear()  # of an earlier fit
+        _spellings[fit.name] = Spellings(fit.models, pieces(vocabulary))
+    return _spellings[fit.name]
+
+
 def _blob(words: pa.Array) -> bytes:
     return pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(words)], pa.int64()), words), "\n")[0].as_buffer().to_pybytes()
 
@@ -327,9 +334,9 @@ def scored(docs: DataFrame, vocabulary: str, folds: int = FOLDS, rounds: int = R
             if end > at:
                 counts[:, order[at:end]] = _unpacked(got[shard], n_classes)
             at = end
-        lattices, total = Lattices(words, pieces(vocabulary)), counts.sum(0)
+        spelled, total = spellings(fit, vocabulary).of(words), counts.sum(0)
         base_sum = np.bincount(rows, fit.base(total)[which], n) + fit.base(np.array([fit.n_ends]))[0]
-        by_class = np.stack([np.bincount(rows, m.logs(c, lattices.log_probs(m.p, m.stop))[which], n) + m.end for m, c in zip(fit.models, counts, strict=True)])
+        by_class = np.stack([np.bincount(rows, m.logs(c, q)[which], n) + m.end for m, c, q in zip(fit.models, counts, spelled, strict=True)])
         most = by_class.max(0)
         full_sum = most + np.log10((10.0 ** (by_class - most)).sum(0))
         known = np.bincount(rows, total[which] > 0, n).astype(np.int64) + (fit.n_ends > 0)
@@ -359,7 +366,7 @@ class ClassModel:
 
 class Fit:
     def __init__(self, models: list[ClassModel], n_types: int, n_ends: int):
-        self.models, self.n_ends = models, n_ends
+        self.models, self.n_ends, self.name = models, n_ends, uuid.uuid4().hex
         self.n_train, self.n_types = sum(m.n for m in models), n_types + (n_ends > 0)
 
     def base(self, c: np.ndarray) -> np.ndarray:
