@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import fingerprints, lattice, media, mixing, packing, simhash, substring, toolcalls, toxicity
+from quire.llm import fingerprints, lattice, media, mixing, packing, perplexity, simhash, substring, toolcalls, toxicity
 from quire.llm.common import table
 
 
@@ -50,7 +50,11 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op1_tool_call_linking, op2_lattice_likelihood, op3_golay_simhash, op4_bottom_k_fingerprints, op5_substring_dedup, op6_signature_sniffing, op7_counterfactual_toxicity, op8_sainte_lague_mixing, op9_best_fit_packing)}
+def op10_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_tool_call_linking, op2_lattice_likelihood, op3_golay_simhash, op4_bottom_k_fingerprints, op5_substring_dedup, op6_signature_sniffing, op7_counterfactual_toxicity, op8_sainte_lague_mixing, op9_best_fit_packing, op10_kneser_ney_quality)}
 #: SQL for DuckDB over the same tables, where SQL can say what an operator returns.
 ORACLE_SQL: dict[str, str] = {
     "op1_tool_call_linking": r"""
