@@ -326,7 +326,8 @@ def without_near_copies(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     classes = written(printed.groupBy("h", "g", "fp").agg(F.min("doc_id").alias("doc_id")), "classes")
     pairs = written(candidates(classes), "candidates")
     asked = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = own.join(asked, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).select("doc_id", F.array_distinct(shingles(F.col("text"))).alias("s"))
+    # neither set of ids has a bound, so neither is broadcast
+    sets = own.join(asked.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).select("doc_id", F.array_distinct(shingles(F.col("text"))).alias("s"))
     sets = written(sets, "sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
@@ -335,4 +336,4 @@ def without_near_copies(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     later = found.where("node <> component").select(F.col("node").alias("quire_gone"))
     copies = printed.join(classes.withColumnRenamed("doc_id", "first"), ["h", "g", "fp"]).where("doc_id <> first").select(F.col("doc_id").alias("quire_gone"))
     gone = written(later.unionByName(copies).distinct(), "gone")
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("quire_gone"), "left_anti")
+    return docs.join(gone.hint("merge"), F.col("doc_id").cast("long") == F.col("quire_gone"), "left_anti")
