@@ -109,6 +109,7 @@ def fitted(rows: pa.Table, least: int = 5, l1: float = 1.0, l2: float = 0.005, f
     place = np.minimum(np.searchsorted(kept, flat), len(kept) - 1)
     hit = kept[place] == flat
     row, col = np.repeat(np.arange(n), sizes)[hit], place[hit]
+    del flat, place, hit, lists  # the driver's memory is small
     # A swap of term a for term b changes the score by w[b] - w[a]: pairs (a, b) with the number of rows that have them.
     terms = {int(f): k for f in map(_feature, IDENTITY_TERMS) if (k := int(np.searchsorted(kept, f))) < len(kept) and kept[k] == f}
     order = [terms[f] for f in sorted(terms)]
