@@ -178,7 +178,8 @@ class Lattices:
         return np.bincount(self.piece, share, len(p))
 
 
-CACHED = 400_000  # words whose spelling a worker keeps
+CACHED = 300_000  # words whose spelling a worker keeps
+CHUNK = 20_000  # words whose lattices are in memory at once
 
 
 class Spellings:
@@ -192,8 +193,11 @@ class Spellings:
         names = _blob(words).decode().split("\n") if len(words) else []
         slot = np.fromiter((self.slots.get(w, -1) for w in names), np.int64, len(names))
         new = np.flatnonzero(slot < 0)
-        lattices = Lattices(words.take(pa.array(new)), self.v)
-        made = np.stack([lattices.log_probs(m.p, m.stop) for m in self.models])
+        made = np.empty((len(self.models), len(new)))
+        for at in range(0, len(new), CHUNK):
+            lattices = Lattices(words.take(pa.array(new[at : at + CHUNK])), self.v)
+            for row, m in zip(made, self.models, strict=True):
+                row[at : at + CHUNK] = lattices.log_probs(m.p, m.stop)
         out = np.empty((len(self.models), len(names)))
         known = slot >= 0
         out[:, known], out[:, new] = self.values[:, slot[known]], made
@@ -400,8 +404,8 @@ def _fitted(types: DataFrame, class_texts: list[int], vocabulary: str, rounds: i
                     words, counts = _unblob([words]), _unpacked(data, n_classes)
                     for k in range(n_classes):
                         here = words.filter(pa.array(counts[k] > 0))
-                        for at in range(0, len(here), 100_000):
-                            out[k] += Lattices(here.slice(at, 100_000), own).expected(p[k], stop[k])
+                        for at in range(0, len(here), CHUNK):
+                            out[k] += Lattices(here.slice(at, CHUNK), own).expected(p[k], stop[k])
             k, full = np.nonzero(out)
             yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(full.astype(np.int32)), pa.array(out[k, full])], ["class", "piece", "n"])
 
