@@ -121,13 +121,16 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
 
 
 def repeated(docs: DataFrame, **how) -> DataFrame:
-    """docs as the mix has them, all columns: a document is there as often as it is taken whole, and once more, cut to its first words, for what is left. n_chars, where there is one, follows the text. Rows of one id get the mean of what they take."""
-    per_id = mixed(docs, **how).groupBy(F.col("doc_id").alias("quire_id")).agg(F.sum("taken").alias("quire_taken"), F.count(F.lit(1)).alias("quire_rows"))
-    joined = docs.join(per_id, F.col("doc_id").cast("long").eqNullSafe(F.col("quire_id")))
+    """docs as the mix has them, all columns: a document is there as often as it is taken whole, and once more, cut to its first words, for what is left. n_chars, where there is one, follows the text. Rows of one id, source and size get the mean of what they take."""
+    kinds = [F.col("doc_id").alias("quire_id"), F.col("source").alias("quire_source"), F.col("size").alias("quire_size")]
+    per_kind = mixed(docs, **how).groupBy(*kinds).agg(F.sum("taken").alias("quire_taken"), F.count(F.lit(1)).alias("quire_rows")).where("quire_taken > 0")
     words = F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD), F.lit(0))
-    asked = joined.withColumn("quire_take", F.floor(F.col("quire_taken") / F.col("quire_rows"))).withColumn("quire_words", F.size(words)).where("quire_take > 0")
-    whole = F.floor(F.col("quire_take") / F.col("quire_words"))
-    rest = F.col("quire_take") % F.col("quire_words")
+    own = docs.withColumn("quire_words", F.size(words).cast("long"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("quire_id")) & F.col("source").cast("string").eqNullSafe(F.col("quire_source")) & (F.col("quire_words") == F.col("quire_size"))
+    asked = own.join(per_kind, same).withColumn("quire_take", F.floor(F.col("quire_taken") / F.col("quire_rows"))).where("quire_take > 0")
+    size_ = F.greatest(F.col("quire_words"), F.lit(1))  # rows that take nothing may be computed before they go
+    whole = F.floor(F.col("quire_take") / size_)
+    rest = F.col("quire_take") % size_
     copies = F.array_repeat(F.lit(-1).cast("long"), whole.cast("int"))
     parts = asked.withColumn("quire_part", F.explode(F.when(rest > 0, F.array_append(copies, rest.cast("long"))).otherwise(copies)))
     text = F.when(F.col("quire_part") < 0, F.col("text")).otherwise(F.array_join(F.slice(words, 1, F.greatest(F.col("quire_part"), F.lit(0)).cast("int")), " "))

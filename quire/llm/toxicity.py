@@ -91,7 +91,7 @@ def labelled(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, fol
     return texts(docs).join(F.broadcast(sample), "doc_id").mapInArrow(features, "doc_id long, toxic int, features array<int>")
 
 
-def fitted(rows: pa.Table, least: int = 5, l1: float = 1.0, l2: float = 0.005, fair: float = 20.0, rounds: int = 400) -> Model:
+def fitted(rows: pa.Table, least: int = 5, l1: float = 1.0, l2: float = 0.005, fair: float = 2.0, rounds: int = 400) -> Model:
     """Proximal gradient descent with momentum on logistic loss + l1 + l2 + fair * (score change under swaps)².
 
     least: a feature counts if so many rows have it. The order of the rows has no effect beyond rounding: they are sorted by id.
@@ -126,7 +126,7 @@ def fitted(rows: pa.Table, least: int = 5, l1: float = 1.0, l2: float = 0.005, f
         x = np.bincount(col, z[row], len(kept))
         spectral = np.linalg.norm(x)
         x /= spectral
-    step = 1 / (0.25 * (spectral + n) + l2 * n + 4 * fair * max(1, len(a)) * bool(len(a)))
+    step = 1 / (0.25 * (spectral + n) + l2 * n + 2 * fair * np.bincount(np.concatenate([a, b]), minlength=1).max())
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-(v0 + np.bincount(row, v[col], n))))
         g = np.bincount(col, (p - y)[row], len(kept)) + l2 * v
