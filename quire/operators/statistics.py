@@ -42,7 +42,8 @@ def line_counts(reference: str, prediction: str, spans: list) -> list:
     w = align.counts(words_a, words_b)
     # offsets in the raw text become offsets in the canonical one by the length of what stands before
     own = [(len(text.canonical_text(reference[: x["start"]])), len(text.canonical_text(reference[: x["end"]])), x["canonical_value"]) for x in spans]
-    n = align.numeric(a, b, own, _found(b))
+    found = _found(b)
+    n = align.numeric(a, b, own, found) if own and found else (len(own), 0, len(found))
     omitted = align.longest_omission(align.path(a, b)) if c[1] else 0
     return [*c, len(a), *s, len(strict_a), *w, len(words_a), *align.spacing(a, b), *n, omitted, align.chrf(a, b)]
 
@@ -60,7 +61,9 @@ def line_statistics(grid: DataFrame) -> DataFrame:
             out.insert(0, "pair", batch["pair"].to_numpy())
             yield out
 
-    made = once.mapInPandas(count, "pair string, " + ", ".join(f"{c} bigint" for c in COUNTS) + ", chrf array<bigint>")
+    # pairs are few bytes and much work: as many tasks as the shuffle has partitions, however small they are
+    tasks = int(grid.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    made = once.repartition(tasks, "pair").mapInPandas(count, "pair string, " + ", ".join(f"{c} bigint" for c in COUNTS) + ", chrf array<bigint>")
     joined = keyed.join(made, "pair").drop("pair")
     plain = text.strict(F.col("prediction"), True)
     return joined.withColumn("strict_exact", (text.strict(F.col("reference_raw")) == plain).cast("bigint")).withColumn("exact", ((F.col("cs") + F.col("cd") + F.col("ci")) == 0).cast("bigint"))

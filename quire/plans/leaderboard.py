@@ -17,7 +17,7 @@ def lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def leaderboard(spark: SparkSession, sf_dir: str, replicates: int = bootstrap.REPLICATES) -> DataFrame:
-    lines = lines_of(spark, sf_dir).withColumn("cluster_id", F.col("source_document_id"))
+    lines = lines_of(spark, sf_dir).withColumn("cluster_id", F.col("source_document_id")).persist()  # sums and gate read them
     # Sums of (model, stratum, cluster) are all that is needed from here on; they are a few rows a model and document.
     sums = summed(lines, "model_id", "primary_stratum", "cluster_id").persist()
     add = lambda frame, *keys: frame.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in bootstrap.SUMMED])

@@ -365,12 +365,12 @@ def repeated_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH bits AS (SELECT vec_id, list_sum(list_transform(range(1, 65), lambda k: CASE WHEN embedding[k] > 0 THEN (1::HUGEINT << (k - 1)) ELSE 0::HUGEINT END)) AS h FROM embeddings)
-SELECT a.vec_id AS id_a, b.vec_id AS id_b, bit_count(xor(a.h::UBIGINT, b.h::UBIGINT))::INT AS distance FROM bits a JOIN bits b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.h::UBIGINT, b.h::UBIGINT)) <= 5""")
+SELECT a.vec_id AS id_a, b.vec_id AS id_b, bit_count(xor(a.h::UBIGINT, b.h::UBIGINT))::INT AS distance FROM bits a JOIN bits b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.h::UBIGINT, b.h::UBIGINT)) <= 10""")
 def near_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hashes of the embeddings' signs that differ in at most five bits."""
+    """Hashes of the embeddings' signs that differ in at most ten bits."""
     one = lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))
     h = F.aggregate(F.transform("embedding", one), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(x))
-    return joins.near_hashes(table(spark, sf_dir, "embeddings").select("vec_id", h.alias("h")), "vec_id", "h", 5)
+    return joins.near_hashes(table(spark, sf_dir, "embeddings").select("vec_id", h.alias("h")), "vec_id", "h", 10)
 
 
 @query(f"""WITH {SAMPLES_SQL} SELECT split, coalesce(primary_stratum, '') AS primary_stratum, count(*) AS n, count(*) FILTER (WHERE origin = 'real') AS real,
@@ -465,6 +465,7 @@ SELECT doc_id, count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars, sum(le
 FROM lines WHERE length(line) BETWEEN 1 AND 400 GROUP BY doc_id""")
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Native distances at scale: every line of the documents against itself with letters lost."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.char_length("line").between(1, 400))
+    spread = table(spark, sf_dir, "documents").select("doc_id", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")  # much work a byte
+    lines = spread.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.char_length("line").between(1, 400))
     lost = F.replace("line", F.lit("th"), F.lit("t"))
     return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.char_length("line")).alias("n_chars"), F.sum(F.levenshtein("line", lost)).cast("bigint").alias("distance"))
