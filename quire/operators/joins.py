@@ -50,7 +50,13 @@ def inherit(derived: DataFrame, samples: DataFrame, columns: list[str]) -> DataF
 
 
 def near_hashes(hashed: DataFrame, id_column: str, hash_column: str, distance: int, bits: int = 64) -> DataFrame:
-    """Pairs of ids whose hashes differ in at most `distance` bits. The hash is cut into distance + 1 bands: one of them must be equal, so bands are equi-join keys; a pair is taken from its first equal band only."""
+    """Pairs of ids whose hashes differ in at most `distance` bits: each hash's least id with the hash's other ids, and the least ids of unequal hashes. So a group of copies gives as many pairs as it has ids, and no link between different hashes is lost.
+
+    The hash is cut into distance + 1 bands: one of them must be equal, so bands are equi-join keys; a pair is taken from its first equal band only.
+    """
+    first = hashed.where(F.col(hash_column).isNotNull()).groupBy(hash_column).agg(F.min(id_column).alias("first"))
+    copies = hashed.join(first, hash_column).where(F.col(id_column) > F.col("first")).select(F.col("first").alias("id_a"), F.col(id_column).alias("id_b"), F.lit(0).alias("distance"))
+    hashed = first.select(F.col("first").alias(id_column), hash_column)
     n = distance + 1
     cuts = [bits * i // n for i in range(n + 1)]
 
@@ -66,7 +72,7 @@ def near_hashes(hashed: DataFrame, id_column: str, hash_column: str, distance: i
     for e in earlier:
         met = met | e
     pairs = a.join(b, ["band", "value"]).where((F.col("id_a") < F.col("id_b")) & (F.bit_count(diff) <= distance) & ~met)
-    return pairs.select("id_a", "id_b", F.bit_count(diff).cast("int").alias("distance"))
+    return pairs.select("id_a", "id_b", F.bit_count(diff).cast("int").alias("distance")).unionByName(copies)
 
 
 def model_pairs(scores: DataFrame, keys: list[str], value: str = "score") -> DataFrame:

@@ -364,13 +364,16 @@ def repeated_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.repeated_checksums(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"), F.sha2("text", 256).alias("sha256")))
 
 
-@query("""WITH bits AS (SELECT vec_id, list_sum(list_transform(range(1, 65), lambda k: CASE WHEN embedding[k] > 0 THEN (1::HUGEINT << (k - 1)) ELSE 0::HUGEINT END)) AS h FROM embeddings)
-SELECT a.vec_id AS id_a, b.vec_id AS id_b, bit_count(xor(a.h::UBIGINT, b.h::UBIGINT))::INT AS distance FROM bits a JOIN bits b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.h::UBIGINT, b.h::UBIGINT)) <= 10""")
+@query("""WITH bits AS (SELECT doc_id, list_sum(list_transform(range(0, 64), lambda i: CASE WHEN contains('aeiou ', substr(lower(text), (1 + i * length(text) // 64)::INT, 1)) THEN (1::HUGEINT << i) ELSE 0::HUGEINT END)) AS h FROM documents)
+, firsts AS (SELECT h, min(doc_id) AS id FROM bits GROUP BY h)
+SELECT a.id AS id_a, b.id AS id_b, bit_count(xor(a.h::UBIGINT, b.h::UBIGINT))::INT AS distance FROM firsts a JOIN firsts b ON a.id < b.id WHERE bit_count(xor(a.h::UBIGINT, b.h::UBIGINT)) <= 3
+UNION ALL SELECT f.id, b.doc_id, 0::INT FROM bits b JOIN firsts f ON f.h = b.h WHERE b.doc_id > f.id""")
 def near_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hashes of the embeddings' signs that differ in at most ten bits."""
-    one = lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))
-    h = F.aggregate(F.transform("embedding", one), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(x))
-    return joins.near_hashes(table(spark, sf_dir, "embeddings").select("vec_id", h.alias("h")), "vec_id", "h", 10)
+    """Documents whose 64-bit hashes differ in at most three bits. A bit is whether the character at its place of the text is a vowel or a space."""
+    at = lambda i: F.substring(F.lower("text"), (1 + F.floor(i * F.char_length("text") / 64)).cast("int"), F.lit(1))
+    one = lambda i: F.when(F.contains(F.lit("aeiou "), at(i)), F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))
+    h = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(63)), one), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(x))
+    return joins.near_hashes(table(spark, sf_dir, "documents").select("doc_id", h.alias("h")), "doc_id", "h", 3)
 
 
 @query(f"""WITH {SAMPLES_SQL} SELECT split, coalesce(primary_stratum, '') AS primary_stratum, count(*) AS n, count(*) FILTER (WHERE origin = 'real') AS real,
