@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import mix64, pieces_of, texts, words_of, written
@@ -232,81 +232,124 @@ def grouped(docs: DataFrame, n: int = SHINGLE, distance: int = DISTANCE) -> Data
 
 
 SIMILAR = 0.8  # of the sets of five-word shingles
-NEAR = 8  # bits of the single-word fingerprints
+WORDS = 5  # of a shingle
+SAMPLED, COMMON, COMMONEST = 20_000, 3, 50_000  # documents asked for common shingles; in how many of them a shingle is common; how many are kept
+PIVOTS, MORE = 2, 4  # pivots a key in the first round; how many times as many in each next one
 
 
-def word_fingerprints(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(fingerprint over single words, each by 1 + log2 of its count; two hashes of the sequence of words) of each text."""
+def shingle_sets(text: pa.Array, n: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash) of the distinct shingles of each text, sorted, and two hashes of each text's sequence of words. A shorter text is one shingle, an empty one has none."""
     rows, words = words_of(pc.ascii_lower(text))
-    n = len(text)
-    out, first, second = (np.zeros(n, np.uint64) for _ in range(3))
+    first, second = np.zeros(len(text), np.uint64), np.zeros(len(text), np.uint64)
     if not len(words):
-        return out, first, second
-    coded = words.dictionary_encode()
-    which, size = np.asarray(coded.indices, dtype=np.int64), len(coded.dictionary)
-    h, g = word_hashes(coded.dictionary)
-    # hashes of the sequences: sums of word hashes mixed with their places
-    counts = np.bincount(rows, minlength=n)
-    place = (np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), first, second
+    h, g = word_hashes(words)
+    counts = np.bincount(rows, minlength=len(text))
+    before = np.cumsum(counts) - counts
+    place = (np.arange(len(rows)) - before[rows]).astype(np.uint64)
     full = np.flatnonzero(counts)
-    begins = (np.cumsum(counts) - counts)[full]
     for own, sums in ((h, first), (g, second)):
-        sums[full] = np.add.reduceat(mix64(own[which] ^ mix64(place + np.uint64(1))), begins)
-    pairs, times = np.unique(rows * size + which, return_counts=True)
-    row, word, weights = pairs // size, pairs % size, 1 + np.log2(times)
-    begins = np.searchsorted(row, full)
-    total = np.add.reduceat(weights, begins)
-    data = h[word].astype("<u8").view(np.uint8).reshape(-1, 8)
-    for k in range(8):
-        bits = np.unpackbits(data[:, k : k + 1], axis=1, bitorder="little")
-        sums = np.add.reduceat(bits * weights[:, None], begins, axis=0)
-        out[full] |= np.packbits(2 * sums > total[:, None], axis=1, bitorder="little")[:, 0].astype(np.uint64) << np.uint64(8 * k)
-    return out, first, second
+        sums[full] = np.add.reduceat(mix64(own ^ mix64(place + np.uint64(1))), before[full])
+    n_shingles = np.where(counts > 0, np.maximum(counts - n + 1, 1), 0)
+    row = np.repeat(np.arange(len(text)), n_shingles)
+    start = np.arange(len(row)) - np.repeat(np.cumsum(n_shingles) - n_shingles, n_shingles) + before[row]
+    stop, acc = (before + counts)[row], np.zeros(len(row), np.uint64)
+    for i in range(n):
+        inside = start + i < stop
+        acc = np.where(inside, mix64((acc + np.uint64(i + 1)) ^ h[np.minimum(start + i, len(h) - 1)]), acc)
+    order = np.lexsort((acc, row))
+    row, acc = row[order], acc[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (acc[1:] != acc[:-1])
+    return row[new], acc[new], first, second
+
+
+def common_shingles(own: DataFrame) -> np.ndarray:
+    """Hashes of shingles that several documents of a bounded sample have, the most common last. Any order of shingles keeps prefixes complete; common ones last keeps their groups small."""
+    share = min(1.0, SAMPLED / max(1, own.count()))
+    sample = own.where(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces_of(batch, limit=4 << 20):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(part.column("text"))[1].view(np.int64))], ["key"])
 
+    counted = sample.mapInArrow(of, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
+    found = counted.orderBy(F.col("n").desc(), "key").limit(COMMONEST).select("key").toArrow()
+    return np.asarray(found.column("key").combine_chunks()).view(np.uint64)[::-1].copy()
 
-def candidates(prints: DataFrame, near: int = NEAR) -> DataFrame:
-    """a, b: pairs of ids of prints (doc_id, fp) that share a key and differ in at most `near` bits. Under each key, in order of fingerprints, a row meets the two before it and the key's first row: at most three pairs a row, however many share the key."""
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        golay = Golay()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 8192):
-                part = batch.slice(at, 8192)
-                fps, ids = np.asarray(part.column("fp")).view(np.uint64), np.asarray(part.column("doc_id"))
-                rows, keys = fuzzy_keys(fps, WIDE_SEGMENTS, WIDE_FAMILIES, golay)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[rows].view(np.int64)), pa.array(ids[rows])], ["key", "fp", "doc_id"])
-
-    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail, lead = np.zeros((3, 0), np.int64), np.zeros(3, np.int64)
+def prefixes(own: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """doc_id, h, g (hashes of the sequence of words), n (distinct shingles), keys: the first n - ceil(similar n) + 1 shingles in an order common to all texts. Two sets with a Jaccard similarity of `similar` share one of them: without it the rest of the one set is too small to hold what they must share."""
+    common = common_shingles(own)
+    sorted_at = np.argsort(common)
+    by_hash = common[sorted_at]
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new = np.stack([np.asarray(batch.column(c)) for c in ("key", "fp", "doc_id")])
-            if not new.shape[1]:
-                continue
-            rows = np.concatenate([tail, new], axis=1)
-            k = tail.shape[1]
-            key, fp, ids = rows[0], rows[1].view(np.uint64), rows[2]
-            opens = np.ones(rows.shape[1], bool)
-            opens[1:] = key[1:] != key[:-1]
-            firsts = np.flatnonzero(opens)[np.cumsum(opens) - 1]
-            lead_fp, lead_id = fp[firsts].copy(), ids[firsts].copy()
-            if k and tail.shape[1] and lead[0] == key[0]:  # the first key goes on: its first row is an earlier batch's
-                own = firsts == 0
-                lead_fp[own], lead_id[own] = np.uint64(lead[1].astype(np.uint64)), lead[2]
-            out = []
-            for lag in (1, 2):
-                at = np.arange(max(k, lag), rows.shape[1])
-                at = at[(key[at] == key[at - lag]) & (np.bitwise_count(fp[at] ^ fp[at - lag]) <= near)]
-                out.append(np.stack([ids[at - lag], ids[at]]))
-            at = np.arange(k, rows.shape[1])
-            at = at[(lead_id[at] != ids[at]) & (np.bitwise_count(fp[at] ^ lead_fp[at]) <= near)]
-            out.append(np.stack([lead_id[at], ids[at]]))
-            pairs = np.unique(np.sort(np.concatenate(out, axis=1), axis=0), axis=1)
-            lead = np.array([key[-1], lead_fp[-1].astype(np.uint64).view(np.int64), lead_id[-1]])
-            tail = rows[:, -2:]
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0].copy()), pa.array(pairs[1].copy())], ["a", "b"])
-
-    rows = prints.select("doc_id", "fp").mapInArrow(keyed, "key long, fp long, doc_id long")
-    return rows.repartition("key").sortWithinPartitions("key", "fp", "doc_id").mapInArrow(met, "a long, b long").where("a <> b").distinct()
+            for part in pieces_of(batch, limit=4 << 20):
+                row, key, h, g = shingle_sets(part.column("text"))
+                late = np.zeros(len(key), np.int64)
+                if len(by_hash):
+                    spot = np.minimum(np.searchsorted(by_hash, key), len(by_hash) - 1)
+                    late = np.where(by_hash[spot] == key, sorted_at[spot] + 1, 0)
+                order = np.lexsort((key, late, row))
+                key = key[order]
+                n = np.bincount(row, minlength=part.num_rows)
+                size = np.where(n > 0, n - np.ceil(similar * n - 1e-9).astype(np.int64) + 1, 0)
+                at = np.arange(len(key)) - np.repeat(np.cumsum(n) - n, n)
+                kept = key[at < np.repeat(size, n)].view(np.int64)
+                keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(kept))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(n.astype(np.int64)), keys], ["doc_id", "h", "g", "n", "keys"])
+
+    return own.mapInArrow(of, "doc_id long, h long, g long, n long, keys array<long>")
+
+
+def met(members: DataFrame, pivots: int, similar: float) -> tuple[DataFrame, DataFrame]:
+    """(pairs of a key's pivots with its other rows, rows left) of members (key, doc_id, n, component, degree). The pivots are the rows with the most links; a pair of one component or of sizes too far apart isn't made. Keys whose rows are all of one component leave nothing."""
+    key = Window.partitionBy("key")
+    place = F.row_number().over(key.orderBy(F.col("degree").desc(), "doc_id"))
+    rows = members.withColumn("place", place).withColumn("open", F.min("component").over(key) < F.max("component").over(key)).where("open")
+    ahead = F.collect_list(F.when(F.col("place") <= pivots, F.struct("doc_id", "n", "component", "place"))).over(key)
+    rows = written(rows.withColumn("ahead", ahead), "met")
+    able = F.filter("ahead", lambda p: (p["place"] < F.col("place")) & (p["component"] != F.col("component")) & (F.least(p["n"], F.col("n")) >= similar * F.greatest(p["n"], F.col("n")) - 1e-9))
+    pairs = rows.select("doc_id", F.explode(able).alias("p")).select(F.least("doc_id", "p.doc_id").alias("a"), F.greatest("doc_id", "p.doc_id").alias("b")).where("a <> b").distinct()
+    return pairs, rows.where(F.col("place") > pivots).select("key", "doc_id", "n")
+
+
+def near_links(nodes: DataFrame, own: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """a, b: links between nodes (doc_id, n, keys) with a Jaccard similarity of `similar` or more that have the same components as all such links.
+
+    In each round the pivots of a key meet all its other rows of other components, and leave. Rows with the most links
+    go first, so a base round which all others lie is soon found; a key is done when its rows are of one component or
+    every row was a pivot. No row is passed over; rows that share a key and aren't similar cost a pair each two.
+    """
+    several = F.count(F.lit(1)).over(Window.partitionBy("key"))
+    left = nodes.select(F.explode("keys").alias("key"), "doc_id", "n").withColumn("several", several).where("several > 1").drop("several")
+    left = written(left, "members")
+    # no set of ids has a bound, so none is broadcast
+    asked = left.select("doc_id").distinct()
+    sets = own.join(asked.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).select("doc_id", F.array_distinct(shingles(F.col("text"))).alias("s"))
+    sets = written(sets, "sets")
+    spark = own.sparkSession
+    links = seen = spark.createDataFrame([], "a long, b long")
+    state, pivots = None, PIVOTS
+    while True:
+        members = left.join(state.hint("merge"), "doc_id", "left") if state is not None else left.select("*", F.lit(None).cast("long").alias("component"), F.lit(0).cast("long").alias("degree"))
+        members = members.select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree"))
+        pairs, left = met(members, pivots, similar)
+        pairs = written(pairs.join(seen.hint("merge"), ["a", "b"], "left_anti"), "candidates")
+        seen = seen.unionByName(pairs)
+        both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
+        both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), F.size("sa").alias("na"), F.size("sb").alias("nb"))
+        found = written(both.where(F.col("n") >= similar * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b"), "links")
+        links = links.unionByName(found)
+        if left.isEmpty():
+            return links
+        if not found.isEmpty():
+            ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+            state = written(components(links).join(ends, "node").select(F.col("node").alias("doc_id"), "component", "degree"), "state")
+        pivots *= MORE
 
 
 def without_near_copies(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -314,26 +357,11 @@ def without_near_copies(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
     Rows of one id stay or go together; rows without an id stay.
     """
-
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces_of(batch, limit=4 << 20):
-                arrays = word_fingerprints(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x.view(np.int64)) for x in arrays)], ["doc_id", "fp", "h", "g"])
-
     own = texts(docs).where("doc_id is not null")
-    printed = written(own.mapInArrow(prints, "doc_id long, fp long, h long, g long"), "words")
-    classes = written(printed.groupBy("h", "g", "fp").agg(F.min("doc_id").alias("doc_id")), "classes")
-    pairs = written(candidates(classes), "candidates")
-    asked = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    # neither set of ids has a bound, so neither is broadcast
-    sets = own.join(asked.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).select("doc_id", F.array_distinct(shingles(F.col("text"))).alias("s"))
-    sets = written(sets, "sets")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    linked = both.select("a", "b", shared.alias("n"), F.size("sa").alias("na"), F.size("sb").alias("nb")).where(F.col("n") >= similar * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b")
-    found = components(linked)
+    printed = written(prefixes(own, similar), "words")
+    classes = written(printed.groupBy("h", "g").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
+    found = components(near_links(classes, own, similar))
     later = found.where("node <> component").select(F.col("node").alias("quire_gone"))
-    copies = printed.join(classes.withColumnRenamed("doc_id", "first"), ["h", "g", "fp"]).where("doc_id <> first").select(F.col("doc_id").alias("quire_gone"))
+    copies = printed.select("doc_id", "h", "g").join(classes.select("h", "g", F.col("doc_id").alias("first")), ["h", "g"]).where("doc_id <> first").select(F.col("doc_id").alias("quire_gone"))
     gone = written(later.unionByName(copies).distinct(), "gone")
     return docs.join(gone.hint("merge"), F.col("doc_id").cast("long") == F.col("quire_gone"), "left_anti")

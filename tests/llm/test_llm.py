@@ -156,6 +156,22 @@ def test_near_copies_go(docs, empty):
     assert set(range(0, 72, 3)) <= set(ids) and {205, 206, 207} <= set(ids)
 
 
+def test_near_copies_of_one_base(spark):
+    """A star: each variant is similar to the base, which comes in the middle, and to no other variant."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+
+    def variant(v):
+        w = list(base)
+        for k, place in enumerate(rng.sample(range(5, 295, 10), 6)):
+            w[place] = f"v{v}x{k}"
+        return " ".join(w)
+
+    rows = [(i, " ".join(base) if i == 1700 else variant(i)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert [r.doc_id for r in simhash.without_near_copies(docs).collect()] == [0]
+
+
 def test_fingerprints(docs, empty):
     got = [r.asDict() for r in fingerprints.compared(docs).collect()]
     order = sorted(ROWS, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
