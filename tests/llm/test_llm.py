@@ -156,6 +156,25 @@ def test_near_copies_go(docs, empty):
     assert set(range(0, 72, 3)) <= set(ids) and {205, 206, 207} <= set(ids)
 
 
+def kept_by_brute_force(rows):
+    """The least id of each group linked by a Jaccard similarity of 0.8 or more; pairs come from an index of all shingles."""
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in rows if (w := words(t, True))}
+    index, root = collections.defaultdict(list), {i: i for i, _ in rows}
+    for i, xs in sets.items():
+        for x in xs:
+            index[x].append(i)
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in sorted({(a, b) for ids in index.values() for a in ids for b in ids if a < b}):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and top(a) != top(b):
+            root[max(top(a), top(b))] = min(top(a), top(b))
+    return {i for i in root if root[i] == i}
+
+
 def test_near_copies_of_one_base(spark):
     """A star: each variant is similar to the base, which comes in the middle, and to no other variant."""
     rng = random.Random(5)
@@ -172,6 +191,23 @@ def test_near_copies_of_one_base(spark):
     assert [r.doc_id for r in simhash.without_near_copies(docs).collect()] == [0]
 
 
+def test_near_copies_near_the_limit(spark):
+    """Short and longer texts with edits on either side of a similarity of 0.8."""
+    rng = random.Random(6)
+    rows = []
+    for n, edits, times in ((12, 1, 60), (25, 1, 200), (40, 1, 60), (60, 2, 60), (150, 4, 60), (400, 9, 20)):
+        for _ in range(times):
+            w = [f"w{int(rng.paretovariate(0.7)) % 20000}" for _ in range(n)]
+            other = list(w)
+            for _ in range(edits):
+                other[rng.choice((0, 1, 2, n - 1, rng.randrange(n)))] = f"w{rng.randrange(20000)}"
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(other))]
+    want = kept_by_brute_force(rows)
+    assert 50 < len(rows) - len(want) < len(rows) // 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id for r in simhash.without_near_copies(docs).collect()} == want
+
+
 def test_fingerprints(docs, empty):
     got = [r.asDict() for r in fingerprints.compared(docs).collect()]
     order = sorted(ROWS, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
