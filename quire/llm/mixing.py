@@ -85,8 +85,8 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
-def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken of every document."""
+def streams(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, source, source_key, shard, size, source_size, target, end: every document and its last word's place in its shard's stream; source_key, shard, k, times: how often each block is drawn)."""
     sized = written(sizes(docs), "sizes")
     wanted = written(targets(sized, weights, share, most), "targets")
     # one row a source: a null source is joined by its key "n", others by "s" + name
@@ -106,6 +106,12 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     blocks = blocks.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
     drawn = Window.partitionBy("source_key", "shard").orderBy(F.xxhash64(F.lit(seed + 2), "source_key", "shard", "k"), "k")
     times = blocks.withColumn("times", F.floor(F.col("quota") / F.col("n")) + (F.row_number().over(drawn) <= F.col("quota") % F.col("n")).cast("long"))
+    return placed, times.select("source_key", "shard", "k", "times")
+
+
+def mixed(docs: DataFrame, block: int = BLOCK, **how) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken of every document."""
+    placed, times = streams(docs, block=block, **how)
     earlier = Window.partitionBy("source_key", "shard").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     times = times.select("source_key", "shard", "k", "times", (F.coalesce(F.sum("times").over(earlier), F.lit(0)) * block).alias("before"))
 
@@ -120,20 +126,37 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     return both.select("doc_id", "source", "size", "source_size", "target", count.alias("taken"))
 
 
+def _kind(doc_id: Column, source: Column, size: Column) -> Column:
+    """A key of its own for each id, size and source, null ones too."""
+    return F.concat(F.coalesce(doc_id.cast("string"), F.lit("n")), F.lit("|"), size.cast("string"), F.coalesce(F.concat(F.lit("|s"), source), F.lit("|n")))
+
+
+def pieces(docs: DataFrame, block: int = BLOCK, **how) -> DataFrame:
+    """kind, row (number of the document among those of its id, source and size, from 1), size, pieces: (first word, from 0; words) of each run of words drawn. A block drawn twice is in two runs; neighbouring blocks make one run, as far as both are drawn as often."""
+    placed, times = streams(docs, block=block, **how)
+    full = placed.where("size > 0").withColumn("start", F.col("end") - F.col("size")).withColumn("kind", _kind(F.col("doc_id"), F.col("source"), F.col("size")))
+    full = full.withColumn("row", F.row_number().over(Window.partitionBy("kind").orderBy("end")))
+    own = ["kind", "row", "size", "source_key", "shard", "start", "end"]
+    blocks = full.select(*own, F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block))).alias("k"))
+    drawn = blocks.join(times.where("times > 0"), ["source_key", "shard", "k"]).select(*own, "k", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("time"))
+    run = F.col("k") - F.row_number().over(Window.partitionBy("kind", "row", "time").orderBy("k"))
+    runs = drawn.withColumn("run", run).groupBy("kind", "row", "size", "start", "end", "time", "run").agg(F.min("k").alias("k"), F.max("k").alias("last"))
+    first, stop = F.greatest(F.col("k") * block, "start"), F.least((F.col("last") + 1) * block, "end")
+    return runs.groupBy("kind", "row", "size").agg(F.sort_array(F.collect_list(F.struct((first - F.col("start")).alias("first"), (stop - first).alias("words")))).alias("pieces"))
+
+
 def repeated(docs: DataFrame, **how) -> DataFrame:
-    """docs as the mix has them, all columns: a document is there as often as it is taken whole, and once more, cut to its first words, for what is left. n_chars, where there is one, follows the text. Rows of one id, source and size get the mean of what they take."""
-    kinds = [F.col("doc_id").alias("quire_id"), F.col("source").alias("quire_source"), F.col("size").alias("quire_size")]
-    per_kind = mixed(docs, **how).groupBy(*kinds).agg(F.sum("taken").alias("quire_taken"), F.count(F.lit(1)).alias("quire_rows")).where("quire_taken > 0")
+    """docs as the mix has them, all columns: a row for each run of a document's words that was drawn, with those words as its text; a run of all words is the document as it is. n_chars, where there is one, follows the text."""
+    drawn = pieces(docs, **how).select(F.col("kind").alias("quire_kind"), F.col("row").alias("quire_place"), F.col("size").alias("quire_size"), F.col("pieces").alias("quire_pieces"))
     words = F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD), F.lit(0))
-    own = docs.withColumn("quire_words", F.size(words).cast("long"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("quire_id")) & F.col("source").cast("string").eqNullSafe(F.col("quire_source")) & (F.col("quire_words") == F.col("quire_size"))
-    asked = own.join(per_kind, same).withColumn("quire_take", F.floor(F.col("quire_taken") / F.col("quire_rows"))).where("quire_take > 0")
-    size_ = F.greatest(F.col("quire_words"), F.lit(1))  # rows that take nothing may be computed before they go
-    whole = F.floor(F.col("quire_take") / size_)
-    rest = F.col("quire_take") % size_
-    copies = F.array_repeat(F.lit(-1).cast("long"), whole.cast("int"))
-    parts = asked.withColumn("quire_part", F.explode(F.when(rest > 0, F.array_append(copies, rest.cast("long"))).otherwise(copies)))
-    text = F.when(F.col("quire_part") < 0, F.col("text")).otherwise(F.array_join(F.slice(words, 1, F.greatest(F.col("quire_part"), F.lit(0)).cast("int")), " "))
+    own = docs.withColumn("quire_own", _kind(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.size(words).cast("long")))
+    own = own.withColumn("quire_row", F.row_number().over(Window.partitionBy("quire_own").orderBy("text")))
+    # the row isn't a key of the join, so that the texts are dealt once, by kind
+    same = (F.col("quire_own") == F.col("quire_kind")) & (F.col("quire_row") <= F.col("quire_place")) & (F.col("quire_row") >= F.col("quire_place"))
+    parts = own.join(drawn, same).withColumn("quire_piece", F.explode("quire_pieces"))
+    part = F.col("quire_piece")
+    whole = part["words"] == F.col("quire_size")
+    text = F.when(whole, F.col("text")).otherwise(F.array_join(F.slice(words, (part["first"] + 1).cast("int"), part["words"].cast("int")), " "))
     cut = parts.withColumn("quire_text", text)
-    chars = F.when(F.col("quire_part") < 0, F.col("n_chars")).otherwise(F.char_length("quire_text")) if "n_chars" in docs.columns else None
+    chars = F.when(whole, F.col("n_chars")).otherwise(F.char_length("quire_text")) if "n_chars" in docs.columns else None
     return cut.select(*[F.col("quire_text").alias(c) if c == "text" else chars.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])

@@ -371,6 +371,28 @@ def test_mixing(docs, empty):
     assert 0 <= lost <= 3
 
 
+def test_mix_has_the_words_of_the_drawn_blocks(spark):
+    """Every word of the mix is counted by its document and place: as often as its block was drawn."""
+    sizes = [5, 700, 40, 333, 16, 90, 1, 250, 64, 31]
+    rows = [(i, " ".join(f"d{i}x{k}" for k in range(n)), f"s{i % 2}") for i, n in enumerate(sizes)]
+    rows += [(50, " ".join(f"{c}x{k}" for k in range(60)), "s0") for c in ("p", "q")]  # one id and size, two texts
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    how = {"block": 16, "shard": 300, "share": 0.8}
+    placed, times = (x.collect() for x in mixing.streams(docs, **how))
+    drawn = {(r.source_key, r.shard, r.k): r.times for r in times}
+    assert {0, 1, 2} <= set(drawn.values())
+    want = collections.Counter()
+    both = iter("pq")
+    for r in sorted(placed, key=lambda r: (r.source_key, r.shard, r.end)):
+        name = next(both) if r.doc_id == 50 else f"d{r.doc_id}"
+        for k in range(r.size):
+            want[f"{name}x{k}"] += drawn[r.source_key, r.shard, (r.end - r.size + k) // 16]
+    mix = [r.text for r in mixing.repeated(docs, **how).collect()]
+    assert collections.Counter(w for t in mix for w in t.split()) == +want
+    texts = [t for _, t, _ in rows]
+    assert all(any(f" {m} " in f" {t} " for t in texts) for m in mix) and not all(any(t.startswith(m) for t in texts) for m in mix)
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
