@@ -12,18 +12,22 @@ from quire.plans import demo
 COMPONENTS = ["canonical_cer", "strict_cer", "canonical_wer", "chrfpp", "exact_line", "spacing_f1", "numeric_span", "omission", "hallucination"]
 
 
+def cluster():
+    return joins.cluster_key(F.col("primary_stratum"), F.col("origin"), F.col("source_document_id"), F.col("writer_id"))
+
+
 def lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_statistics(joins.work_grid(demo.models(spark), demo.samples(spark, sf_dir), demo.predictions(spark, sf_dir)))
 
 
 def leaderboard(spark: SparkSession, sf_dir: str, replicates: int = bootstrap.REPLICATES) -> DataFrame:
-    lines = lines_of(spark, sf_dir).withColumn("cluster_id", F.col("source_document_id")).persist()  # sums and gate read them
+    lines = lines_of(spark, sf_dir).withColumn("cluster_id", cluster()).persist()  # sums and gate read them
     # Sums of (model, stratum, cluster) are all that is needed from here on; they are a few rows a model and document.
     sums = summed(lines, "model_id", "primary_stratum", "cluster_id").persist()
     add = lambda frame, *keys: frame.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in bootstrap.SUMMED])
     scores = metrics.composite(metrics.balanced(add(sums, "model_id", "primary_stratum"), add(sums, "model_id"), ["model_id"]))
     drawn = bootstrap.weights(spark, sums.select("cluster_id").distinct(), replicates)
-    replicated = bootstrap.replicate_scores(add(sums, "model_id", "cluster_id"), drawn)
+    replicated = bootstrap.replicate_scores(sums, drawn)
     board = scores.join(bootstrap.intervals(replicated, "model_id"), "model_id")
     apart = bootstrap.intervals(joins.model_pairs(replicated, ["replicate"]), "model_a", "model_b", value="difference")
     tiered = gates.tiers(board.select("model_id", "persian_ocr_score"), apart)
@@ -38,7 +42,7 @@ def leaderboard(spark: SparkSession, sf_dir: str, replicates: int = bootstrap.RE
 
 def views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The nine views."""
-    board = leaderboard(spark, sf_dir, 200).persist()
+    board = leaderboard(spark, sf_dir).persist()
     lines = lines_of(spark, sf_dir)
     by_domain = metrics.scored(summed(lines, "model_id", "primary_stratum"))
     return {

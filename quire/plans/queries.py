@@ -12,7 +12,7 @@ from quire.operators import bootstrap, checks, gates, joins, metrics
 from quire.operators.statistics import line_statistics, summed
 from quire.plans import demo
 from quire.plans.demo import PREDICTIONS_SQL, SAMPLES_SQL, alignment_sql, canonical_sql, table
-from quire.plans.leaderboard import leaderboard, lines_of, views
+from quire.plans.leaderboard import cluster, leaderboard, lines_of, views
 from quire.sources.schemas import ANCHORS, CORRUPTIONS, STRATUM_WEIGHTS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -277,9 +277,9 @@ def bootstrap_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals of the composite over 2,000 paired replicates."""
-    lines = lines_of(spark, sf_dir).withColumn("cluster_id", F.col("source_document_id"))
+    lines = lines_of(spark, sf_dir).withColumn("cluster_id", cluster())
     drawn = bootstrap.weights(spark, lines.select("cluster_id").distinct())
-    scores = bootstrap.replicate_scores(summed(lines, "model_id", "cluster_id"), drawn)
+    scores = bootstrap.replicate_scores(summed(lines, "model_id", "primary_stratum", "cluster_id"), drawn)
     out = bootstrap.intervals(scores, "model_id")
     return out.select("model_id", F.round("ci_low", 6).alias("ci_low"), F.round("ci_high", 6).alias("ci_high"))
 

@@ -122,6 +122,19 @@ def test_weights_sum_to_clusters(spark):
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_replicates_have_the_score_of_the_board(spark):
+    """A replicate that draws each cluster once has the score of strata in balance, and a writer is one cluster."""
+    from quire.plans import leaderboard
+
+    lines = leaderboard.lines_of(spark, SF).withColumn("cluster_id", leaderboard.cluster()).persist()
+    assert lines.where("cluster_id like 'writer:%'").count() == lines.where("primary_stratum = 'persian_handwriting' and writer_id is not null").count() > 0
+    once = lines.select("cluster_id").distinct().select(F.lit(0).alias("replicate"), "cluster_id", F.lit(1).alias("weight"))
+    got = {r.model_id: r.score for r in bootstrap.replicate_scores(summed(lines, "model_id", "primary_stratum", "cluster_id"), once).collect()}
+    want = metrics.composite(metrics.balanced(summed(lines, "model_id", "primary_stratum"), summed(lines, "model_id"), ["model_id"])).collect()
+    assert got == {r.model_id: pytest.approx(r.persian_ocr_score) for r in want}
+
+
 def test_near_hashes_brute(spark):
     import random
 
