@@ -4,8 +4,8 @@ Tokenising and packing are apart. Tokenising is a map over documents; packing se
 pieces. Pieces are dealt by a hash into groups of bounded size, longest first within a group, and each
 group is packed online: the open bins are kept in a bitset keyed by free space, so that the fullest bin
 that still has room is the lowest set bit at or above the piece's length. At most `open_bins` bins are
-open; beyond that the fullest closes first. The bins that a group leaves with much room are opened again
-by a second round over fewer groups, until one group is left or nothing is gained.
+open; beyond that the fullest closes first. Groups aren't packed together: each keeps its own last bins,
+about half a sequence of room a group.
 
 Cases: a null text is empty and is one piece, the end token alone; equal documents are packed separately;
 an empty table gives an empty result; columns other than doc_id and text are left out.
