@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import ZWNJ, slice_of
-from quire.operators.joins import leaked, repeated_checksums
+from quire.operators.joins import leaked, numbered, repeated_checksums
 from quire.sources.schemas import ATTRIBUTE_MINIMA, QUOTAS, SPLIT_SIZES
+from quire.sources.store import stored
 
 PNG = "89504E470D0A1A0A"
 LEAST_WIDTH, LEAST_HEIGHT, LEAST_SPREAD = 200, 30, 40
@@ -18,10 +19,12 @@ def _where(df: DataFrame, check: str, condition: Column, detail: Column) -> Data
 
 
 def expected_ids(samples: DataFrame, prefix: str, n: int, width: int = 3) -> DataFrame:
-    """V1: ids are prefix1 ... prefixN in order. A manifest of some tens of rows: one row of arrays."""
-    want = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit(prefix), F.lpad(i.cast("string"), width, "0")))
-    got = samples.agg(F.transform(F.sort_array(F.collect_list(F.struct("line", "sample_id"))), lambda s: s["sample_id"]).alias("ids"))
-    return got.where(F.col("ids") != want).select(F.lit("V1").alias("check"), F.lit(None).cast("string").alias("sample_id"), F.to_json("ids").alias("detail"))
+    """V1: in the order of `line`, ids are prefix1 ... prefixN. Each line is compared with the id of its place; ids missing at the end are one more violation."""
+    places = numbered(samples.select("line", "sample_id"), "line")
+    want = F.when(F.col("place") < n, F.concat(F.lit(prefix), F.lpad((F.col("place") + 1).cast("string"), width, "0")))
+    wrong = _where(places, "V1", ~F.col("sample_id").eqNullSafe(want), F.coalesce(want, F.lit("one too many")))
+    few = places.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < n).select(F.lit("V1").alias("check"), F.lit(None).cast("string").alias("sample_id"), F.concat(F.lit("only "), F.col("n").cast("string")).alias("detail"))
+    return wrong.unionByName(few)
 
 
 def files(joined: DataFrame) -> DataFrame:
@@ -128,7 +131,13 @@ def repeats(first: DataFrame, second: DataFrame) -> DataFrame:
     return _where(a.exceptAll(b).unionByName(b.exceptAll(a)).distinct(), "V21", F.lit(True), F.concat_ws(" ", "model_id", "raw_prediction"))
 
 
+NAMED = 1000
+
+
 def require(violations: DataFrame) -> None:
-    """All errors together, or nothing. At most 1,000 are named."""
-    if found := violations.limit(1000).collect():
-        raise ValueError("\n".join(f"{v['check']} {v['sample_id']}: {v['detail']}" for v in found))
+    """All errors together, or nothing. The message has their number, and names the first NAMED of them."""
+    found = stored(violations, "violations")
+    if n := found.count():
+        named = found.orderBy("check", "sample_id", "detail").limit(NAMED).collect()
+        more = [f"and {n - len(named)} more"] if n > len(named) else []
+        raise ValueError("\n".join([f"{n} violations", *(f"{v['check']} {v['sample_id']}: {v['detail']}" for v in named), *more]))

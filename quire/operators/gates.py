@@ -52,9 +52,14 @@ def statuses(gate: DataFrame, registry: DataFrame) -> DataFrame:
     return known.join(gate, "model_id", "left").select("model_id", "track", status.alias("status"))
 
 
+def rankable(status: Column, completion: Column, reproducible: Column, track: Column, raw_share: Column) -> Column:
+    """The gate passed, nearly all inputs completed, one reproducible configuration, any text as output, and raw predictions kept for audit."""
+    return (status == "QUALIFIED") & (completion >= LEAST_COMPLETION) & reproducible & track.isin("general_line_recognition", "pipeline") & (raw_share == 1)
+
+
 def ranked(board: DataFrame, eligible: Column) -> DataFrame:
-    """Ranks by score for the eligible rows; the others keep their row without a rank. A row a model: some hundreds at most."""
-    place = F.rank().over(Window.partitionBy("quire_ok").orderBy(F.desc("persian_ocr_score"), "model_id"))
+    """Ranks by score for the eligible rows, equal scores sharing one; the others keep their row without a rank. A row a model: some hundreds at most."""
+    place = F.rank().over(Window.partitionBy("quire_ok").orderBy(F.desc("persian_ocr_score")))
     return board.withColumn("quire_ok", F.coalesce(eligible, F.lit(False))).withColumn("rank", F.when(F.col("quire_ok"), place)).drop("quire_ok")
 
 
@@ -65,7 +70,7 @@ def tiers(board: DataFrame, differences: DataFrame) -> DataFrame:
     transitive, so the models are walked through in one array; there is one a system.
     """
     apart = differences.where("ci_low > 0 or ci_high < 0").select(F.concat_ws("\t", "model_a", "model_b").alias("pair"))
-    walk = board.agg(F.sort_array(F.collect_list(F.struct((-F.col("persian_ocr_score")).alias("by"), "model_id"))).alias("models")).crossJoin(apart.agg(F.collect_set("pair").alias("apart")))
+    walk = board.agg(F.sort_array(F.collect_list(F.struct((-F.col("persian_ocr_score")).alias("by"), "model_id"))).alias("models")).crossJoin(apart.agg(F.collect_set("pair").alias("apart")))  # both sides are one row
     start = F.struct(F.lit("").alias("leader"), F.lit(0).alias("tier"), F.array().cast("array<struct<model_id:string,tier:int>>").alias("done"))
 
     def step(acc: Column, m: Column) -> Column:
@@ -79,7 +84,35 @@ def tiers(board: DataFrame, differences: DataFrame) -> DataFrame:
     return board.join(done.select("d.model_id", F.col("d.tier").alias("statistical_tier")), "model_id")
 
 
-def adapter_screens(prediction: Column, prompt: Column, n_tokens: Column | None = None, limit: int | None = None) -> dict[str, Column]:
-    """Diagnostics of wrappers and echoes. They clean nothing."""
-    out = {"markdown_wrapper": prediction.startswith("```"), "prompt_echo": F.contains(prediction, prompt), "replacement_character": F.contains(prediction, F.lit("�"))}
-    return out if n_tokens is None else out | {"truncated": n_tokens >= limit}
+# Openings of answers that explain instead of transcribing.
+EXPLANATIONS = ("here is", "the text", "sure", "this image", "transcription:")
+
+
+def adapter_screens(prediction: Column, prompt: Column, n_tokens: Column | None = None, limit: Column | int | None = None, reference: Column | None = None, neighbour: Column | None = None, size: tuple[Column, Column] | None = None) -> dict[str, Column]:
+    """Diagnostics of an adapter's defects on the development lines. They clean nothing.
+
+    n_tokens and limit: generated tokens and their bound; neighbour: the reference of the batch's next line, which a batch in the
+    wrong order answers with; size: (width given to the model, width of the image).
+    """
+    start = F.lower(F.substring(F.ltrim(prediction), 1, 24))
+    out = {
+        "markdown_wrapper": prediction.startswith("```"),
+        "prompt_echo": F.contains(prediction, prompt),
+        "task_token": prediction.rlike(r"<\|?/?[A-Za-z_]+\|?>"),
+        "explanation": _any([start.startswith(x) for x in EXPLANATIONS]),
+        "replacement_character": F.contains(prediction, F.lit("\ufffd")),
+    }
+    if n_tokens is not None:
+        out["truncated"] = n_tokens >= limit
+    if neighbour is not None:
+        out["batch_order"] = F.coalesce((prediction == neighbour) & (prediction != reference) & (prediction != ""), F.lit(False))
+    if size is not None:
+        out["resized"] = size[0] != size[1]
+    return out
+
+
+def _any(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out | c
+    return out

@@ -2,20 +2,45 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.sources.store import stored
 
-def work_grid(models: DataFrame, samples: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Every model with every sample and its prediction; what is missing or failed is the empty prediction, so failures can't raise a score.
 
-    The registry of models has a row a system (tens to hundreds) and goes to all tasks; samples aren't shuffled for the product.
-    """
-    grid = samples.crossJoin(F.broadcast(models.select("model_id")))
-    joined = grid.join(final_attempts(predictions), ["model_id", "sample_id"], "left")
+MOST_MODELS = 10_000
+
+
+def each_model(samples: DataFrame, models: DataFrame) -> DataFrame:
+    """A row a sample and model. The registry has a row a system, and its ids go into the plan: samples are neither joined nor shuffled. More than MOST_MODELS of them are an error."""
+    ids = [r["model_id"] for r in models.select("model_id").distinct().orderBy("model_id").limit(MOST_MODELS + 1).collect()]
+    if len(ids) > MOST_MODELS:
+        raise ValueError(f"over {MOST_MODELS} models")
+    return samples.select("*", F.explode(F.array(*[F.lit(m) for m in ids]).cast("array<string>")).alias("model_id"))
+
+
+def work_grid(models: DataFrame, samples: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Every model with every sample and its prediction; what is missing or failed is the empty prediction, so failures can't raise a score."""
+    joined = each_model(samples, models).join(final_attempts(predictions), ["model_id", "sample_id"], "left")
     return joined.withColumn("prediction", effective(F.col("status"), F.col("raw_prediction")))
 
 
+def numbered(frame: DataFrame, column: str, name: str = "place") -> DataFrame:
+    """frame with each row's place, from 0, in the order of a column without repeated values. Rows are dealt by ranges of the column, so that no task orders them all; the driver gets a count a range."""
+    part = F.spark_partition_id().alias("quire_part")
+    dealt = stored(frame.repartitionByRange(F.col(column)).select("*", part), "ranges")
+    counts = {r["quire_part"]: r["n"] for r in dealt.groupBy("quire_part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, starts = 0, []
+    for k in sorted(counts):
+        starts += [F.lit(k), F.lit(before)]
+        before += counts[k]
+    own = F.row_number().over(Window.partitionBy("quire_part").orderBy(column)) - 1
+    start = F.element_at(F.create_map(*starts), F.col("quire_part")) if starts else F.lit(0)
+    return dealt.withColumn(name, (own + start).cast("bigint")).drop("quire_part")
+
+
 def effective(status: Column, prediction: Column) -> Column:
     return F.coalesce(F.when(status == "success", prediction), F.lit(""))
 
@@ -49,30 +74,27 @@ def inherit(derived: DataFrame, samples: DataFrame, columns: list[str]) -> DataF
     return derived.join(samples.select(F.col("sample_id").alias("parent_sample_id"), *columns), "parent_sample_id")
 
 
-def near_hashes(hashed: DataFrame, id_column: str, hash_column: str, distance: int, bits: int = 64) -> DataFrame:
+def near_hashes(hashed: DataFrame, id_column: str, hash_column: str, distance: int, bits: int = 64, bands: int | None = None) -> DataFrame:
     """Pairs of ids whose hashes differ in at most `distance` bits: each hash's least id with the hash's other ids, and the least ids of unequal hashes. So a group of copies gives as many pairs as it has ids, and no link between different hashes is lost.
 
-    The hash is cut into distance + 1 bands: one of them must be equal, so bands are equi-join keys; a pair is taken from its first equal band only.
+    The hash is cut into bands, of which `distance` at most can differ, so that bands - distance of them are equal: every choice
+    of so many bands is an equi-join key. distance + 1 bands give few short keys, more bands give more and longer ones, for
+    larger tables. The hashes are stored, so that they are computed once.
     """
-    first = hashed.where(F.col(hash_column).isNotNull()).groupBy(hash_column).agg(F.min(id_column).alias("first"))
+    hashed = stored(hashed.where(F.col(hash_column).isNotNull()).select(id_column, hash_column), "hashes")
+    first = hashed.groupBy(hash_column).agg(F.min(id_column).alias("first"))
     copies = hashed.join(first, hash_column).where(F.col(id_column) > F.col("first")).select(F.col("first").alias("id_a"), F.col(id_column).alias("id_b"), F.lit(0).alias("distance"))
-    hashed = first.select(F.col("first").alias(id_column), hash_column)
-    n = distance + 1
-    cuts = [bits * i // n for i in range(n + 1)]
-
-    def band(h: Column, i: int) -> Column:
-        return F.shiftrightunsigned(h, cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1))
-
-    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), band(F.col(hash_column), i).alias("value")) for i in range(n)])).alias("k")
-    rows = hashed.select(F.col(id_column).alias("id"), F.col(hash_column).alias("h"), keys).select("id", "h", "k.band", "k.value")
-    a, b = rows.select(F.col("id").alias("id_a"), F.col("h").alias("h_a"), "band", "value"), rows.select(F.col("id").alias("id_b"), F.col("h").alias("h_b"), "band", "value")
+    m = bands or distance + 3
+    cuts = [bits * i // m for i in range(m + 1)]
+    masks = [((1 << cuts[i + 1]) - (1 << cuts[i])) - (1 << 64 if cuts[i + 1] == 64 else 0) for i in range(m)]
+    choices = list(itertools.combinations(range(m), m - distance))
+    mask = lambda choice: F.lit(sum(masks[i] for i in choice)).cast("bigint")
+    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("choice"), F.col("h").bitwiseAND(mask(c)).alias("value")) for k, c in enumerate(choices)])).alias("k")
+    rows = first.select(F.col("first").alias("id"), F.col(hash_column).alias("h")).select("id", "h", keys).select("id", "h", "k.choice", "k.value")
+    a, b = (rows.select(F.col("id").alias(f"id_{x}"), F.col("h").alias(f"h_{x}"), "choice", "value") for x in "ab")
     diff = F.col("h_a").bitwiseXOR(F.col("h_b"))
-    earlier = [(F.col("band") > i) & (band(diff, i) == 0) for i in range(n - 1)]
-    met = F.lit(False)
-    for e in earlier:
-        met = met | e
-    pairs = a.join(b, ["band", "value"]).where((F.col("id_a") < F.col("id_b")) & (F.bit_count(diff) <= distance) & ~met)
-    return pairs.select("id_a", "id_b", F.bit_count(diff).cast("int").alias("distance")).unionByName(copies)
+    near = a.join(b, ["choice", "value"]).where((F.col("id_a") < F.col("id_b")) & (F.bit_count(diff) <= distance))
+    return near.select("id_a", "id_b", F.bit_count(diff).cast("int").alias("distance")).distinct().unionByName(copies)
 
 
 def model_pairs(scores: DataFrame, keys: list[str], value: str = "score") -> DataFrame:

@@ -56,7 +56,7 @@ def hallucination() -> Column:
 
 
 def scored(sums: DataFrame) -> DataFrame:
-    """Nine metrics of each row of sums."""
+    """The nine metrics that sums of lines give; the tenth, robustness, is made from degraded pairs."""
     return sums.withColumns(
         {
             "canonical_cer": _score(error_rate("c")),
@@ -86,23 +86,42 @@ def balanced(by_stratum: DataFrame, overall: DataFrame, keys: list[str]) -> Data
     return out.drop(*[f"b_{m}" for m in BALANCED])
 
 
-def robustness(clean: DataFrame, degraded: DataFrame) -> DataFrame:
-    """model_id, robustness, from sums of clean parents (model_id, cell sums) and of degraded ones (model_id, corruption, severity, cell sums): 100 sqrt(mean r · least r), r the accuracy kept in a cell, at most 1."""
+def robustness(clean: DataFrame, degraded: DataFrame, *keys: str) -> DataFrame:
+    """keys (model_id), robustness, conditions, from sums of clean parents (keys, cell sums) and of degraded ones (keys, corruption, severity, cell sums): 100 sqrt(mean r · least r), r the accuracy kept in a cell, at most 1."""
+    keys = keys or ("model_id",)
+    return retention(clean, degraded, *keys).groupBy(*keys).agg((100 * F.sqrt(F.avg("r") * F.min("r"))).alias("robustness"), F.count(F.lit(1)).alias("conditions"))
+
+
+def retention(clean: DataFrame, degraded: DataFrame, *keys: str) -> DataFrame:
+    """keys, corruption, severity, r: the share of the clean accuracy that each cell keeps."""
     accuracy = lambda: F.greatest(F.lit(0.0), 1 - F.coalesce(error_rate("c"), F.lit(1.0)))
-    a0 = clean.select("model_id", accuracy().alias("a0"))
-    cells = degraded.select("model_id", "corruption", "severity", accuracy().alias("ac")).join(F.broadcast(a0), "model_id")
-    kept = cells.withColumn("r", F.least(F.lit(1.0), F.col("ac") / F.greatest(F.col("a0"), F.lit(EPSILON))))
-    return kept.groupBy("model_id").agg((100 * F.sqrt(F.avg("r") * F.min("r"))).alias("robustness"), F.count(F.lit(1)).alias("conditions"))
+    a0 = clean.select(*keys, accuracy().alias("a0"))
+    cells = degraded.select(*keys, "corruption", "severity", accuracy().alias("ac")).join(a0, list(keys))
+    return cells.select(*keys, "corruption", "severity", F.least(F.lit(1.0), F.col("ac") / F.greatest(F.col("a0"), F.lit(EPSILON))).alias("r"))
 
 
 def composite(scores: DataFrame) -> DataFrame:
-    """The weighted sum of the metrics there are; weights of the ones that don't apply are shared out."""
-    there = [(F.col(m), w) for m, w in METRIC_WEIGHTS.items() if m in scores.columns]
-    total = sum((F.coalesce(c * w, F.lit(0.0)) for c, w in there), F.lit(0.0))
-    weights = sum((F.when(c.isNotNull(), F.lit(w)).otherwise(0.0) for c, w in there), F.lit(0.0))
+    """The weighted sum of the ten metrics. A metric that doesn't apply is null and its weight is shared out; a column that isn't there is an error."""
+    total = sum((F.coalesce(F.col(m) * w, F.lit(0.0)) for m, w in METRIC_WEIGHTS.items()), F.lit(0.0))
+    weights = sum((F.when(F.col(m).isNotNull(), F.lit(w)).otherwise(0.0) for m, w in METRIC_WEIGHTS.items()), F.lit(0.0))
     return scores.withColumn("persian_ocr_score", _ratio(total, weights))
 
 
+def spacing_rates(sums: DataFrame) -> DataFrame:
+    """Precision and recall of spaces and ZWNJ."""
+    rates = {}
+    for x in ("space", "zwnj"):
+        tp, fp, fn = (F.col(f"{x}_{y}") for y in ("tp", "fp", "fn"))
+        rates |= {f"{x}_precision": 100 * _ratio(tp, tp + fp), f"{x}_recall": 100 * _ratio(tp, tp + fn)}
+    return sums.withColumns(rates)
+
+
+def by_span_type(lines: DataFrame, *keys: str) -> DataFrame:
+    """keys, type, spans, spans_exact: the numeric spans of text lines by their type."""
+    own = lines.where(~F.col("is_blank")).select(*keys, F.explode(F.arrays_zip(F.col("numeric_spans.type").alias("type"), F.col("span_hits").alias("hit"))).alias("s"))
+    return own.groupBy(*keys, F.col("s.type").alias("type")).agg(F.count(F.lit(1)).alias("spans"), F.count_if("s.hit").alias("spans_exact"))
+
+
 def diagnostics(lines: DataFrame, *keys: str) -> DataFrame:
     """Per-line distributions and rates that carry no weight."""
     text_line = ~F.col("is_blank")
@@ -144,7 +163,7 @@ def failures(grid: DataFrame, *keys: str) -> DataFrame:
 
 
 def efficiency(predictions: DataFrame, *keys: str) -> DataFrame:
-    return predictions.groupBy(*keys).agg(F.avg("runtime_ms").alias("latency_mean"), F.percentile("runtime_ms", F.lit(0.95)).alias("latency_p95"), F.max("peak_vram_mb").alias("peak_vram_mb"))
+    return predictions.groupBy(*keys).agg(F.avg("runtime_ms").alias("latency_mean"), F.percentile("runtime_ms", F.lit(0.95)).alias("latency_p95"), F.max("peak_vram_mb").alias("peak_vram_mb"), F.sum("api_cost").alias("api_cost"))
 
 
 def repeat_runs(scores: DataFrame, value: str) -> DataFrame:

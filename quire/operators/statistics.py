@@ -34,36 +34,37 @@ def _tokens(canonical: str) -> list[str]:
 
 
 def line_counts(reference: str, prediction: str, spans: list) -> list:
-    """COUNTS and the chrF counts of one pair."""
+    """COUNTS, the chrF counts and the exact spans of one pair. The canonical texts are aligned once: the edit counts, the longest omission and the places of numbers all come from that path."""
     strict_a, strict_b = reference.replace("\r\n", "\n"), prediction.replace("\r\n", "\n").removesuffix("\n")
     a, b = text.canonical_text(strict_a), text.canonical_text(strict_b)
-    c, s = align.counts(a, b), align.counts(strict_a, strict_b)
+    moves = align.path(a, b)
+    c = align.move_counts(moves)
+    s = c if (a, b) == (strict_a, strict_b) else align.counts(strict_a, strict_b)
     words_a, words_b = _tokens(a), _tokens(b)
     w = align.counts(words_a, words_b)
     # offsets in the raw text become offsets in the canonical one by the length of what stands before
     own = [(len(text.canonical_text(reference[: x["start"]])), len(text.canonical_text(reference[: x["end"]])), x["canonical_value"]) for x in spans]
-    found = _found(b)
-    n = align.numeric(a, b, own, found) if own and found else (len(own), 0, len(found))
-    omitted = align.longest_omission(align.path(a, b)) if c[1] else 0
-    return [*c, len(a), *s, len(strict_a), *w, len(words_a), *align.spacing(a, b), *n, omitted, align.chrf(a, b)]
+    hits, extra = align.numeric(moves, own, _found(b))
+    return [*c, len(a), *s, len(strict_a), *w, len(words_a), *align.spacing(a, b), len(own), sum(hits), extra, align.longest_omission(moves), align.chrf(a, b), hits]
 
 
 def line_statistics(grid: DataFrame) -> DataFrame:
-    """grid (reference_raw, prediction, numeric_spans and more) with COUNTS, chrf, exact and strict_exact. Equal pairs are aligned once: outputs repeat a lot."""
-    key = F.sha2(F.concat(F.lpad(F.char_length("reference_raw").cast("string"), 10, "0"), "reference_raw", "prediction", F.coalesce(F.to_json("numeric_spans"), F.lit(""))), 256)
+    """grid (reference_raw, prediction, numeric_spans and more) with COUNTS, chrf, span_hits, exact and strict_exact. Equal pairs are aligned once: outputs repeat a lot."""
+    sizes = [F.lpad(F.char_length(c).cast("string"), 10, "0") for c in ("reference_raw", "prediction")]
+    key = F.sha2(F.concat(*sizes, "reference_raw", "prediction", F.coalesce(F.to_json("numeric_spans"), F.lit(""))), 256)
     keyed = grid.withColumn("pair", key)
     once = keyed.groupBy("pair").agg(F.first("reference_raw").alias("r"), F.first("prediction").alias("p"), F.first("numeric_spans").alias("spans"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [line_counts(r, p, list(s) if s is not None else []) for r, p, s in zip(batch["r"], batch["p"], batch["spans"], strict=True)]
-            out = pd.DataFrame(rows, columns=[*COUNTS, "chrf"])
+            out = pd.DataFrame(rows, columns=[*COUNTS, "chrf", "span_hits"])
             out.insert(0, "pair", batch["pair"].to_numpy())
             yield out
 
     # pairs are few bytes and much work: as many tasks as the shuffle has partitions, however small they are
     tasks = int(grid.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    made = once.repartition(tasks, "pair").mapInPandas(count, "pair string, " + ", ".join(f"{c} bigint" for c in COUNTS) + ", chrf array<bigint>")
+    made = once.repartition(tasks, "pair").mapInPandas(count, "pair string, " + ", ".join(f"{c} bigint" for c in COUNTS) + ", chrf array<bigint>, span_hits array<boolean>")
     joined = keyed.join(made, "pair").drop("pair")
     plain = text.strict(F.col("prediction"), True)
     return joined.withColumn("strict_exact", (text.strict(F.col("reference_raw")) == plain).cast("bigint")).withColumn("exact", ((F.col("cs") + F.col("cd") + F.col("ci")) == 0).cast("bigint"))

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text
-from quire.operators import bootstrap, checks, gates, joins, metrics
+from quire.operators import adapters, bootstrap, checks, gates, images, joins, manifest, metrics
 from quire.operators.statistics import line_statistics, summed
 from quire.plans import demo
-from quire.plans.demo import PREDICTIONS_SQL, SAMPLES_SQL, alignment_sql, canonical_sql, table
-from quire.plans.leaderboard import cluster, leaderboard, lines_of, views
-from quire.sources.schemas import ANCHORS, CORRUPTIONS, STRATUM_WEIGHTS
+from quire.plans.demo import ANCHORS_SQL, DEGRADED_SQL, GRID_SQL, PREDICTIONS_SQL, SAMPLES_SQL, SMOKE_GRID_SQL, SMOKE_SQL, alignment_sql, canonical_sql, distance_sql, path_sql, table
+from quire.plans.leaderboard import Sums, degraded_sums, leaderboard, lines_of, reproducibility, smoke_lines, views
+from quire.sources import readers, writers
+from quire.sources.schemas import METRIC_WEIGHTS, STRATUM_WEIGHTS
+from quire.sources.store import place
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -31,32 +33,40 @@ def query(sql: str | None = None):
     return add
 
 
-CANON = f"{alignment_sql(canonical_sql('reference_raw'), canonical_sql('prediction'), 'canon', '(SELECT * FROM grid WHERE NOT is_blank)')}"
-STRICT = f"{alignment_sql('reference_raw', 'prediction', 'strict', '(SELECT * FROM grid WHERE NOT is_blank)')}"
-WORDS = alignment_sql(canonical_sql("reference_raw"), canonical_sql("prediction"), "words", "(SELECT * FROM grid WHERE NOT is_blank)", "regexp_extract_all({}, '[0-9]+(?:[./:,٫٬\\-][0-9]+)*[%٪]?|[\\p{{L}}\\p{{M}}\\p{{N}}\\x{{200C}}]+|[^\\s]')")
+TEXT_LINES = "(SELECT * FROM grid WHERE NOT is_blank)"
+R, P = canonical_sql("reference_raw"), canonical_sql("prediction")
+TOKENS = "regexp_extract_all({}, '[0-9]+(?:[./:,٫٬\\-][0-9]+)*[%٪]?|[\\p{{L}}\\p{{M}}\\p{{N}}\\x{{200C}}]+|[^\\s]')"
+CANON, STRICT, WORDS = alignment_sql(R, P, "canon", TEXT_LINES), alignment_sql("reference_raw", "prediction", "strict", TEXT_LINES), alignment_sql(R, P, "words", TEXT_LINES, TOKENS)
 ON_CANON = f"c.a = {canonical_sql('g.reference_raw')} AND c.b = {canonical_sql('g.prediction')}"
+#: Of each text line: distances and lengths of canonical and strict texts.
+DISTANCES = f"""distances AS (
+  SELECT *, {distance_sql(R, P)} AS dc, length({R}) AS nc, {distance_sql('reference_raw', 'prediction')} AS ds, length(reference_raw) AS ns, ({R} = {P})::INT AS same FROM grid WHERE NOT is_blank
+)"""
+
 
+def score_sql(distance: str, n: str) -> str:
+    return f"100 * greatest(0.0, 1 - sum({distance})::DOUBLE / sum({n}))"
 
-@query(f"""WITH RECURSIVE {PREDICTIONS_SQL}, {CANON}
-SELECT g.model_id, round(100 * greatest(0.0, 1 - sum(c.s + c.d + c.i)::DOUBLE / sum(c.n)), 6) AS canonical_cer
-FROM grid g JOIN canon c ON {ON_CANON} WHERE NOT g.is_blank GROUP BY g.model_id""")
+
+@query(f"""WITH {PREDICTIONS_SQL}, {DISTANCES} SELECT model_id, round({score_sql('dc', 'nc')}, 6) AS canonical_cer FROM distances GROUP BY model_id""")
 def canonical_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus score of each system from built-in expressions alone: only the distance is needed, so levenshtein serves."""
-    grid = joins.work_grid(demo.models(spark), demo.samples(spark, sf_dir), demo.predictions(spark, sf_dir)).where(~F.col("is_blank"))
-    a, b = text.canonical_tail(F.col("reference_raw")), text.canonical_tail(F.col("prediction"))
-    rate = F.sum(F.levenshtein(a, b)) / F.sum(F.char_length(a))
+    """M1 alone: the corpus score of each system. Only the distance is needed, so the built-in levenshtein serves."""
+    grid = _grid(spark, sf_dir).where(~F.col("is_blank")).select("model_id", text.canonical(F.col("reference_raw")).alias("a"), text.canonical(F.col("prediction")).alias("b"))
+    rate = F.sum(F.levenshtein("a", "b")) / F.sum(F.char_length("a"))
     return grid.groupBy("model_id").agg(F.round(100 * F.greatest(F.lit(0.0), 1 - rate), 6).alias("canonical_cer"))
 
 
 @query(f"""WITH RECURSIVE {PREDICTIONS_SQL}, {CANON}, {STRICT}, {WORDS}
 SELECT g.model_id, sum(c.s)::BIGINT AS cs, sum(c.d)::BIGINT AS cd, sum(c.i)::BIGINT AS ci, sum(c.n)::BIGINT AS cn,
        sum(t.s)::BIGINT AS ss, sum(t.d)::BIGINT AS sd, sum(t.i)::BIGINT AS si, sum(t.n)::BIGINT AS sn,
-       sum(w.s)::BIGINT AS ws, sum(w.d)::BIGINT AS wd, sum(w.i)::BIGINT AS wi, sum(w.n)::BIGINT AS wn
+       sum(w.s)::BIGINT AS ws, sum(w.d)::BIGINT AS wd, sum(w.i)::BIGINT AS wi, sum(w.n)::BIGINT AS wn,
+       round({score_sql('t.s + t.d + t.i', 't.n')}, 6) AS strict_cer, round({score_sql('w.s + w.d + w.i', 'w.n')}, 6) AS canonical_wer
 FROM grid g JOIN canon c ON {ON_CANON} JOIN words w ON {ON_CANON.replace("c.", "w.")}
 JOIN strict t ON t.a = g.reference_raw AND t.b = g.prediction WHERE NOT g.is_blank GROUP BY g.model_id""")
 def edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L1-L3, M1-M3, M8, M9: sums of substitutions, deletions, insertions on canonical, strict and word level."""
-    return summed(lines_of(spark, sf_dir), "model_id").select("model_id", *[p + c for p in "csw" for c in "sdin"])
+    """Sums of substitutions, deletions, insertions on canonical, strict and word level, and the scores of the last two."""
+    out = metrics.scored(summed(lines_of(spark, sf_dir), "model_id"))
+    return out.select("model_id", *[p + c for p in "csw" for c in "sdin"], *[F.round(c, 6).alias(c) for c in ("strict_cer", "canonical_wer")])
 
 
 @query(f"""WITH {PREDICTIONS_SQL}
@@ -96,14 +106,63 @@ def chrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.scored(summed(lines_of(spark, sf_dir), "model_id")).select("model_id", F.round("chrfpp", 6).alias("chrfpp"))
 
 
-@query()
+BASE = "regexp_replace({}, '[ \u200c]', '', 'g')"
+#: The gap before each base character of a text and at its end: '' none, ' ', ZWNJ, or something else. The character chr(1) stands for a base character.
+GAPS = "string_split(regexp_replace({}, '[^ \u200c]', chr(1), 'g'), chr(1))"
+F1 = "CASE WHEN 2 * {0}_tp + {0}_fp + {0}_fn > 0 THEN 2.0 * {0}_tp / (2 * {0}_tp + {0}_fp + {0}_fn) END"
+#: After the grid: `spaces`, the events of each text line. A pair of characters aligned one after another has a gap on either side; all other gaps are missed or false.
+SPACES = f"""{alignment_sql(BASE.format(R), BASE.format(P), "bases", TEXT_LINES)}, {path_sql("bases")}, chain AS (
+  SELECT a, b, i, j FROM bases_moves WHERE move IN ('=', 'S')
+), linked AS (
+  SELECT c.a, c.b, c.i, c.j FROM chain c JOIN chain p ON p.a = c.a AND p.b = c.b AND p.i = c.i - 1 AND p.j = c.j - 1
+), texts AS (
+  SELECT DISTINCT {R} AS x, {P} AS y, {BASE.format(R)} AS a, {BASE.format(P)} AS b, {GAPS.format(R)} AS gx, {GAPS.format(P)} AS gy FROM {TEXT_LINES} t
+), hits AS (
+  SELECT t.x, t.y, sum((t.gx[l.i] = ' ' AND t.gy[l.j] = ' ')::INT) AS space_tp, sum((t.gx[l.i] = '\u200c' AND t.gy[l.j] = '\u200c')::INT) AS zwnj_tp,
+         sum((t.gx[l.i] = '\u200c' AND t.gy[l.j] = ' ')::INT) AS zwnj_as_space, sum((t.gx[l.i] = '\u200c' AND t.gy[l.j] = '')::INT) AS zwnj_gone
+  FROM texts t JOIN linked l ON l.a = t.a AND l.b = t.b GROUP BY t.x, t.y
+), marked AS (
+  SELECT t.x, t.y, coalesce(h.space_tp, 0) AS space_tp, coalesce(h.zwnj_tp, 0) AS zwnj_tp, coalesce(h.zwnj_as_space, 0) AS zwnj_as_space, coalesce(h.zwnj_gone, 0) AS zwnj_gone,
+         len(list_filter(t.gx[2:-2], lambda g: g = ' ')) AS ax, len(list_filter(t.gy[2:-2], lambda g: g = ' ')) AS ay, len(list_filter(t.gx[2:-2], lambda g: g = '\u200c')) AS zx, len(list_filter(t.gy[2:-2], lambda g: g = '\u200c')) AS zy
+  FROM texts t LEFT JOIN hits h ON h.x = t.x AND h.y = t.y
+), spaces AS (
+  SELECT g.model_id, g.sample_id, m.space_tp, m.ay - m.space_tp AS space_fp, m.ax - m.space_tp AS space_fn, m.zwnj_tp, m.zy - m.zwnj_tp AS zwnj_fp, m.zx - m.zwnj_tp AS zwnj_fn, m.zwnj_as_space, m.zwnj_gone
+  FROM grid g JOIN marked m ON m.x = {canonical_sql('g.reference_raw')} AND m.y = {canonical_sql('g.prediction')} WHERE NOT g.is_blank
+)"""
+EVENTS = ["space_tp", "space_fp", "space_fn", "zwnj_tp", "zwnj_fp", "zwnj_fn", "zwnj_as_space", "zwnj_gone"]
+
+
+@query(f"""WITH RECURSIVE {PREDICTIONS_SQL}, {SPACES}, sums AS (SELECT model_id, {", ".join(f"sum({e})::BIGINT AS {e}" for e in EVENTS)} FROM spaces GROUP BY model_id)
+SELECT *, {", ".join(f"round(CASE WHEN {x}_tp + {x}_{y} > 0 THEN 100.0 * {x}_tp / ({x}_tp + {x}_{y}) END, 6) AS {x}_{name}" for x in ("space", "zwnj") for y, name in (("fp", "precision"), ("fn", "recall")))},
+  round(100 * coalesce(({F1.format('space')} + {F1.format('zwnj')}) / 2, {F1.format('space')}, {F1.format('zwnj')}), 6) AS spacing_f1 FROM sums""")
 def spacing_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M6, A4."""
-    s = metrics.scored(summed(lines_of(spark, sf_dir), "model_id"))
-    return s.select("model_id", "space_tp", "space_fp", "space_fn", "zwnj_tp", "zwnj_fp", "zwnj_fn", "zwnj_as_space", "zwnj_gone", F.round("spacing_f1", 6).alias("spacing_f1"))
+    """L4, M6, A4."""
+    s = metrics.spacing_rates(metrics.scored(summed(lines_of(spark, sf_dir), "model_id")))
+    return s.select("model_id", *EVENTS, *[F.round(c, 6).alias(c) for c in ("space_precision", "space_recall", "zwnj_precision", "zwnj_recall", "spacing_f1")])
+
+
+#: After CANON and its path: `line_spans`, for each text line its one span at the end of the reference, what overlaps it in the prediction, and the numbers there.
+SPANS_SQL = f"""{path_sql("canon")}, located AS (
+  SELECT DISTINCT {R} AS x, {P} AS y, length({R}) - length(digits) AS s, length({R}) AS e, number FROM (SELECT g.reference_raw, g.prediction, s.digits, s.number FROM grid g JOIN samples s USING (sample_id) WHERE NOT g.is_blank) t
+), ends AS (
+  -- where the alignment has come to in y before the span, and at its end
+  SELECT l.x, l.y, l.s, l.e, l.number, coalesce(max(CASE WHEN m.i = l.s + 1 AND m.move <> 'I' THEN CASE WHEN m.move = 'D' THEN m.j ELSE m.j - 1 END END), length(l.y)) AS lo, length(l.y) AS hi
+  FROM located l LEFT JOIN canon_moves m ON m.a = l.x AND m.b = l.y GROUP BY l.x, l.y, l.s, l.e, l.number
+), numbers AS (
+  SELECT y, unnest(regexp_extract_all(y, '[0-9]+(?:[./:,٫٬\\-][0-9]+)*[%٪]?')) AS value, generate_subscripts(regexp_extract_all(y, '[0-9]+(?:[./:,٫٬\\-][0-9]+)*[%٪]?'), 1) AS k, string_split_regex(y, '[0-9]+(?:[./:,٫٬\\-][0-9]+)*[%٪]?') AS between FROM (SELECT DISTINCT y FROM located) t
+), found_numbers AS (
+  SELECT y, value, k, sum(length(value) + length(between[k])) OVER (PARTITION BY y ORDER BY k) - length(value) AS s, sum(length(value) + length(between[k])) OVER (PARTITION BY y ORDER BY k) AS e FROM numbers
+), matched AS (
+  SELECT e.x, e.y, p.value = e.number AS exact, row_number() OVER (PARTITION BY e.x, e.y ORDER BY least(e.hi, p.e) - greatest(e.lo, p.s) DESC, p.k) AS place
+  FROM ends e JOIN found_numbers p ON p.y = e.y WHERE least(e.hi, p.e) > greatest(e.lo, p.s)
+), counted AS (SELECT y, count(*) AS n FROM numbers GROUP BY y), line_spans AS (
+  SELECT g.model_id, g.sample_id, 1 AS spans, coalesce(m.exact, false)::INT AS spans_exact, coalesce(c.n, 0) - (m.exact IS NOT NULL)::INT AS spans_extra
+  FROM grid g LEFT JOIN matched m ON m.x = {canonical_sql('g.reference_raw')} AND m.y = {canonical_sql('g.prediction')} AND m.place = 1 LEFT JOIN counted c ON c.y = {canonical_sql('g.prediction')} WHERE NOT g.is_blank
+)"""
 
 
-@query()
+@query(f"""WITH RECURSIVE {PREDICTIONS_SQL}, {CANON}, {SPANS_SQL}
+SELECT model_id, sum(spans)::BIGINT AS spans, sum(spans_exact)::BIGINT AS spans_exact, sum(spans_extra)::BIGINT AS spans_extra, round(100.0 * sum(spans_exact) / (sum(spans) + sum(spans_extra)), 6) AS numeric_span FROM line_spans GROUP BY model_id""")
 def numeric_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M7, J10."""
     s = metrics.scored(summed(lines_of(spark, sf_dir), "model_id"))
@@ -128,16 +187,16 @@ def omission_and_hallucination(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WEIGHTS = ", ".join(f"('{k}', {v})" for k, v in STRATUM_WEIGHTS.items())
 
 
-@query(f"""WITH RECURSIVE {PREDICTIONS_SQL}, {CANON}, weights(primary_stratum, weight) AS (VALUES {_WEIGHTS}), strata AS (
-  SELECT g.model_id, g.primary_stratum, 100 * greatest(0.0, 1 - sum(c.s + c.d + c.i)::DOUBLE / sum(c.n)) AS score
-  FROM grid g JOIN canon c ON {ON_CANON} WHERE NOT g.is_blank GROUP BY g.model_id, g.primary_stratum
+@query(f"""WITH RECURSIVE {PREDICTIONS_SQL}, {DISTANCES}, {WORDS}, weights(primary_stratum, weight) AS (VALUES {_WEIGHTS}), strata AS (
+  SELECT g.model_id, g.primary_stratum, {score_sql('dc', 'nc')} AS canonical_cer, {score_sql('ds', 'ns')} AS strict_cer, {score_sql('c.s + c.d + c.i', 'c.n')} AS canonical_wer, 100 * avg(same) AS exact_line
+  FROM distances g JOIN words c ON {ON_CANON} GROUP BY g.model_id, g.primary_stratum
 )
-SELECT model_id, round(sum(score * weight) / sum(weight), 6) AS canonical_cer FROM strata JOIN weights USING (primary_stratum) GROUP BY model_id""")
+SELECT model_id, {", ".join(f"round(sum({m} * weight) / sum(weight), 6) AS {m}" for m in ("canonical_cer", "strict_cer", "canonical_wer", "exact_line"))} FROM strata JOIN weights USING (primary_stratum) GROUP BY model_id""")
 def balanced_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M12, J9."""
     lines = lines_of(spark, sf_dir)
     out = metrics.balanced(summed(lines, "model_id", "primary_stratum"), summed(lines, "model_id"), ["model_id"])
-    return out.select("model_id", F.round("canonical_cer", 6).alias("canonical_cer"))
+    return out.select("model_id", *[F.round(m, 6).alias(m) for m in ("canonical_cer", "strict_cer", "canonical_wer", "exact_line")])
 
 
 @query(f"""WITH RECURSIVE {PREDICTIONS_SQL}, {CANON}, rates AS (
@@ -145,24 +204,37 @@ def balanced_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM grid g JOIN canon c ON {ON_CANON} WHERE NOT g.is_blank
 )
 SELECT model_id, round(avg(rate), 6) AS cer_mean, round(quantile_cont(rate, 0.5), 6) AS cer_median, round(quantile_cont(rate, 0.95), 6) AS cer_p95,
-       round(quantile_cont(added, 0.95), 6) AS insertion_p95, round(avg(CASE WHEN lost = 1 THEN 1.0 ELSE 0.0 END), 6) AS omitted_lines,
+       round(quantile_cont(added, 0.95), 6) AS insertion_p95, round(avg(CASE WHEN added > 1 THEN 1.0 ELSE 0.0 END), 6) AS catastrophic_insertions, round(avg(CASE WHEN lost = 1 THEN 1.0 ELSE 0.0 END), 6) AS omitted_lines,
        round(avg(CASE WHEN lost > 0.25 THEN 1.0 ELSE 0.0 END), 6) AS lines_losing_a_quarter, round(sum(length)::DOUBLE / sum(n), 6) AS length_ratio
 FROM rates GROUP BY model_id""")
 def line_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1, A5, A8, A9, A12."""
     out = metrics.diagnostics(lines_of(spark, sf_dir), "model_id")
-    return out.select("model_id", *[F.round(c, 6).alias(c) for c in ("cer_mean", "cer_median", "cer_p95", "insertion_p95", "omitted_lines", "lines_losing_a_quarter", "length_ratio")])
+    return out.select("model_id", *[F.round(c, 6).alias(c) for c in ("cer_mean", "cer_median", "cer_p95", "insertion_p95", "catastrophic_insertions", "omitted_lines", "lines_losing_a_quarter", "length_ratio")])
 
 
-@query()
+@query(f"""WITH RECURSIVE {PREDICTIONS_SQL}, {DISTANCES}, {WORDS}, {CANON}, {path_sql("canon")}, runs AS (
+  -- deletions in a row, whatever is inserted between them: their distance in the reference is that of their numbers
+  SELECT a, b, count(*) AS run FROM (SELECT a, b, i - row_number() OVER (PARTITION BY a, b ORDER BY i) AS part FROM canon_moves WHERE move = 'D') t GROUP BY a, b, part
+), longest AS (SELECT a, b, max(run) AS run FROM runs GROUP BY a, b), totals AS (
+  SELECT g.model_id, max(coalesce(l.run, 0))::BIGINT AS longest_omission, round(sum(c.d)::DOUBLE / sum(c.n), 6) AS word_deletions, round({score_sql('dc', 'nc')} - {score_sql('ds', 'ns')}, 6) AS unicode_penalty
+  FROM distances g JOIN words c ON {ON_CANON} LEFT JOIN longest l ON l.a = c.a AND l.b = c.b GROUP BY g.model_id
+), blanks AS (SELECT model_id, round(avg((prediction <> '')::INT), 6) AS blank_hallucinations FROM grid WHERE is_blank GROUP BY model_id)
+SELECT t.*, b.blank_hallucinations FROM totals t JOIN blanks b USING (model_id)""")
 def more_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A2, A4, A6, A7, A11."""
+    """A2, A6, A7, A11."""
     lines = lines_of(spark, sf_dir)
     d = metrics.diagnostics(lines, "model_id").select("model_id", "longest_omission", F.round("word_deletions", 6).alias("word_deletions"), F.round("blank_hallucinations", 6).alias("blank_hallucinations"))
     s = metrics.scored(summed(lines, "model_id")).select("model_id", F.round(F.col("canonical_cer") - F.col("strict_cer"), 6).alias("unicode_penalty"))
     return d.join(s, "model_id")
 
 
+@query("""SELECT doc_id, round(1 - len(list_distinct(string_split(text, chr(10))))::DOUBLE / len(string_split(text, chr(10))), 6) AS repeated_lines FROM documents""")
+def duplicate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10 on whole documents."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(metrics.repeated_lines(F.col("text")), 6).alias("repeated_lines"))
+
+
 @query(f"""WITH {PREDICTIONS_SQL}, grams AS (
   SELECT model_id, sample_id, list_transform(range(1, length(prediction) - 1), lambda k: substr(prediction, k, 3)) AS g FROM grid WHERE length(prediction) >= 3
 )
@@ -184,25 +256,25 @@ def work_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {PREDICTIONS_SQL}
 SELECT model_id, round(avg(CASE WHEN status = 'success' THEN 1.0 ELSE 0.0 END), 6) AS completion, round(avg(CASE WHEN status = 'success' THEN 0.0 ELSE 1.0 END), 6) AS failure_rate,
-       round(avg(CASE WHEN status = 'timeout' THEN 1.0 ELSE 0.0 END), 6) AS timeouts, round(avg(CASE WHEN status IS NULL THEN 1.0 ELSE 0.0 END), 6) AS missing
+       round(avg(CASE WHEN status = 'timeout' THEN 1.0 ELSE 0.0 END), 6) AS timeouts, round(avg(CASE WHEN status = 'crash' THEN 1.0 ELSE 0.0 END), 6) AS crashes, round(avg(CASE WHEN status = 'truncated' THEN 1.0 ELSE 0.0 END), 6) AS truncations, round(avg(CASE WHEN status IS NULL THEN 1.0 ELSE 0.0 END), 6) AS missing
 FROM grid GROUP BY model_id""")
 def failure_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A13."""
     out = metrics.failures(_grid(spark, sf_dir), "model_id")
-    return out.select("model_id", *[F.round(c, 6).alias(c) for c in ("completion", "failure_rate", "timeouts", "missing")])
+    return out.select("model_id", *[F.round(c, 6).alias(c) for c in ("completion", "failure_rate", "timeouts", "crashes", "truncations", "missing")])
 
 
 @query(f"""WITH {PREDICTIONS_SQL}
-SELECT model_id, round(avg(runtime_ms), 6) AS latency_mean, round(quantile_cont(runtime_ms, 0.95), 6) AS latency_p95, max(peak_vram_mb) AS peak_vram_mb FROM predictions GROUP BY model_id""")
+SELECT model_id, round(avg(runtime_ms), 6) AS latency_mean, round(quantile_cont(runtime_ms, 0.95), 6) AS latency_p95, max(peak_vram_mb) AS peak_vram_mb, round(sum(api_cost), 6) AS api_cost FROM predictions GROUP BY model_id""")
 def efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A14."""
     out = metrics.efficiency(demo.predictions(spark, sf_dir), "model_id")
-    return out.select("model_id", F.round("latency_mean", 6).alias("latency_mean"), F.round("latency_p95", 6).alias("latency_p95"), "peak_vram_mb")
+    return out.select("model_id", F.round("latency_mean", 6).alias("latency_mean"), F.round("latency_p95", 6).alias("latency_p95"), "peak_vram_mb", F.round("api_cost", 6).alias("api_cost"))
 
 
-@query(f"""WITH RECURSIVE {PREDICTIONS_SQL}, {CANON}
-SELECT g.model_id, g.primary_stratum, g.split, (grouping(g.primary_stratum) * 2 + grouping(g.split))::BIGINT AS level, count(*) AS n, round(100 * greatest(0.0, 1 - sum(c.s + c.d + c.i)::DOUBLE / sum(c.n)), 6) AS score
-FROM grid g JOIN canon c ON {ON_CANON} WHERE NOT g.is_blank GROUP BY GROUPING SETS ((g.model_id, g.primary_stratum), (g.model_id, g.split), (g.model_id))""")
+@query(f"""WITH {PREDICTIONS_SQL}, {DISTANCES}
+SELECT model_id, primary_stratum, split, (grouping(primary_stratum) * 2 + grouping(split))::BIGINT AS level, count(*) AS n, round({score_sql('dc', 'nc')}, 6) AS score
+FROM distances GROUP BY GROUPING SETS ((model_id, primary_stratum), (model_id, split), (model_id))""")
 def breakdowns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All breakdowns in one aggregation."""
     lines = lines_of(spark, sf_dir).where(~F.col("is_blank"))
@@ -211,53 +283,53 @@ def breakdowns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.agg((F.grouping("primary_stratum") * 2 + F.grouping("split")).cast("bigint").alias("level"), F.count(F.lit(1)).alias("n"), F.round(100 * F.greatest(F.lit(0.0), 1 - rate), 6).alias("score"))
 
 
-@query(f"""WITH RECURSIVE {PREDICTIONS_SQL}, {CANON}, runs AS (
-  SELECT g.model_id, g.item_id % 3 AS run, 100 * greatest(0.0, 1 - sum(c.s + c.d + c.i)::DOUBLE / sum(c.n)) AS score
-  FROM grid g JOIN canon c ON {ON_CANON} WHERE NOT g.is_blank GROUP BY ALL
+_RUNS = "رزژ"  # each run of a system that doesn't repeat itself loses another letter
+
+
+@query(f"""WITH {PREDICTIONS_SQL}, runs AS (
+  SELECT model_id, run, {score_sql(distance_sql(R, canonical_sql("replace(prediction, list_extract(['ر', 'ز', 'ژ'], run + 1), '')")), f'length({R})')} AS score
+  FROM grid CROSS JOIN (SELECT unnest([0, 1, 2]) AS run) r WHERE NOT is_blank GROUP BY ALL
 )
 SELECT model_id, round(avg(score), 6) AS run_mean, round(stddev_samp(score), 6) AS run_stddev, round(min(score), 6) AS run_worst, count(*) AS runs FROM runs GROUP BY model_id""")
 def repeat_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Thirds of the samples stand for runs."""
-    per_run = metrics.scored(summed(lines_of(spark, sf_dir).withColumn("run", F.col("item_id") % 3), "model_id", "run"))
-    out = metrics.repeat_runs(per_run, "canonical_cer")
+    """Three runs of every system over all samples, in each of which another letter is lost."""
+    runs = F.explode(F.array(*[F.struct(F.lit(k).alias("run"), F.lit(c).alias("lost")) for k, c in enumerate(_RUNS)])).alias("r")
+    rows = _grid(spark, sf_dir).where(~F.col("is_blank")).select("model_id", "reference_raw", "prediction", runs)
+    pairs = rows.select("model_id", "r.run", text.canonical(F.col("reference_raw")).alias("a"), text.canonical(F.replace("prediction", F.col("r.lost"), F.lit(""))).alias("b"))
+    per_run = pairs.groupBy("model_id", "run").agg((100 * F.greatest(F.lit(0.0), 1 - F.sum(F.levenshtein("a", "b")) / F.sum(F.char_length("a")))).alias("score"))
+    out = metrics.repeat_runs(per_run, "score")
     return out.select("model_id", *[F.round(c, 6).alias(c) for c in ("run_mean", "run_stddev", "run_worst")], "runs")
 
 
-_DEGRADED_SQL = f"""anchors AS (
-  SELECT sample_id, reference_raw FROM samples WHERE NOT is_blank AND split = 'test'
-), families AS (SELECT unnest({CORRUPTIONS!r}) AS corruption), severities AS (SELECT unnest([1, 2, 3]) AS severity), degraded AS (
-  SELECT a.sample_id AS parent_sample_id, a.sample_id || '__' || corruption || '_s' || severity::VARCHAR AS sample_id, corruption, severity, reference_raw,
-         substr(reference_raw, 1, length(reference_raw) - severity * (length(corruption) % 3 + 1)) AS prediction
-  FROM anchors a CROSS JOIN families CROSS JOIN severities
+#: After SAMPLES_SQL, GRID_SQL and DEGRADED_SQL: `cells`, the accuracy of each system under each degradation, and `kept`, its share of the clean one.
+KEPT = f"""cells AS (
+  SELECT model_id, corruption, severity, greatest(0.0, 1 - sum({distance_sql(R, P)})::DOUBLE / sum(length({R}))) AS accuracy FROM degraded GROUP BY ALL
+), kept AS (
+  SELECT c.model_id, c.corruption, c.severity, least(1.0, c.accuracy / greatest(o.accuracy, 1e-9)) AS r FROM cells c JOIN cells o ON o.model_id = c.model_id AND o.severity = 0 WHERE c.severity > 0
 )"""
 
 
-def _degraded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parents = demo.samples(spark, sf_dir).where("not is_blank and split = 'test'")
-    grid = joins.inherit(joins.corruption_grid(parents, CORRUPTIONS), parents, ["reference_raw"])
-    cut = F.char_length("reference_raw") - F.col("severity") * (F.char_length("corruption") % 3 + 1)
-    return grid.withColumn("prediction", F.substring("reference_raw", F.lit(1), cut))
+@query(f"""WITH {PREDICTIONS_SQL}, {DEGRADED_SQL}
+SELECT DISTINCT sample_id, parent_sample_id, corruption, severity, (('0x' || substr(md5('seed|' || sample_id), 1, 12))::BIGINT % 2147483648)::BIGINT AS seed FROM degraded WHERE severity > 0""")
+def corruption_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived samples of the anchors."""
+    own = demo.samples(spark, sf_dir).where("split = 'test'").join(demo.anchors(spark, sf_dir).select("sample_id"), "sample_id", "left_semi")
+    return joins.corruption_grid(own, demo.CORRUPTIONS).select("sample_id", "parent_sample_id", "corruption", "severity", "seed")
 
 
-@query(f"""WITH {SAMPLES_SQL}, {_DEGRADED_SQL}
-SELECT sample_id, parent_sample_id, corruption, severity, (('0x' || substr(md5('seed|' || sample_id), 1, 12))::BIGINT % 2147483648)::BIGINT AS seed FROM degraded""")
-def corruption_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B5, P12, J3, B3."""
-    return _degraded(spark, sf_dir).select("sample_id", "parent_sample_id", "corruption", "severity", "seed")
+@query(f"""WITH {PREDICTIONS_SQL}, {DEGRADED_SQL}, {KEPT} SELECT model_id, corruption, severity, round(r, 6) AS kept FROM kept""")
+def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of its clean accuracy that each system keeps, by corruption and severity."""
+    cells = degraded_sums(spark, sf_dir).groupBy("model_id", "corruption", "severity").agg(*[F.sum(c).alias(c) for c in bootstrap.CELLS])
+    out = metrics.retention(cells.where("severity = 0").drop("corruption", "severity"), cells.where("severity > 0"), "model_id")
+    return out.select("model_id", "corruption", "severity", F.round("r", 6).alias("kept"))
 
 
-@query(f"""WITH RECURSIVE {SAMPLES_SQL}, {_DEGRADED_SQL}, {alignment_sql(canonical_sql('reference_raw'), canonical_sql('prediction'), 'canon', 'degraded')}, cells AS (
-  SELECT corruption, severity, greatest(0.0, 1 - sum(c.s + c.d + c.i)::DOUBLE / sum(c.n)) AS kept FROM degraded g JOIN canon c ON {ON_CANON} GROUP BY corruption, severity
-)
-SELECT 'cutting' AS model_id, round(100 * sqrt(avg(kept) * min(kept)), 6) AS robustness, count(*) AS conditions FROM cells""")
+@query(f"""WITH {PREDICTIONS_SQL}, {DEGRADED_SQL}, {KEPT} SELECT model_id, round(100 * sqrt(avg(r) * min(r)), 6) AS robustness, count(*) AS conditions FROM kept GROUP BY model_id""")
 def robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A system that loses more of a line the worse it is degraded, against its clean lines."""
-    rows = _degraded(spark, sf_dir)
-    a, b = text.canonical(F.col("reference_raw")), text.canonical(F.col("prediction"))
-    sums = [F.lit(0).cast("bigint").alias("cs"), F.sum(F.levenshtein(a, b)).alias("cd"), F.lit(0).cast("bigint").alias("ci"), F.sum(F.char_length(a)).alias("cn")]
-    named = rows.withColumn("model_id", F.lit("cutting"))
-    clean = named.groupBy("model_id").agg(*[F.lit(0).cast("bigint").alias(c) for c in ("cs", "cd", "ci")], F.sum(F.char_length(a)).alias("cn"))
-    out = metrics.robustness(clean, named.groupBy("model_id", "corruption", "severity").agg(*sums))
+    """M10, J4."""
+    cells = degraded_sums(spark, sf_dir).groupBy("model_id", "corruption", "severity").agg(*[F.sum(c).alias(c) for c in bootstrap.CELLS])
+    out = metrics.robustness(cells.where("severity = 0").drop("corruption", "severity"), cells.where("severity > 0"))
     return out.select("model_id", F.round("robustness", 6).alias("robustness"), "conditions")
 
 
@@ -265,25 +337,116 @@ def robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT source_document_id AS cluster_id, row_number() OVER (ORDER BY source_document_id) - 1 AS place FROM (SELECT DISTINCT source_document_id FROM samples) t
 ), draws AS (
   SELECT r AS replicate, (('0x' || substr(md5('{bootstrap.SEED}|' || r::VARCHAR || '|' || d::VARCHAR), 1, 12))::BIGINT % k) AS place
-  FROM k, (SELECT unnest(range(0, 200)) AS r) a, LATERAL (SELECT unnest(range(0, k)) AS d) b
+  FROM k, (SELECT unnest(range(0, {bootstrap.REPLICATES})) AS r) a, LATERAL (SELECT unnest(range(0, k)) AS d) b
 )
 SELECT d.replicate::INT AS replicate, n.cluster_id, count(*) AS weight FROM draws d JOIN numbered n ON n.place = d.place GROUP BY d.replicate, n.cluster_id""")
 def bootstrap_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """200 replicates here; the leaderboard draws 2,000."""
+    """B1, J11."""
     clusters = demo.samples(spark, sf_dir).select(F.col("source_document_id").alias("cluster_id")).distinct()
-    return bootstrap.weights(spark, clusters, 200)
+    return bootstrap.weights(spark, clusters)
 
 
-@query()
+#: After the lines' CTEs: `sums` by (model, stratum, cluster) of the test split, `grams` the same of chrF counts, `draws` and `parent_draws` the weights of clusters in replicates.
+COUNTED = ["ce", "cd", "ci", "cn", "ds", "ns", "we", "wn", "same", *EVENTS[:6], "spans", "spans_exact", "spans_extra", "lines", "blanks", "blanks_empty"]
+
+
+def _draws_sql(name: str, clusters: str, seed: str) -> str:
+    return f"""{name}_places AS (SELECT cluster_id, row_number() OVER (ORDER BY cluster_id) - 1 AS place, count(*) OVER () AS k FROM ({clusters}) t), {name} AS (
+  SELECT r AS replicate, p.cluster_id, count(*) AS weight FROM (
+    SELECT r, k, ('0x' || substr(md5('{seed}|' || r::VARCHAR || '|' || d::VARCHAR), 1, 12))::BIGINT % k AS place FROM (SELECT DISTINCT k FROM {name}_places) n, (SELECT unnest(range(0, {bootstrap.REPLICATES})) AS r) a, LATERAL (SELECT unnest(range(0, k)) AS d) b
+  ) x JOIN {name}_places p ON p.place = x.place GROUP BY r, p.cluster_id
+)"""
+
+
+def _scores_sql(name: str, keys: str, sums: str, grams: str, cells: str) -> str:
+    """`name` (keys, the ten metrics, persian_ocr_score) of sums by (keys, primary_stratum), grams by (keys, primary_stratum, kind, o) and cells by (keys, corruption, severity)."""
+    on = lambda a, b: " AND ".join(f"{a}.{k.strip()} = {b}.{k.strip()}" for k in keys.split(","))
+    rate = lambda a, b: f"CASE WHEN {b} > 0 THEN 100 * greatest(0.0, 1 - ({a})::DOUBLE / {b}) END"
+    balanced = ["canonical_cer", "strict_cer", "canonical_wer", "chrfpp", "exact_line", "omission", "b_hallucination"]
+    return f"""{name}_orders AS (
+  SELECT {keys}, primary_stratum, avg(m::DOUBLE / h) AS p, avg(m::DOUBLE / r) AS q FROM {grams} WHERE h > 0 AND r > 0 GROUP BY ALL
+), {name}_strata AS (
+  SELECT {", ".join(f"s.{k.strip()}" for k in keys.split(","))}, s.primary_stratum, {rate('ce', 'cn')} AS canonical_cer, {rate('ds', 'ns')} AS strict_cer, {rate('we', 'wn')} AS canonical_wer,
+         CASE WHEN lines > 0 THEN coalesce(CASE WHEN o.p + o.q > 0 THEN 100 * 5 * o.p * o.q / (4 * o.p + o.q) END, 0) END AS chrfpp, CASE WHEN lines > 0 THEN 100.0 * same / lines END AS exact_line, {rate('cd', 'cn')} AS omission, {rate('ci', 'cn')} AS b_hallucination
+  FROM {sums} s LEFT JOIN {name}_orders o ON {on('s', 'o')} AND o.primary_stratum = s.primary_stratum
+), {name}_means AS (
+  SELECT {keys}, {", ".join(f"sum({m} * weight) / sum(CASE WHEN {m} IS NOT NULL THEN weight END) AS {m}" for m in balanced)} FROM {name}_strata JOIN weights USING (primary_stratum) GROUP BY {keys}
+), {name}_whole AS (SELECT {keys}, {", ".join(f"sum({c}) AS {c}" for c in COUNTED)} FROM {sums} GROUP BY {keys}), {name}_accuracy AS (
+  SELECT {keys}, corruption, severity, greatest(0.0, 1 - sum(dc)::DOUBLE / sum(nc)) AS accuracy FROM {cells} GROUP BY ALL
+), {name}_kept AS (
+  SELECT {", ".join(f"a.{k.strip()}" for k in keys.split(","))}, 100 * sqrt(avg(least(1.0, a.accuracy / greatest(o.accuracy, 1e-9))) * min(least(1.0, a.accuracy / greatest(o.accuracy, 1e-9)))) AS robustness
+  FROM {name}_accuracy a JOIN {name}_accuracy o ON {on('a', 'o')} AND o.severity = 0 WHERE a.severity > 0 GROUP BY ALL
+), {name}_ten AS (
+  SELECT {", ".join(f"w.{k.strip()}" for k in keys.split(","))}, m.canonical_cer, m.strict_cer, m.canonical_wer, m.chrfpp, m.exact_line, 100 * coalesce(({F1.format('space')} + {F1.format('zwnj')}) / 2, {F1.format('space')}, {F1.format('zwnj')}) AS spacing_f1,
+         CASE WHEN spans + spans_extra > 0 THEN 100.0 * spans_exact / (spans + spans_extra) END AS numeric_span, m.omission,
+         (coalesce(m.b_hallucination, 0) * lines + coalesce(100.0 * blanks_empty / nullif(blanks, 0), 0) * blanks) / nullif(lines + blanks, 0) AS hallucination, k.robustness
+  FROM {name}_whole w JOIN {name}_means m ON {on('w', 'm')} LEFT JOIN {name}_kept k ON {on('w', 'k')}
+), {name} AS (
+  SELECT *, ({" + ".join(f"coalesce({m} * {w}, 0)" for m, w in METRIC_WEIGHTS.items())}) / ({" + ".join(f"CASE WHEN {m} IS NOT NULL THEN {w} ELSE 0 END" for m, w in METRIC_WEIGHTS.items())}) AS persian_ocr_score FROM {name}_ten
+)"""
+
+
+BOARD_SQL = f"""{PREDICTIONS_SQL}, {DEGRADED_SQL}, {DISTANCES}, {WORDS}, {CANON}, {SPANS_SQL}, {SPACES}, {_chrf_sql().split("WITH " + PREDICTIONS_SQL + ", ")[1].split(", sums AS (")[0]}, weights(primary_stratum, weight) AS (VALUES {_WEIGHTS}), clustered AS (
+  SELECT sample_id, CASE WHEN primary_stratum = 'persian_handwriting' AND writer_id IS NOT NULL THEN 'writer:' || writer_id ELSE 'document:' || source_document_id END AS cluster_id FROM samples WHERE split = 'test'
+), line_sums AS (
+  SELECT d.model_id, d.primary_stratum, k.cluster_id, c.s + c.d + c.i AS ce, c.d AS cd, c.i AS ci, c.n AS cn, d.ds, d.ns, w.s + w.d + w.i AS we, w.n AS wn, d.same, {", ".join(f"p.{e}" for e in EVENTS[:6])}, n.spans, n.spans_exact, n.spans_extra, 1 AS lines, 0 AS blanks, 0 AS blanks_empty
+  FROM distances d JOIN clustered k USING (sample_id) JOIN canon c ON {ON_CANON.replace('g.', 'd.')} JOIN words w ON {ON_CANON.replace('g.', 'd.').replace('c.', 'w.')} JOIN spaces p ON p.model_id = d.model_id AND p.sample_id = d.sample_id JOIN line_spans n ON n.model_id = d.model_id AND n.sample_id = d.sample_id
+  UNION ALL SELECT g.model_id, g.primary_stratum, k.cluster_id, {", ".join(["0"] * (len(COUNTED) - 2))}, 1, (g.prediction = '')::INT FROM grid g JOIN clustered k USING (sample_id) WHERE g.is_blank
+), sums AS MATERIALIZED (SELECT model_id, primary_stratum, cluster_id, {", ".join(f"sum({c}) AS {c}" for c in COUNTED)} FROM line_sums GROUP BY ALL), grams AS MATERIALIZED (
+  SELECT t.model_id, s.primary_stratum, k.cluster_id, t.kind, t.o, sum(r) AS r, sum(h) AS h, sum(m) AS m FROM (
+    SELECT coalesce(a.model_id, b.model_id) AS model_id, coalesce(a.sample_id, b.sample_id) AS sample_id, coalesce(a.kind, b.kind) AS kind, coalesce(a.o, b.o) AS o, coalesce(a.n, 0) AS r, coalesce(b.n, 0) AS h, least(coalesce(a.n, 0), coalesce(b.n, 0)) AS m
+    FROM rg a FULL JOIN hg b ON a.model_id = b.model_id AND a.sample_id = b.sample_id AND a.kind = b.kind AND a.o = b.o AND a.gram = b.gram) t
+  JOIN clustered k USING (sample_id) JOIN samples s USING (sample_id) GROUP BY ALL
+), cells AS MATERIALIZED (
+  SELECT model_id, corruption, severity, parent_sample_id AS cluster_id, sum({distance_sql(R, P)}) AS dc, sum(length({R})) AS nc FROM degraded GROUP BY ALL
+), {_draws_sql("draws", "SELECT DISTINCT cluster_id FROM sums", str(bootstrap.SEED))}, {_draws_sql("parent_draws", "SELECT DISTINCT cluster_id FROM cells", f"{bootstrap.SEED}|parents")}, drawn AS (
+  SELECT replicate, model_id, primary_stratum, {", ".join(f"sum({c} * weight) AS {c}" for c in COUNTED)} FROM sums JOIN draws USING (cluster_id) GROUP BY ALL
+), drawn_grams AS (SELECT replicate, model_id, primary_stratum, kind, o, sum(r * weight) AS r, sum(h * weight) AS h, sum(m * weight) AS m FROM grams JOIN draws USING (cluster_id) GROUP BY ALL), drawn_cells AS (
+  SELECT replicate, model_id, corruption, severity, sum(dc * weight) AS dc, sum(nc * weight) AS nc FROM cells JOIN parent_draws USING (cluster_id) GROUP BY ALL
+), {_scores_sql("replicated", "replicate, model_id", "drawn", "drawn_grams", "drawn_cells")}, intervals AS (
+  SELECT model_id, quantile_cont(persian_ocr_score, 0.025) AS ci_low, quantile_cont(persian_ocr_score, 0.975) AS ci_high FROM replicated GROUP BY model_id
+)"""
+
+
+@query(f"""WITH RECURSIVE {BOARD_SQL} SELECT model_id, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM intervals""")
 def bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Intervals of the composite over 2,000 paired replicates."""
-    lines = lines_of(spark, sf_dir).withColumn("cluster_id", cluster())
-    drawn = bootstrap.weights(spark, lines.select("cluster_id").distinct())
-    scores = bootstrap.replicate_scores(summed(lines, "model_id", "primary_stratum", "cluster_id"), drawn)
-    out = bootstrap.intervals(scores, "model_id")
+    """Intervals of the board's composite over 2,000 paired replicates."""
+    out = bootstrap.intervals(Sums.of(spark, sf_dir).replicates(), "model_id")
     return out.select("model_id", F.round("ci_low", 6).alias("ci_low"), F.round("ci_high", 6).alias("ci_high"))
 
 
+SUMS_BY_STRATUM = f"(SELECT model_id, primary_stratum, {', '.join(f'sum({c}) AS {c}' for c in COUNTED)} FROM sums GROUP BY ALL)"
+GRAMS_BY_STRATUM = "(SELECT model_id, primary_stratum, kind, o, sum(r) AS r, sum(h) AS h, sum(m) AS m FROM grams GROUP BY ALL)"
+
+
+def _gate_sql() -> str:
+    """The smoke gate's statuses, as a query of its own in a subselect: its tables have the names of the board's."""
+    return f"(WITH RECURSIVE {ORACLE_SQL['smoke_gate'].removeprefix('WITH RECURSIVE ')})"
+
+
+def _board_sql() -> str:
+    ten = ", ".join(f"round({m}, 6) AS {m}" for m in METRIC_WEIGHTS)
+    return f"""WITH RECURSIVE {BOARD_SQL}, {_scores_sql("scored", "model_id", SUMS_BY_STRATUM, GRAMS_BY_STRATUM, "cells")}, apart AS (
+  SELECT a.model_id AS x, b.model_id AS y FROM replicated a JOIN replicated b USING (replicate) WHERE a.model_id <> b.model_id GROUP BY a.model_id, b.model_id
+  HAVING quantile_cont(a.persian_ocr_score - b.persian_ocr_score, 0.025) > 0 OR quantile_cont(a.persian_ocr_score - b.persian_ocr_score, 0.975) < 0
+), sorted AS (SELECT model_id, row_number() OVER (ORDER BY persian_ocr_score DESC, model_id) AS spot FROM scored), walk AS (
+  SELECT spot, model_id, model_id AS leader, 1 AS tier FROM sorted WHERE spot = 1
+  UNION ALL
+  SELECT s.spot, s.model_id, CASE WHEN a.x IS NULL THEN w.leader ELSE s.model_id END, CASE WHEN a.x IS NULL THEN w.tier ELSE w.tier + 1 END FROM walk w JOIN sorted s ON s.spot = w.spot + 1 LEFT JOIN apart a ON a.x = w.leader AND a.y = s.model_id
+), outcomes_by_model AS (
+  SELECT model_id, avg((coalesce(status, '') = 'success')::INT) AS completion, avg((coalesce(status, '') <> 'success')::INT) AS failure_rate, count(status)::DOUBLE / count(*) AS raw_share FROM grid WHERE split = 'test' GROUP BY model_id
+), speed AS (
+  SELECT model_id, avg(runtime_ms) AS latency_mean, quantile_cont(runtime_ms, 0.95) AS latency_p95, max(peak_vram_mb) AS peak_vram_mb, sum(api_cost) AS api_cost, count(DISTINCT config_hash) = 1 AND model_id <> 'swapping' AS reproducible FROM predictions GROUP BY model_id
+), able AS (
+  SELECT s.*, g.track, g.status, w.tier, i.ci_low, i.ci_high, o.failure_rate, p.latency_mean, p.latency_p95, p.peak_vram_mb, p.api_cost,
+         g.status = 'QUALIFIED' AND o.completion >= 0.99 AND p.reproducible AND g.track IN ('general_line_recognition', 'pipeline') AND o.raw_share = 1 AS able
+  FROM scored s JOIN {_gate_sql()} g USING (model_id) JOIN walk w USING (model_id) JOIN intervals i USING (model_id) JOIN outcomes_by_model o USING (model_id) JOIN speed p USING (model_id)
+)
+SELECT CASE WHEN able THEN rank() OVER (PARTITION BY able ORDER BY persian_ocr_score DESC) END::INT AS rank, tier::INT AS statistical_tier, model_id, upper(model_id[1]) || model_id[2:] AS model_name, track, status,
+       round(persian_ocr_score, 6) AS persian_ocr_score, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, {ten}, round(failure_rate, 6) AS failure_rate, round(latency_mean, 6) AS latency_mean, round(latency_p95, 6) AS latency_p95, round(api_cost, 6) AS api_cost,
+       peak_vram_mb, 'r1' AS model_revision, '1.0.0' AS adapter_version, sha256('{demo.PROMPT}') AS prompt_hash, '{text.VERSION}' AS canonical_version FROM able"""
+
+
 @query()
 def score_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The leaderboard."""
@@ -300,28 +463,60 @@ def board_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query()
+#: Whether a run of k characters, up to ten, stands five times in a row: then what is four runs long equals what starts one run later.
+REPEATS = " OR ".join(f"coalesce(list_bool_or(list_transform(range(1, length({{0}}) + 1), lambda p: length({{0}}) >= p + {5 * k - 1} AND substr({{0}}, p, {4 * k}) = substr({{0}}, p + {k}, {4 * k}))), false)" for k in range(1, 11))
+SMOKE_CANON = alignment_sql(R, P, "canon", TEXT_LINES, steps=8)
+
+
+@query(f"""WITH RECURSIVE {SMOKE_GRID_SQL}, {SMOKE_CANON}, lines AS (
+  SELECT *, (length(reference_raw) > 0 AND length(prediction) > 4 * length(reference_raw)) OR (({REPEATS.format('prediction')}) AND NOT ({REPEATS.format('reference_raw')})) AS bad,
+         len(regexp_extract_all(prediction, '\\p{{L}}')) AS letters, len(list_filter(regexp_extract_all(prediction, '\\p{{L}}'), lambda c: regexp_matches(c, '[\\x{{0600}}-\\x{{06FF}}\\x{{0750}}-\\x{{077F}}\\x{{FB50}}-\\x{{FDFF}}\\x{{FE70}}-\\x{{FEFC}}]'))) AS persian_letters FROM grid
+), gate AS (
+  SELECT model_id, count(*) FILTER (WHERE status = 'success') AS n_success, count(*) FILTER (WHERE NOT is_blank AND prediction <> '') AS n_nonempty, count(*) FILTER (WHERE bad) AS n_catastrophic,
+         avg(CASE WHEN NOT is_blank AND letters > 0 THEN persian_letters::DOUBLE / letters END) AS persian FROM lines GROUP BY model_id
+), cer AS (
+  SELECT g.model_id, {score_sql('c.s + c.d + c.i', 'c.n')} AS cer_score FROM grid g JOIN canon c ON {ON_CANON} WHERE NOT g.is_blank GROUP BY g.model_id
+), judged AS (
+  SELECT *, ((n_success < 18)::INT + (n_nonempty < 15)::INT + (cer_score < 10)::INT + (coalesce(persian, 0) < 0.5)::INT + (n_catastrophic > 2)::INT)::INT AS n_failed FROM gate JOIN cer USING (model_id)
+), tracks(model_id, track) AS (SELECT model_id, CASE WHEN model_id = 'preamble' THEN 'pipeline' WHEN model_id = 'spaceless' THEN 'not_ocr' ELSE 'general_line_recognition' END FROM models)
+SELECT model_id, track, CASE WHEN track = 'not_ocr' THEN 'NOT_APPLICABLE' WHEN n_failed = 0 THEN 'QUALIFIED' WHEN n_failed = 1 THEN 'BORDERLINE' ELSE 'FAILED_PERSIAN_SUPPORT' END AS status,
+       n_success, n_nonempty, round(cer_score, 6) AS cer_score, round(persian, 6) AS persian, n_catastrophic, n_failed FROM tracks JOIN judged USING (model_id)""")
 def smoke_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G1-G3. Thresholds are the fixed ones; the demo has more samples than the smoke set."""
-    gate = gates.smoke_gate(lines_of(spark, sf_dir))
+    """G1-G3 on the smoke set."""
+    gate = gates.smoke_gate(smoke_lines(spark))
     return gates.statuses(gate, demo.registry(spark)).join(gate, "model_id", "left").withColumn("cer_score", F.round("cer_score", 6)).withColumn("persian", F.round("persian", 6))
 
 
+@query(f"""WITH {SMOKE_SQL} SELECT sample_id, primary_stratum, is_blank, CASE WHEN origin = 'real' THEN 'public_domain_source' ELSE 'synthetic_' || sample_id END AS source_document_id,
+  sha256(reference_raw) AS sha256, CASE sample_id WHEN 'smoke_013' THEN '6-17:02155667788' WHEN 'smoke_014' THEN '5-9:4521|17-21:1999' WHEN 'smoke_015' THEN '5-10:07:15|15-25:1398/11/02|31-37:32500|46-48:8%' ELSE '' END AS spans FROM samples""")
+def smoke_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The literal table with all that is derived from it."""
+    spans = F.array_join(F.transform("numeric_spans", lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["end"].cast("string"), F.lit(":"), x["canonical_value"])), "|")
+    return demo.smoke(spark).select("sample_id", "primary_stratum", "is_blank", "source_document_id", "sha256", spans.alias("spans"))
+
+
+@query(f"""WITH {SMOKE_GRID_SQL}, wanted(sample_id, type, n) AS (VALUES ('smoke_013', 'phone', 1), ('smoke_014', 'integer', 2), ('smoke_015', 'time', 1), ('smoke_015', 'date', 1), ('smoke_015', 'price', 1), ('smoke_015', 'percentage', 1))
+SELECT model_id, type, sum(n)::BIGINT AS spans, sum(CASE WHEN prediction = '' THEN 0 ELSE n END)::BIGINT AS spans_exact
+FROM grid JOIN wanted USING (sample_id) WHERE model_id <> 'spaceless' GROUP BY model_id, type""")
+def numeric_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact spans by type on the smoke set, of the systems that keep words apart: none of these changes a digit, so what they answer is exact."""
+    return metrics.by_span_type(smoke_lines(spark).where("model_id <> 'spaceless'"), "model_id")
+
+
 @query("""SELECT doc_id, regexp_replace(text, '\\r\\n', chr(10), 'g') AS strict FROM documents""".replace("\\r\\n", "\r\n"))
 def strict_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     """N1."""
     return table(spark, sf_dir, "documents").select("doc_id", text.strict(F.col("text")).alias("strict"))
 
 
-_TRICKY = "concat(reference_raw, ' ك ي ى ۀ ـ', chr(160), 'x  y')"
+_TRICKY = " ك ي ى ۀ ـ\u00a0x  y\u3000\u200f\u2067z\u200c\u061c ﻻ ﷲ ﭖ ﬁ ²"
 
 
 @query(f"""WITH {PREDICTIONS_SQL}
-SELECT model_id, sample_id, translate({canonical_sql("prediction || ' ك ي ى ۀ ـ' || chr(160) || 'x  y'")}, chr(160), ' ') AS canonical, '{text.VERSION}' AS version FROM grid""")
+SELECT model_id, sample_id, {canonical_sql('prediction')} || ' ک ی ی هٔ ' || ' x  y z' || chr(8204) || ' لا الله پ ﬁ ²' AS canonical, '{text.VERSION}' AS version FROM grid""")
 def canonical_form(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """N2-N12 on predictions with characters of each rule added."""
-    tricky = F.concat("prediction", F.lit(" ك ي ى ۀ ـ x  y"))
-    return _grid(spark, sf_dir).select("model_id", "sample_id", text.canonical(tricky).alias("canonical"), F.lit(text.VERSION).alias("version"))
+    """N2-N12 on predictions with characters of each rule added: variants of letters, heh with hamza, tatweel, no-break and ideographic space, bidi controls, presentation forms; a Latin ligature and a superscript stay."""
+    return _grid(spark, sf_dir).select("model_id", "sample_id", text.canonical(F.concat("prediction", F.lit(_TRICKY))).alias("canonical"), F.lit(text.VERSION).alias("version"))
 
 
 @query(r"""SELECT doc_id, regexp_extract_all(text, '[0-9]+(?:[./:,٫٬\-][0-9]+)*[%٪]?|[\p{L}\p{M}\p{N}\x{200C}]+|[^\s]') AS tokens FROM documents""")
@@ -370,10 +565,25 @@ SELECT a.id AS id_a, b.id AS id_b, bit_count(xor(a.h::UBIGINT, b.h::UBIGINT))::I
 UNION ALL SELECT f.id, b.doc_id, 0::INT FROM bits b JOIN firsts f ON f.h = b.h WHERE b.doc_id > f.id""")
 def near_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose 64-bit hashes differ in at most three bits. A bit is whether the character at its place of the text is a vowel or a space."""
-    at = lambda i: F.substring(F.lower("text"), (1 + F.floor(i * F.char_length("text") / 64)).cast("int"), F.lit(1))
-    one = lambda i: F.when(F.contains(F.lit("aeiou "), at(i)), F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))
-    h = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(63)), one), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(x))
-    return joins.near_hashes(table(spark, sf_dir, "documents").select("doc_id", h.alias("h")), "doc_id", "h", 3)
+    bits = lambda t: F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: _bit(t, i)), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(x))
+    own = F.struct(F.lower("text").alias("x"), F.char_length("text").alias("n"))  # bound once, as the only element of an array
+    return joins.near_hashes(table(spark, sf_dir, "documents").select("doc_id", F.transform(F.array(own), bits)[0].alias("h")), "doc_id", "h", 3)
+
+
+def _bit(t: Column, i: Column) -> Column:
+    at = F.substring(t["x"], (1 + F.floor(i * t["n"] / 64)).cast("int"), F.lit(1))
+    return F.when(F.contains(F.lit("aeiou "), at), F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))
+
+
+@query("""WITH bits AS (SELECT vec_id, list_sum(list_transform(range(1, 65), lambda k: CASE WHEN embedding[k] > 0 THEN (1::HUGEINT << (k - 1)) ELSE 0::HUGEINT END)) AS h FROM embeddings)
+, firsts AS (SELECT h, min(vec_id) AS id FROM bits GROUP BY h)
+SELECT a.id AS id_a, b.id AS id_b, bit_count(xor(a.h::UBIGINT, b.h::UBIGINT))::INT AS distance FROM firsts a JOIN firsts b ON a.id < b.id WHERE bit_count(xor(a.h::UBIGINT, b.h::UBIGINT)) <= 10
+UNION ALL SELECT f.id, b.vec_id, 0::INT FROM bits b JOIN firsts f ON f.h = b.h WHERE b.vec_id > f.id""")
+def near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes of the embeddings' signs that differ in at most ten bits."""
+    one = lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))
+    h = F.aggregate(F.transform("embedding", one), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(x))
+    return joins.near_hashes(table(spark, sf_dir, "embeddings").select("vec_id", h.alias("h")), "vec_id", "h", 10)
 
 
 @query(f"""WITH {SAMPLES_SQL} SELECT split, coalesce(primary_stratum, '') AS primary_stratum, count(*) AS n, count(*) FILTER (WHERE origin = 'real') AS real,
@@ -408,19 +618,10 @@ def label_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.labels(s.withColumn("numeric_spans", moved).withColumn("reference_raw", F.when(F.col("item_id") % 11 == 0, "").otherwise(F.col("reference_raw"))))
 
 
-@query(f"""WITH {SAMPLES_SQL}, typed AS (
-  SELECT sample_id, CASE WHEN primary_stratum = 'clean_modern_printed' THEN 'modern_print' WHEN primary_stratum = 'persian_handwriting' THEN 'handwriting'
-    WHEN primary_stratum IN ('numeric_heavy', 'mixed_persian_english') THEN primary_stratum ELSE 'form_like' END AS anchor_type FROM samples WHERE NOT is_blank
-), quota(anchor_type, most) AS (VALUES {", ".join(f"('{k}', {v})" for k, v in ANCHORS.items())}), placed AS (
-  SELECT sample_id, anchor_type, row_number() OVER (PARTITION BY anchor_type ORDER BY md5('anchors|' || sample_id), sample_id) AS place FROM typed
-)
-SELECT sample_id, anchor_type, place::INT AS place FROM placed JOIN quota USING (anchor_type) WHERE place <= most""")
+@query(f"""WITH {SAMPLES_SQL}, {ANCHORS_SQL} SELECT sample_id, anchor_type, place FROM anchors""")
 def anchor_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B4."""
-    s = F.col("primary_stratum")
-    kind = F.when(s == "clean_modern_printed", "modern_print").when(s == "persian_handwriting", "handwriting").when(s.isin("numeric_heavy", "mixed_persian_english"), s).otherwise("form_like")
-    typed = demo.samples(spark, sf_dir).where(~F.col("is_blank")).select("sample_id", kind.alias("anchor_type"))
-    return joins.anchors(typed, "anchor_type", ANCHORS, "anchors")
+    return demo.anchors(spark, sf_dir)
 
 
 @query(f"""WITH {SAMPLES_SQL} SELECT sample_id FROM samples WHERE ('0x' || substr(md5('review|' || sample_id), 1, 12))::BIGINT % 1000000 < 200000""")
@@ -433,17 +634,25 @@ def second_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT model_id, sample_id FROM work w WHERE NOT EXISTS (SELECT 1 FROM predictions p WHERE p.model_id = w.model_id AND p.sample_id = w.sample_id AND p.status = 'success')""")
 def pending_work(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K8: what a resumed run still has to do."""
-    from quire.sources.writers import pending
+    work = joins.each_model(demo.samples(spark, sf_dir).select("sample_id"), demo.models(spark))
+    return writers.pending(work, demo.predictions(spark, sf_dir), ["model_id", "sample_id"]).select("model_id", "sample_id")
 
-    work = demo.samples(spark, sf_dir).select("sample_id").crossJoin(F.broadcast(demo.models(spark)))
-    return pending(work, demo.predictions(spark, sf_dir), ["model_id", "sample_id"]).select("model_id", "sample_id")
 
-
-@query(f"""WITH {PREDICTIONS_SQL} SELECT model_id, sample_id, starts_with(prediction, '```') AS markdown_wrapper, contains(prediction, 'Here is') AS prompt_echo, contains(prediction, chr(65533)) AS replacement_character FROM grid""")
+@query(f"""WITH {PREDICTIONS_SQL}, rows AS (
+  SELECT *, CASE item_id % 7 WHEN 0 THEN '```' || prediction WHEN 1 THEN prediction || ' <|end|>' WHEN 2 THEN prediction || chr(65533) WHEN 3 THEN '{demo.PROMPT} ' || prediction WHEN 4 THEN lead(reference_raw, 1, '') OVER (PARTITION BY model_id ORDER BY item_id) ELSE prediction END AS seen,
+         lead(reference_raw) OVER (PARTITION BY model_id ORDER BY item_id) AS neighbour FROM grid WHERE split = 'dev'
+)
+SELECT model_id, sample_id, starts_with(seen, '```') AS markdown_wrapper, contains(seen, '{demo.PROMPT}') AS prompt_echo, regexp_matches(seen, '<\\|?/?[A-Za-z_]+\\|?>') AS task_token, starts_with(lower(seen), 'here is') AS explanation, contains(seen, chr(65533)) AS replacement_character,
+       length(seen) >= 250 AS truncated, coalesce(seen = neighbour AND seen <> reference_raw AND seen <> '', false) AS batch_order, item_id % 3 = 0 AS resized FROM rows""")
 def adapter_screens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P13, P10."""
-    screens = gates.adapter_screens(F.col("prediction"), F.lit("Here is"))
-    return _grid(spark, sf_dir).select("model_id", "sample_id", *[c.alias(n) for n, c in screens.items()])
+    """The eight screens over the development lines, some of which have been spoilt. Characters stand for generated tokens."""
+    i, p = F.col("item_id"), F.col("prediction")
+    following = Window.partitionBy("model_id").orderBy("item_id")
+    rows = _grid(spark, sf_dir).where("split = 'dev'").withColumn("neighbour", F.lead("reference_raw").over(following))
+    seen = F.when(i % 7 == 0, F.concat(F.lit("```"), p)).when(i % 7 == 1, F.concat(p, F.lit(" <|end|>"))).when(i % 7 == 2, F.concat(p, F.lit("\ufffd"))).when(i % 7 == 3, F.concat(F.lit(f"{demo.PROMPT} "), p)).when(i % 7 == 4, F.coalesce("neighbour", F.lit(""))).otherwise(p)
+    rows = rows.withColumn("seen", seen)
+    screens = gates.adapter_screens(F.col("seen"), F.lit(demo.PROMPT), F.char_length("seen"), 250, F.col("reference_raw"), F.col("neighbour"), (F.when(i % 3 == 0, 1).otherwise(2), F.lit(2)))
+    return rows.select("model_id", "sample_id", *[c.alias(n) for n, c in screens.items()])
 
 
 @query(f"""WITH {SAMPLES_SQL} SELECT sample_id, CASE WHEN origin = 'real' THEN 'public_domain_source' ELSE 'synthetic_' || sample_id END AS source_document, reference_raw = '' AS is_blank,
@@ -451,9 +660,8 @@ def adapter_screens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def derived_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P1, P2, B2."""
     s = demo.samples(spark, sf_dir)
-    source = F.when(F.col("origin") == "real", "public_domain_source").otherwise(F.concat(F.lit("synthetic_"), "sample_id"))
     key = joins.cluster_key(F.col("primary_stratum"), F.col("origin"), F.col("source_document_id"), F.col("writer_id"))
-    return s.select("sample_id", source.alias("source_document"), (F.col("reference_raw") == "").alias("is_blank"), key.alias("cluster_id"))
+    return s.select("sample_id", manifest.source_document(F.col("origin"), F.col("sample_id")).alias("source_document"), manifest.blank(F.col("reference_raw")).alias("is_blank"), key.alias("cluster_id"))
 
 
 @query(f"""WITH {PREDICTIONS_SQL} SELECT g.model_id, g.sample_id, g.prediction FROM grid g WHERE g.model_id <> 'spaceless'""")
@@ -465,10 +673,170 @@ def eligible_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
 SELECT doc_id, count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars, sum(length(line) - length(replace(line, 'th', 't')))::BIGINT AS distance
-FROM lines WHERE length(line) BETWEEN 1 AND 400 GROUP BY doc_id""")
+FROM lines GROUP BY doc_id""")
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Native distances at scale: every line of the documents against itself with letters lost."""
+    """Native distances at scale: every line of the documents against itself with letters lost. No distance exceeds the number of letters lost, so only a band of that width is worked out."""
     spread = table(spark, sf_dir, "documents").select("doc_id", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")  # much work a byte
-    lines = spread.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.char_length("line").between(1, 400))
+    lines = spread.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     lost = F.replace("line", F.lit("th"), F.lit("t"))
-    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.char_length("line")).alias("n_chars"), F.sum(F.levenshtein("line", lost)).cast("bigint").alias("distance"))
+    distance = F.call_function("levenshtein", F.col("line"), lost, F.char_length("line") - F.char_length(lost))
+    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.char_length("line")).cast("bigint").alias("n_chars"), F.sum(distance).cast("bigint").alias("distance"))
+
+
+# Sources and sinks: what is written and read again is what was there.
+
+
+@query(f"""WITH {SAMPLES_SQL} SELECT sample_id, split, sha256, source_document_id, writer_id, reference_raw, primary_stratum, origin, is_blank, CASE WHEN is_blank THEN 0 ELSE 1 END::INT AS n_spans,
+  CASE WHEN is_blank THEN NULL ELSE digits || '=' || number END AS span FROM samples""")
+def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest as JSON lines in order, with its nulls, and read again."""
+    path = place(spark, "manifest")
+    missing = {c: F.lit(None).cast("string") for c in ("image_path", "description", "generation_method", "annotator_status")}
+    writers.json_lines(demo.samples(spark, sf_dir).withColumns(missing).drop("item_id"), path, order="sample_id")
+    s = F.col("numeric_spans")
+    return readers.manifest(spark, path).select("sample_id", "split", "sha256", "source_document_id", "writer_id", "reference_raw", "primary_stratum", "origin", "is_blank", F.size(s).alias("n_spans"), F.concat(F.get(s, F.lit(0))["raw"], F.lit("="), F.get(s, F.lit(0))["canonical_value"]).alias("span"))
+
+
+@query(f"""WITH {PREDICTIONS_SQL} SELECT model_id, sample_id, retry_count, status, raw_prediction, runtime_ms, peak_vram_mb, config_hash FROM predictions""")
+def prediction_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions as JSON lines in a folder a model, and read again."""
+    path = place(spark, "predictions")
+    writers.per_model(demo.predictions(spark, sf_dir), path)
+    return readers.predictions(spark, path).select("model_id", "sample_id", "retry_count", "status", "raw_prediction", "runtime_ms", "peak_vram_mb", "config_hash")
+
+
+@query(f"""WITH {PREDICTIONS_SQL}, {DEGRADED_SQL} SELECT DISTINCT sample_id, parent_sample_id, corruption, severity, (severity * 0.5)::DOUBLE AS sigma FROM degraded WHERE severity > 0""")
+def robustness_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3: the robustness manifest, its parameters a map, written and read again."""
+    path = place(spark, "robustness")
+    rows = corruption_grid(spark, sf_dir).withColumn("parameters", F.create_map(F.lit("sigma"), F.col("severity") * 0.5))
+    writers.json_lines(rows, path)
+    return readers.robustness(spark, path).select("sample_id", "parent_sample_id", "corruption", "severity", F.col("parameters")["sigma"].alias("sigma"))
+
+
+@query("""SELECT s_suppkey::INT AS rank, 'model.' || s_suppkey AS id, s_name AS name, CASE WHEN s_nationkey % 2 = 0 THEN 'line_recognizer' ELSE 'document_vlm' END AS category,
+  CASE WHEN s_suppkey % 3 > 0 THEN s_suppkey / 8 END AS parameter_count_b, s_nationkey::DOUBLE AS persian_accuracy_estimation, CASE WHEN s_suppkey % 9 = 0 THEN 'a, "quoted" note' END AS notes FROM supplier""")
+def registry_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registry as CSV with a header, empty fields and quotes, written and read again."""
+    path, k = place(spark, "registry"), F.col("s_suppkey")
+    kind = F.when(F.col("s_nationkey") % 2 == 0, "line_recognizer").otherwise("document_vlm")
+    rows = table(spark, sf_dir, "supplier").select(k.cast("int").alias("rank"), F.concat(F.lit("model."), k.cast("string")).alias("id"), F.col("s_name").alias("name"), kind.alias("category"), F.when(k % 3 > 0, k / 8).alias("parameter_count_b"), F.col("s_nationkey").cast("double").alias("persian_accuracy_estimation"), F.when(k % 9 == 0, 'a, "quoted" note').alias("notes"))
+    writers.csv(rows, path)
+    return readers.candidates(spark, path)
+
+
+@query(f"""WITH {PREDICTIONS_SQL} SELECT 'run1' AS run_id, model_id, sample_id, '{{"text":' || to_json(raw_prediction)::VARCHAR || '}}' AS response FROM predictions WHERE status = 'success'""")
+def audit_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K7: the answers of services, kept word for word in a folder of their own."""
+    path = place(spark, "responses")
+    rows = demo.predictions(spark, sf_dir).where("status = 'success'").select(F.lit("run1").alias("run_id"), "model_id", "sample_id", F.to_json(F.struct(F.col("raw_prediction").alias("text"))).alias("response"))
+    writers.raw_responses(rows, path)
+    return spark.read.schema("run_id string, sample_id string, response string, model_id string").parquet(path).select("run_id", "model_id", "sample_id", "response")
+
+
+@query(f"""WITH {SMOKE_SQL} SELECT sample_id, CASE WHEN sample_id <> 'smoke_004' THEN 'PNG' END AS format, CASE WHEN sample_id = 'smoke_004' THEN NULL WHEN is_blank THEN 640 ELSE greatest(360, 2 * length(reference_raw) + 40) END::INT AS width,
+  CASE WHEN sample_id = 'smoke_004' THEN NULL WHEN is_blank THEN 120 ELSE 82 END::INT AS height, CASE WHEN is_blank OR sample_id = 'smoke_004' THEN NULL ELSE 22 END::INT AS ink, sample_id <> 'smoke_004' AS checked, CASE WHEN sample_id = 'smoke_004' THEN 'V2' ELSE '' END AS violations FROM samples""")
+def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smoke set's images written as PNG files, one left out, found again by path, decoded and checked."""
+    path, samples = place(spark, "images"), demo.smoke(spark)
+    files = images.rendered(samples).withColumn("sha256", F.sha2("content", 256))
+    writers.images(files.where("sample_id <> 'smoke_004'"), path)
+    listed = samples.drop("sha256").join(files.select("sample_id", "sha256"), "sample_id").withColumn("image_path", F.concat(F.col("sample_id"), F.lit(".png")))
+    found = readers.with_images(listed, readers.images(spark, path))
+    pixels = images.decoded(found)
+    bad = checks.files(found).unionByName(checks.contrast(pixels.join(samples.select("sample_id", "is_blank"), "sample_id").where("format is not null")))
+    wrong = bad.groupBy("sample_id").agg(F.array_join(F.sort_array(F.collect_set("check")), " ").alias("violations"))
+    out = found.select("sample_id", "is_blank", (F.sha2("content", 256) == F.col("sha256")).alias("checked")).join(pixels, "sample_id").join(wrong, "sample_id", "left")
+    return out.select("sample_id", "format", "width", "height", F.when(~F.col("is_blank"), F.col("low")).alias("ink"), F.coalesce("checked", F.lit(False)).alias("checked"), F.coalesce("violations", F.lit("")).alias("violations"))
+
+
+@query(f"""WITH {SMOKE_SQL} SELECT 'stub' AS model_id, sample_id, CASE WHEN sample_id = 'smoke_004' THEN '' ELSE reference_raw END AS raw_prediction, CASE WHEN sample_id = 'smoke_004' THEN 'missing' ELSE 'success' END AS status, 0::INT AS retry_count, greatest(360, 2 * length(reference_raw) + 40)::INT AS input_width
+FROM samples WHERE NOT is_blank""".replace("greatest(360, 2 * length(reference_raw) + 40)::INT", "CASE WHEN sample_id <> 'smoke_004' THEN greatest(360, 2 * length(reference_raw) + 40) END::INT"))
+def adapter_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The adapter contract, by the stub that reads drawn lines; one image is missing."""
+    samples = demo.smoke(spark).where(~F.col("is_blank"))
+    files = images.rendered(samples).withColumn("content", F.when(F.col("sample_id") != "smoke_004", F.col("content")))
+    out = adapters.recognise(files, adapters.StubAdapter, {"model_id": "stub"})
+    return out.select("model_id", "sample_id", "raw_prediction", "status", "retry_count", "input_width")
+
+
+# Audits.
+
+
+@query(f"""WITH models AS (SELECT unnest({demo.SYSTEMS!r}) AS id)
+SELECT id, id <> 'spaceless' AS image_to_text, id NOT IN ('partial', 'preamble', 'arabic') AS public_checkpoint, CASE WHEN id <> 'failing' THEN true END AS persian_output, id = 'preamble' AS needs_detector, id <> 'preamble' AS needs_line_crops,
+  id IN ('preamble', 'arabic') AS needs_api_key, id <> 'swapping' AS reproducible, CASE WHEN id <> 'swapping' THEN 'r1' END AS official_revision, ((id = 'failing')::INT + (id = 'swapping')::INT)::INT AS open_questions FROM models""")
+def registry_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P14, K4."""
+    return manifest.audit(demo.registry(spark))
+
+
+@query(f"""WITH {PREDICTIONS_SQL} SELECT model_id, count(DISTINCT config_hash) AS configurations, 1::BIGINT AS prompts, 1::BIGINT AS revisions, count(DISTINCT config_hash) = 1 AS frozen FROM predictions GROUP BY model_id""")
+def freeze_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P15, N18."""
+    return manifest.freeze_set(demo.predictions(spark, sf_dir))
+
+
+@query(f"""WITH {PREDICTIONS_SQL}, settings AS (
+  SELECT model_id, string_agg(DISTINCT config_hash, ' ' ORDER BY config_hash) AS config_hash, count(DISTINCT config_hash) = 1 AS frozen FROM predictions GROUP BY model_id
+)
+SELECT model_id, upper(model_id[1]) || model_id[2:] AS model_name, CASE WHEN model_id = 'preamble' THEN 'pipeline' WHEN model_id = 'spaceless' THEN 'not_ocr' ELSE 'general_line_recognition' END AS track, 'r1' AS model_revision, '1.0.0' AS adapter_version,
+       sha256('{demo.PROMPT}') AS prompt_hash, config_hash, frozen, frozen AND model_id <> 'swapping' AS reproducible FROM settings""")
+def reproducible_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the board says of a system's settings, from its predictions and the registry."""
+    return reproducibility(spark, sf_dir)
+
+
+@query("""SELECT page_id, 'pages/' || page_id || '/line.png' AS image_path, CASE page_id % 3 WHEN 0 THEN 'scan' WHEN 1 THEN 'blank' ELSE 'render' END AS kind FROM pages""")
+def path_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Absolute paths of either kind of separator made relative; images by the way they are made."""
+    k = F.col("page_id")
+    absolute = F.when(k % 2 == 0, F.concat(F.lit("/data/set/pages/"), k.cast("string"), F.lit("/line.png"))).otherwise(F.concat(F.lit("\\data\\set\\pages\\"), k.cast("string"), F.lit("\\line.png")))
+    kind = manifest.image_kind((k % 3).cast("string"), ["0"], ["1"])
+    return table(spark, sf_dir, "pages").select("page_id", manifest.relative_path(absolute, "/data//set/").alias("image_path"), kind.alias("kind"))
+
+
+@query("""SELECT doc_id, substr(text, 1, 10000) AS text FROM documents ORDER BY doc_id LIMIT 50""")
+def previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 50 documents, 10,000 characters of each: the limits are what a preview is."""
+    return manifest.preview(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", 50, "text", 10_000)
+
+
+@query("""SELECT 'fonts/none.ttf' AS path""")
+def missing_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S8."""
+    wanted = {f"{sf_dir}/documents.parquet": "documents.parquet", f"{sf_dir}/fonts/none.ttf": "fonts/none.ttf"}
+    return spark.createDataFrame([(wanted[p],) for p in manifest.missing_assets(spark, list(wanted))], "path string")
+
+
+@query(f"""WITH {SAMPLES_SQL}, sizes(split, want) AS (VALUES ('smoke', 20), ('dev', 49), ('test', 600)), got AS (SELECT split, count(*) AS n FROM samples GROUP BY split),
+quota AS (SELECT * FROM (VALUES {", ".join(f"('{s}', '{name}', {n})" for name, both in demo.QUOTAS.items() for s, n in zip(("dev", "test"), both))}) t(split, stratum, want)), strata AS (SELECT split, primary_stratum AS stratum, count(*) AS n FROM samples GROUP BY ALL)
+SELECT 'V1' AS "check", sample_id, 's' || lpad((item_id + 1)::VARCHAR, 4, '0') AS detail FROM samples
+UNION ALL SELECT 'V13', NULL, split || ' ' || n || ' ' || coalesce(want, 0) FROM got LEFT JOIN sizes USING (split) WHERE n <> coalesce(want, 0)
+UNION ALL SELECT 'V14', NULL, split || ' ' || stratum || ' ' || coalesce(n, 0) || ' ' || coalesce(want, 0) FROM strata FULL JOIN quota USING (split, stratum) WHERE coalesce(n, 0) <> coalesce(want, 0)
+UNION ALL SELECT 'V16', NULL, r || ' ' || s FROM (SELECT count(*) FILTER (WHERE origin = 'real') AS r, count(*) FILTER (WHERE origin = 'synthetic') AS s FROM samples) t WHERE r < 500 OR s > 149
+UNION ALL SELECT 'V16', NULL, source_document_id || ' ' || count(*) FROM samples GROUP BY source_document_id HAVING count(*) > 3
+UNION ALL SELECT 'V19', sample_id, (item_id % 3)::VARCHAR FROM samples WHERE primary_stratum = 'persian_handwriting' AND item_id % 3 < 2""")
+def manifest_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What keeps the demo from being the full set. Documents have four lines; three are asked for here."""
+    s = demo.samples(spark, sf_dir)
+    ids = checks.expected_ids(s.withColumn("line", F.col("item_id")), "s", s.count(), 4)
+    quota = checks.quotas(s).select(F.lit("V14").alias("check"), F.lit(None).cast("string").alias("sample_id"), F.concat_ws(" ", "split", "primary_stratum", "n", "want").alias("detail"))
+    parts = [ids, checks.split_sizes(s), quota, checks.provenance(s, most_lines=3), checks.reviews(s.withColumn("n_reviews", F.col("item_id") % 3), F.col("primary_stratum") == "persian_handwriting", least_share=0.0)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query(f"""WITH {PREDICTIONS_SQL} SELECT 'V21' AS "check", sample_id, model_id || ' ' || raw_prediction AS detail FROM predictions WHERE model_id = 'preamble' AND status = 'success' AND item_id % 4 = 0
+UNION ALL SELECT 'V21', sample_id, model_id || ' ' || raw_prediction || '!' FROM predictions WHERE model_id = 'preamble' AND status = 'success' AND item_id % 4 = 0""")
+def repeat_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions that differ between two runs; one system adds a mark to some lines of the second."""
+    first = demo.predictions(spark, sf_dir).where("status = 'success'")
+    other = (F.col("model_id") == "preamble") & (F.substring("sample_id", 2, 4).cast("int") % 4 == 0)
+    second = first.withColumn("raw_prediction", F.when(other, F.concat("raw_prediction", F.lit("!"))).otherwise(F.col("raw_prediction")))
+    return checks.repeats(first, second)
+
+
+ORACLE_SQL["score_board"] = _board_sql()  # after smoke_gate, which it asks for the statuses

@@ -27,12 +27,12 @@ def robustness(spark: SparkSession, path: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, path: str) -> DataFrame:
-    """Predictions of all runs; a model_id that isn't in the records comes from a partition folder model_id=..."""
+    """Predictions of all runs; in folders model_id=... the folder names the model."""
     return json_lines(spark, path, schemas.PREDICTIONS)
 
 
 def images(spark: SparkSession, path: str, pattern: str = "*.png") -> DataFrame:
-    """path, content, length of image files; bytes are only read where content is used."""
+    """path, content, length of image files (line images are PNG; pages, "*.jpg"); bytes are only read where content is used."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", "content", "length")
 
 
@@ -43,15 +43,34 @@ def with_images(samples: DataFrame, files: DataFrame) -> DataFrame:
     return own.join(keyed, (own.file_name == keyed.file_name) & keyed.file_path.endswith(own.image_path), "left").drop("file_name", "file_path")
 
 
-def registry(spark: SparkSession, text: str) -> DataFrame:
-    """A YAML list of models, as JSON where no YAML library is installed."""
+def _yaml(text: str):
+    """YAML, of which JSON is a part: where no YAML library is installed, JSON is all that can be read, and anything else is an error."""
     try:
         import yaml
-
-        rows = yaml.safe_load(text)
     except ImportError:
         import json
 
-        rows = json.loads(text)
+        return json.loads(text)
+    return yaml.safe_load(text)
+
+
+def registry(spark: SparkSession, text: str) -> DataFrame:
+    """A list of models."""
     names = [f.split()[0] for f in schemas.REGISTRY.split(", ")]
-    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schemas.REGISTRY)
+    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in _yaml(text)], schemas.REGISTRY)
+
+
+def prompts(spark: SparkSession, text: str) -> DataFrame:
+    """prompt_id, text, prompt_hash of a mapping of prompts."""
+    import hashlib
+
+    return spark.createDataFrame([(k, v, hashlib.sha256(v.encode()).hexdigest()) for k, v in _yaml(text).items()], "prompt_id string, text string, prompt_hash string")
+
+
+def benchmark_config(text: str) -> dict:
+    """Weights of metrics and strata, replicates, seed. Weights must sum to one."""
+    found = {"metric_weights": schemas.METRIC_WEIGHTS, "stratum_weights": schemas.STRATUM_WEIGHTS, "replicates": 2000, **_yaml(text)}
+    for k in ("metric_weights", "stratum_weights"):
+        if abs(sum(found[k].values()) - 1) > 1e-9:
+            raise ValueError(f"{k} sum to {sum(found[k].values())}")
+    return found

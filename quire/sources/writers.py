@@ -30,6 +30,48 @@ def csv(df: DataFrame, path: str, force: bool = False) -> None:
     df.select(*[F.to_json(c).alias(c) if c in nested else F.col(c) for c in df.columns]).write.mode(_mode(force)).csv(path, header=True)
 
 
+def raw_responses(responses: DataFrame, path: str) -> None:
+    """K7: what services answered, word for word, appended to a folder a model that is kept apart from the predictions: run_id, model_id, sample_id, response."""
+    responses.select("run_id", "model_id", "sample_id", F.col("response").cast("string").alias("response")).write.mode("append").partitionBy("model_id").parquet(path)
+
+
+def images(files: DataFrame, path: str, force: bool = False) -> None:
+    """K2: a file a row of sample_id, content (PNG), by the tasks that have them, through the store's own API. A folder that is there already is an error, or goes first with force."""
+    spark = files.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.exists(target):
+        if not force:
+            raise FileExistsError(f"refusing to overwrite {path}")
+        store.delete(target, True)
+    # Spark has no sink of single files: the local and mounted stores that Python can write are enough for images
+    folder = path.removeprefix("file://")
+
+    def put(batches):
+        import os
+
+        import pyarrow as pa
+
+        os.makedirs(folder, exist_ok=True)
+        for batch in batches:
+            for name, content in zip(batch.column("sample_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                part = f"{folder}/.{name}.part"
+                with open(part, "wb") as f:
+                    f.write(content)
+                os.replace(part, f"{folder}/{name}.png")
+            yield pa.RecordBatch.from_arrays([batch.column("sample_id")], ["sample_id"])
+
+    files.select("sample_id", "content").mapInArrow(put, "sample_id string").write.format("noop").mode("overwrite").save()
+
+
+def package_freeze(spark: SparkSession) -> DataFrame:
+    """K9: name, version of the driver's installed packages."""
+    from importlib.metadata import distributions
+
+    found = sorted({(d.metadata["Name"], d.version) for d in distributions() if d.metadata["Name"]})
+    return spark.createDataFrame(found, "name string, version string")
+
+
 def pending(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """The work not done yet. Failed rows count as done only with status success."""
     return work.join(done.where("status = 'success'").select(*keys).distinct(), keys, "left_anti")
@@ -50,5 +92,6 @@ def resume(work: DataFrame, spark: SparkSession, path: str, keys: list[str], run
 
 def run_metadata(spark: SparkSession, path: str, force: bool = False, **facts: object) -> None:
     """One JSON record of a run and the versions that it used."""
-    row = {"spark": spark.version, "python": platform.python_version(), **facts}
+    packages = [f"{r['name']}=={r['version']}" for r in package_freeze(spark).orderBy("name").collect()]
+    row = {"spark": spark.version, "python": platform.python_version(), "packages": packages, **facts}
     spark.createDataFrame([(json.dumps(row, sort_keys=True),)], "value string").coalesce(1).write.mode(_mode(force)).text(path)

@@ -5,7 +5,8 @@ from hypothesis import strategies as st
 
 from quire.functions import align, text
 
-PAIRS = [  # reference, prediction, strict counts, canonical counts
+# Reference, prediction, strict counts, canonical counts.
+PAIRS = [
     ("يادگیری", "یادگیری", (1, 0, 0), (0, 0, 0)),
     ("كتاب", "کتاب", (1, 0, 0), (0, 0, 0)),
     ("می روم", "می‌روم", (1, 0, 0), (1, 0, 0)),
@@ -57,8 +58,46 @@ def test_spacing_examples():
 
 def test_omission_and_numbers():
     assert align.longest_omission(align.path("abcdef", "af")) == 4
-    assert align.numeric("abc 12 d", "abc 13 d", [(4, 6, "12")], [(4, 6, "13")]) == (1, 0, 0)
-    assert align.numeric("abc", "abc 5", [], [(4, 5, "5")]) == (0, 0, 1)
+    assert align.numeric(align.path("abc 12 d", "abc 13 d"), [(4, 6, "12")], [(4, 6, "13")]) == ([False], 0)
+    assert align.numeric(align.path("abc", "abc 5"), [], [(4, 5, "5")]) == ([], 1)
+
+
+def table_path(a, b):
+    """The path by the whole table of (distance, insertions and deletions), from the end."""
+    n, m = len(a), len(b)
+    t = [[(i + j, i + j) if not i or not j else None for j in range(m + 1)] for i in range(n + 1)]
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            t[i][j] = min((t[i - 1][j - 1][0] + (a[i - 1] != b[j - 1]), t[i - 1][j - 1][1]), *((x + 1, y + 1) for x, y in (t[i - 1][j], t[i][j - 1])))
+    i, j, out = n, m, ""
+    while i or j:
+        if i and j and t[i][j] == (t[i - 1][j - 1][0] + (a[i - 1] != b[j - 1]), t[i - 1][j - 1][1]):
+            out, i, j = ("=" if a[i - 1] == b[j - 1] else "S") + out, i - 1, j - 1
+        elif i and t[i][j] == (t[i - 1][j][0] + 1, t[i - 1][j][1] + 1):
+            out, i = "D" + out, i - 1
+        else:
+            out, j = "I" + out, j - 1
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("abc", max_size=9), st.text("abc", max_size=9))
+def test_path_is_that_of_the_whole_table(a, b):
+    assert align.path(a, b) == table_path(a, b) and align.move_counts(align.path(a, b)) == align.counts(a, b)
+
+
+def test_long_lines_need_little_memory():
+    import random
+    import tracemalloc
+
+    rng = random.Random(1)
+    a = "".join(rng.choices("abcdefgh ", k=6000))
+    b = "".join(c for c in a if rng.random() > 0.1)
+    tracemalloc.start()
+    moves = align.path(a, b)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert align.move_counts(moves) == align.counts(a, b) and most < 20e6  # 200 MB at 20,000 characters
 
 
 def test_canonical(spark):
@@ -88,11 +127,11 @@ def test_small_functions(spark):
 def test_span_locator(spark):
     import pytest
 
-    t = "در ۱۴۰۵/۰۴/۲۳ ساعت ۰۹:۳۰، قیمت ۲۵۰٬۰۰۰ تومان با ۱۵٪ تخفیف بود."
-    raws = [("date", "۱۴۰۵/۰۴/۲۳"), ("time", "۰۹:۳۰"), ("price", "۲۵۰٬۰۰۰"), ("percentage", "۱۵٪")]
+    t = "از ۱۳۹۸/۱۱/۰۲ تا ۰۷:۱۵ باران آمد و ۳۲٬۵۰۰ ریال با ۸٪ سود ماند"
+    raws = [("date", "۱۳۹۸/۱۱/۰۲"), ("time", "۰۷:۱۵"), ("price", "۳۲٬۵۰۰"), ("percentage", "۸٪")]
     df = spark.createDataFrame([(t, raws)], "t string, r array<struct<type:string,raw:string>>")
     got = df.select(text.numeric_spans(df.t, df.r).alias("s")).first().s
-    assert [(x.start, x.end, x.preserve_leading_zero) for x in got] == [(3, 13, False), (19, 24, True), (31, 38, False), (48, 51, False)]
+    assert [(x.start, x.end, x.preserve_leading_zero) for x in got] == [(t.index(r), t.index(r) + len(r), r[0] == "۰") for _, r in raws]
     bad = spark.createDataFrame([(t, [("x", "نیست")])], "t string, r array<struct<type:string,raw:string>>")
     with pytest.raises(Exception, match="no such span"):
         bad.select(text.numeric_spans(bad.t, bad.r)).collect()

@@ -5,8 +5,10 @@ import os
 
 import pytest
 
+from quire.plans import queries as plans
+
 SF = "/root/testdata/sf0.001"
-NAMES = ["canonical_cer", "edit_counts", "chrf", "line_diagnostics", "bootstrap_weights", "label_violations", "attribute_counts", "near_hashes", "omission_and_hallucination", "anchor_samples", "canonical_form"]
+NAMES = sorted(plans.ORACLE_SQL)
 
 
 def plain(v):
