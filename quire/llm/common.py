@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +11,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.sources.store import removed, shared_folder  # noqa: F401
+from quire.sources.store import stored as written  # noqa: F401
+
 # The word rule of the query contracts.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -29,6 +31,19 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return picked
 
 
+def fresh(frame: DataFrame, *names: str) -> list[str]:
+    """quire_* names that no column of the frame has, whatever its case."""
+    taken = {c.lower() for c in frame.columns}
+    out = []
+    for name in names:
+        name = f"quire_{name}"
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
@@ -38,28 +53,26 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests on one machine)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='quire-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts: one number, from a scan without a shuffle of rows."""
+    return docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df, computed once and kept as Parquet in the shared folder. Cuts lineage; a lost executor costs nothing of it."""
-    path = f"{shared_folder(df.sparkSession)}/quire-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _give_back() -> None:
+    """Hands memory that is free to the system: a Python worker lives on after its task, beside others."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
 
 
-def text_bytes(docs: DataFrame) -> int:
-    """Bytes of all texts: one number, from a scan without a shuffle of rows."""
-    return docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library
+    _LIBC = None
 
 
-def pieces_of(batch: pa.RecordBatch, column: str = "text", limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def pieces_of(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with at most `limit` bytes in the column, or one row, so that memory follows the longest text and not the batch."""
     ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64))
     at = 0
@@ -68,6 +81,7 @@ def pieces_of(batch: pa.RecordBatch, column: str = "text", limit: int = 8 << 20)
         to = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
         yield batch.slice(at, to - at)
         at = to
+    _give_back()
 
 
 def flat(column) -> pa.Array:
