@@ -14,6 +14,9 @@ with those not reached yet and gives a spanning forest, so a key with n fingerpr
 links and copies are never paired. Links between other fingerprints aren't lost: the forest has the same
 components, because a link's two ends share a key.
 
+`without_near_copies`, the pipeline's stage, takes the same keys as its first source of pairs and compares sets of five-word
+shingles; what fingerprints miss is found by shingle prefixes, which can't miss (see `near_groups`).
+
 Cases: an empty or null text has fingerprint zero and is linked like any other; equal texts have equal
 fingerprints; a text with fewer words than a shingle is one shingle; repeated rows and null ids are rows
 like any other; an empty table gives an empty result; other columns are left out.
@@ -27,12 +30,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import mix64, pieces_of, texts, words_of, written
+from quire.llm.common import mix64, pieces_of, removed, texts, words_of, written
 from quire.llm.components import components
-from quire.llm.fingerprints import shingles
 from quire.llm.hashing import word_hashes
 
 SEED = 42
@@ -113,9 +115,8 @@ def fuzzy_keys(fps: np.ndarray, segments: tuple[int, ...], families: tuple, gola
 def fingerprints_of(text: pa.Array, n: int = SHINGLE, weigh: str = "each", seed: int = SEED) -> np.ndarray:
     """A bit is 1 if set in over half of the shingles' XXH64. weigh: "each" counts repeats, "log" weighs a distinct shingle by 1 + log2 of its count."""
     rows, words = words_of(pc.ascii_lower(text))
-    out = np.zeros(len(text), np.uint64)
     if not len(words):
-        return out
+        return np.zeros(len(text), np.uint64)
     counts = np.bincount(rows, minlength=len(text))
     joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(words)], pa.int64()), words), " ")[0].as_buffer().to_pybytes()
     sizes = np.asarray(pc.binary_length(words), dtype=np.int64)
@@ -129,7 +130,14 @@ def fingerprints_of(text: pa.Array, n: int = SHINGLE, weigh: str = "each", seed:
     stop = np.minimum(first + n, last[row]) - 1
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[first].tolist(), ends[stop].tolist(), strict=True)), np.uint64, len(first))
-    weights = None
+    return majority(row, hashes, len(text), weigh)
+
+
+def majority(row: np.ndarray, hashes: np.ndarray, n_rows: int, weigh: str = "each") -> np.ndarray:
+    """The fingerprint of each row's hashes (rows in order); one without hashes is zero."""
+    out, weights = np.zeros(n_rows, np.uint64), None
+    if not len(row):
+        return out
     if weigh == "log":
         order = np.lexsort((hashes, row))
         row, hashes = row[order], hashes[order]
@@ -138,9 +146,10 @@ def fingerprints_of(text: pa.Array, n: int = SHINGLE, weigh: str = "each", seed:
         at = np.flatnonzero(new)
         weights = 1 + np.log2(np.diff(np.append(at, len(row))))
         row, hashes = row[at], hashes[at]
-    full = np.flatnonzero(n_shingles)
+    n = np.bincount(row, minlength=n_rows)
+    full = np.flatnonzero(n)
     begins = np.searchsorted(row, full)
-    total = np.add.reduceat(weights, begins) if weights is not None else n_shingles[full].astype(np.float64)
+    total = np.add.reduceat(weights, begins) if weights is not None else n[full].astype(np.float64)
     # bits of 8 bytes at a time: each byte column is unpacked and summed within texts
     data = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
     for k in range(8):
@@ -176,8 +185,24 @@ def forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return links
 
 
-def links(prints: DataFrame, distance: int = DISTANCE, segments: tuple[int, ...] = EXACT_SEGMENTS, families: tuple = EXACT_FAMILIES) -> DataFrame:
-    """a, b: links between distinct fingerprints of prints (fp) that differ in at most `distance` bits, a forest within each key."""
+SPLIT = 4096  # fingerprints of one key beyond which its rows are dealt to finer keys
+
+
+def finer(keys: np.ndarray, fps: np.ndarray, segments: tuple[int, ...], families: tuple, golay: Golay) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the row, finer key) for rows of keys that are too full. A link that a key of EXACT_FAMILIES has brought about has an equal segment, so its other bits differ in at most three, and of the two segments that the key leaves out one differs in at most one bit: rows keep the key and add a fuzzy key of either."""
+    rows, out = [], []
+    family = (keys >> np.int64(12 + segments[0])).astype(np.int64) if len(set(segments)) == 1 else np.zeros(len(keys), np.int64)
+    for f, fixed in enumerate(families):
+        own = np.flatnonzero(family == f)
+        for i in sorted(set(range(len(segments))) - {i for i, _ in fixed}):
+            which, extra = fuzzy_keys(fps[own], segments, (((i, True),),), golay)
+            rows.append(own[which])
+            out.append(mix64(mix64(keys[own[which]].view(np.uint64)) ^ (extra + (i << 20)).view(np.uint64)).view(np.int64))
+    return np.concatenate(rows), np.concatenate(out)
+
+
+def links(prints: DataFrame, distance: int = DISTANCE, segments: tuple[int, ...] = EXACT_SEGMENTS, families: tuple = EXACT_FAMILIES, split: int = SPLIT) -> DataFrame:
+    """a, b: links between distinct fingerprints of prints (fp) that differ in at most `distance` bits, a forest within each key. Rows of a key with more than `split` fingerprints are dealt to finer keys, which bring the same pairs of at most three bits together (EXACT_FAMILIES only)."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         golay = Golay()
@@ -187,6 +212,13 @@ def links(prints: DataFrame, distance: int = DISTANCE, segments: tuple[int, ...]
                 rows, keys = fuzzy_keys(fps, segments, families, golay)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[rows].view(np.int64))], ["key", "fp"])
 
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        golay = Golay()
+        for batch in batches:
+            fps = np.asarray(batch.column("fp")).view(np.uint64)
+            rows, keys = finer(np.asarray(batch.column("key")), fps, segments, families, golay)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[rows].view(np.int64))], ["key", "fp"])
+
     def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Batches are sorted by key; the last key of a batch waits for the next one."""
         held_keys, held_fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -215,8 +247,12 @@ def links(prints: DataFrame, distance: int = DISTANCE, segments: tuple[int, ...]
             held_keys, held_fps = keys[cut:], fps[cut:]
         yield found(held_keys, held_fps)
 
-    once = prints.select("fp").distinct()
-    return once.mapInArrow(keyed, "key long, fp long").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(walked, "a long, b long")
+    rows = prints.select("fp").distinct().mapInArrow(keyed, "key long, fp long")
+    if families == EXACT_FAMILIES:
+        full = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > split).select("key"), "full")
+        if not full.isEmpty():  # the keys of one full key's rows are many, so neither side of the joins is brought to one task
+            rows = rows.join(full, "key", "left_anti").unionByName(rows.join(full, "key", "left_semi").mapInArrow(dealt, "key long, fp long"))
+    return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(walked, "a long, b long")
 
 
 def grouped(docs: DataFrame, n: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
@@ -233,16 +269,18 @@ def grouped(docs: DataFrame, n: int = SHINGLE, distance: int = DISTANCE) -> Data
 
 SIMILAR = 0.8  # of the sets of five-word shingles
 WORDS = 5  # of a shingle
-SAMPLED, COMMON, COMMONEST = 20_000, 3, 50_000  # documents asked for common shingles; in how many of them a shingle is common; how many are kept
-PIVOTS, MORE = 2, 4  # pivots a key in the first round; how many times as many in each next one
+NEAR = 8  # bits in which fingerprints of one key may differ to be compared by their shingles
+CELLS_BITS = 18  # log2 of the cells in which shingles of all documents are counted
+SIEVE_BITS = 20
+PIVOTS, MORE = 4, 8  # pivots a key in the first round; how many times as many in each next one
 
 
-def shingle_sets(text: pa.Array, n: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, hash) of the distinct shingles of each text, sorted, and two hashes of each text's sequence of words. A shorter text is one shingle, an empty one has none."""
+def shingle_sets(text: pa.Array, n: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash) of the distinct shingles of each text, sorted; two hashes of each text's sequence of words; its fingerprint by words, a repeated one weighed by 1 + log2 of its count. A shorter text is one shingle, an empty one has none."""
     rows, words = words_of(pc.ascii_lower(text))
     first, second = np.zeros(len(text), np.uint64), np.zeros(len(text), np.uint64)
     if not len(words):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), first, second
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), first, second, first.copy()
     h, g = word_hashes(words)
     counts = np.bincount(rows, minlength=len(text))
     before = np.cumsum(counts) - counts
@@ -261,107 +299,179 @@ def shingle_sets(text: pa.Array, n: int = WORDS) -> tuple[np.ndarray, np.ndarray
     row, acc = row[order], acc[order]
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (acc[1:] != acc[:-1])
-    return row[new], acc[new], first, second
+    return row[new], acc[new], first, second, majority(rows, h, len(text), "log")
 
 
-def common_shingles(own: DataFrame) -> np.ndarray:
-    """Hashes of shingles that several documents of a bounded sample have, the most common last. Any order of shingles keeps prefixes complete; common ones last keeps their groups small."""
-    share = min(1.0, SAMPLED / max(1, own.count()))
-    sample = own.where(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+def _cell(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(64 - CELLS_BITS)).astype(np.int64)
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def common_cells(own: DataFrame) -> np.ndarray:
+    """For each cell of shingle hashes how many shingles of all documents fall in it, zero where they are no more than by chance. It only orders shingles: any order keeps prefixes complete, and common ones last keeps their groups small. A row a cell and task is shuffled, and the driver gets one a cell."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << CELLS_BITS, np.int64)
         for batch in batches:
             for part in pieces_of(batch, limit=4 << 20):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(part.column("text"))[1].view(np.int64))], ["key"])
+                total += np.bincount(_cell(shingle_sets(part.column("text"))[1]), minlength=len(total))
+        full = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(total[full])], ["cell", "n"])
 
-    counted = sample.mapInArrow(of, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
-    found = counted.orderBy(F.col("n").desc(), "key").limit(COMMONEST).select("key").toArrow()
-    return np.asarray(found.column("key").combine_chunks()).view(np.uint64)[::-1].copy()
+    rows = own.mapInArrow(counted, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << CELLS_BITS, np.int64)
+    out[np.asarray(rows["cell"], dtype=np.int64)] = np.asarray(rows["n"], dtype=np.int64)
+    mean = out.mean()
+    return np.where(out <= mean + 6 * np.sqrt(mean) + 6, 0, out)
 
 
 def prefixes(own: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """doc_id, h, g (hashes of the sequence of words), n (distinct shingles), keys: the first n - ceil(similar n) + 1 shingles in an order common to all texts. Two sets with a Jaccard similarity of `similar` share one of them: without it the rest of the one set is too small to hold what they must share."""
-    common = common_shingles(own)
-    sorted_at = np.argsort(common)
-    by_hash = common[sorted_at]
+    """doc_id, h, g (hashes of the sequence of words), fp, n (distinct shingles), keys: the first n - ceil(similar n) + 1 shingles in an order common to all texts. Two sets with a Jaccard similarity of `similar` share one of them: without it the rest of the one set is too small to hold what they must share."""
+    common = common_cells(own)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces_of(batch, limit=4 << 20):
-                row, key, h, g = shingle_sets(part.column("text"))
-                late = np.zeros(len(key), np.int64)
-                if len(by_hash):
-                    spot = np.minimum(np.searchsorted(by_hash, key), len(by_hash) - 1)
-                    late = np.where(by_hash[spot] == key, sorted_at[spot] + 1, 0)
-                order = np.lexsort((key, late, row))
+                row, key, h, g, fp = shingle_sets(part.column("text"))
+                order = np.lexsort((key, common[_cell(key)], row))
                 key = key[order]
                 n = np.bincount(row, minlength=part.num_rows)
                 size = np.where(n > 0, n - np.ceil(similar * n - 1e-9).astype(np.int64) + 1, 0)
                 at = np.arange(len(key)) - np.repeat(np.cumsum(n) - n, n)
                 kept = key[at < np.repeat(size, n)].view(np.int64)
                 keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(kept))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(n.astype(np.int64)), keys], ["doc_id", "h", "g", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x.view(np.int64)) for x in (h, g, fp)), pa.array(n.astype(np.int64)), keys], ["doc_id", "h", "g", "fp", "n", "keys"])
+
+    return own.mapInArrow(of, "doc_id long, h long, g long, fp long, n long, keys array<long>")
+
 
-    return own.mapInArrow(of, "doc_id long, h long, g long, n long, keys array<long>")
+def whole_sets(own: DataFrame) -> DataFrame:
+    """doc_id, s: all distinct shingles."""
 
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces_of(batch, limit=4 << 20):
+                row, key, *_ = shingle_sets(part.column("text"))
+                ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=part.num_rows))])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(key.view(np.int64)))], ["doc_id", "s"])
 
-def met(members: DataFrame, pivots: int, similar: float) -> tuple[DataFrame, DataFrame]:
-    """(pairs of a key's pivots with its other rows, rows left) of members (key, doc_id, n, component, degree). The pivots are the rows with the most links; a pair of one component or of sizes too far apart isn't made. Keys whose rows are all of one component leave nothing."""
-    key = Window.partitionBy("key")
-    place = F.row_number().over(key.orderBy(F.col("degree").desc(), "doc_id"))
-    rows = members.withColumn("place", place).withColumn("open", F.min("component").over(key) < F.max("component").over(key)).where("open")
-    ahead = F.collect_list(F.when(F.col("place") <= pivots, F.struct("doc_id", "n", "component", "place"))).over(key)
-    rows = written(rows.withColumn("ahead", ahead), "met")
-    able = F.filter("ahead", lambda p: (p["place"] < F.col("place")) & (p["component"] != F.col("component")) & (F.least(p["n"], F.col("n")) >= similar * F.greatest(p["n"], F.col("n")) - 1e-9))
-    pairs = rows.select("doc_id", F.explode(able).alias("p")).select(F.least("doc_id", "p.doc_id").alias("a"), F.greatest("doc_id", "p.doc_id").alias("b")).where("a <> b").distinct()
-    return pairs, rows.where(F.col("place") > pivots).select("key", "doc_id", "n")
+    return own.mapInArrow(of, "doc_id long, s array<long>")
 
 
-def near_links(nodes: DataFrame, own: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """a, b: links between nodes (doc_id, n, keys) with a Jaccard similarity of `similar` or more that have the same components as all such links.
+def sieve(frame: DataFrame, column: str, ids: DataFrame, kind: str = "left_semi") -> DataFrame:
+    """The rows of frame whose id may be one of `ids` (one column): all that are, and few others. left_anti: the other rows, null ids too.
 
-    In each round the pivots of a key meet all its other rows of other components, and leave. Rows with the most links
-    go first, so a base round which all others lie is soon found; a key is done when its rows are of one component or
-    every row was a pivot. No row is passed over; rows that share a key and aren't similar cost a pair each two.
+    Ids are dealt to 2 ** SIEVE_BITS places and the places that have one are broadcast, at most so many rows of one integer, so that
+    rows are left out before a shuffle without a broadcast that grows with the ids.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(1 << SIEVE_BITS)).cast("int")
+    places = ids.select(place(F.col(ids.columns[0])).alias("quire_place")).distinct()
+    key = F.when(frame[column].isNotNull(), place(frame[column]))
+    return frame.join(F.broadcast(places), key == F.col("quire_place"), kind)
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ends")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, own: DataFrame, similar: float) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard similarity of `similar`. Prefixes decide most of them: what two sets share is at most what their prefixes share and all that is left of the one whose prefix ends first. Only for the others the texts are read and compared in whole."""
+    least = similar / (1 + similar) * (F.col("na") + F.col("nb")) - 1e-9  # of shared shingles
+    side = lambda frame, x, *cols: frame.select(F.col("doc_id").alias(x), *[F.col(c).alias(c[0] + x) for c in cols])
+    some = sieve(nodes, "doc_id", _ends(pairs))
+    near = pairs.join(side(some, "a", "n", "keys"), "a").join(side(some, "b", "n", "keys"), "b")
+    near = near.where(F.least("na", "nb") >= similar * F.greatest("na", "nb") - 1e-9)
+    most = F.size(F.array_intersect("ka", "kb")) + F.greatest(F.col("na") - F.size("ka"), F.col("nb") - F.size("kb"))
+    near = written(near.where(most >= least).select("a", "b", "na", "nb"), "near")
+    ends = _ends(near)
+    texts_ = sieve(own, "doc_id", ends).join(ends.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    sets = written(whole_sets(texts_), "sets")
+    both = near.join(side(sets, "a", "s"), "a").join(side(sets, "b", "s"), "b")
+    links = written(both.where(F.size(F.array_intersect("sa", "sb")) >= least).select("a", "b"), "links")
+    removed(sets, near, ends)
+    return links
+
+
+def by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """a, b: nodes (doc_id, n, fp) with one fingerprint, as stars, and the links of a spanning forest under each Golay key."""
+    full = nodes.where("n > 0").select("fp", "doc_id")
+    first = full.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    stars = full.join(first, "fp").where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    side = lambda f, x: first.select(F.col("fp").alias(f), F.col("first").alias(x))
+    met = links(full, NEAR).toDF("fa", "fb").join(side("fa", "x"), "fa").join(side("fb", "y"), "fb")
+    return stars.unionByName(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
+
+
+def met(members: DataFrame, state: DataFrame, pivots: int, similar: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs of a key's pivots with its other rows, rows left, the pivots' table) of members (key, doc_id, n, pos).
+
+    state: doc_id, component, degree, weight. A key's rows are dealt to `pivots` parts by a hash, and the row of each part
+    with the most links, then with the most keys that others have, is a pivot; so no key is brought together in one task. Keys
+    whose rows are all of one component are done. A pair isn't made within a component, nor where too little is left of a
+    set after the key: at the first key that two similar sets share enough is left.
+    """
+    rows = members.join(state, "doc_id")
+    part = F.pmod(F.xxhash64(F.lit(pivots), "doc_id"), F.lit(pivots))
+    best = F.max(F.struct("degree", "weight", (-F.col("doc_id")).alias("back"), "n", "pos", "component")).alias("p")
+    heads = rows.groupBy("key", part.alias("part")).agg(best, F.min("component").alias("lo"), F.max("component").alias("hi"))
+    heads = heads.groupBy("key").agg(F.collect_list("p").alias("ahead"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("key", "ahead")
+    heads = written(heads, "pivots")
+    both = rows.join(heads.hint("merge"), "key")
+    able = F.filter("ahead", lambda p: (p["component"] != F.col("component")) & (F.least(p["n"] - p["pos"], F.col("n") - F.col("pos")) >= similar / (1 + similar) * (p["n"] + F.col("n")) - 1e-9))
+    pairs = both.select("doc_id", F.explode(able).alias("p")).select("doc_id", (-F.col("p.back")).alias("other"))
+    pairs = pairs.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
+    return pairs, both.where(~F.exists("ahead", lambda p: p["back"] == -F.col("doc_id"))).select("key", "doc_id", "n", "pos"), heads
+
+
+def near_groups(nodes: DataFrame, own: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """doc_id, component of nodes (doc_id, n, fp, keys) that links of a Jaccard similarity of `similar` or more reach.
+
+    Candidates come from Golay keys of fingerprints, whose forests hold a row a fingerprint and key at most, and are
+    verified. Fingerprints bound no Jaccard similarity, so what they miss is found exactly: two such sets share a
+    shingle of their prefixes. Under each such shingle, the pivots meet the rows of other components, and leave, in
+    rounds, until its rows are of one component or all were pivots. No row is passed over; a pivot round which all others lie ends a key at
+    once, and rows that share a key, aren't similar and have no such pivot cost a pair each two.
     """
-    several = F.count(F.lit(1)).over(Window.partitionBy("key"))
-    left = nodes.select(F.explode("keys").alias("key"), "doc_id", "n").withColumn("several", several).where("several > 1").drop("several")
-    left = written(left, "members")
-    # no set of ids has a bound, so none is broadcast
-    asked = left.select("doc_id").distinct()
-    sets = own.join(asked.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).select("doc_id", F.array_distinct(shingles(F.col("text"))).alias("s"))
-    sets = written(sets, "sets")
-    spark = own.sparkSession
-    links = seen = spark.createDataFrame([], "a long, b long")
-    state, pivots = None, PIVOTS
-    while True:
-        members = left.join(state.hint("merge"), "doc_id", "left") if state is not None else left.select("*", F.lit(None).cast("long").alias("component"), F.lit(0).cast("long").alias("degree"))
-        members = members.select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree"))
-        pairs, left = met(members, pivots, similar)
-        pairs = written(pairs.join(seen.hint("merge"), ["a", "b"], "left_anti"), "candidates")
-        seen = seen.unionByName(pairs)
-        both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
-        both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), F.size("sa").alias("na"), F.size("sb").alias("nb"))
-        found = written(both.where(F.col("n") >= similar * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b"), "links")
-        links = links.unionByName(found)
-        if left.isEmpty():
-            return links
+    exploded = nodes.select(F.posexplode("keys").alias("pos", "key"), "doc_id", "n").select("key", "doc_id", "n", "pos")
+    several = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("several")).where("several > 1").select("key")
+    left = written(exploded.join(several.hint("merge"), "key"), "members")
+    candidates = written(by_fingerprint(nodes), "candidates")
+    weights = written(left.groupBy("doc_id").agg(F.count(F.lit(1)).alias("weight")), "weights")
+
+    def degrees(links: DataFrame) -> DataFrame:
+        return links.select(F.col("a").alias("doc_id")).union(links.select("b")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("degree"))
+
+    links = verified(candidates, nodes, own, similar)
+    groups, seen, pivots = written(components(links).toDF("doc_id", "component"), "groups"), candidates, PIVOTS
+    while not left.isEmpty():
+        state = weights.join(groups.hint("merge"), "doc_id", "left").join(degrees(links).hint("merge"), "doc_id", "left")
+        state = state.select("doc_id", F.coalesce("component", "doc_id").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree"), "weight")
+        pairs, rest, heads = met(left, state, pivots, similar)
+        fresh, before = written(pairs.join(seen.hint("merge"), ["a", "b"], "left_anti"), "candidates"), left
+        left, seen = written(rest, "members"), seen.unionByName(fresh)
+        removed(before, heads)
+        found = verified(fresh, nodes, own, similar)
         if not found.isEmpty():
-            ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-            state = written(components(links).join(ends, "node").select(F.col("node").alias("doc_id"), "component", "degree"), "state")
+            links = links.unionByName(found)
+            edges = groups.select(F.col("component").alias("a"), F.col("doc_id").alias("b")).unionByName(found)
+            groups = written(components(edges).toDF("doc_id", "component"), "groups")
         pivots *= MORE
+    return groups
 
 
 def without_near_copies(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """docs without the documents that have an earlier one in their group; all columns stay. A group is linked by equal word sequences and by pairs of texts whose sets of five-word shingles have a Jaccard similarity of `similar` or more; its least id stays.
 
-    Rows of one id stay or go together; rows without an id stay.
+    Rows of one id stay or go together; rows without an id stay. An id that stands for unequal texts is matched by equal word sequences alone.
     """
     own = texts(docs).where("doc_id is not null")
-    printed = written(prefixes(own, similar), "words")
-    classes = written(printed.groupBy("h", "g").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
-    found = components(near_links(classes, own, similar))
-    later = found.where("node <> component").select(F.col("node").alias("quire_gone"))
-    copies = printed.select("doc_id", "h", "g").join(classes.select("h", "g", F.col("doc_id").alias("first")), ["h", "g"]).where("doc_id <> first").select(F.col("doc_id").alias("quire_gone"))
+    keyed = written(prefixes(own, similar), "words")
+    classes = written(keyed.groupBy("h", "g").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "fp", "keys")]), "classes")
+    printed = written(keyed.select("doc_id", "h", "g"), "texts")
+    removed(keyed)
+    unequal = written(classes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "unequal")
+    later = near_groups(classes.join(unequal, "doc_id", "left_anti"), own, similar).where("doc_id <> component").select(F.col("doc_id").alias("quire_gone"))
+    copies = printed.join(classes.select("h", "g", F.col("doc_id").alias("first")), ["h", "g"]).where("doc_id <> first").select(F.col("doc_id").alias("quire_gone"))
     gone = written(later.unionByName(copies).distinct(), "gone")
-    return docs.join(gone.hint("merge"), F.col("doc_id").cast("long") == F.col("quire_gone"), "left_anti")
+    # most of the documents that stay are known to stay without a shuffle
+    rest = sieve(docs, "doc_id", gone).join(gone.hint("merge"), F.col("doc_id").cast("long") == F.col("quire_gone"), "left_anti")
+    return sieve(docs, "doc_id", gone, "left_anti").unionByName(rest)
