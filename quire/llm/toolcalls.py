@@ -2,28 +2,31 @@
 
 Calls and results are joined by conversation and call id; a conversation isn't brought together in one task
 for it. Results of one id are reduced to the first before the join. Calls are ordered topologically by
-levels: a call's level is one more than the highest level among the calls it depends on, found in one
-distributed round a level; calls on a cycle, or behind one, have none. Arguments are parsed, checked against
-the schema of the call's name and serialised as canonical JSON (sorted keys, no blanks, UTF-8 as it is).
+levels: a call's level is one more than the highest level among the calls it depends on; calls on a cycle, or behind
+one, have none. Chains, which are most of what conversations have, are followed by pointer doubling, so that a chain of n
+calls takes log n distributed rounds; only calls with several dependencies, and these without chains between them, take a
+round a level. Arguments are parsed, checked against the schema of the call's name and serialised as canonical JSON (sorted
+keys, no blanks, UTF-8 as it is, lone surrogates escaped).
 
 Cases: a null id or conversation links nothing and is kept as unlinked; a repeated call id counts once, the
 least turn of it is the call and the others are marked repeated; a result without a call has no row of its own
 but is counted by `orphans`; several results: the first by turn, with their number; arguments that are no
-JSON object are invalid and stay as a JSON string; a name without a schema is invalid; an empty table gives
-an empty result.
+JSON object, hold numbers that JSON lacks (NaN, infinities, beyond a double) or are nested deeper than can be followed are invalid
+and stay as a JSON string; a name without a schema is invalid; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import written
+from quire.llm.common import removed, written
 
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
@@ -38,7 +41,22 @@ def canonical(value: object) -> str:
             return {k: plain(v) for k, v in x.items()}
         return [plain(v) for v in x] if isinstance(x, list) else x
 
-    return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    out = json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", out)  # no UTF-8 has these
+
+
+def parsed(raw: str | None) -> object:
+    """The value of a JSON text; ValueError for anything that JSON can't hold."""
+
+    def number(text: str) -> float:
+        if not math.isfinite(x := float(text)):
+            raise ValueError("number out of range")
+        return x
+
+    def constant(name: str) -> None:
+        raise ValueError(f"{name} is no JSON")
+
+    return json.loads(raw if raw is not None else "null", parse_float=number, parse_constant=constant)
 
 
 def violations(value: object, schema: dict, path: str = "$") -> list[str]:
@@ -74,11 +92,14 @@ def checked(calls: DataFrame, schemas: dict[str, dict]) -> DataFrame:
             texts, valid, problems = [], [], []
             for name, raw in zip(batch.column("name").to_pylist(), batch.column("arguments").to_pylist(), strict=True):
                 try:
-                    value = json.loads(raw if raw is not None else "null")
+                    value = parsed(raw)
                     found = violations(value, {"type": "object"}) or (violations(value, schemas[name]) if name in schemas else [f"$: no schema for {name}"])
+                    text = canonical(value)
                 except ValueError:
-                    value, found = raw, ["$: no JSON"]
-                texts.append(canonical(value))
+                    text, found = canonical(raw), ["$: no JSON"]
+                except RecursionError:
+                    text, found = canonical(raw), ["$: nested too deeply"]
+                texts.append(text)
                 valid.append(not found)
                 problems.append(found)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("conv_id", "call_id", "turn", "name")), pa.array(texts, pa.string()), pa.array(valid), pa.array(problems, pa.list_(pa.string()))], ["conv_id", "call_id", "turn", "name", "arguments", "valid", "problems"])
@@ -88,22 +109,42 @@ def checked(calls: DataFrame, schemas: dict[str, dict]) -> DataFrame:
 
 
 def levels(calls: DataFrame, depends: DataFrame) -> DataFrame:
-    """conv_id, call_id, level. depends: (conv_id, call_id, on_id); what isn't a call is no dependency. One round a level, over the calls not placed yet."""
-    ids = calls.select("conv_id", "call_id").dropna().distinct()
+    """conv_id, call_id, level. depends: (conv_id, call_id, on_id); what isn't a call is no dependency."""
+    ids = written(calls.select("conv_id", "call_id").dropna().distinct(), "calls")
     edges = depends.select("conv_id", "call_id", "on_id").dropna().distinct()
     edges = written(edges.join(ids, ["conv_id", "call_id"], "left_semi").join(ids.withColumnRenamed("call_id", "on_id"), ["conv_id", "on_id"], "left_semi"), "edges")
-    placed, todo, level = None, written(ids, "calls"), 0
-    while True:
-        open_now = todo.join(edges, ["conv_id", "call_id"], "left_anti")
-        ready = written(open_now.withColumn("level", F.lit(level)), "level")
-        if ready.isEmpty():
+    # a call with one dependency points at it, and then at where that points, until it points at a head: a call with none or several
+    count = edges.groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("n"), F.min("on_id").alias("to"))
+    single = written(count.where("n = 1").select("conv_id", "call_id", "to", F.lit(1).cast("long").alias("steps")), "pointers")
+    names = single.select("conv_id", "call_id")
+    pointers, rounds = single, max(1, single.count()).bit_length()
+    for _ in range(rounds):
+        on = pointers.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("steps").alias("more"))
+        last, pointers = pointers, written(pointers.join(on, ["conv_id", "to"], "left").select("conv_id", "call_id", F.coalesce("next", "to").alias("to"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")), "pointers")
+        if pointers.join(names.withColumnRenamed("call_id", "to"), ["conv_id", "to"], "left_semi").isEmpty():
             break
-        placed = ready if placed is None else placed.unionByName(ready)
-        todo = written(todo.join(ready.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti"), "calls")
-        edges = written(edges.join(ready.select("conv_id", F.col("call_id").alias("on_id")), ["conv_id", "on_id"], "left_anti"), "edges")
-        level += 1
-    rest = todo.withColumn("level", F.lit(None).cast("int"))
-    return rest if placed is None else placed.unionByName(rest)
+        if last is not single:
+            removed(last)
+    # whoever still points at a call with one dependency is on a cycle or behind one
+    pointers = written(pointers.join(names.withColumnRenamed("call_id", "to"), ["conv_id", "to"], "left_anti"), "chains")
+    heads = written(ids.join(names, ["conv_id", "call_id"], "left_anti"), "heads")
+    here = heads.select("conv_id", "call_id", F.col("call_id").alias("to"), F.lit(0).cast("long").alias("steps"))
+    where = pointers.select("conv_id", "call_id", "to", "steps").unionByName(here)
+    # edges between heads, as long as the chains between them; one to a cycle leads nowhere
+    own = edges.join(heads, ["conv_id", "call_id"], "left_semi")
+    own = own.join(where.select("conv_id", F.col("call_id").alias("on_id"), F.col("to").alias("on_head"), (F.col("steps") + 1).alias("far")), ["conv_id", "on_id"], "left").select("conv_id", "call_id", "on_head", "far")
+    own, todo = written(own, "edges"), heads
+    ready = written(heads.join(own, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0).cast("long")), "level")
+    placed = ready
+    while not ready.isEmpty():
+        todo = written(todo.join(ready.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti"), "heads")
+        left = own.join(todo, ["conv_id", "call_id"], "left_semi")
+        reached = left.join(placed.select("conv_id", F.col("call_id").alias("on_head"), "level"), ["conv_id", "on_head"], "left")
+        found = reached.groupBy("conv_id", "call_id").agg(F.max(F.col("level") + F.col("far")).alias("level"), F.count_if(F.col("level").isNull()).alias("open"))
+        ready = written(found.where("open = 0").select("conv_id", "call_id", "level"), "level")
+        placed = placed.unionByName(ready)
+    chained = where.join(placed.select("conv_id", F.col("call_id").alias("to"), "level"), ["conv_id", "to"], "left").select("conv_id", "call_id", (F.col("level") + F.col("steps")).alias("level"))
+    return ids.join(chained, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.col("level").cast("int").alias("level"))
 
 
 def linked(calls: DataFrame, results: DataFrame, depends: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -132,14 +173,13 @@ TURN_SCHEMAS = {
 
 
 def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(calls, results, depends) of plain conversations: a user's turn is a call named ask, the assistant's turn right after it is its result, and calls depend on the conversation's first one."""
+    """(calls, results, depends) of plain conversations: a user's turn is a call named ask, the assistant's turn right after it is its result, and a call depends on the one two turns before, whose answer it follows."""
     base = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     call_id = lambda turn: F.concat(F.lit("call_"), turn.cast("string"))
     asked = base.where("role = 'user'")
     calls = asked.select("conv_id", call_id(F.col("turn")).alias("call_id"), "turn", F.lit("ask").alias("name"), F.to_json(F.struct("turn", "text")).alias("arguments"))
     results = base.where("role = 'assistant'").select("conv_id", call_id(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
-    first = asked.groupBy("conv_id").agg(F.min("turn").alias("first"))
-    depends = asked.select("conv_id", "turn").join(first, "conv_id").where("turn > first").select("conv_id", call_id(F.col("turn")).alias("call_id"), call_id(F.col("first")).alias("on_id"))
+    depends = asked.select("conv_id", call_id(F.col("turn")).alias("call_id"), call_id(F.col("turn") - 2).alias("on_id"))
     return calls, results, depends
 
 
