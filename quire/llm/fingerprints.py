@@ -75,8 +75,8 @@ def union_sketch(frame: DataFrame, by: list[str], column: str = "sketch", k: int
 
 
 def as_text(a: Column) -> Column:
-    """The upper halves of the hashes as 8 hexadecimal digits each."""
-    return F.array_join(F.transform(a, lambda h: F.lower(F.lpad(F.hex(F.shiftrightunsigned(h, 32)), 8, "0"))), "")
+    """The hashes as 16 hexadecimal digits each: the sketch itself, from which resemblance can be had again."""
+    return F.array_join(F.transform(a, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
 
 
 def _range(docs: DataFrame) -> Column:
