@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import WORD, texts, written
+from quire.llm.common import WORD, fresh, texts, written
 
 WEIGHTS = (5, 2, 1)  # fixed values: of the sources in order, repeating
 SHARE = 1.5  # of all words
@@ -102,7 +102,10 @@ def streams(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     all_seats = F.round(F.sum("target").over(Window.partitionBy(F.lit(0))) / block).cast("long")
     seats = apportioned(by_key, [], ["source_key"], "target", all_seats).select("source_key", F.col("quota").alias("source_quota"))
     quotas = apportioned(shards.join(seats, "source_key"), ["source_key"], ["shard"], "words", F.col("source_quota"))
-    blocks = quotas.where("words > 0").select("source_key", "shard", "quota", F.ceil(F.col("words") / block).alias("n")).withColumn("quota", F.least("quota", most * F.col("n")))
+    # a full source is taken whole, `most` times: its part-blocks would cost whole seats
+    quotas = quotas.join(by_key.select("source_key", (F.col("target") >= most * F.col("source_size") - 1e-6).alias("full")), "source_key")
+    blocks = quotas.where("words > 0").select("source_key", "shard", "quota", "full", F.ceil(F.col("words") / block).alias("n"))
+    blocks = blocks.withColumn("quota", F.when(F.col("full"), most * F.col("n")).otherwise(F.least("quota", most * F.col("n")))).drop("full")
     blocks = blocks.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
     drawn = Window.partitionBy("source_key", "shard").orderBy(F.xxhash64(F.lit(seed + 2), "source_key", "shard", "k"), "k")
     times = blocks.withColumn("times", F.floor(F.col("quota") / F.col("n")) + (F.row_number().over(drawn) <= F.col("quota") % F.col("n")).cast("long"))
@@ -147,16 +150,17 @@ def pieces(docs: DataFrame, block: int = BLOCK, **how) -> DataFrame:
 
 def repeated(docs: DataFrame, **how) -> DataFrame:
     """docs as the mix has them, all columns: a row for each run of a document's words that was drawn, with those words as its text; a run of all words is the document as it is. n_chars, where there is one, follows the text."""
-    drawn = pieces(docs, **how).select(F.col("kind").alias("quire_kind"), F.col("row").alias("quire_place"), F.col("size").alias("quire_size"), F.col("pieces").alias("quire_pieces"))
+    kind, place, size, runs, own_kind, own_row, run, cut = fresh(docs, "kind", "place", "size", "pieces", "own", "row", "piece", "text")
+    drawn = pieces(docs, **how).select(F.col("kind").alias(kind), F.col("row").alias(place), F.col("size").alias(size), F.col("pieces").alias(runs))
     words = F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD), F.lit(0))
-    own = docs.withColumn("quire_own", _kind(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.size(words).cast("long")))
-    own = own.withColumn("quire_row", F.row_number().over(Window.partitionBy("quire_own").orderBy("text")))
+    own = docs.withColumn(own_kind, _kind(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.size(words).cast("long")))
+    own = own.withColumn(own_row, F.row_number().over(Window.partitionBy(own_kind).orderBy("text")))
     # the row isn't a key of the join, so that the texts are dealt once, by kind
-    same = (F.col("quire_own") == F.col("quire_kind")) & (F.col("quire_row") <= F.col("quire_place")) & (F.col("quire_row") >= F.col("quire_place"))
-    parts = own.join(drawn, same).withColumn("quire_piece", F.explode("quire_pieces"))
-    part = F.col("quire_piece")
-    whole = part["words"] == F.col("quire_size")
+    same = (F.col(own_kind) == F.col(kind)) & (F.col(own_row) <= F.col(place)) & (F.col(own_row) >= F.col(place))
+    parts = own.join(drawn, same).withColumn(run, F.explode(runs))
+    part = F.col(run)
+    whole = part["words"] == F.col(size)
     text = F.when(whole, F.col("text")).otherwise(F.array_join(F.slice(words, (part["first"] + 1).cast("int"), part["words"].cast("int")), " "))
-    cut = parts.withColumn("quire_text", text)
-    chars = F.when(whole, F.col("n_chars")).otherwise(F.char_length("quire_text")) if "n_chars" in docs.columns else None
-    return cut.select(*[F.col("quire_text").alias(c) if c == "text" else chars.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    parts = parts.withColumn(cut, text)
+    chars = F.when(whole, F.col("n_chars")).otherwise(F.char_length(cut)) if "n_chars" in docs.columns else None
+    return parts.select(*[F.col(cut).alias(c) if c == "text" else chars.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
