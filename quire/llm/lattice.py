@@ -280,7 +280,7 @@ def scored(docs: DataFrame, vocabulary: str, folds: int = FOLDS, rounds: int = R
     n_bytes = text_bytes(base)
     buckets = max(LEAST_BUCKETS, n_bytes // BUCKET_BYTES)
     bits = max(int(LEAST_SHARDS - 1).bit_length(), int(n_bytes // SHARD_BYTES).bit_length())
-    bucketed = base.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+    bucketed = base.withColumn("bucket", F.pmod(F.coalesce(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")), F.xxhash64("text")), F.lit(buckets)).cast("int"))
 
     def distinct(table):
         rows, words = words_of(pc.ascii_lower(flat(table["text"])))
