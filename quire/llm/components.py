@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import written
-
-ROUNDS = 60
+from quire.llm.common import removed, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -20,14 +18,13 @@ def components(edges: DataFrame) -> DataFrame:
     """
     pairs = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs, before = written(pairs, "edges"), None
-    for _ in range(ROUNDS):
-        pairs = written(_star(_star(pairs, True), False), "stars")
+    while True:
+        last, pairs = pairs, written(_star(_star(pairs, True), False), "stars")
+        removed(last)
         now = pairs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.lit(0)).alias("h")).first()
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("the components didn't settle")
     return pairs.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(pairs.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
 
 

@@ -217,13 +217,15 @@ def stored_audio(docs: DataFrame, unit: int = 64) -> DataFrame:
 
 
 def sniff(media: DataFrame, column: str = "media", declared: str | None = None) -> DataFrame:
-    """media's columns, then detected, corrected (boolean) and carved (offset, length, type) as columns named sniffed_*.
+    """media's columns, then detected, corrected (boolean) and carved (offset, length, type) as columns named sniffed_*, with underscores after where the caller has such names.
 
     declared names the column with the type claimed; without it nothing is claimed.
     """
-    kept = [c for c in media.columns if not c.startswith("sniffed_")]
-    frame = media.select(*kept)
-    schema = "detected string, corrected boolean, carved array<struct<at:bigint,length:bigint,type:string>>"
+    kept, taken = media.columns, {c.lower() for c in media.columns}
+    names = ["sniffed_detected", "sniffed_corrected", "sniffed_carved"]
+    while taken & set(names):
+        names = [f"{n}_" for n in names]
+    types_ = ("string", "boolean", "array<struct<at:bigint,length:bigint,type:string>>")
     kinds = pa.list_(pa.struct([("at", pa.int64()), ("length", pa.int64()), ("type", pa.string())]))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,10 +241,10 @@ def sniff(media: DataFrame, column: str = "media", declared: str | None = None)
                     fixed.append(own is not None and own != claim)
                     found.append([{"at": at, "length": n, "type": t} for at, n, t in hits if not (at == 0 and n == len(data))])
                 arrays = [pa.array(types, pa.string()), pa.array(fixed, pa.bool_()), pa.array(found, kinds)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *arrays], [*kept, "sniffed_detected", "sniffed_corrected", "sniffed_carved"])
+                yield pa.RecordBatch.from_arrays([*part.columns, *arrays], [*kept, *names])
 
-    whole = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields)
-    return frame.mapInArrow(look, f"{whole}, " + ", ".join(f"sniffed_{x.strip()}" for x in schema.split(", ")))
+    whole = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema.fields)
+    return media.mapInArrow(look, f"{whole}, " + ", ".join(f"{n} {t}" for n, t in zip(names, types_, strict=True)))
 
 
 def audio_digest(docs: DataFrame) -> DataFrame:

@@ -366,7 +366,7 @@ def sieve(frame: DataFrame, column: str, ids: DataFrame, kind: str = "left_semi"
     place = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(1 << SIEVE_BITS)).cast("int")
     places = ids.select(place(F.col(ids.columns[0])).alias("quire_place")).distinct()
     key = F.when(frame[column].isNotNull(), place(frame[column]))
-    return frame.join(F.broadcast(places), key == F.col("quire_place"), kind)
+    return frame.join(F.broadcast(places), key == places["quire_place"], kind)
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -473,5 +473,5 @@ def without_near_copies(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     copies = printed.join(classes.select("h", "g", F.col("doc_id").alias("first")), ["h", "g"]).where("doc_id <> first").select(F.col("doc_id").alias("quire_gone"))
     gone = written(later.unionByName(copies).distinct(), "gone")
     # most of the documents that stay are known to stay without a shuffle
-    rest = sieve(docs, "doc_id", gone).join(gone.hint("merge"), F.col("doc_id").cast("long") == F.col("quire_gone"), "left_anti")
+    rest = sieve(docs, "doc_id", gone).join(gone.hint("merge"), F.col("doc_id").cast("long") == gone["quire_gone"], "left_anti")
     return sieve(docs, "doc_id", gone, "left_anti").unionByName(rest)

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import flat, mix64, text_bytes, texts, words_of
+from quire.llm.common import flat, fresh, mix64, text_bytes, texts, words_of
 from quire.llm.hashing import BASES, word_hashes
 
 WIDTH = 13
@@ -56,9 +56,9 @@ def windows(rows: np.ndarray, words: pa.Array, width: int) -> tuple[np.ndarray,
     return first, out[0], out[1]
 
 
-def _ids(table: pa.Table) -> np.ndarray:
+def _ids(ids: pa.ChunkedArray) -> np.ndarray:
     """The ids, a null one as the last."""
-    return np.asarray(pc.fill_null(flat(table["quire_id"]), LAST), dtype=np.int64)
+    return np.asarray(pc.fill_null(flat(ids), LAST), dtype=np.int64)
 
 
 class Plan:
@@ -100,26 +100,28 @@ def _table(schema: dict[str, pa.DataType], rows: list[tuple]) -> pa.Table:
     return pa.table({name: pa.array(c, kind) for (name, kind), c in zip(schema.items(), columns, strict=True)})
 
 
-def deduplicated(docs: DataFrame, width: int = WIDTH, depth: int = DEPTH) -> DataFrame:
-    """docs' columns, then quire_words, quire_removed, quire_kept (the words left, joined by a space) of every document."""
-    base = docs.withColumns({"quire_id": F.col("doc_id").cast("long"), "quire_text": F.coalesce(F.col("text").cast("string"), F.lit(""))})
-    plan = Plan(text_bytes(base.select(F.col("quire_text").alias("text"))), width, depth)
-    bucketed = base.withColumn("quire_bucket", F.pmod(F.xxhash64("quire_id"), F.lit(plan.buckets)).cast("int"))
+def deduplicated(docs: DataFrame, width: int = WIDTH, depth: int = DEPTH) -> tuple[DataFrame, str, str, str]:
+    """(docs' columns, then three more of every document; the names of these: number of words, number removed, the words left joined by a space)."""
+    id_, text_, bucket_, n_words_, n_removed_, kept_ = fresh(docs, "id", "text", "bucket", "words", "removed", "kept")
+    base = docs.withColumns({id_: F.col("doc_id").cast("long"), text_: F.coalesce(F.col("text").cast("string"), F.lit(""))})
+    plan = Plan(text_bytes(base.select(F.col(text_).alias("text"))), width, depth)
+    # rows without an id would all be one bucket: these are dealt by their texts
+    bucketed = base.withColumn(bucket_, F.pmod(F.coalesce(F.when(F.col(id_).isNotNull(), F.xxhash64(id_)), F.xxhash64(text_)), F.lit(plan.buckets)).cast("int"))
     link = {"row": pa.int32(), "shard": pa.int32(), "bucket": pa.int32(), "cells": pa.binary(), "counts": pa.binary()}
     columns = docs.columns
     keyed = {"shard": pa.int32(), "bucket": pa.int32(), "hashes": pa.binary(), "firsts": pa.binary()}
 
     def seen(table):
         """(words' rows, words, window starts, hashes, ids of the windows' documents) of a bucket."""
-        rows, words = words_of(table["quire_text"])
+        rows, words = words_of(table[text_])
         first, h, g = windows(rows, words, plan.width)
-        return rows, words, first, h, g, _ids(table)[rows[first]]
+        return rows, words, first, h, g, _ids(table[id_])[rows[first]]
 
     def counted(table):
         """The bucket's part of the sketch."""
         if not table.num_rows:
             return _table(link, [])
-        bucket = table["quire_bucket"][0].as_py()
+        bucket = table[bucket_][0].as_py()
         *_, h, g, ids = seen(table)
         out = []
         for row in range(plan.depth):
@@ -153,7 +155,7 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, depth: int = DEPTH) -> Dat
         """The bucket's distinct windows whose cells are all marked, with the least document of each."""
         if not texts_.num_rows or not marks.num_rows:
             return _table(keyed, [])
-        bucket = texts_["quire_bucket"][0].as_py()
+        bucket = texts_[bucket_][0].as_py()
         *_, h, g, ids = seen(texts_)
         keep = _marked(plan, h, g, {(m["row"], m["shard"]): m["counts"] for m in marks.to_pylist()})
         h, g, ids = (x[keep] for x in (h, g, ids))
@@ -184,7 +186,7 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, depth: int = DEPTH) -> Dat
         """The rows of the result. both: what `merged` (row >= 0) and `settled` (row < 0) answered."""
         own = texts_.select(columns)
         if not texts_.num_rows:
-            return own.append_column("quire_words", pa.array([], pa.int64())).append_column("quire_removed", pa.array([], pa.int64())).append_column("quire_kept", pa.array([], pa.string()))
+            return own.append_column(n_words_, pa.array([], pa.int64())).append_column(n_removed_, pa.array([], pa.int64())).append_column(kept_, pa.array([], pa.string()))
         rows, words, first, h, g, ids = seen(texts_)
         gone = np.zeros(len(words) + 1, np.int32)
         if both.num_rows:
@@ -209,15 +211,15 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, depth: int = DEPTH) -> Dat
         left = words.filter(pa.array(~drop))
         offsets = pa.array(np.concatenate([[0], np.cumsum(n_words - n_removed)]).astype(np.int32))
         joined = pc.binary_join(pa.ListArray.from_arrays(offsets, left), " ")
-        return own.append_column("quire_words", pa.array(n_words)).append_column("quire_removed", pa.array(n_removed)).append_column("quire_kept", joined)
+        return own.append_column(n_words_, pa.array(n_words)).append_column(n_removed_, pa.array(n_removed)).append_column(kept_, joined)
 
     # one exchange of the documents serves all three uses
-    by_bucket = lambda frame: bucketed.groupBy("quire_bucket").cogroup(frame.groupBy("bucket"))
-    marks = bucketed.groupBy("quire_bucket").applyInArrow(counted, _LINK).groupBy("row", "shard").applyInArrow(merged, _LINK)
+    by_bucket = lambda frame: bucketed.groupBy(bucket_).cogroup(frame.groupBy("bucket"))
+    marks = bucketed.groupBy(bucket_).applyInArrow(counted, _LINK).groupBy("row", "shard").applyInArrow(merged, _LINK)
     answers = by_bucket(marks).applyInArrow(repeated, _KEYS).groupBy("shard").applyInArrow(settled, _KEYS)
     both = marks.unionByName(answers.select(F.lit(-1).alias("row"), "shard", "bucket", F.lit(None).cast("binary").alias("cells"), F.col("firsts").alias("counts")))
     whole = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return by_bucket(both).applyInArrow(removed, f"{whole}, quire_words long, quire_removed long, quire_kept string")
+    return by_bucket(both).applyInArrow(removed, f"{whole}, {n_words_} long, {n_removed_} long, {kept_} string"), n_words_, n_removed_, kept_
 
 
 def _marked(plan: Plan, h: np.ndarray, g: np.ndarray, bits: dict) -> np.ndarray:
@@ -247,12 +249,14 @@ def _distinct(h: np.ndarray, g: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
-    return deduplicated(texts(docs)).select("doc_id", F.col("quire_words").alias("n_words"), F.col("quire_removed").alias("n_removed"), F.sha2("quire_kept", 256).alias("kept_sha256"))
+    out, n_words, n_removed, kept = deduplicated(texts(docs))
+    return out.select("doc_id", F.col(n_words).alias("n_words"), F.col(n_removed).alias("n_removed"), F.sha2(kept, 256).alias("kept_sha256"))
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """docs with the words of repeated windows taken out of the texts; a text that loses none stays as it is. n_chars, where there is one, follows the text."""
-    out = deduplicated(docs)
-    text = F.when(F.col("quire_removed") > 0, F.col("quire_kept")).otherwise(F.col("text"))
-    counted = F.when(F.col("quire_removed") > 0, F.char_length("quire_kept").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
+    out, _, n_removed, kept = deduplicated(docs)
+    cut = F.col(n_removed) > 0
+    text = F.when(cut, F.col(kept)).otherwise(F.col("text"))
+    counted = F.when(cut, F.char_length(kept).cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
     return out.select(*[text.alias(c) if c == "text" else counted.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])

@@ -12,7 +12,7 @@ It is fitted on the driver on a bounded sample of labelled rows (`most_rows`, th
 
 Cases: a null text is empty and gets the score of the intercept alone; a label that is null is no label;
 several labels of one document count as their maximum; with no labelled rows, or labels of one kind only,
-the model is the intercept of the smoothed rate; extra columns are left out by `scored` and kept by `without_toxic`.
+the model is the intercept of the smoothed rate, a quarter without any; extra columns are left out by `scored` and kept by `without_toxic`.
 """
 
 from __future__ import annotations
@@ -171,7 +171,7 @@ def fitted(rows: pa.Table, least: int = 5, l1: float = 1.0, l2: float = 0.005, f
     """
     rows = rows.sort_by("doc_id")
     y = (np.asarray(rows["toxic"], dtype=float) > 0).astype(float)
-    n, rate = len(y), (y.sum() + 0.5) / (len(y) + 1)
+    n, rate = len(y), (y.sum() + 0.5) / (len(y) + 2)
     base = float(np.log(rate / (1 - rate)))
     lists = rows["features"].combine_chunks()
     flat = np.asarray(lists.flatten())

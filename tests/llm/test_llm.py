@@ -221,6 +221,38 @@ def test_fingerprints(docs, empty):
     assert all(0 <= g[c] <= 1 for g in got for c in ("near_edited", "near_next")) and fingerprints.compared(empty).isEmpty()
 
 
+def test_fingerprints_are_the_least_hashes(spark, docs):
+    """Sketches, likeness, counts and containment again from XXH64 in Python, over whole sets."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    as_bytes = lambda h: h.to_bytes(8, "little", signed=True)
+
+    def long_hash(values):  # as the engine hashes a row of longs
+        h = 42
+        for v in values:
+            h = xxhash.xxh64_intdigest(as_bytes(v), h)
+        return signed(h)
+
+    def whole(t):
+        w = [signed(xxhash.xxh64_intdigest(x, 42)) for x in words(t, True)]
+        return {long_hash(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else None if w else set()
+
+    order = sorted(ROWS, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    got = {(r.doc_id, r.n_chars): r for r in fingerprints.compared(docs, 32).collect()}
+    digits = lambda xs: "".join(f"{x % (1 << 64):016x}" for x in sorted(xs)[:32])
+    seen = 0
+    for k, r in enumerate(order):
+        t, n = r[1] or "", order[(k + 1) % len(order)][1] or ""
+        if (own := whole(t)) is None or (other := whole(n)) is None or r[0] in (None, 0, 202):
+            continue
+        g, seen = got[r[0], len(t)], seen + 1
+        assert g.fingerprint == digits(own)
+        a, b, both = set(sorted(own)[:32]), set(sorted(other)[:32]), set(sorted(own | other)[:32])
+        assert g.near_next == pytest.approx(len(a & b & both) / len(both) if both else 1.0)
+        if len(own) < 32:
+            assert g.n_shingles == len(own)
+    assert seen > 20
+
+
 def test_sketches_merge_and_estimate(spark):
     rows = [("a", list(range(0, 3000))), ("b", list(range(1500, 4500)))]
     df = spark.createDataFrame(rows, "k string, xs array<long>").select("k", fingerprints.sketch(F.transform("xs", lambda x: F.xxhash64(x)), 256).alias("sketch"))
@@ -386,8 +418,11 @@ def test_mixing(docs, empty):
     assert mixing.mixed(empty).isEmpty()
     mix = mixing.repeated(docs, block=16, shard=300)
     assert mix.columns == docs.columns
-    lost = sum(r.taken for r in got) - sum(len(words(r.text)) for r in mix.collect())  # the mean of equal rows is rounded down
-    assert 0 <= lost <= 3
+    assert sum(r.taken for r in got) == sum(len(words(r.text)) for r in mix.collect())
+    for s in {r.source for r in got}:
+        own = [r for r in got if r.source == s]
+        if own[0].target == 2 * own[0].source_size:  # a full source is taken whole, twice
+            assert all(r.taken == 2 * r.size for r in own)
 
 
 def test_mix_has_the_words_of_the_drawn_blocks(spark):
@@ -542,6 +577,60 @@ def test_tool_calls(spark):
     assert toolcalls.of_conversations(turns).isEmpty()
 
 
+def test_levels_of_any_graph(spark):
+    """Chains, joins of chains, cycles and what is behind them, against a walk over each conversation."""
+    rng = random.Random(11)
+    calls, depends = [(1, f"c{i}") for i in range(40)], [(1, f"c{i}", f"c{i - 1}") for i in range(1, 40)]
+    for conv in range(2, 14):
+        n = rng.randrange(3, 14)
+        calls += [(conv, f"c{i}") for i in range(n)]
+        depends += [(conv, f"c{i}", f"c{j}") for i in range(n) for j in range(n) if (j < i and rng.random() < 0.2) or (conv % 4 == 0 and j > i and rng.random() < 0.06)]
+    depends += [(2, "c0", "missing"), (3, "c1", "c1")]
+    want = {}
+    for conv, call in calls:
+        want[conv, call] = None
+    for _ in calls:
+        for key in want:
+            on = [(key[0], d[2]) for d in depends if d[:2] == key and (key[0], d[2]) in want]
+            if all(want[o] is not None for o in on):
+                want[key] = max((want[o] + 1 for o in on), default=0)
+    frames = spark.createDataFrame(calls, "conv_id long, call_id string"), spark.createDataFrame(depends, "conv_id long, call_id string, on_id string")
+    assert {(r.conv_id, r.call_id): r.level for r in toolcalls.levels(*frames).collect()} == want
+    assert want[1, "c39"] == 39 and None in want.values()
+
+
+def test_odd_arguments():
+    texts = ['{"a":"\\ud800"}', "[" * 5000 + "]" * 5000, '{"a":1e400}', '{"a":NaN}', '{"a":1e3,"b":[2.0,{"d":1,"c":"é"}]}']
+    out = []
+    for t in texts:
+        try:
+            out.append(toolcalls.canonical(toolcalls.parsed(t)))
+        except (ValueError, RecursionError) as e:
+            out.append(type(e))
+    assert out[0] == '{"a":"\\ud800"}' and out[1] in (RecursionError, ValueError) and issubclass(out[2], ValueError) and issubclass(out[3], ValueError)
+    assert out[4] == '{"a":1000,"b":[2,{"c":"é","d":1}]}' and all(isinstance(o, type) or o.encode() for o in out)
+
+
+def test_odd_arguments_in_the_job(spark):
+    rows = [(1, f"k{i}", i, "add", t) for i, t in enumerate(['{"x":"\\ud800"}', "[" * 100_000, '{"x":1e999}', '{"x":Infinity}', "x" * 200_000, None])]
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, turn long, name string, arguments string").withColumn("level", F.lit("theirs"))
+    got = toolcalls.checked(calls, {"add": {"type": "object"}}).orderBy("turn").collect()
+    assert [r.valid for r in got] == [True, False, False, False, False, False] and got[0].arguments == '{"x":"\\ud800"}'
+
+
+def test_names_that_clash(spark):
+    """Callers' columns with the operators' inner names stay as they are."""
+    inner = ["quire_id", "quire_text", "quire_bucket", "quire_words", "quire_removed", "quire_kept", "quire_score", "quire_place", "quire_gone", "quire_kind", "quire_size", "quire_pieces", "quire_own", "quire_row", "quire_piece"]
+    rows = [(i, t, "s0", *range(len(inner))) for i, t in enumerate(["one two three", "one two three", "a b c d e f g h i j k l m n o", "x"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{c} int" for c in inner))
+    labels = spark.createDataFrame([(0, 0)], "doc_id long, toxic int")
+    for out in (substring.cleaned(docs), toxicity.without_toxic(docs, labels), mixing.repeated(docs), simhash.without_near_copies(docs)):
+        assert out.columns == docs.columns and {tuple(r)[3:] for r in out.collect()} == {tuple(range(len(inner)))}
+    media_ = spark.createDataFrame([(bytearray(media.wav(b"ab")), "mine")], "media binary, sniffed_detected string")
+    row = media.sniff(media_).first()
+    assert row.sniffed_detected == "mine" and row.sniffed_detected_ == "audio/wav"
+
+
 def test_pipeline_keeps_columns(spark, docs, tmp_path, monkeypatch):
     import corpus_pipeline
 
