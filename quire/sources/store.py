@@ -8,7 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is made: its shuffle files go as soon as it is there, and rows go to Python in batches that stay small where texts are long.
+SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,12 +31,14 @@ def place(spark: SparkSession, label: str) -> str:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """df, computed once and kept as Parquet in the shared folder. Cuts lineage; a lost executor costs nothing of it. The shuffle files that made it go at once."""
     spark = df.sparkSession
-    path, before = place(spark, label), spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    path, before = place(spark, label), {k: spark.conf.get(k, None) for k in SETTINGS}
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
