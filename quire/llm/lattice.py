@@ -272,7 +272,7 @@ def _class_sizes(docs: DataFrame, column: str | None, held: Column) -> tuple[Col
 
 
 def scored(docs: DataFrame, vocabulary: str, folds: int = FOLDS, rounds: int = ROUNDS, class_column: str | None = "lang") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document. vocabulary: a file of base64 pieces and ranks, with all single bytes."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score (of the words by their segmentations alone, without counts of words) of every document. vocabulary: a file of base64 pieces and ranks, with all single bytes. The CLASSES - 1 commonest values of class_column have a class each, all others one together."""
     held = crc_mod(F.col("doc_id"), folds) == 0
     place, class_texts = _class_sizes(docs, class_column, held)
     n_classes = len(class_texts)
@@ -325,8 +325,8 @@ def scored(docs: DataFrame, vocabulary: str, folds: int = FOLDS, rounds: int = R
     answers = links.where("bucket >= 0").select("shard", "bucket", "counts")
 
     def score(texts_, totals):
-        names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score"]
+        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
         n = texts_.num_rows
         if not n:
             return pa.table([pa.array([], k) for k in kinds], names=names)
@@ -341,20 +341,26 @@ def scored(docs: DataFrame, vocabulary: str, folds: int = FOLDS, rounds: int = R
         spelled, total = spellings(fit, vocabulary).of(words), counts.sum(0)
         base_sum = np.bincount(rows, fit.base(total)[which], n) + fit.base(np.array([fit.n_ends]))[0]
         by_class = np.stack([np.bincount(rows, m.logs(c, q)[which], n) + m.end for m, c, q in zip(fit.models, counts, spelled, strict=True)])
-        most = by_class.max(0)
-        full_sum = most + np.log10((10.0 ** (by_class - most)).sum(0))
+        by_lattice = np.stack([np.bincount(rows, q[which], n) / math.log(10) + math.log10(m.share) for m, q in zip(fit.models, spelled, strict=True)])
         known = np.bincount(rows, total[which] > 0, n).astype(np.int64) + (fit.n_ends > 0)
-        columns = [texts_["doc_id"], texts_["held_out"], np.bincount(rows, minlength=n) + 1, known, np.full(n, fit.n_train), base_sum, full_sum]
+        columns = [texts_["doc_id"], texts_["held_out"], np.bincount(rows, minlength=n) + 1, known, np.full(n, fit.n_train), base_sum, _summed(by_class), _summed(by_lattice)]
         return pa.table([flat(c).cast(k) if isinstance(c, pa.ChunkedArray) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double"
     return bucketed.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(score, out)
 
 
+def _summed(logs: np.ndarray) -> np.ndarray:
+    """log10 of the sum over the first axis of what the logs are of."""
+    most = logs.max(0)
+    return most + np.log10((10.0 ** (logs - most)).sum(0))
+
+
 class ClassModel:
     """Totals, discount, piece probabilities, the chance that a word ends after a piece; end: log10 of the class's share and of a text's end."""
 
     def __init__(self, n_words: int, n_types: int, n_ends: int, ones: int, twos: int, share: float, p: np.ndarray, stop: float):
+        self.share = share
         self.n, self.n_types = n_words + n_ends, n_types + (n_ends > 0)
         self.discount = min(0.95, ones / (ones + 2 * twos)) if ones else 0.5
         self.p, self.stop, self.free = p, stop, self.discount * self.n_types + 1

@@ -100,7 +100,7 @@ def streams(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
     shards = placed.groupBy("source_key", "shard").agg(F.sum("size").alias("words"))
     all_seats = F.round(F.sum("target").over(Window.partitionBy(F.lit(0))) / block).cast("long")
-    seats = apportioned(by_key, [], ["source_key"], "target", all_seats).select("source_key", F.col("quota").alias("source_quota"))
+    seats = apportioned(by_key, [], ["source_key"], "target", all_seats).select("source_key", F.greatest("quota", F.least("source_size", F.lit(1))).alias("source_quota"))  # a source with words has a seat
     quotas = apportioned(shards.join(seats, "source_key"), ["source_key"], ["shard"], "words", F.col("source_quota"))
     # a full source is taken whole, `most` times: its part-blocks would cost whole seats
     quotas = quotas.join(by_key.select("source_key", (F.col("target") >= most * F.col("source_size") - 1e-6).alias("full")), "source_key")

@@ -19,7 +19,7 @@ def test_scores_of_the_lattice_model(spark):
     rng = random.Random(4)
     words = [("".join(rng.choices("abcdetn", k=rng.randint(1, 5)))) for _ in range(40)]
     rows = [(i, " ".join(rng.choices(words[: 25 if i % 2 else 40], k=rng.randint(0, 12))), "en" if i % 2 else "de" if i % 6 else None) for i in range(60)]
-    got = {r.doc_id: r.score for r in lattice.scored(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), vocabulary("byte_bpe_50k.tiktoken")).collect()}
+    got = {r.doc_id: (r.score, r.lattice_score) for r in lattice.scored(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), vocabulary("byte_bpe_50k.tiktoken")).collect()}
 
     v = lattice.pieces(vocabulary("byte_bpe_50k.tiktoken"))
     at = {p: i for i, p in enumerate(v.pieces)}
@@ -68,14 +68,15 @@ def test_scores_of_the_lattice_model(spark):
         models.append((c, p, stop, d, total, free, n, (n + 0.5) / (sum(texts) + 0.5 * len(texts))))
 
     def score(text):
-        out = []
+        out, alone = [], []
         for c, p, stop, d, total, free, n, share in models:
             own = math.log10(share) + math.log10((max(n - d, 0) + free * lattice.Q_END) / (total + 1))
             own += sum(math.log10((max(c[w] - d, 0) + free * (1 - lattice.Q_END) * sum(ways(w, p, stop)) * stop) / (total + 1)) for w in text.split())
             out.append(own)
-        return max(out) + math.log10(sum(10 ** (x - max(out)) for x in out))
+            alone.append(math.log10(share) + sum(math.log10(sum(ways(w, p, stop)) * stop) for w in text.split()))
+        return tuple(pytest.approx(max(x) + math.log10(sum(10 ** (y - max(x)) for y in x)), rel=1e-9, abs=1e-9) for x in (out, alone))
 
-    assert got == {i: pytest.approx(score(t), rel=1e-9) for i, t, _ in rows}
+    assert got == {i: score(t) for i, t, _ in rows}
 
 
 def spark_hash(*values):
@@ -114,6 +115,7 @@ def test_words_taken_by_the_mix(spark):
             break
         full |= over
     seats = dict(zip(sources, highest_quotients([target[s] for s in sources], round(sum(target.values()) / block))))
+    seats = {s: max(n, min(1, size[s])) for s, n in seats.items()}  # a source with words has a seat
     want = {}
     for s in sources:
         shards, n = collections.defaultdict(list), max(1, size[s] // shard)
