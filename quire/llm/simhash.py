@@ -312,7 +312,7 @@ def common_cells(own: DataFrame) -> np.ndarray:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << CELLS_BITS, np.int64)
         for batch in batches:
-            for part in pieces_of(batch, limit=4 << 20):
+            for part in pieces_of(batch, limit=2 << 20):
                 total += np.bincount(_cell(shingle_sets(part.column("text"))[1]), minlength=len(total))
         full = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(total[full])], ["cell", "n"])
@@ -330,7 +330,7 @@ def prefixes(own: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces_of(batch, limit=4 << 20):
+            for part in pieces_of(batch, limit=2 << 20):
                 row, key, h, g, fp = shingle_sets(part.column("text"))
                 order = np.lexsort((key, common[_cell(key)], row))
                 key = key[order]
@@ -349,7 +349,7 @@ def whole_sets(own: DataFrame) -> DataFrame:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces_of(batch, limit=4 << 20):
+            for part in pieces_of(batch, limit=2 << 20):
                 row, key, *_ = shingle_sets(part.column("text"))
                 ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=part.num_rows))])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(key.view(np.int64)))], ["doc_id", "s"])
