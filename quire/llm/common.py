@@ -21,7 +21,13 @@ GAP = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. Texts are long: unless the session says otherwise, rows go to Python 1,000 at a time, so that batches are some MB on either side."""
+    if spark.conf.get(BATCH, "10000") == "10000":
+        spark.conf.set(BATCH, "1000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -55,13 +55,20 @@ _UNEVEN = f"^ | $| {_BLANK}|{_BLANK} "
 CACHED = 150_000  # units whose ids a worker keeps
 
 
+def _added_tokens(path: str) -> list[dict]:
+    """That part of a vocabulary file alone: the whole would leave many small objects in a worker's memory."""
+    text = open(path).read()
+    at = text.index('"added_tokens"')
+    return json.JSONDecoder().raw_decode(text, text.index("[", at))[0]
+
+
 class UnitIds:
     """The ids of units (a word with the space before it). Each distinct unit of an array is encoded once; the first CACHED of a worker stay."""
 
     def __init__(self, path: str):
         self.path = path
         self.encoding, self.sizes = _encoding(path)
-        self.specials = "|".join(re.escape(t["content"]) for t in json.load(open(path))["added_tokens"])
+        self.specials = "|".join(re.escape(t["content"]) for t in _added_tokens(path))
         self.tokenizer = None
         self.slots: dict[str, int] = {}
         self.ids, self.starts, self.ends = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
