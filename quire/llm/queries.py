@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import fingerprints, lattice, media, mixing, packing, perplexity, simhash, substring, toolcalls, toxicity
+from quire.llm import ann, collocations, fingerprints, interaction, lattice, media, mixing, packing, perplexity, simhash, substring, toolcalls, toxicity
 from quire.llm.common import table
 
 
@@ -54,7 +54,19 @@ def op10_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_tool_call_linking, op2_lattice_likelihood, op3_golay_simhash, op4_bottom_k_fingerprints, op5_substring_dedup, op6_signature_sniffing, op7_counterfactual_toxicity, op8_sainte_lague_mixing, op9_best_fit_packing, op10_kneser_ney_quality)}
+def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_cross_polytope_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_of(table(spark, sf_dir, "embeddings"))
+
+
+def op13_collocation_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mined(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_tool_call_linking, op2_lattice_likelihood, op3_golay_simhash, op4_bottom_k_fingerprints, op5_substring_dedup, op6_signature_sniffing, op7_counterfactual_toxicity, op8_sainte_lague_mixing, op9_best_fit_packing, op10_kneser_ney_quality, op11_filter_interaction_audit, op12_cross_polytope_search, op13_collocation_mining)}
 #: SQL for DuckDB over the same tables, where SQL can say what an operator returns.
 ORACLE_SQL: dict[str, str] = {
     "op1_tool_call_linking": r"""
@@ -101,5 +113,39 @@ WITH words AS (
   FROM words w LEFT JOIN covered c ON w.doc_id = c.doc_id
 )
 SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(coalesce(array_to_string(ws, ' '), '')) AS kept_sha256 FROM kept
+""",
+    "op11_filter_interaction_audit": r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents
+), firsts AS (
+  SELECT text, min(doc_id) AS first_doc FROM docs GROUP BY text
+), failing AS (
+  SELECT d.doc_id, d.part,
+         (len(ws) < 200)::INT + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT
+         + 4 * (100 * length(regexp_replace(d.text, '[^A-Z]', '', 'g')) > 3 * length(d.text))::INT
+         + 8 * regexp_matches(d.text, '[#$%&*|]')::INT + 16 * coalesce(f.first_doc < d.doc_id, false)::INT AS mask
+  FROM docs d JOIN firsts f ON f.text = d.text
+), known AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), cells AS (
+  SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM failing LEFT JOIN known USING (doc_id) GROUP BY part, mask
+), filters AS (
+  SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) t(letter, bit)
+), orders AS (
+  SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM filters a, filters b, filters c, filters d, filters e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5
+), steps AS (
+  SELECT filter_order, step::INT AS step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before FROM orders, range(1, 6) r(step)
+), counted AS (
+  SELECT part, filter_order, step, bit,
+         sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+         sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN n ELSE 0 END)::BIGINT AS removed,
+         sum(CASE WHEN mask & before > 0 AND mask & bit > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+         sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+         sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+         sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM cells, steps GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM counted
 """,
 }
