@@ -147,5 +147,39 @@ WITH docs AS (
   FROM cells, steps GROUP BY ALL
 )
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM counted
+""",
+    "op13_collocation_mining": r"""
+WITH pieces AS (
+  SELECT lang, piece, list_filter(string_split_regex(body, '[\x20\x09]+'), lambda w: w <> '') AS ws FROM (
+    SELECT coalesce(lang, 'und') AS lang, doc_id AS piece, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS body FROM documents
+  ) t
+), grams AS (
+  SELECT lang, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS phrase, k
+  FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM pieces, (VALUES (1), (2), (3)) t(k) WHERE len(ws) >= k) u
+), counts AS MATERIALIZED (
+  SELECT lang, phrase, k, count(*)::HUGEINT AS f FROM grams GROUP BY lang, phrase, k
+), sizes AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang
+), found AS MATERIALIZED (
+  SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS ws FROM counts WHERE k > 1 AND f >= 10
+), halves AS MATERIALIZED (
+  SELECT lang, phrase, a, cut, array_to_string(ws[1:cut], ' ') AS head, array_to_string(ws[cut + 1:], ' ') AS tail FROM (SELECT lang, phrase, a, ws, unnest(range(1, k)) AS cut FROM found) t
+), often AS MATERIALIZED (
+  SELECT lang, phrase, f FROM counts WHERE f >= 10
+), cuts AS (
+  SELECT c.lang, c.phrase, c.a, c.cut, x.f AS l, y.f AS r, 1000000::HUGEINT * c.a * c.a // (x.f * y.f) AS score
+  FROM halves c JOIN often x ON x.lang = c.lang AND x.phrase = c.head JOIN often y ON y.lang = c.lang AND y.phrase = c.tail
+), lowest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), inside AS (
+  SELECT lang, phrase, max(a) AS most FROM (
+    SELECT lang, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase, a FROM found WHERE k = 3
+  ) t GROUP BY lang, phrase
+), kept AS (
+  SELECT p.* FROM lowest p LEFT JOIN inside i ON i.lang = p.lang AND i.phrase = p.phrase WHERE i.most IS NULL OR 100 * i.most < 50 * p.a
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT p.lang, p.rank, p.phrase, p.a::BIGINT AS a, p.l::BIGINT AS l, p.r::BIGINT AS r, s.n, p.score::BIGINT AS score FROM placed p JOIN sizes s ON s.lang = p.lang WHERE p.rank <= 2000
 """,
 }
