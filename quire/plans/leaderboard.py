@@ -67,17 +67,14 @@ class Sums:
         return metrics.composite(metrics.balanced(by_stratum, overall, ["model_id"]).join(kept, "model_id", "left"))
 
     def replicates(self, replicates: int = bootstrap.REPLICATES) -> DataFrame:
-        spark = self.lines.sparkSession
-        drawn = bootstrap.weights(spark, self.clusters.select("cluster_id").distinct(), replicates)
-        parents = bootstrap.weights(spark, self.degraded.select("cluster_id").distinct(), replicates, f"{bootstrap.SEED}|parents")
-        return stored(bootstrap.replicate_scores(self.clusters, drawn, self.degraded, parents), "scores")
+        return stored(bootstrap.replicate_scores(self.clusters, self.degraded, replicates), "scores")
 
 
 def leaderboard(spark: SparkSession, sf_dir: str, replicates: int = bootstrap.REPLICATES, sums: Sums | None = None) -> DataFrame:
     sums = sums or Sums.of(spark, sf_dir)
     replicated = sums.replicates(replicates)
     board = sums.scores().join(bootstrap.intervals(replicated, "model_id"), "model_id")
-    apart = bootstrap.intervals(joins.model_pairs(replicated, ["replicate"]), "model_a", "model_b", value="difference")
+    apart = bootstrap.difference_intervals(replicated)
     board = stored(board, "board")
     tiered = gates.tiers(board.select("model_id", "persian_ocr_score"), apart)
     failed = metrics.failures(sums.lines, "model_id").select("model_id", "completion", "failure_rate")

@@ -15,7 +15,7 @@ from quire.plans.demo import ANCHORS_SQL, DEGRADED_SQL, GRID_SQL, PREDICTIONS_SQ
 from quire.plans.leaderboard import Sums, degraded_sums, leaderboard, lines_of, reproducibility, smoke_lines, views
 from quire.sources import readers, writers
 from quire.sources.schemas import METRIC_WEIGHTS, STRATUM_WEIGHTS
-from quire.sources.store import place
+from quire.sources.store import place, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -209,7 +209,7 @@ SELECT model_id, round(avg(rate), 6) AS cer_mean, round(quantile_cont(rate, 0.5)
 FROM rates GROUP BY model_id""")
 def line_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1, A5, A8, A9, A12."""
-    out = metrics.diagnostics(lines_of(spark, sf_dir), "model_id")
+    out = metrics.diagnostics(stored(lines_of(spark, sf_dir), "lines"), "model_id")
     return out.select("model_id", *[F.round(c, 6).alias(c) for c in ("cer_mean", "cer_median", "cer_p95", "insertion_p95", "catastrophic_insertions", "omitted_lines", "lines_losing_a_quarter", "length_ratio")])
 
 
@@ -223,7 +223,7 @@ def line_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT t.*, b.blank_hallucinations FROM totals t JOIN blanks b USING (model_id)""")
 def more_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A2, A6, A7, A11."""
-    lines = lines_of(spark, sf_dir)
+    lines = stored(lines_of(spark, sf_dir), "lines")
     d = metrics.diagnostics(lines, "model_id").select("model_id", "longest_omission", F.round("word_deletions", 6).alias("word_deletions"), F.round("blank_hallucinations", 6).alias("blank_hallucinations"))
     s = metrics.scored(summed(lines, "model_id")).select("model_id", F.round(F.col("canonical_cer") - F.col("strict_cer"), 6).alias("unicode_penalty"))
     return d.join(s, "model_id")
@@ -333,31 +333,26 @@ def robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("model_id", F.round("robustness", 6).alias("robustness"), "conditions")
 
 
-@query(f"""WITH {SAMPLES_SQL}, k AS (SELECT count(DISTINCT source_document_id) AS k FROM samples), numbered AS (
-  SELECT source_document_id AS cluster_id, row_number() OVER (ORDER BY source_document_id) - 1 AS place FROM (SELECT DISTINCT source_document_id FROM samples) t
-), draws AS (
-  SELECT r AS replicate, (('0x' || substr(md5('{bootstrap.SEED}|' || r::VARCHAR || '|' || d::VARCHAR), 1, 12))::BIGINT % k) AS place
-  FROM k, (SELECT unnest(range(0, {bootstrap.REPLICATES})) AS r) a, LATERAL (SELECT unnest(range(0, k)) AS d) b
-)
-SELECT d.replicate::INT AS replicate, n.cluster_id, count(*) AS weight FROM draws d JOIN numbered n ON n.place = d.place GROUP BY d.replicate, n.cluster_id""")
+def _draws_sql(name: str, clusters: str, seed: str) -> str:
+    """`name` (replicate, cluster_id, weight): each cluster's Poisson weight in each replicate, from eight digits of a hash."""
+    n, per = bootstrap.REPLICATES, bootstrap.PER_HASH
+    return f"""{name} AS (
+  SELECT (block * {per} + j)::INT AS replicate, cluster_id, len(list_filter({bootstrap.STEPS!r}, lambda t: t <= ('0x' || substr(h, {64 // per} * j + 1, {64 // per}))::BIGINT)) AS weight
+  FROM (SELECT cluster_id, block, sha256('{seed}|' || cluster_id || '|' || block::VARCHAR) AS h FROM ({clusters}) c, (SELECT unnest(range(0, {-(-n // per)})) AS block) b) t, (SELECT unnest(range(0, {per})) AS j) p
+  WHERE block * {per} + j < {n} AND weight > 0
+)"""
+
+
+@query(f"""WITH {SAMPLES_SQL}, {_draws_sql("draws", "SELECT DISTINCT source_document_id AS cluster_id FROM samples", str(bootstrap.SEED))} SELECT replicate, cluster_id, weight FROM draws""")
 def bootstrap_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B1, J11."""
-    clusters = demo.samples(spark, sf_dir).select(F.col("source_document_id").alias("cluster_id")).distinct()
-    return bootstrap.weights(spark, clusters)
+    return bootstrap.weights(demo.samples(spark, sf_dir).select(F.col("source_document_id").alias("cluster_id")))
 
 
 #: After the lines' CTEs: `sums` by (model, stratum, cluster) of the test split, `grams` the same of chrF counts, `draws` and `parent_draws` the weights of clusters in replicates.
 COUNTED = ["ce", "cd", "ci", "cn", "ds", "ns", "we", "wn", "same", *EVENTS[:6], "spans", "spans_exact", "spans_extra", "lines", "blanks", "blanks_empty"]
 
 
-def _draws_sql(name: str, clusters: str, seed: str) -> str:
-    return f"""{name}_places AS (SELECT cluster_id, row_number() OVER (ORDER BY cluster_id) - 1 AS place, count(*) OVER () AS k FROM ({clusters}) t), {name} AS (
-  SELECT r AS replicate, p.cluster_id, count(*) AS weight FROM (
-    SELECT r, k, ('0x' || substr(md5('{seed}|' || r::VARCHAR || '|' || d::VARCHAR), 1, 12))::BIGINT % k AS place FROM (SELECT DISTINCT k FROM {name}_places) n, (SELECT unnest(range(0, {bootstrap.REPLICATES})) AS r) a, LATERAL (SELECT unnest(range(0, k)) AS d) b
-  ) x JOIN {name}_places p ON p.place = x.place GROUP BY r, p.cluster_id
-)"""
-
-
 def _scores_sql(name: str, keys: str, sums: str, grams: str, cells: str) -> str:
     """`name` (keys, the ten metrics, persian_ocr_score) of sums by (keys, primary_stratum), grams by (keys, primary_stratum, kind, o) and cells by (keys, corruption, severity)."""
     on = lambda a, b: " AND ".join(f"{a}.{k.strip()} = {b}.{k.strip()}" for k in keys.split(","))

@@ -5,10 +5,11 @@ import json
 import os
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import adapters, bootstrap, checks, gates, images, joins, manifest, metrics
+from quire.operators import adapters, bootstrap, checks, gates, images, joins, manifest, metrics, quantiles
 from quire.operators.statistics import line_statistics, summed
 from quire.sources import readers, writers
 
@@ -114,12 +115,53 @@ def test_tiers_and_gate(spark):
     assert row.x and not row.y and abs(row.p - 4 / 6) < 1e-9
 
 
-def test_weights_sum_to_clusters(spark):
-    clusters = spark.createDataFrame([(f"c{i}",) for i in range(7)], "cluster_id string")
-    a = bootstrap.weights(spark, clusters, 20).collect()
-    assert {r: sum(x.weight for x in a if x.replicate == r) for r in range(20)} == dict.fromkeys(range(20), 7)
-    b = bootstrap.weights(spark, clusters.repartition(3), 20).collect()
-    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+def test_weights_are_poisson_and_depend_on_the_cluster_alone(spark):
+    clusters = spark.createDataFrame([(f"c{i}",) for i in range(40)], "cluster_id string")
+    a = sorted(map(tuple, bootstrap.weights(clusters, 500).collect()))
+    assert a == sorted(map(tuple, bootstrap.weights(clusters.repartition(3), 500).collect()))
+    own = bootstrap.weights(clusters.where("cluster_id = 'c7'"), 500)
+    assert [x for x in a if x[1] == "c7"] == sorted(map(tuple, own.collect()))
+    all_ = np.concatenate([bootstrap.draws("s", f"c{i}", 2000) for i in range(100)])
+    for k, share in enumerate((0.3679, 0.3679, 0.1839, 0.0613, 0.0153)):
+        assert (all_ == k).mean() == pytest.approx(share, abs=0.004)
+    assert len({bootstrap.draws("s", "x", 11).tobytes(), bootstrap.draws("t", "x", 11).tobytes(), bootstrap.draws("s", "y", 11).tobytes()}) == 3
+    assert bootstrap.draws("s", "x", 11).tolist() == bootstrap.draws("s", "x", 2000)[:11].tolist()
+
+
+def test_replicate_sums_are_those_of_a_join(spark, monkeypatch):
+    monkeypatch.setattr(bootstrap, "KEPT_GROUPS", 3)
+    rows = [(f"m{i % 5}", None if i % 7 == 0 else f"k{i % 3}", f"c{i % 11}", i * 1_000_003, -i) for i in range(200)]
+    frame = spark.createDataFrame(rows, "model_id string, kind string, cluster_id string, x bigint, y bigint").repartition(5)
+    got = bootstrap.replicate_sums(frame, ["model_id", "kind"], ["x", "y"], 24, "s").where("x <> 0 OR y <> 0")
+    drawn = bootstrap.weights(frame, 24, "s")
+    want = drawn.join(frame, "cluster_id").groupBy("replicate", "model_id", "kind").agg(F.sum(F.col("x") * F.col("weight")), F.sum(F.col("y") * F.col("weight")))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect())))
+    assert bootstrap.replicate_sums(frame.limit(0), ["model_id"], ["x"], 24).count() == 0
+
+
+def test_intervals_of_differences(spark):
+    rows = [(r, m, (r * 37 % 101) * k / 10.0 if (r, m) != (5, "b") else None) for r in range(600) for k, m in enumerate("abc")]
+    scores = spark.createDataFrame(rows, "replicate int, model_id string, score double")
+    got = {(r.model_a, r.model_b): (r.ci_low, r.ci_high) for r in bootstrap.difference_intervals(scores).collect()}
+    want = {(r.model_a, r.model_b): r.ci for r in joins.model_pairs(scores, ["replicate"]).groupBy("model_a", "model_b").agg(F.percentile("difference", F.array(F.lit(0.025), F.lit(0.975))).alias("ci")).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    both = {r.model_id: (r.ci_low, r.ci_high) for r in bootstrap.intervals(scores, "model_id").collect()}
+    assert both == {r.model_id: pytest.approx(tuple(r.ci)) for r in scores.groupBy("model_id").agg(F.percentile("score", F.array(F.lit(0.025), F.lit(0.975))).alias("ci")).collect()}
+
+
+@pytest.mark.parametrize("cells", [2, 4096])
+def test_quantiles_are_exact(spark, monkeypatch, cells):
+    monkeypatch.setattr(quantiles, "CELLS", cells)
+    rng = np.random.default_rng(1)
+    rows = [("a", float(x), float(y)) for x, y in zip(rng.normal(size=301), rng.integers(0, 3, 301), strict=True)] + [("one", 5.0, None), ("none", None, None), ("b", float("nan"), 1.7e308), ("b", -0.0, -1.7e308), ("b", 1e-320, 0.0), ("b", float("inf"), None)]
+    frame = spark.createDataFrame(rows, "k string, x double, y double").repartition(4)
+    wanted = {"x5": (F.col("x"), 0.05), "x50": (F.col("x"), 0.5), "x100": (F.col("x"), 1.0), "y95": (F.col("y"), 0.95), "y0": (F.col("y"), 0.0)}
+    got = {r.k: r for r in quantiles.quantiles(frame, ["k"], wanted).collect()}
+    for k in ("a", "one", "none", "b"):
+        for name, column, p in (("x5", 1, 5), ("x50", 1, 50), ("x100", 1, 100), ("y95", 2, 95), ("y0", 2, 0)):
+            values = [r[column] for r in rows if r[0] == k and r[column] is not None and abs(r[column]) < float("inf")]
+            assert got[k][name] == (pytest.approx(np.percentile(values, p), rel=1e-12) if values else None), (k, name)
+    assert quantiles.quantiles(frame.limit(0), ["k"], wanted).count() == 0
 
 
 @pytest.fixture(scope="module")
@@ -136,8 +178,7 @@ def test_replicates_have_the_score_of_the_board(sums):
     lines = sums.lines
     assert lines.where("cluster_id like 'writer:%'").count() == lines.where("primary_stratum = 'persian_handwriting' and writer_id is not null").count() > 0
     assert lines.where("split <> 'test'").isEmpty()
-    once = lambda frame: frame.select("cluster_id").distinct().select(F.lit(0).alias("replicate"), "cluster_id", F.lit(1).alias("weight"))
-    scores = bootstrap.replicate_scores(sums.clusters, once(sums.clusters), sums.degraded, once(sums.degraded))
+    scores = bootstrap.replicate_scores(sums.clusters, sums.degraded, 1, drawn=lambda seed, cluster, replicates: np.ones(replicates, np.uint8))
     want = {r.model_id: r for r in sums.scores().collect()}
     assert {r.model_id: r.score for r in scores.collect()} == {m: pytest.approx(r.persian_ocr_score) for m, r in want.items()}
     assert all(r.robustness is not None for r in want.values()) and want["exact"].robustness < 100 > want["repeating"].persian_ocr_score
@@ -148,8 +189,7 @@ def test_interval_of_equal_clusters_is_the_score(spark, sums):
     same = lambda frame, keys, columns: frame.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in columns]).select("*", F.explode(F.array(*[F.lit(f"c{i}") for i in range(5)])).alias("cluster_id"))
     clusters = same(sums.clusters, ["model_id", "primary_stratum"], bootstrap.SUMMED)
     degraded = same(sums.degraded, ["model_id", "corruption", "severity"], bootstrap.CELLS)
-    drawn = bootstrap.weights(spark, clusters.select("cluster_id").distinct(), 20)
-    got = bootstrap.intervals(bootstrap.replicate_scores(clusters, drawn, degraded, drawn), "model_id").collect()
+    got = bootstrap.intervals(bootstrap.replicate_scores(clusters, degraded, 20), "model_id").collect()
     want = {r.model_id: r.persian_ocr_score for r in sums.scores().collect()}
     assert {r.model_id: (r.ci_low, r.ci_high) for r in got} == {m: (pytest.approx(s), pytest.approx(s)) for m, s in want.items()}
 
