@@ -2,8 +2,9 @@
 
 The edit counts are those of the least (distance, number of insertions and deletions), so that they depend on
 no backtrace: with an insertion or deletion costing B and a substitution B - 1, the least cost holds both.
-Where a path is needed, moves are chosen from the end, diagonal before deletion before insertion. A path keeps two
-bits a cell of the table, so that lines of 20,000 characters are aligned in about 100 MB; costs are kept for one row.
+Where a path is needed, moves are chosen from the end, diagonal before deletion before insertion. The distance comes first, from bit-parallel
+columns; it bounds the diagonals that a best path can touch, and only these are worked out. Long paths are found part by part between
+kept rows, so memory is that of some rows of the table and not of the table.
 """
 
 from __future__ import annotations
@@ -29,18 +30,64 @@ def _shared(x: np.ndarray, y: np.ndarray) -> int:
     return int(differ[0]) if len(differ) else n
 
 
-def _rows(x: np.ndarray, y: np.ndarray):
-    """(costs, the costs before, costs by the diagonal) of each reference item's row of the table; each is one pass of array operations."""
-    steps = np.arange(len(y) + 1, dtype=np.int64) * B
-    row = steps
-    for c in x:
-        new = np.empty_like(row)
-        new[0] = row[0] + B
-        diagonal = row[:-1] + np.where(y == c, 0, B - 1)
-        np.minimum(row[1:] + B, diagonal, out=new[1:])
-        new = np.minimum.accumulate(new - steps) + steps
-        yield new, row, diagonal
-        row = new
+def distance(x: np.ndarray, y: np.ndarray) -> int:
+    """The edit distance, a column of the table at a time in the bits of whole numbers."""
+    if not len(x) or not len(y):
+        return max(len(x), len(y))
+    if len(x) > len(y):
+        x, y = y, x
+    at: dict[int, int] = {}
+    for i, c in enumerate(x.tolist()):
+        at[c] = at.get(c, 0) | 1 << i
+    full, last = (1 << len(x)) - 1, len(x) - 1
+    up, down, score = full, 0, len(x)  # where a column goes up by one from row to row, and where down
+    for c in y.tolist():
+        equal = at.get(c, 0)
+        level = equal | down
+        right = ((equal & up) + up ^ up) | equal
+        rise, fall = down | full & ~(right | up), up & right
+        score += (rise >> last & 1) - (fall >> last & 1)
+        rise, fall = (rise << 1 | 1) & full, fall << 1 & full
+        up, down = fall | full & ~(level | rise), rise & level
+    return score
+
+
+ONE = np.int64(B - 1)
+
+
+class _Band:
+    """The table of costs about the diagonals that a path of the least distance can touch: a row of it at a time, by j - i."""
+
+    FAR = np.int64(1) << 60
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        n, m = len(x), len(y)
+        spare = (distance(x, y) - abs(m - n)) // 2  # steps off the diagonals between start and end, and back
+        self.x, self.m = x.tolist(), m
+        self.lo, hi = min(0, m - n) - spare, max(0, m - n) + spare
+        self.width = hi - self.lo + 1
+        self.y = np.concatenate([np.full(max(0, -self.lo), -1, np.int64), y, np.full(max(0, n + hi - m) + 1, -1, np.int64)])  # y[j - 1] stands at j - 1 + max(0, -lo)
+        self.steps = np.arange(self.width, dtype=np.int64) * B
+        self.k = np.arange(self.width) + self.lo
+
+    def first(self) -> np.ndarray:
+        return np.where((self.k >= 0) & (self.k <= self.m), self.k * B, self.FAR)
+
+    def rows(self, row: np.ndarray, i: int, to: int):
+        """(row, cost by deletion, cost by the diagonal) of the rows after i, up to `to`."""
+        for i in range(i + 1, to + 1):
+            at = i - 1 + max(0, self.lo)
+            diagonal = (self.y[at : at + self.width] != self.x[i - 1]) * ONE
+            diagonal += row
+            deleted = np.empty_like(row)
+            np.add(row[1:], B, out=deleted[:-1])
+            deleted[-1] = self.FAR
+            new = np.minimum(deleted, diagonal)
+            new -= self.steps
+            np.minimum.accumulate(new, out=new)
+            new += self.steps
+            yield new, deleted, diagonal  # costs left of column 0 stay far, and none right of the last column comes back
+            row = new
 
 
 def counts(a, b) -> tuple[int, int, int]:
@@ -55,14 +102,47 @@ def counts(a, b) -> tuple[int, int, int]:
     n, m = len(x), len(y)
     if not n or not m:
         return 0, n, m
-    for row, _, _ in _rows(x, y):
+    band = _Band(x, y)
+    row = band.first()
+    for row, _, _ in band.rows(row, 0, n):
         pass
-    cost = int(row[-1])
+    cost = int(row[m - n - band.lo])
     distance = -(-cost // B)
     s = distance * B - cost
     return s, (distance - s + n - m) // 2, (distance - s - n + m) // 2
 
 
+#: Cells whose moves are kept at once, two bytes each, and rows that are kept of a larger part.
+CELLS, PARTS = 1 << 22, 16
+
+
+def _back(band: _Band, row: np.ndarray, i: int, to: int, j: int, out: list[str]) -> int:
+    """Moves of the rows after i up to `to`, from column j of the last; the column that it comes to in row i. A part with many cells keeps some of its rows and is solved between them from its end, so memory is that of a few rows."""
+    if (to - i) * band.width > CELLS and to - i > 1:
+        step = -(-(to - i) // PARTS)
+        kept = {i: row}
+        for at, (row, _, _) in enumerate(band.rows(row, i, to - 1), i + 1):
+            if (at - i) % step == 0:
+                kept[at] = row
+        for at in sorted(kept, reverse=True):
+            j = _back(band, kept.pop(at), at, min(at + step, to), j, out)
+        return j
+    marks = [(new == diagonal, new == deleted) for new, deleted, diagonal in band.rows(row, i, to)]
+    at = to
+    while at > i:
+        k = j - at - band.lo
+        if j and marks[at - i - 1][0][k]:
+            out.append("=" if band.x[at - 1] == band.y[j - 1 + max(0, -band.lo)] else "S")
+            at, j = at - 1, j - 1
+        elif not j or marks[at - i - 1][1][k]:
+            out.append("D")
+            at -= 1
+        else:
+            out.append("I")
+            j -= 1
+    return j
+
+
 def path(a, b) -> str:
     """The moves from start to end: = match, S, D, I. Equal items at the end are matches whatever stands before them."""
     if a == b:
@@ -70,19 +150,9 @@ def path(a, b) -> str:
     x, y = _codes(a, b)
     end = _shared(x[::-1], y[::-1])
     x, y = x[: len(x) - end], y[: len(y) - end]
-    marks = [(np.packbits(row[1:] == diagonal).tobytes(), np.packbits(row[1:] == before[1:] + B).tobytes()) for row, before, diagonal in _rows(x, y)]
-    i, j, out = len(x), len(y), ["=" * end]
-    while i or j:
-        bit = 0x80 >> (j - 1 & 7)
-        if i and j and marks[i - 1][0][j - 1 >> 3] & bit:
-            out.append("=" if x[i - 1] == y[j - 1] else "S")
-            i, j = i - 1, j - 1
-        elif i and (not j or marks[i - 1][1][j - 1 >> 3] & bit):
-            out.append("D")
-            i -= 1
-        else:
-            out.append("I")
-            j -= 1
+    band, out = _Band(x, y), ["=" * end]
+    j = _back(band, band.first(), 0, len(x), len(y), out)
+    out.append("I" * j)
     return "".join(reversed(out))
 
 

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.sources.store import stored
 
-
 MOST_MODELS = 10_000
 
 
@@ -74,27 +77,64 @@ def inherit(derived: DataFrame, samples: DataFrame, columns: list[str]) -> DataF
     return derived.join(samples.select(F.col("sample_id").alias("parent_sample_id"), *columns), "parent_sample_id")
 
 
-def near_hashes(hashed: DataFrame, id_column: str, hash_column: str, distance: int, bits: int = 64, bands: int | None = None) -> DataFrame:
+#: Hashes of a key beyond which it is cut finer.
+FULL_KEY = 1_024
+
+
+def _finer(mask: int, distance: int, bits: int) -> list[int]:
+    """Masks that each add bits to a mask, such that two hashes that agree on it and differ in at most `distance` bits agree on one of them: its other bits are cut into distance + 3 bands (as many as there are bits, if fewer), and all but `distance` of these are added."""
+    free = [i for i in range(bits) if not mask >> i & 1]
+    m = min(len(free), distance + 3)
+    if m <= distance:
+        return [mask]
+    bands = [sum(1 << i for i in free[len(free) * k // m : len(free) * (k + 1) // m]) for k in range(m)]
+    return [mask | sum(bands[k] for k in choice) for choice in itertools.combinations(range(m), m - distance)]
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def near_hashes(hashed: DataFrame, id_column: str, hash_column: str, distance: int, bits: int = 64, full: int = FULL_KEY) -> DataFrame:
     """Pairs of ids whose hashes differ in at most `distance` bits: each hash's least id with the hash's other ids, and the least ids of unequal hashes. So a group of copies gives as many pairs as it has ids, and no link between different hashes is lost.
 
-    The hash is cut into bands, of which `distance` at most can differ, so that bands - distance of them are equal: every choice
-    of so many bands is an equi-join key. distance + 1 bands give few short keys, more bands give more and longer ones, for
-    larger tables. The hashes are stored, so that they are computed once.
+    Of distance + 3 bands of the bits `distance` at most can differ, so that three are equal: every choice of three is an equi-join key. The hashes of a key
+    with more than `full` are cut by the bits that it leaves out, in the same way, and so on while bits are left: a key then has few bits left out, and so few
+    hashes. The hashes are stored, so that they are computed once.
     """
-    hashed = stored(hashed.where(F.col(hash_column).isNotNull()).select(id_column, hash_column), "hashes")
-    first = hashed.groupBy(hash_column).agg(F.min(id_column).alias("first"))
-    copies = hashed.join(first, hash_column).where(F.col(id_column) > F.col("first")).select(F.col("first").alias("id_a"), F.col(id_column).alias("id_b"), F.lit(0).alias("distance"))
-    m = bands or distance + 3
-    cuts = [bits * i // m for i in range(m + 1)]
-    masks = [((1 << cuts[i + 1]) - (1 << cuts[i])) - (1 << 64 if cuts[i + 1] == 64 else 0) for i in range(m)]
-    choices = list(itertools.combinations(range(m), m - distance))
-    mask = lambda choice: F.lit(sum(masks[i] for i in choice)).cast("bigint")
-    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("choice"), F.col("h").bitwiseAND(mask(c)).alias("value")) for k, c in enumerate(choices)])).alias("k")
-    rows = first.select(F.col("first").alias("id"), F.col(hash_column).alias("h")).select("id", "h", keys).select("id", "h", "k.choice", "k.value")
-    a, b = (rows.select(F.col("id").alias(f"id_{x}"), F.col("h").alias(f"h_{x}"), "choice", "value") for x in "ab")
+    spark = hashed.sparkSession
+    hashed = stored(hashed.where(F.col(hash_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(hash_column).cast("bigint").alias("h")), "hashes")
+    first = stored(hashed.groupBy("h").agg(F.min("id").alias("first")), "firsts")
+    copies = hashed.join(first, "h").where(F.col("id") > F.col("first")).select(F.col("first").alias("id_a"), F.col("id").alias("id_b"), F.lit(0).alias("distance"))
+    masks = _finer(0, distance, bits)
+    each = F.explode(F.array(*[F.lit(_signed(m)).cast("bigint") for m in masks])).alias("mask")
+    rows = first.select(F.col("first").alias("id"), "h", each).withColumn("value", F.col("h").bitwiseAND(F.col("mask")))
+    found = None
+    while True:
+        rows = stored(rows, "keys")
+        deeper = {m: _finer(m, distance, bits) for m in masks}
+        deeper = {m: f for m, f in deeper.items() if f != [m]}
+        sizes = stored(rows.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
+        cut = (F.col("n") > full) & F.col("mask").isin([_signed(m) for m in deeper]) if deeper else F.lit(False)
+        near = _pairs(rows.join(sizes.where(~cut).select("mask", "value"), ["mask", "value"], "left_semi"), distance)
+        found = near if found is None else found.unionByName(near)
+        large = sizes.where(cut).select("mask", "value")
+        if not deeper or large.isEmpty():
+            break
+        # keys of large keys' hashes: a table of masks, whose size follows from distance and bits
+        used = {r["mask"] for r in large.select("mask").distinct().collect()}
+        table = spark.createDataFrame([(_signed(m), _signed(f)) for m, finer in deeper.items() if _signed(m) in used for f in finer], "mask bigint, finer bigint")
+        masks = sorted({f for m, finer in deeper.items() if _signed(m) in used for f in finer})
+        again = rows.join(large, ["mask", "value"], "left_semi").join(table, "mask")
+        rows = again.select("id", "h", F.col("finer").alias("mask"), F.col("h").bitwiseAND(F.col("finer")).alias("value")).distinct()
+    return found.distinct().unionByName(copies)
+
+
+def _pairs(rows: DataFrame, distance: int) -> DataFrame:
+    a, b = (rows.select(F.col("id").alias(f"id_{x}"), F.col("h").alias(f"h_{x}"), "mask", "value") for x in "ab")
     diff = F.col("h_a").bitwiseXOR(F.col("h_b"))
-    near = a.join(b, ["choice", "value"]).where((F.col("id_a") < F.col("id_b")) & (F.bit_count(diff) <= distance))
-    return near.select("id_a", "id_b", F.bit_count(diff).cast("int").alias("distance")).distinct().unionByName(copies)
+    near = a.join(b, ["mask", "value"]).where((F.col("id_a") < F.col("id_b")) & (F.bit_count(diff) <= distance))
+    return near.select("id_a", "id_b", F.bit_count(diff).cast("int").alias("distance"))
 
 
 def model_pairs(scores: DataFrame, keys: list[str], value: str = "score") -> DataFrame:
@@ -105,10 +145,28 @@ def model_pairs(scores: DataFrame, keys: list[str], value: str = "score") -> Dat
 
 
 def anchors(samples: DataFrame, kind: str, quotas: dict[str, int], seed: str) -> DataFrame:
-    """For each type the samples that a seeded hash puts first, up to the type's quota."""
+    """For each type the samples that a seeded hash puts first, up to the type's quota, with their places. Each task keeps the first ones of its rows, by a
+    threshold that it lowers as it goes; only these are shuffled, so no type is sorted as a whole."""
+    rows = samples.where(F.col(kind).isin(list(quotas))).withColumn("draw", F.md5(F.concat_ws("|", F.lit(seed), "sample_id")))
+    kept = rows.mapInArrow(lambda batches: _first_of(batches, kind, quotas), rows.schema)
     quota = F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv])
-    place = F.row_number().over(Window.partitionBy(kind).orderBy(F.md5(F.concat_ws("|", F.lit(seed), "sample_id")), "sample_id"))
-    return samples.withColumn("place", place).where(F.col("place") <= F.coalesce(F.try_element_at(quota, F.col(kind)), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy(kind).orderBy("draw", "sample_id"))
+    return kept.withColumn("place", place).where(F.col("place") <= F.try_element_at(quota, F.col(kind))).drop("draw")
+
+
+def _first_of(batches: Iterator[pa.RecordBatch], kind: str, quotas: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    """Of a task's rows at most the quota of each type: those with the least draws, then ids."""
+    most, held = pa.array(list(quotas)), None
+    size = np.array(list(quotas.values()))
+    for batch in batches:
+        both = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+        both = both.take(pc.sort_indices(both, [(kind, "ascending"), ("draw", "ascending"), ("sample_id", "ascending")]))
+        of = np.asarray(pc.index_in(both.column(kind), most))
+        begins = np.flatnonzero(np.diff(of, prepend=-1))
+        place = np.arange(len(of)) - np.repeat(begins, np.diff(np.append(begins, len(of))))
+        held = both.take(np.flatnonzero(place < size[of]))
+    if held is not None:
+        yield from held.to_batches()
 
 
 def corruption_grid(parents: DataFrame, families: list[str], severities: tuple[int, ...] = (1, 2, 3)) -> DataFrame:

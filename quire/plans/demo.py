@@ -92,6 +92,11 @@ def smoke(spark: SparkSession) -> DataFrame:
     return literal_samples(spark, SMOKE)
 
 
+def gate_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty lines of `benchmark` that stand for the smoke set in the gate: its size is the gate's."""
+    return samples(spark, sf_dir).where(F.col("item_id") < len(SMOKE))
+
+
 def models(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(s,) for s in SYSTEMS], "model_id string")
 
@@ -224,7 +229,7 @@ GRID_SQL = f"""models AS (
   FROM models m CROSS JOIN samples s LEFT JOIN final f ON f.model_id = m.model_id AND f.sample_id = s.sample_id
 )"""
 PREDICTIONS_SQL = f"{SAMPLES_SQL}, {GRID_SQL}"
-SMOKE_GRID_SQL = f"{SMOKE_SQL}, {GRID_SQL}"
+GATE_GRID_SQL = f"""{SAMPLES_SQL.replace("), samples AS (", "), every_sample AS (")}, samples AS (SELECT * FROM every_sample WHERE item_id < {len(SMOKE)}), {GRID_SQL}"""
 
 ANCHORS_SQL = f"""typed AS (
   SELECT sample_id, CASE WHEN primary_stratum = 'clean_modern_printed' THEN 'modern_print' WHEN primary_stratum = 'persian_handwriting' THEN 'handwriting'

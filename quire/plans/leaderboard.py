@@ -25,8 +25,8 @@ def lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_statistics(joins.work_grid(demo.models(spark), demo.samples(spark, sf_dir), demo.predictions(spark, sf_dir)))
 
 
-def smoke_lines(spark: SparkSession) -> DataFrame:
-    samples = demo.smoke(spark)
+def gate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = demo.gate_samples(spark, sf_dir)
     return line_statistics(joins.work_grid(demo.models(spark), samples, demo.attempts(samples, spark)))
 
 
@@ -82,7 +82,7 @@ def leaderboard(spark: SparkSession, sf_dir: str, replicates: int = bootstrap.RE
     speed = metrics.efficiency(attempts, "model_id")
     frozen = reproducibility(spark, sf_dir)
     kept = sums.lines.groupBy("model_id").agg(F.avg((F.col("raw_prediction").isNotNull()).cast("double")).alias("raw_share"))
-    gate = gates.statuses(gates.smoke_gate(smoke_lines(spark)), demo.registry(spark))
+    gate = gates.statuses(gates.smoke_gate(gate_lines(spark, sf_dir)), demo.registry(spark))
     joined = board.join(tiered.drop("persian_ocr_score"), "model_id").join(failed, "model_id").join(speed, "model_id").join(gate, "model_id").join(frozen.drop("track"), "model_id").join(kept, "model_id")
     able = gates.rankable(F.col("status"), F.col("completion"), F.col("reproducible"), F.col("track"), F.col("raw_share"))
     rounded = [F.round(c, 6).alias(c) for c in ("persian_ocr_score", "ci_low", "ci_high", *COMPONENTS, "failure_rate", "latency_mean", "latency_p95", "api_cost")]

@@ -11,8 +11,8 @@ from quire.functions import text
 from quire.operators import adapters, bootstrap, checks, gates, images, joins, manifest, metrics
 from quire.operators.statistics import line_statistics, summed
 from quire.plans import demo
-from quire.plans.demo import ANCHORS_SQL, DEGRADED_SQL, GRID_SQL, PREDICTIONS_SQL, SAMPLES_SQL, SMOKE_GRID_SQL, SMOKE_SQL, alignment_sql, canonical_sql, distance_sql, path_sql, table
-from quire.plans.leaderboard import Sums, degraded_sums, leaderboard, lines_of, reproducibility, smoke_lines, views
+from quire.plans.demo import ANCHORS_SQL, DEGRADED_SQL, GRID_SQL, PREDICTIONS_SQL, SAMPLES_SQL, GATE_GRID_SQL, SMOKE_SQL, alignment_sql, canonical_sql, distance_sql, path_sql, table
+from quire.plans.leaderboard import Sums, degraded_sums, gate_lines, leaderboard, lines_of, reproducibility, views
 from quire.sources import readers, writers
 from quire.sources.schemas import METRIC_WEIGHTS, STRATUM_WEIGHTS
 from quire.sources.store import place, stored
@@ -460,10 +460,9 @@ def board_views(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Whether a run of k characters, up to ten, stands five times in a row: then what is four runs long equals what starts one run later.
 REPEATS = " OR ".join(f"coalesce(list_bool_or(list_transform(range(1, length({{0}}) + 1), lambda p: length({{0}}) >= p + {5 * k - 1} AND substr({{0}}, p, {4 * k}) = substr({{0}}, p + {k}, {4 * k}))), false)" for k in range(1, 11))
-SMOKE_CANON = alignment_sql(R, P, "canon", TEXT_LINES, steps=8)
 
 
-@query(f"""WITH RECURSIVE {SMOKE_GRID_SQL}, {SMOKE_CANON}, lines AS (
+@query(f"""WITH RECURSIVE {GATE_GRID_SQL}, {CANON}, lines AS (
   SELECT *, (length(reference_raw) > 0 AND length(prediction) > 4 * length(reference_raw)) OR (({REPEATS.format('prediction')}) AND NOT ({REPEATS.format('reference_raw')})) AS bad,
          len(regexp_extract_all(prediction, '\\p{{L}}')) AS letters, len(list_filter(regexp_extract_all(prediction, '\\p{{L}}'), lambda c: regexp_matches(c, '[\\x{{0600}}-\\x{{06FF}}\\x{{0750}}-\\x{{077F}}\\x{{FB50}}-\\x{{FDFF}}\\x{{FE70}}-\\x{{FEFC}}]'))) AS persian_letters FROM grid
 ), gate AS (
@@ -477,8 +476,8 @@ SMOKE_CANON = alignment_sql(R, P, "canon", TEXT_LINES, steps=8)
 SELECT model_id, track, CASE WHEN track = 'not_ocr' THEN 'NOT_APPLICABLE' WHEN n_failed = 0 THEN 'QUALIFIED' WHEN n_failed = 1 THEN 'BORDERLINE' ELSE 'FAILED_PERSIAN_SUPPORT' END AS status,
        n_success, n_nonempty, round(cer_score, 6) AS cer_score, round(persian, 6) AS persian, n_catastrophic, n_failed FROM tracks JOIN judged USING (model_id)""")
 def smoke_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G1-G3 on the smoke set."""
-    gate = gates.smoke_gate(smoke_lines(spark))
+    """G1-G3 on twenty lines of `benchmark`."""
+    gate = gates.smoke_gate(gate_lines(spark, sf_dir))
     return gates.statuses(gate, demo.registry(spark)).join(gate, "model_id", "left").withColumn("cer_score", F.round("cer_score", 6)).withColumn("persian", F.round("persian", 6))
 
 
@@ -490,12 +489,30 @@ def smoke_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return demo.smoke(spark).select("sample_id", "primary_stratum", "is_blank", "source_document_id", "sha256", spans.alias("spans"))
 
 
-@query(f"""WITH {SMOKE_GRID_SQL}, wanted(sample_id, type, n) AS (VALUES ('smoke_013', 'phone', 1), ('smoke_014', 'integer', 2), ('smoke_015', 'time', 1), ('smoke_015', 'date', 1), ('smoke_015', 'price', 1), ('smoke_015', 'percentage', 1))
-SELECT model_id, type, sum(n)::BIGINT AS spans, sum(CASE WHEN prediction = '' THEN 0 ELSE n END)::BIGINT AS spans_exact
-FROM grid JOIN wanted USING (sample_id) WHERE model_id <> 'spaceless' GROUP BY model_id, type""")
+#: Lines made from `customer`: a number, a share, a price and a date, of which one system reads every 7 as 1 and one leaves out what follows the last space.
+TYPED_SQL = """typed AS (
+  SELECT c_custkey AS k, c_custkey::VARCHAR AS a, (c_custkey % 90 + 10)::VARCHAR || '%' AS b, c || '.' || lpad((abs(round(c_acctbal * 100))::BIGINT % 100)::VARCHAR, 2, '0') AS p, (1390 + c_custkey % 10)::VARCHAR || '/' || lpad((c_custkey % 12 + 1)::VARCHAR, 2, '0') || '/17' AS d
+  FROM (SELECT c_custkey, c_acctbal, (abs(round(c_acctbal * 100))::BIGINT // 100)::VARCHAR AS c FROM customer) t
+)"""
+
+
+@query(f"""WITH {TYPED_SQL}, spans AS (
+  SELECT k, unnest(['integer', 'percentage', 'price', 'date']) AS type, unnest([a, b, p, d]) AS raw, unnest([false, false, false, true]) AS last FROM typed
+), systems AS (SELECT unnest(['sevens', 'last']) AS model_id)
+SELECT model_id, type, count(*) AS spans, count(*) FILTER (WHERE CASE WHEN model_id = 'sevens' THEN NOT contains(raw, '7') ELSE NOT last END) AS spans_exact FROM spans CROSS JOIN systems GROUP BY model_id, type""")
 def numeric_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact spans by type on the smoke set, of the systems that keep words apart: none of these changes a digit, so what they answer is exact."""
-    return metrics.by_span_type(smoke_lines(spark).where("model_id <> 'spaceless'"), "model_id")
+    """Exact spans by type on a line a customer, read by two systems."""
+    k, cents = F.col("c_custkey"), F.abs(F.round(F.col("c_acctbal") * 100)).cast("bigint")
+    price = F.concat(F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+    date = F.concat((1390 + k % 10).cast("string"), F.lit("/"), F.lpad((k % 12 + 1).cast("string"), 2, "0"), F.lit("/17"))
+    raws = {"integer": k.cast("string"), "percentage": F.concat((k % 90 + 10).cast("string"), F.lit("%")), "price": price, "date": date}
+    typed = table(spark, sf_dir, "customer").select(k.alias("sample_id"), F.array(*[F.struct(F.lit(t).alias("type"), v.alias("raw")) for t, v in raws.items()]).alias("raws"))
+    line = F.concat_ws(" ", F.lit("شماره"), F.col("raws")[0]["raw"], F.lit("با"), F.col("raws")[1]["raw"], F.lit("به مبلغ"), F.col("raws")[2]["raw"], F.lit("در"), F.col("raws")[3]["raw"])
+    lines = typed.withColumn("reference_raw", line).withColumn("found", text.numeric_spans(F.col("reference_raw"), F.col("raws")))
+    spans = F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["type"].alias("type"), s["raw"].alias("raw"), text.numeric_value(s["raw"], s["type"], s["preserve_leading_zero"]).alias("canonical_value"), s["preserve_leading_zero"].alias("preserve_leading_zero")))
+    read = F.explode(F.array(F.struct(F.lit("sevens").alias("model_id"), F.translate("reference_raw", "7", "1").alias("prediction")), F.struct(F.lit("last").alias("model_id"), F.regexp_replace("reference_raw", " [^ ]*$", "").alias("prediction")))).alias("r")
+    grid = lines.select("sample_id", "reference_raw", F.lit(False).alias("is_blank"), spans.cast(demo.SPANS).alias("numeric_spans"), read).select("*", "r.model_id", "r.prediction").drop("r")
+    return metrics.by_span_type(line_statistics(grid), "model_id")
 
 
 @query("""SELECT doc_id, regexp_replace(text, '\\r\\n', chr(10), 'g') AS strict FROM documents""".replace("\\r\\n", "\r\n"))
@@ -554,31 +571,41 @@ def repeated_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.repeated_checksums(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"), F.sha2("text", 256).alias("sha256")))
 
 
-@query("""WITH bits AS (SELECT doc_id, list_sum(list_transform(range(0, 64), lambda i: CASE WHEN contains('aeiou ', substr(lower(text), (1 + i * length(text) // 64)::INT, 1)) THEN (1::HUGEINT << i) ELSE 0::HUGEINT END)) AS h FROM documents)
-, firsts AS (SELECT h, min(doc_id) AS id FROM bits GROUP BY h)
-SELECT a.id AS id_a, b.id AS id_b, bit_count(xor(a.h::UBIGINT, b.h::UBIGINT))::INT AS distance FROM firsts a JOIN firsts b ON a.id < b.id WHERE bit_count(xor(a.h::UBIGINT, b.h::UBIGINT)) <= 3
-UNION ALL SELECT f.id, b.doc_id, 0::INT FROM bits b JOIN firsts f ON f.h = b.h WHERE b.doc_id > f.id""")
+#: After `bits` (id, h): the pairs that near_hashes gives.
+def _near_sql(distance: int) -> str:
+    return f""", firsts AS (SELECT h, min(id) AS id FROM bits GROUP BY h)
+SELECT a.id AS id_a, b.id AS id_b, bit_count(xor(a.h::UBIGINT, b.h::UBIGINT))::INT AS distance FROM firsts a JOIN firsts b ON a.id < b.id WHERE bit_count(xor(a.h::UBIGINT, b.h::UBIGINT)) <= {distance}
+UNION ALL SELECT f.id, b.id, 0::INT FROM bits b JOIN firsts f ON f.h = b.h WHERE b.id > f.id"""
+
+
+@query(r"""WITH counted AS (
+  SELECT doc_id, md5(w) AS m, count(*) AS n FROM (SELECT doc_id, unnest(string_split_regex(text, '[\x20\x09-\x0D]+')) AS w FROM documents) t WHERE w <> '' GROUP BY ALL
+), sums AS (
+  SELECT doc_id, bit, sum(CASE WHEN (('0x' || substr(m, (1 + 8 * (bit // 32))::INT, 8))::BIGINT >> (bit % 32)) & 1 = 1 THEN n ELSE -n END) AS s FROM counted, (SELECT unnest(range(0, 64)) AS bit) b GROUP BY ALL
+), bits AS (SELECT doc_id AS id, sum(CASE WHEN s > 0 THEN 1::HUGEINT << bit ELSE 0 END) AS h FROM sums GROUP BY doc_id)""" + _near_sql(3))
 def near_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents whose 64-bit hashes differ in at most three bits. A bit is whether the character at its place of the text is a vowel or a space."""
-    bits = lambda t: F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: _bit(t, i)), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(x))
-    own = F.struct(F.lower("text").alias("x"), F.char_length("text").alias("n"))  # bound once, as the only element of an array
-    return joins.near_hashes(table(spark, sf_dir, "documents").select("doc_id", F.transform(F.array(own), bits)[0].alias("h")), "doc_id", "h", 3)
+    """Documents whose 64-bit hashes differ in at most three bits. A hash is read from all words of a text: a bit is what most of their hashes have; texts without words have none."""
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("w")).where("w <> ''")
+    half = lambda k: F.conv(F.substring("m", 1 + 8 * k, 8), 16, 10).cast("bigint").alias(f"h{k}")
+    halves = words.select("doc_id", F.md5("w").alias("m")).select("doc_id", half(0), half(1))
+    vote = lambda i: F.sum(F.when(F.col(f"h{i // 32}").bitwiseAND(1 << i % 32) != 0, 1).otherwise(-1)).alias(f"b{i}")
+    votes = halves.groupBy("doc_id").agg(*[vote(i) for i in range(64)])
+    bit = lambda i: F.when(F.col(f"b{i}") > 0, F.lit((1 << i) - ((1 << 64) if i == 63 else 0)).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    return joins.near_hashes(votes.select("doc_id", _added([bit(i) for i in range(64)]).alias("h")), "doc_id", "h", 3)
 
 
-def _bit(t: Column, i: Column) -> Column:
-    at = F.substring(t["x"], (1 + F.floor(i * t["n"] / 64)).cast("int"), F.lit(1))
-    return F.when(F.contains(F.lit("aeiou "), at), F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))
+def _added(bits: list[Column]) -> Column:
+    """Bitwise or, as a balanced tree."""
+    while len(bits) > 1:
+        bits = [a.bitwiseOR(b) for a, b in zip(bits[::2], bits[1::2], strict=True)]
+    return bits[0]
 
 
-@query("""WITH bits AS (SELECT vec_id, list_sum(list_transform(range(1, 65), lambda k: CASE WHEN embedding[k] > 0 THEN (1::HUGEINT << (k - 1)) ELSE 0::HUGEINT END)) AS h FROM embeddings)
-, firsts AS (SELECT h, min(vec_id) AS id FROM bits GROUP BY h)
-SELECT a.id AS id_a, b.id AS id_b, bit_count(xor(a.h::UBIGINT, b.h::UBIGINT))::INT AS distance FROM firsts a JOIN firsts b ON a.id < b.id WHERE bit_count(xor(a.h::UBIGINT, b.h::UBIGINT)) <= 10
-UNION ALL SELECT f.id, b.vec_id, 0::INT FROM bits b JOIN firsts f ON f.h = b.h WHERE b.vec_id > f.id""")
+@query("""WITH bits AS (SELECT vec_id AS id, list_sum(list_transform(range(1, 33), lambda k: CASE WHEN embedding[k]::DOUBLE + embedding[k + 32] > 0 THEN (1::HUGEINT << (k - 1)) ELSE 0::HUGEINT END)) AS h FROM embeddings)""" + _near_sql(5))
 def near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hashes of the embeddings' signs that differ in at most ten bits."""
-    one = lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))
-    h = F.aggregate(F.transform("embedding", one), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(x))
-    return joins.near_hashes(table(spark, sf_dir, "embeddings").select("vec_id", h.alias("h")), "vec_id", "h", 10)
+    """Hashes of 32 bits, the signs of sums of two components of an embedding, that differ in at most five bits."""
+    one = lambda k: F.when(F.get("embedding", F.lit(k)).cast("double") + F.get("embedding", F.lit(k + 32)) > 0, F.lit(1 << k).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    return joins.near_hashes(table(spark, sf_dir, "embeddings").select("vec_id", _added([one(k) for k in range(32)]).alias("h")), "vec_id", "h", 5, bits=32)
 
 
 @query(f"""WITH {SAMPLES_SQL} SELECT split, coalesce(primary_stratum, '') AS primary_stratum, count(*) AS n, count(*) FILTER (WHERE origin = 'real') AS real,
@@ -720,6 +747,38 @@ def registry_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.candidates(spark, path)
 
 
+#: What a file of documents says of one in ten: no number, a field too many.
+FAULTS = "CASE doc_id % 10 WHEN 3 THEN 'n_chars: not int' WHEN 7 THEN {} ELSE '' END"
+
+
+@query(f"""SELECT doc_id, {FAULTS.format("'another number of fields'")} AS fault, CASE WHEN doc_id % 10 IN (3, 7) THEN NULL ELSE sha256(text) END AS digest FROM documents""")
+def csv_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as CSV that expressions write by RFC 4180 (quotes doubled, line breaks within quotes), read again; rows that don't fit are set aside with reasons."""
+    path, i = place(spark, "csv"), F.col("doc_id")
+    own = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "text")
+    quoted = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
+    row = F.concat_ws(",", i.cast("string"), F.when(i % 10 == 3, "many").otherwise(F.col("n_chars").cast("string")), quoted, F.when(i % 10 == 7, "more"))
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0  # of a file
+    own.select(F.when(first, F.concat(F.lit("doc_id,n_chars,text\n"), row)).otherwise(row).alias("value")).write.text(path)
+    return _apart(*readers.csv_rows(spark, path, "doc_id bigint, n_chars int, text string"))
+
+
+@query(f"""SELECT doc_id, {FAULTS.format("'no JSON'")} AS fault, CASE WHEN doc_id % 10 IN (3, 7) THEN NULL ELSE sha256(text) END AS digest FROM documents WHERE doc_id % 10 <> 5
+UNION ALL SELECT doc_id, 'no object', NULL FROM documents WHERE doc_id % 10 = 5""")
+def json_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as JSON lines, some broken: a text where a number belongs, a line cut short, an array; with blank lines between."""
+    path, i = place(spark, "json"), F.col("doc_id")
+    number = lambda n: F.to_json(F.struct("doc_id", n.alias("n_chars"), "text"))
+    line = F.when(i % 10 == 3, number(F.lit("many"))).when(i % 10 == 7, F.concat(F.substring(number(F.col("n_chars")), F.lit(1), F.lit(30)), F.lit("\n  "))).when(i % 10 == 5, F.concat(F.lit("["), i.cast("string"), F.lit("]"))).otherwise(number(F.col("n_chars")))
+    table(spark, sf_dir, "documents").select(line.alias("value")).write.text(path)
+    return _apart(*readers.json_rows(spark, path, "doc_id bigint, n_chars int, text string"))
+
+
+def _apart(good: DataFrame, rejected: DataFrame) -> DataFrame:
+    kept = good.select("doc_id", F.lit("").alias("fault"), F.sha2("text", 256).alias("digest"))
+    return kept.unionByName(rejected.select(F.regexp_extract("row", "[0-9]+", 0).cast("bigint").alias("doc_id"), F.array_join("reasons", "; ").alias("fault"), F.lit(None).cast("string").alias("digest")))
+
+
 @query(f"""WITH {PREDICTIONS_SQL} SELECT 'run1' AS run_id, model_id, sample_id, '{{"text":' || to_json(raw_prediction)::VARCHAR || '}}' AS response FROM predictions WHERE status = 'success'""")
 def audit_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K7: the answers of services, kept word for word in a folder of their own."""
@@ -729,15 +788,18 @@ def audit_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("run_id string, sample_id string, response string, model_id string").parquet(path).select("run_id", "model_id", "sample_id", "response")
 
 
-@query(f"""WITH {SMOKE_SQL} SELECT sample_id, CASE WHEN sample_id <> 'smoke_004' THEN 'PNG' END AS format, CASE WHEN sample_id = 'smoke_004' THEN NULL WHEN is_blank THEN 640 ELSE greatest(360, 2 * length(reference_raw) + 40) END::INT AS width,
-  CASE WHEN sample_id = 'smoke_004' THEN NULL WHEN is_blank THEN 120 ELSE 82 END::INT AS height, CASE WHEN is_blank OR sample_id = 'smoke_004' THEN NULL ELSE 22 END::INT AS ink, sample_id <> 'smoke_004' AS checked, CASE WHEN sample_id = 'smoke_004' THEN 'V2' ELSE '' END AS violations FROM samples""")
+@query(f"""WITH {SAMPLES_SQL} SELECT sample_id, CASE WHEN item_id % 10 <> 3 THEN 'PNG' END AS format, CASE WHEN item_id % 10 = 3 THEN NULL WHEN is_blank THEN 640 ELSE greatest(360, 2 * length(reference_raw) + 40) END::INT AS width,
+  CASE WHEN item_id % 10 = 3 THEN NULL WHEN is_blank THEN 120 ELSE 82 END::INT AS height, CASE WHEN is_blank OR item_id % 10 = 3 THEN NULL ELSE 22 END::INT AS ink, item_id % 10 NOT IN (3, 6) AS checked, CASE item_id % 10 WHEN 3 THEN 'V2' WHEN 6 THEN 'V3' ELSE '' END AS violations FROM samples""")
 def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The smoke set's images written as PNG files, one left out, found again by path, decoded and checked."""
-    path, samples = place(spark, "images"), demo.smoke(spark)
-    files = images.rendered(samples).withColumn("sha256", F.sha2("content", 256))
-    writers.images(files.where("sample_id <> 'smoke_004'"), path)
-    listed = samples.drop("sha256").join(files.select("sample_id", "sha256"), "sample_id").withColumn("image_path", F.concat(F.col("sample_id"), F.lit(".png")))
-    found = readers.with_images(listed, readers.images(spark, path))
+    """An image a line of `benchmark`, written as files, found again by path, decoded and checked. One of ten is left out, though a folder whose name ends alike has it; one of ten has another file's checksum."""
+    path, i = place(spark, "images"), F.col("item_id")
+    samples = demo.samples(spark, sf_dir)
+    files = stored(images.rendered(samples).withColumn("sha256", F.sha2("content", 256)), "rendered")
+    listed = samples.drop("sha256").join(files.select("sample_id", "sha256"), "sample_id").withColumn("image_path", F.concat(F.lit("set/"), F.col("sample_id"), F.lit(".png"))).withColumn("sha256", F.when(i % 10 == 6, F.lit("0" * 64)).otherwise(F.col("sha256")))
+    left_out = listed.where(i % 10 == 3).select("sample_id")
+    writers.images(files.join(left_out, "sample_id", "left_anti"), f"{path}/set")
+    writers.images(files.join(left_out, "sample_id", "left_semi"), f"{path}/old/set")
+    found = readers.with_images(listed, readers.images(spark, path), path)
     pixels = images.decoded(found)
     bad = checks.files(found).unionByName(checks.contrast(pixels.join(samples.select("sample_id", "is_blank"), "sample_id").where("format is not null")))
     wrong = bad.groupBy("sample_id").agg(F.array_join(F.sort_array(F.collect_set("check")), " ").alias("violations"))
@@ -758,12 +820,23 @@ def adapter_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Audits.
 
 
-@query(f"""WITH models AS (SELECT unnest({demo.SYSTEMS!r}) AS id)
-SELECT id, id <> 'spaceless' AS image_to_text, id NOT IN ('partial', 'preamble', 'arabic') AS public_checkpoint, CASE WHEN id <> 'failing' THEN true END AS persian_output, id = 'preamble' AS needs_detector, id <> 'preamble' AS needs_line_crops,
-  id IN ('preamble', 'arabic') AS needs_api_key, id <> 'swapping' AS reproducible, CASE WHEN id <> 'swapping' THEN 'r1' END AS official_revision, ((id = 'failing')::INT + (id = 'swapping')::INT)::INT AS open_questions FROM models""")
+@query("""WITH r AS (
+  SELECT 'model.' || s_suppkey AS id, CASE s_suppkey % 5 WHEN 0 THEN 'not_ocr' WHEN 1 THEN 'pipeline' ELSE 'general_line_recognition' END AS track, s_nationkey <> 3 AS has_repository, s_acctbal > 0 AS ready, s_nationkey % 4 = 1 AS api, s_suppkey % 7 AS revision, s_nationkey % 6 AS persian, s_suppkey FROM supplier
+)
+SELECT id, track <> 'not_ocr' AS image_to_text, has_repository AND ready AND NOT api AS public_checkpoint, CASE WHEN persian > 0 THEN persian > 2 END AS persian_output, track = 'pipeline' AS needs_detector, track <> 'pipeline' AS needs_line_crops, api AS needs_api_key,
+  revision NOT IN (0, 1) AS reproducible, CASE WHEN revision > 1 THEN 'r' || s_suppkey END AS official_revision, ((persian = 0)::INT + (revision < 2)::INT)::INT AS open_questions FROM r""")
 def registry_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P14, K4."""
-    return manifest.audit(demo.registry(spark))
+    """A registry made from `supplier`, written as CSV, read again and audited. Some candidates have no revision or the placeholder of one."""
+    path, k, n = place(spark, "registry"), F.col("s_suppkey"), F.col("s_nationkey")
+    name = F.concat(F.lit("model."), k.cast("string"))
+    track = F.when(k % 5 == 0, "not_ocr").when(k % 5 == 1, "pipeline").otherwise("general_line_recognition")
+    rows = table(spark, sf_dir, "supplier").select(
+        name.alias("id"), track.alias("track"), F.when(n != 3, F.concat(F.lit("hub/"), name)).alias("repository"), F.when(k % 7 == 0, F.lit(manifest.NO_REVISION)).when(k % 7 > 1, F.concat(F.lit("r"), k.cast("string"))).alias("revision"),
+        F.when(F.col("s_acctbal") > 0, "ready").otherwise("gated").alias("availability"), (n % 4 == 1).alias("requires_api_key"), F.when(track == "pipeline", "page_image").otherwise("line_image").alias("input_mode"), F.when(n % 6 > 0, n % 6 > 2).alias("persian_tokenizer"),
+    )
+    writers.csv(rows, path)
+    good, rejected = readers.csv_rows(spark, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields))
+    return manifest.audit(good)
 
 
 @query(f"""WITH {PREDICTIONS_SQL} SELECT model_id, count(DISTINCT config_hash) AS configurations, 1::BIGINT AS prompts, 1::BIGINT AS revisions, count(DISTINCT config_hash) = 1 AS frozen FROM predictions GROUP BY model_id""")

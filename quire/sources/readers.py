@@ -4,20 +4,56 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from quire.operators.manifest import relative_path
 from quire.sources import schemas
 
 
+#: RFC 4180: quotes are doubled, and quoted fields may have line breaks. A byte order mark is allowed.
+CSV = {"header": True, "escape": '"', "multiLine": True}
+BROKEN = "quire_broken"
+
+
 def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """The registry of systems: CSV with a header, a byte order mark allowed."""
-    return spark.read.schema(schemas.CANDIDATES).csv(path, header=True, mode="FAILFAST")
+    """The registry of systems: CSV with a header. A row that doesn't fit fails the job; `csv_rows` sets such rows aside."""
+    return spark.read.schema(schemas.CANDIDATES).csv(path, mode="FAILFAST", **CSV)
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines; blank lines are skipped and a broken one fails the job."""
+    """JSON lines; blank lines are skipped and a broken one fails the job. `json_rows` sets broken ones aside."""
     return spark.read.schema(schema).json(path, mode="FAILFAST")
 
 
+def csv_rows(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of the schema, rejected): rejected are rows with another number of fields, or with a field that isn't of its type, as file, row (the text, or the fields as JSON) and reasons."""
+    fields = T.StructType.fromDDL(schema).fields
+    texts = T.StructType([T.StructField(f.name, T.StringType()) for f in fields] + [T.StructField(BROKEN, T.StringType())])
+    read = spark.read.schema(texts).csv(path, mode="PERMISSIVE", columnNameOfCorruptRecord=BROKEN, **CSV).withColumn("file", F.input_file_name())
+    cast = {f.name: F.col(f"`{f.name}`").try_cast(f.dataType) for f in fields}
+    wrong = [F.when(F.col(f"`{f.name}`").isNotNull() & cast[f.name].isNull(), F.lit(f"{f.name}: not {f.dataType.simpleString()}")) for f in fields]
+    reasons = F.when(F.col(BROKEN).isNotNull(), F.array(F.lit("another number of fields"))).otherwise(F.array_compact(F.array(*wrong)))
+    judged = read.withColumn("reasons", reasons)
+    row = F.coalesce(F.col(BROKEN), F.to_json(F.struct(*[f"`{f.name}`" for f in fields])))
+    good = judged.where(F.size("reasons") == 0).select(*[c.alias(n) for n, c in cast.items()])
+    return good, judged.where(F.size("reasons") > 0).select("file", row.alias("row"), "reasons")
+
+
+def json_rows(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of the schema, rejected): rejected are lines that are no JSON objects, or have a field that isn't of its type, as file, row and reasons. Blank lines are neither."""
+    fields = T.StructType.fromDDL(schema).fields
+    lines = spark.read.text(path).select("value", F.input_file_name().alias("file")).where("trim(value) <> ''")
+    typed = T.StructType([*fields, T.StructField(BROKEN, T.StringType())])
+    read = lines.withColumn("r", F.from_json("value", typed, {"columnNameOfCorruptRecord": BROKEN}))
+    raw = F.try_parse_json("value")
+    object_ = F.startswith(F.schema_of_variant(raw), F.lit("OBJECT"))
+    wrong = [F.when(F.try_variant_get(raw, f"$['{f.name}']", "variant").isNotNull() & F.from_json("value", T.StructType([f]), {"mode": "PERMISSIVE"})[f.name].isNull() & ~F.is_variant_null(F.try_variant_get(raw, f"$['{f.name}']", "variant")), F.lit(f"{f.name}: not {f.dataType.simpleString()}")) for f in fields]
+    named = F.array_compact(F.array(*wrong))
+    reasons = F.when(raw.isNull(), F.array(F.lit("no JSON"))).when(~object_, F.array(F.lit("no object"))).when(F.col(f"r.{BROKEN}").isNotNull(), F.when(F.size(named) > 0, named).otherwise(F.array(F.lit("a field inside isn't of its type")))).otherwise(F.array().cast("array<string>"))
+    judged = read.withColumn("reasons", reasons)
+    return judged.where(F.size("reasons") == 0).select(*[F.col(f"r.`{f.name}`").alias(f.name) for f in fields]), judged.where(F.size("reasons") > 0).select("file", F.col("value").alias("row"), "reasons")
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     return json_lines(spark, path, schemas.SAMPLES)
 
@@ -36,11 +72,14 @@ def images(spark: SparkSession, path: str, pattern: str = "*.png") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", "content", "length")
 
 
-def with_images(samples: DataFrame, files: DataFrame) -> DataFrame:
-    """samples with `content`, null where the file is missing. Paths are compared by their ends: image_path is relative."""
-    keyed = files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("path").alias("file_path"), "content")
-    own = samples.withColumn("file_name", F.element_at(F.split("image_path", "/"), -1))
-    return own.join(keyed, (own.file_name == keyed.file_name) & keyed.file_path.endswith(own.image_path), "left").drop("file_name", "file_path")
+def with_images(samples: DataFrame, files: DataFrame, root: str) -> DataFrame:
+    """samples with `content`, null where the file is missing. image_path is relative to the root, and so are the files' paths made: equal ones meet, a file at most. Only files that are asked for are shuffled with their bytes."""
+    spark = files.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    top = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString()
+    keyed = files.select(relative_path(F.col("path"), top).alias("image_path"), "content")
+    wanted = keyed.join(samples.select("image_path").distinct(), "image_path", "left_semi")
+    return samples.join(wanted, "image_path", "left")
 
 
 def _yaml(text: str):

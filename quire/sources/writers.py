@@ -8,6 +8,10 @@ import platform
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.sources.files import FileSink, place_of
+
+CSV = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
 
 def _mode(force: bool) -> str:
     return "overwrite" if force else "errorifexists"
@@ -25,9 +29,9 @@ def per_model(df: DataFrame, path: str, force: bool = False) -> None:
 
 
 def csv(df: DataFrame, path: str, force: bool = False) -> None:
-    """CSV with a header; nested columns become JSON text."""
+    """CSV with a header, quotes doubled and spaces kept (RFC 4180); nested columns become JSON text."""
     nested = {f.name for f in df.schema.fields if f.dataType.typeName() in ("array", "struct", "map")}
-    df.select(*[F.to_json(c).alias(c) if c in nested else F.col(c) for c in df.columns]).write.mode(_mode(force)).csv(path, header=True)
+    df.select(*[F.to_json(c).alias(c) if c in nested else F.col(c) for c in df.columns]).write.mode(_mode(force)).csv(path, header=True, **CSV)
 
 
 def raw_responses(responses: DataFrame, path: str) -> None:
@@ -36,32 +40,18 @@ def raw_responses(responses: DataFrame, path: str) -> None:
 
 
 def images(files: DataFrame, path: str, force: bool = False) -> None:
-    """K2: a file a row of sample_id, content (PNG), by the tasks that have them, through the store's own API. A folder that is there already is an error, or goes first with force."""
+    """K2: a file a row of sample_id, content (PNG), through the store that the path names. A folder that is there already is an error, or goes first with force; a job that fails leaves no file."""
     spark = files.sparkSession
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = target.toString()
+    place_of(uri)  # a store that tasks can't write to is an error before anything is deleted
     store = target.getFileSystem(spark._jsc.hadoopConfiguration())
     if store.exists(target):
         if not force:
             raise FileExistsError(f"refusing to overwrite {path}")
         store.delete(target, True)
-    # Spark has no sink of single files: the local and mounted stores that Python can write are enough for images
-    folder = path.removeprefix("file://")
-
-    def put(batches):
-        import os
-
-        import pyarrow as pa
-
-        os.makedirs(folder, exist_ok=True)
-        for batch in batches:
-            for name, content in zip(batch.column("sample_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                part = f"{folder}/.{name}.part"
-                with open(part, "wb") as f:
-                    f.write(content)
-                os.replace(part, f"{folder}/{name}.png")
-            yield pa.RecordBatch.from_arrays([batch.column("sample_id")], ["sample_id"])
-
-    files.select("sample_id", "content").mapInArrow(put, "sample_id string").write.format("noop").mode("overwrite").save()
+    spark.dataSource.register(FileSink)
+    files.select(F.concat("sample_id", F.lit(".png")).alias("name"), "content").write.format(FileSink.name()).option("path", uri).mode("append").save()
 
 
 def package_freeze(spark: SparkSession) -> DataFrame:

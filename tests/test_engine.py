@@ -326,11 +326,40 @@ def test_near_hashes_brute(spark):
     hs = base + [h ^ (1 << rng.randrange(63)) ^ (1 << rng.randrange(63)) for h in base]
     df = spark.createDataFrame(list(enumerate(hs)), "i int, h bigint")
     want = {(i, j) for i in range(len(hs)) for j in range(i + 1, len(hs)) if ((hs[i] ^ hs[j]) % (1 << 64)).bit_count() <= 3}
-    for bands in (4, 6, 8):
-        got = [(r.id_a, r.id_b) for r in joins.near_hashes(df, "i", "h", 3, bands=bands).collect()]
+    for full in (1024, 2):
+        got = [(r.id_a, r.id_b) for r in joins.near_hashes(df, "i", "h", 3, full=full).collect()]
         assert set(got) == want and len(got) == len(want)
 
 
+def test_near_hashes_of_a_hot_key(spark):
+    """A third of the hashes differ in their last 20 bits only: their keys are cut finer until few are left, and no link is lost."""
+    import random
+
+    rng = random.Random(6)
+    hs = [(0x5A5A5A5A5A5 << 20 | rng.getrandbits(20)) - (1 << 63) for _ in range(300)] + [rng.getrandbits(64) - (1 << 63) for _ in range(600)] + [7, 7, 7]
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(hs)], "i int, h bigint")
+    first = {}
+    for i, h in enumerate(hs):
+        first.setdefault(h, i)
+    want = {(first[h], i) for i, h in enumerate(hs) if first[h] < i}
+    hashes = sorted(first, key=first.get)
+    want |= {(first[a], first[b]) for k, a in enumerate(hashes) for b in hashes[k + 1 :] if ((a ^ b) % (1 << 64)).bit_count() <= 3}
+    got = [(r.id_a, r.id_b) for r in joins.near_hashes(df, "i", "h", 3, full=16).collect()]
+    assert set(got) == want and len(got) == len(want) > 100
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_anchors_are_the_first_by_draw(spark, parts):
+    rows = [(f"s{i}", ["x", "y", "other", None][i % 4]) for i in range(400)]
+    df = spark.createDataFrame(rows, "sample_id string, kind string").repartition(parts)
+    got = sorted((r.kind, r.place, r.sample_id) for r in joins.anchors(df, "kind", {"x": 7, "y": 200, "z": 3}, "seed").collect())
+    want = []
+    for kind, quota in (("x", 7), ("y", 200)):
+        own = sorted((hashlib.md5(f"seed|{s}".encode()).hexdigest(), s) for s, k in rows if k == kind)[:quota]
+        want += [(kind, place, s) for place, (_, s) in enumerate(own, 1)]
+    assert got == want
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_flagship(spark):
     import __spark_entry__ as entry

@@ -1,5 +1,7 @@
 """Text forms and alignment against fixed values and properties."""
 
+import random
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -135,3 +137,57 @@ def test_span_locator(spark):
     bad = spark.createDataFrame([(t, [("x", "نیست")])], "t string, r array<struct<type:string,raw:string>>")
     with pytest.raises(Exception, match="no such span"):
         bad.select(text.numeric_spans(bad.t, bad.r)).collect()
+
+
+def _table_path(a, b):
+    """(cost, path) by the whole table."""
+    n, m = len(a), len(b)
+    t = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n + 1):
+        for j in range(m + 1):
+            if i or j:
+                t[i][j] = min([t[i - 1][j] + align.B] * (i > 0) + [t[i][j - 1] + align.B] * (j > 0) + [t[i - 1][j - 1] + (0 if a[i - 1] == b[j - 1] else align.B - 1)] * (i > 0 and j > 0))
+    i, j, out = n, m, []
+    while i or j:
+        if i and j and t[i][j] == t[i - 1][j - 1] + (0 if a[i - 1] == b[j - 1] else align.B - 1):
+            out.append("=" if a[i - 1] == b[j - 1] else "S")
+            i, j = i - 1, j - 1
+        elif i and t[i][j] == t[i - 1][j] + align.B:
+            out.append("D")
+            i -= 1
+        else:
+            out.append("I")
+            j -= 1
+    return "".join(reversed(out))
+
+
+def test_paths_in_parts_are_those_of_the_table(monkeypatch):
+    rng = random.Random(8)
+    for trial in range(400):
+        letters = "ab" if trial % 2 else "abcdef"
+        a = "".join(rng.choices(letters, k=rng.randrange(25)))
+        b = list(a) if trial % 3 else rng.choices(letters, k=rng.randrange(25))
+        for _ in range(rng.randrange(5)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(3)] = rng.choices(letters, k=rng.randrange(3))
+        b = "".join(b)
+        want = _table_path(a, b)
+        monkeypatch.setattr(align, "CELLS", 1 << 22 if trial % 4 else 8)
+        monkeypatch.setattr(align, "PARTS", 16 if trial % 8 else 2)
+        assert align.path(a, b) == want, (a, b)
+        assert align.counts(a, b) == align.counts(list(a), list(b)) == (want.count("S"), want.count("D"), want.count("I"))
+        x, y = align._codes(a, b)
+        assert align.distance(x, y) == len(want) - want.count("=")
+
+
+def test_long_paths_need_little_memory():
+    import tracemalloc
+
+    rng = random.Random(9)
+    a = "".join(rng.choices("abcdefgh ", k=20_000))
+    b = a.replace("abc", "").replace("ha", "ah")
+    tracemalloc.start()
+    moves = align.path(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert align.move_counts(moves) == align.counts(a, b) and peak < 30e6
