@@ -131,7 +131,7 @@ def sketched(counts: DataFrame) -> np.ndarray:
 
 
 def _fragments(words: Words, langs: pa.Array, lo: int, hi: int, sketch: np.ndarray, least: int, longest: int) -> pa.RecordBatch:
-    """The fragments of the words lo to hi: key (pivot and deal), whole (the pivot isn't dealt), lang, fragment, at (words before the pivot), n."""
+    """The fragments of the words lo to hi: key (pivot and deal), whole (the pivot isn't dealt), lang, w0 ... (the words by their places about the pivot, null beyond the fragment), n."""
     reach = longest - 1
     a, b = max(0, lo - reach), min(len(words), hi + reach)
     code, lang, word = _coded(words, langs, a, b)
@@ -179,14 +179,12 @@ def _fragments(words: Words, langs: pa.Array, lo: int, hi: int, sketch: np.ndarr
     for c in columns:
         mixed = mix64(mixed + np.where(c > 0, hashes[c - 1], np.uint64(0)))
     deal = mixed % parts.astype(np.uint64)
-    strings = [word.take(pa.array(c - 1, mask=c == 0)).cast(pa.string()) for c in columns]
     return pa.RecordBatch.from_pydict(
         {
             "key": pa.array(mix64(hashes[pivot] + deal).view(np.int64)),
             "whole": pa.array(parts == 1),
             "lang": lang.take(pa.array(pivot)),
-            "fragment": pc.binary_join_element_wise(*strings, " ", null_handling="skip"),
-            "at": pa.array(np.sum([c > 0 for c in columns[:reach]], axis=0).astype(np.int32).reshape(-1)),
+            **{f"w{i}": word.take(pa.array(c - 1, mask=c == 0)).cast(pa.string()) for i, c in enumerate(columns)},
             "n": pa.array(n.astype(np.int64)),
         }
     )
@@ -203,20 +201,19 @@ def phrase_counts(docs: DataFrame, counts: DataFrame, least: int = LEAST, longes
                 for lo in range(0, len(words), STRETCH):
                     yield _fragments(words, part.column("lang"), lo, min(len(words), lo + STRETCH), sketch.value, least, longest)
 
-    sent = docs.mapInArrow(route, "key bigint, whole boolean, lang string, fragment string, at int, n bigint").repartition("key")
-    words = sent.withColumn("words", F.split("fragment", " "))
-    own = []
-    for size in range(2, longest + 1):  # n-grams of the fragment that hold its pivot
-        low, high = F.greatest(F.lit(0), F.col("at") - size + 1), F.least(F.col("at"), F.size("words") - size)
-        starts = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
-        own.append(_grams(starts, size))
-    grams = words.select("key", "whole", "lang", F.explode(F.concat(*own)).alias("phrase"), "n")
+    reach = longest - 1
+    words = [f"w{i}" for i in range(2 * reach + 1)]
+    sent = docs.mapInArrow(route, f"key bigint, whole boolean, lang string, {', '.join(f'{w} string' for w in words)}, n bigint").repartition("key")
+    # the n-grams of a fragment that hold its pivot: null where one goes beyond it
+    own = [_spaced(words[start : start + size]) for size in range(2, longest + 1) for start in range(reach - size + 1, reach + 1)]
+    grams = sent.select("key", "whole", "lang", F.explode(F.array(*own)).alias("phrase"), "n").where("phrase IS NOT NULL")
     mined = grams.groupBy("key", "whole", "lang", "phrase").agg(F.sum("n").alias("n")).where(~F.col("whole") | (F.col("n") >= least))
     return mined.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
 
 
-def _grams(starts: Column, size: int) -> Column:
-    return F.transform(starts, lambda i: F.array_join(F.slice("words", i + 1, F.lit(size)), " "))
+def _spaced(words: list[str]) -> Column:
+    """The words with one space between, null if one is."""
+    return F.concat(*[x for w in words for x in (F.lit(" "), F.col(w))][1:])
 
 
 def _joined(words: Column, start: Column | int, size: Column | int) -> Column:
