@@ -18,8 +18,8 @@ DOCS = "doc_id bigint, text string, lang string"
 
 
 def audit_by_hand(docs, labels):
-    good = {d for d, q, t in labels if q == 1}
-    toxic = {d for d, q, t in labels if t == 1}
+    good = {d for d, q, t in labels if q == 1 and d is not None}
+    toxic = {d for d, q, t in labels if t == 1 and d is not None}
     rows = [(d, text or "", lang or "") for d, text, lang in docs]
     first = {}
     for d, text, _ in rows:
@@ -86,7 +86,7 @@ def test_audit_of_other_filters(spark):
 def nearest_by_hand(rows, every=50, k=5):
     ok = {i: np.asarray(v, float) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)}
     ids = np.array(sorted(ok))
-    x = np.array([ok[i] for i in ids])
+    x = np.array([ok[i] for i in ids]).reshape(len(ids), -1) if len(ids) else np.zeros((0, 1))
     norms = np.sqrt((x * x).sum(1))
     out = {}
     for at, i in enumerate(ids):
