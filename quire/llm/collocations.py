@@ -131,7 +131,7 @@ def sketched(counts: DataFrame) -> np.ndarray:
 
 
 def _fragments(words: Words, langs: pa.Array, lo: int, hi: int, sketch: np.ndarray, least: int, longest: int) -> pa.RecordBatch:
-    """The fragments of the words lo to hi: key (pivot and deal), whole (the pivot isn't dealt), lang, w0 ... (the words by their places about the pivot, null beyond the fragment), n."""
+    """The fragments of the words lo to hi: key (pivot and deal), shape (words on its left, times 64, and on its right, negative and one less where the pivot is dealt), lang, left, pivot, right, n."""
     reach = longest - 1
     a, b = max(0, lo - reach), min(len(words), hi + reach)
     code, lang, word = _coded(words, langs, a, b)
@@ -179,19 +179,26 @@ def _fragments(words: Words, langs: pa.Array, lo: int, hi: int, sketch: np.ndarr
     for c in columns:
         mixed = mix64(mixed + np.where(c > 0, hashes[c - 1], np.uint64(0)))
     deal = mixed % parts.astype(np.uint64)
+    held = [(c > 0).astype(np.int64) for c in columns]
+    shape = 64 * sum(held[:reach], np.zeros(len(pivot), np.int64)) + sum(held[reach + 1 :])
+    strings = [word.take(pa.array(c - 1, mask=c == 0)).cast(pa.string()) for c in columns]
+    for near in (reach - 1, reach + 1):  # a row of nulls only would be left out below
+        strings[near] = pc.fill_null(strings[near], "")
     return pa.RecordBatch.from_pydict(
         {
             "key": pa.array(mix64(hashes[pivot] + deal).view(np.int64)),
-            "whole": pa.array(parts == 1),
+            "shape": pa.array(np.where(parts == 1, shape, -1 - shape).astype(np.int32)),
             "lang": lang.take(pa.array(pivot)),
-            **{f"w{i}": word.take(pa.array(c - 1, mask=c == 0)).cast(pa.string()) for i, c in enumerate(columns)},
+            "left": pc.binary_join_element_wise(*strings[:reach], " ", null_handling="skip"),
+            "pivot": strings[reach],
+            "right": pc.binary_join_element_wise(*strings[reach + 1 :], " ", null_handling="skip"),
             "n": pa.array(n.astype(np.int64)),
         }
     )
 
 
 def phrase_counts(docs: DataFrame, counts: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
-    """lang, phrase, a: the phrases of 2 to `longest` words that occur `least` times or more in pieces of docs (lang, text without nulls)."""
+    """lang, phrase, a: the phrases of 2 to `longest` (64 at most) words that occur `least` times or more in pieces of docs (lang, text without nulls)."""
     sketch = docs.sparkSession.sparkContext.broadcast(sketched(counts))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,18 +209,21 @@ def phrase_counts(docs: DataFrame, counts: DataFrame, least: int = LEAST, longes
                     yield _fragments(words, part.column("lang"), lo, min(len(words), lo + STRETCH), sketch.value, least, longest)
 
     reach = longest - 1
-    words = [f"w{i}" for i in range(2 * reach + 1)]
-    sent = docs.mapInArrow(route, f"key bigint, whole boolean, lang string, {', '.join(f'{w} string' for w in words)}, n bigint").repartition("key")
+    sent = docs.mapInArrow(route, "key bigint, shape int, lang string, left string, pivot string, right string, n bigint").repartition("key")
+    shape = F.when(F.col("shape") < 0, -1 - F.col("shape")).otherwise(F.col("shape"))
     # the n-grams of a fragment that hold its pivot: null where one goes beyond it
-    own = [_spaced(words[start : start + size]) for size in range(2, longest + 1) for start in range(reach - size + 1, reach + 1)]
-    grams = sent.select("key", "whole", "lang", F.explode(F.array(*own)).alias("phrase"), "n").where("phrase IS NOT NULL")
+    sizes = [(x, y) for x in range(reach + 1) for y in range(reach + 1) if 2 <= x + y + 1 <= longest]
+    own = [F.when((shape >= 64 * x) & (shape % 64 >= y), _around(x, y)) for x, y in sizes]
+    grams = sent.select("key", (F.col("shape") >= 0).alias("whole"), "lang", F.explode(F.array(*own)).alias("phrase"), "n").where("phrase IS NOT NULL")
     mined = grams.groupBy("key", "whole", "lang", "phrase").agg(F.sum("n").alias("n")).where(~F.col("whole") | (F.col("n") >= least))
     return mined.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
 
 
-def _spaced(words: list[str]) -> Column:
-    """The words with one space between, null if one is."""
-    return F.concat(*[x for w in words for x in (F.lit(" "), F.col(w))][1:])
+def _around(x: int, y: int) -> Column:
+    """The pivot with the x words before it and the y words after it."""
+    left = [F.substring_index("left", " ", -x), F.lit(" ")] if x else []
+    right = [F.lit(" "), F.substring_index("right", " ", y)] if y else []
+    return F.concat(*left, F.col("pivot"), *right)
 
 
 def _joined(words: Column, start: Column | int, size: Column | int) -> Column:
