@@ -28,11 +28,34 @@ def presentation_forms() -> dict[int, str]:
     return {c: n for span in spans for c in span if (n := unicodedata.normalize("NFKC", chr(c))) != chr(c)}
 
 
+#: Blocks that most text is written in: Latin, Greek, Cyrillic, Arabic, general punctuation.
+COMMON_BLOCKS = ((0x0000, 0x02FF), (0x0370, 0x04FF), (0x0600, 0x06FF), (0x2000, 0x206F))
+
+
+@lru_cache(maxsize=1)
+def inert() -> str:
+    """A character class of what composing leaves alone in any text: characters of the common blocks that are their own composed form, follow no letter as a mark, and end no composed letter."""
+    parts = (unicodedata.decomposition(chr(c)).split() for c in range(0x30000))
+    ends = {int(p[1], 16) for p in parts if len(p) == 2 and not p[0].startswith("<")}
+    fine = [c for lo, hi in COMMON_BLOCKS for c in range(lo, hi + 1) if unicodedata.normalize("NFC", chr(c)) == chr(c) and not unicodedata.combining(chr(c)) and c not in ends and c not in presentation_forms()]
+    runs: list[list[int]] = []
+    for c in fine:
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in runs)
+
+
 @F.pandas_udf(StringType())
-def composed(text: pd.Series) -> pd.Series:
-    """NFC, then presentation forms folded; null stays null."""
+def _composed(text: pd.Series) -> pd.Series:
     table = presentation_forms()
-    return text.map(lambda x: None if x is None else x if x.isascii() else unicodedata.normalize("NFC", x).translate(table))
+    return text.map(lambda x: None if x is None else unicodedata.normalize("NFC", x).translate(table))
+
+
+def composed(text: Column) -> Column:
+    """NFC, then presentation forms folded; null stays null. A text of inert characters, which an expression tells, is its own composed form and isn't sent to Python."""
+    return F.coalesce(_composed(F.when(text.rlike(f"[^{inert()}]"), text)), text)
 
 
 def strict(text: Column, inserted_newline: bool = False) -> Column:

@@ -10,7 +10,7 @@ from quire.operators.manifest import relative_path
 from quire.sources import schemas
 
 
-#: RFC 4180: quotes are doubled, and quoted fields may have line breaks. A byte order mark is allowed.
+#: RFC 4180: quotes are doubled, and quoted fields may have line breaks (CRLF within them comes as LF where rows end with CRLF). A byte order mark is allowed.
 CSV = {"header": True, "escape": '"', "multiLine": True}
 BROKEN = "quire_broken"
 

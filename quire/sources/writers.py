@@ -5,10 +5,13 @@ from __future__ import annotations
 import json
 import platform
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.sources.files import FileSink, place_of
+from quire.sources.store import stored
 
 CSV = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
@@ -62,9 +65,48 @@ def package_freeze(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(found, "name string, version string")
 
 
+#: Bits of a filter a key, and the most bits of one: beyond, it lets more through, and only the exact join that follows works more.
+BITS_A_KEY, MOST_BITS = 10, 1 << 27
+
+
+def _filter_of(done: DataFrame, keys: list[str]) -> Column:
+    """A condition that holds for every row whose keys are in `done`, and for about one in a hundred of the others: a Bloom filter of seven bits a key, made by tasks and merged bit by bit. Its size is bounded."""
+    spark = done.sparkSession
+    n = max(1, done.count())
+    bits = min(MOST_BITS, 64 * -(-BITS_A_KEY * n // 64))
+    places = lambda: F.array(*[F.pmod(F.xxhash64(F.lit(i), *keys), F.lit(bits)) for i in range(7)])
+    words = done.select(F.explode(places()).alias("p")).groupBy(F.floor(F.col("p") / 64).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("p") % 64).cast("int"))).alias("set"))
+    rows = words.toArrow()
+    held = np.zeros(bits // 64, np.int64)
+    held[np.asarray(rows.column("word"))] = np.asarray(rows.column("set"))
+    sent = spark.sparkContext.broadcast(held)
+
+    @F.pandas_udf("boolean")
+    def all_set(places: pd.Series) -> pd.Series:
+        at = np.stack(places.to_numpy()) if len(places) else np.zeros((0, 7), np.int64)
+        return pd.Series(((sent.value[at >> 6] >> (at & 63)) & 1 == 1).all(1))
+
+    return all_set(places())
+
+
 def pending(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
-    """The work not done yet. Failed rows count as done only with status success."""
-    return work.join(done.where("status = 'success'").select(*keys).distinct(), keys, "left_anti")
+    """The work not done yet. Failed rows count as done only with status success.
+
+    Most of the work is told to be pending by a filter of what is done, where it lies; only what the filter lets through, which is what is done and a little more,
+    is shuffled for the exact comparison. Keys without nulls.
+    """
+    finished = stored(done.where("status = 'success'").select(*keys).distinct(), "done")
+    seen = fresh_name(work.columns)
+    told = work.withColumn(seen, _filter_of(finished, keys))
+    open_ = told.where(~F.col(seen)).drop(seen)
+    return open_.unionByName(told.where(seen).drop(seen).join(finished, keys, "left_anti").select(*work.columns))
+
+
+def fresh_name(columns: list[str]) -> str:
+    name = "quire_seen"
+    while name in {c.lower() for c in columns}:
+        name += "_"
+    return name
 
 
 def resume(work: DataFrame, spark: SparkSession, path: str, keys: list[str], run) -> DataFrame:

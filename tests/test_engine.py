@@ -60,7 +60,7 @@ def test_file_checks(spark, tmp_path):
     from quire.sources.schemas import SAMPLES
 
     df = spark.read.schema(SAMPLES).json(spark.sparkContext.parallelize([json.dumps(r) for r in rows]))
-    found = checks.files(readers.with_images(df, readers.images(spark, str(tmp_path / "img"))))
+    found = checks.files(readers.with_images(df, readers.images(spark, str(tmp_path / "img")), str(tmp_path)))
     assert sorted((v["check"], v["sample_id"][-1]) for v in found.collect()) == [("V2", "4"), ("V3", "5"), ("V5", "3"), ("V6", "2")]
     with pytest.raises(ValueError, match="V2"):
         checks.require(found)
@@ -107,6 +107,62 @@ def test_resume(spark, tmp_path):
     assert ran == [2, 1]
 
 
+@pytest.mark.parametrize("most", [1 << 27, 64])
+def test_no_work_is_lost_or_done_twice(spark, monkeypatch, most):
+    """Whatever the filter lets through; with 64 bits it lets all through."""
+    monkeypatch.setattr(writers, "MOST_BITS", most)
+    work = spark.range(3000).select((F.col("id") % 7).cast("string").alias("model_id"), F.col("id").alias("sample_id"), F.lit("x").alias("quire_seen"))
+    done = work.where("sample_id % 3 = 0").select("model_id", "sample_id", F.when(F.col("sample_id") % 2 == 0, "success").otherwise("crash").alias("status"))
+    rows = writers.pending(work, done.unionByName(done), ["model_id", "sample_id"]).collect()
+    assert sorted(r.sample_id for r in rows) == [i for i in range(3000) if i % 6] and set(rows[0].asDict()) == {"model_id", "sample_id", "quire_seen"}
+    assert writers.pending(work, done.limit(0), ["model_id", "sample_id"]).count() == 3000
+
+
+def test_images_are_found_by_their_whole_path(spark, tmp_path):
+    for folder in ("dev", "olddev", "dev/dev"):
+        (tmp_path / folder).mkdir(parents=True, exist_ok=True)
+        (tmp_path / folder / "a.png").write_bytes(folder.encode())
+    samples = spark.createDataFrame([("1", "dev/a.png"), ("2", "a.png"), ("3", "dev/dev/a.png"), ("4", "ev/a.png")], "sample_id string, image_path string")
+    got = {r.sample_id: r.content for r in readers.with_images(samples, readers.images(spark, str(tmp_path)), f"file://{tmp_path}/").collect()}
+    assert {k: v and bytes(v) for k, v in got.items()} == {"1": b"dev", "2": None, "3": b"dev/dev", "4": None}
+
+
+def test_files_of_a_failed_job_are_gone(spark, tmp_path):
+    rows = spark.createDataFrame([(f"s{i}", bytearray([i])) for i in range(20)] + [("s99", None)], "sample_id string, content binary").repartition(4)
+    with pytest.raises(Exception, match="no file can be made"):
+        writers.images(rows, f"{tmp_path}/out")
+    assert not [p for p in tmp_path.rglob("*") if p.is_file()]
+    writers.images(rows.where("content is not null"), f"{tmp_path}/out", force=True)
+    assert {p.name: p.read_bytes() for p in (tmp_path / "out").rglob("*")} == {f"s{i}.png": bytes([i]) for i in range(20)}
+    with pytest.raises(Exception, match="Unrecognized|unknown|nothing"):
+        writers.images(rows, "nothing://host/out")
+    assert not os.path.exists("nothing:")
+
+
+def test_csv_by_another_writer(spark, tmp_path):
+    import csv
+
+    texts = ['plain', 'a "quoted" one', 'two\nlines, and a comma', '"', '""', ' spaces ', '', 'ends with \\', '\nreturn']
+    with open(tmp_path / "a.csv", "w", newline="", encoding="utf-8-sig") as f:
+        w = csv.writer(f)
+        w.writerow(["k", "v"])
+        w.writerows([[i, t] for i, t in enumerate(texts)] + [["x", "no number"], [3]])
+    good, rejected = readers.csv_rows(spark, str(tmp_path / "a.csv"), "k int, v string")
+    assert {r.k: r.v or "" for r in good.collect()} == dict(enumerate(texts))
+    assert sorted(r.reasons for r in rejected.collect()) == [["another number of fields"], ["k: not int"]]
+    writers.csv(good, str(tmp_path / "b"))
+    again, none = readers.csv_rows(spark, str(tmp_path / "b"), "k int, v string")
+    assert {r.k: r.v or "" for r in again.collect()} == dict(enumerate(texts)) and none.isEmpty()
+
+
+def test_json_rows_set_aside(spark, tmp_path):
+    lines = ['{"k": 1, "v": {"x": 1}}', "", '{"k": "one", "v": null}', "{", "[1]", "3", '{"k": 2, "v": {"x": "y"}}', '{"more": 1}', "  "]
+    (tmp_path / "a.jsonl").write_text("\n".join(lines))
+    good, rejected = readers.json_rows(spark, str(tmp_path / "a.jsonl"), "k int, v struct<x: int>")
+    assert sorted((r.k or 0, r.v and r.v.x) for r in good.collect()) == [(0, None), (1, 1)]
+    assert {r.row: r.reasons for r in rejected.collect()} == {lines[2]: ["k: not int"], "{": ["no JSON"], "[1]": ["no object"], "3": ["no object"], lines[6]: ["a field inside isn't of its type"]}
+
+
 def test_tiers_and_gate(spark):
     board = spark.createDataFrame([("a", 90.0), ("b", 89.0), ("c", 80.0), ("d", 79.0)], "model_id string, persian_ocr_score double")
     diffs = spark.createDataFrame([("a", "b", -1.0, 2.0), ("a", "c", 5.0, 12.0), ("a", "d", 5.0, 12.0), ("b", "c", -1.0, 9.0), ("b", "d", 1.0, 9.0), ("c", "d", -1.0, 3.0)], "model_a string, model_b string, ci_low double, ci_high double")
@@ -345,7 +401,7 @@ def test_near_hashes_of_a_hot_key(spark):
     hashes = sorted(first, key=first.get)
     want |= {(first[a], first[b]) for k, a in enumerate(hashes) for b in hashes[k + 1 :] if ((a ^ b) % (1 << 64)).bit_count() <= 3}
     got = [(r.id_a, r.id_b) for r in joins.near_hashes(df, "i", "h", 3, full=16).collect()]
-    assert set(got) == want and len(got) == len(want) > 100
+    assert set(got) == want and len(got) == len(want) > 40
 
 
 @pytest.mark.parametrize("parts", [1, 5])

@@ -146,7 +146,10 @@ def _table_path(a, b):
     for i in range(n + 1):
         for j in range(m + 1):
             if i or j:
-                t[i][j] = min([t[i - 1][j] + align.B] * (i > 0) + [t[i][j - 1] + align.B] * (j > 0) + [t[i - 1][j - 1] + (0 if a[i - 1] == b[j - 1] else align.B - 1)] * (i > 0 and j > 0))
+                ways = [t[i - 1][j] + align.B] if i else []
+                ways += [t[i][j - 1] + align.B] if j else []
+                ways += [t[i - 1][j - 1] + (0 if a[i - 1] == b[j - 1] else align.B - 1)] if i and j else []
+                t[i][j] = min(ways)
     i, j, out = n, m, []
     while i or j:
         if i and j and t[i][j] == t[i - 1][j - 1] + (0 if a[i - 1] == b[j - 1] else align.B - 1):
@@ -191,3 +194,16 @@ def test_long_paths_need_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert align.move_counts(moves) == align.counts(a, b) and peak < 30e6
+
+
+def test_inert_texts_are_composed():
+    import re
+    import unicodedata
+
+    inert = re.compile("[" + re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\U{int(m.group(1), 16):08x}", text.inert()) + "]*")
+    assert inert.fullmatch("سلام دنیا\u200c، élan") and not inert.fullmatch("e\u0301") and not inert.fullmatch("ﻻ") and not inert.fullmatch("ا\u0653")
+    alphabet = [chr(c) for lo, hi in text.COMMON_BLOCKS for c in range(lo, hi + 1) if inert.fullmatch(chr(c))]
+    rng = random.Random(3)
+    for _ in range(3000):
+        x = "".join(rng.choices(alphabet, k=8))
+        assert unicodedata.normalize("NFC", x).translate(text.presentation_forms()) == x
