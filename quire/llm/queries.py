@@ -74,8 +74,8 @@ WITH turns AS (
   SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
 ), calls AS (
   SELECT conv_id, 'call_' || turn::VARCHAR AS call_id, turn, text FROM turns WHERE role = 'user'
-), firsts AS (
-  SELECT conv_id, call_id, min(turn) AS first_turn FROM calls GROUP BY conv_id, call_id
+), numbered AS (
+  SELECT *, '{"text":' || to_json(text)::VARCHAR || ',"turn":' || turn::VARCHAR || '}' AS arguments, row_number() OVER (PARTITION BY conv_id, call_id ORDER BY turn, '{"text":' || to_json(text)::VARCHAR || ',"turn":' || turn::VARCHAR || '}') AS place FROM calls
 ), steps AS (
   SELECT conv_id, turn, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS chain FROM (SELECT DISTINCT conv_id, turn FROM calls) t
 ), chained AS (
@@ -86,11 +86,11 @@ WITH turns AS (
   SELECT a.conv_id, a.call_id, a.n, min(t.text) AS text FROM answers a JOIN turns t ON t.conv_id = a.conv_id AND t.turn = a.t AND t.role = 'assistant' GROUP BY 1, 2, 3
 )
 SELECT c.conv_id, c.call_id, c.turn, 'ask' AS name, o.level::BIGINT AS level,
-       '{"text":' || to_json(c.text)::VARCHAR || ',"turn":' || c.turn::VARCHAR || '}' AS arguments,
+       c.arguments,
        length(c.text) > 0 AS valid, CASE WHEN length(c.text) > 0 THEN 0 ELSE 1 END::BIGINT AS n_problems,
-       c.turn > f.first_turn AS repeated, coalesce(a.n, 0)::BIGINT AS n_results,
+       c.place > 1 AS repeated, coalesce(a.n, 0)::BIGINT AS n_results,
        CASE WHEN a.n IS NOT NULL THEN '{"content":' || to_json(a.text)::VARCHAR || '}' END AS result, a.n IS NOT NULL AS linked
-FROM calls c JOIN firsts f ON f.conv_id = c.conv_id AND f.call_id = c.call_id JOIN chained o ON o.conv_id = c.conv_id AND o.turn = c.turn
+FROM numbered c JOIN chained o ON o.conv_id = c.conv_id AND o.turn = c.turn
 LEFT JOIN answered a ON a.conv_id = c.conv_id AND a.call_id = c.call_id
 """,
     "op5_substring_dedup": r"""

@@ -9,7 +9,7 @@ round a level. Arguments are parsed, checked against the schema of the call's na
 keys, no blanks, UTF-8 as it is, lone surrogates escaped).
 
 Cases: a null id or conversation links nothing and is kept as unlinked; a repeated call id counts once, the
-least turn of it is the call and the others are marked repeated; a result without a call has no row of its own
+least of its rows by turn, name and arguments is the call and all others, equal ones too, are marked repeated; a result without a call has no row of its own
 but is counted by `orphans`; several results: the first by turn, with their number; arguments that are no
 JSON object, hold numbers that JSON lacks (NaN, infinities, beyond a double) or are nested deeper than can be followed are invalid
 and stay as a JSON string; a name without a schema is invalid; an empty table gives an empty result.
@@ -21,6 +21,7 @@ import json
 import math
 import re
 from collections.abc import Iterator
+from fractions import Fraction
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -59,33 +60,134 @@ def parsed(raw: str | None) -> object:
     return json.loads(raw if raw is not None else "null", parse_float=number, parse_constant=constant)
 
 
-def violations(value: object, schema: dict, path: str = "$") -> list[str]:
-    """What breaks the schema: type, enum, required, properties, additionalProperties, items, minimum, maximum, minLength, maxLength."""
-    out, kind = [], schema.get("type")
+#: Keywords that say nothing about a value.
+_NOTES = {"$schema", "$id", "$comment", "title", "description", "default", "examples", "format", "deprecated", "readOnly", "writeOnly"}
+_PLAIN = {
+    "type", "enum", "const", "required", "additionalProperties", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf", "minLength", "maxLength", "pattern",
+    "minItems", "maxItems", "uniqueItems", "minProperties", "maxProperties", "$ref",
+}
+_ONE, _LIST, _NAMED = {"items", "not", "propertyNames", "additionalProperties"}, {"anyOf", "allOf", "oneOf"}, {"properties", "patternProperties", "$defs", "definitions"}
+
+
+def accepted(schema: object, root: object = None, path: str = "#") -> None:
+    """ValueError for a schema that `violations` can't follow: an unknown keyword or type, a pattern that isn't one, a reference that leads nowhere. So no keyword is passed over in silence."""
+    root = schema if root is None else root
+    if isinstance(schema, bool):
+        return
+    if not isinstance(schema, dict):
+        raise ValueError(f"{path}: no schema")
+    if unknown := set(schema) - _NOTES - _PLAIN - _ONE - _LIST - _NAMED:
+        raise ValueError(f"{path}: unknown keywords {sorted(unknown)}")
+    kinds = schema.get("type", [])
+    for kind in kinds if isinstance(kinds, list) else [kinds]:
+        if kind not in _TYPES and kind not in ("number", "integer"):
+            raise ValueError(f"{path}: unknown type {kind!r}")
+    for pattern in [*([schema["pattern"]] if "pattern" in schema else []), *schema.get("patternProperties", {})]:
+        try:
+            re.compile(pattern)
+        except re.error as e:
+            raise ValueError(f"{path}: {e}") from None
+    if "$ref" in schema:
+        _target(schema["$ref"], root)
+    for k in _ONE & set(schema):
+        accepted(schema[k], root, f"{path}/{k}")
+    for k in _LIST & set(schema):
+        for i, part in enumerate(schema[k]):
+            accepted(part, root, f"{path}/{k}/{i}")
+    for k in _NAMED & set(schema):
+        for name, part in schema[k].items():
+            accepted(part, root, f"{path}/{k}/{name}")
+
+
+def _target(ref: str, root: object) -> object:
+    """What a reference within the schema (#/...) leads to."""
+    at = root
+    if not ref.startswith("#"):
+        raise ValueError(f"{ref}: only references within the schema are followed")
+    for part in ref[1:].split("/")[1:]:
+        part = part.replace("~1", "/").replace("~0", "~")
+        try:
+            at = at[int(part)] if isinstance(at, list) else at[part]
+        except (KeyError, IndexError, TypeError, ValueError):
+            raise ValueError(f"{ref} leads nowhere") from None
+    return at
+
+
+def _same(value: object) -> object:
+    """A key that JSON values share if they are equal: 1 and 1.0, but not 1 and true."""
+    if isinstance(value, bool) or value is None:
+        return ("", str(value))
+    if isinstance(value, dict):
+        return ("{", tuple(sorted((k, _same(v)) for k, v in value.items())))
+    if isinstance(value, list):
+        return ("[", tuple(_same(v) for v in value))
+    return ("0" if isinstance(value, (int, float)) else '"', value)
+
+
+def _fits(value: object, kind: str) -> bool:
     number = isinstance(value, (int, float)) and not isinstance(value, bool)
-    fits = {"number": number, "integer": number and value == int(value) if number and math.isfinite(value) else False}.get(kind, isinstance(value, _TYPES[kind]) if kind in _TYPES else True)
-    if not fits:
-        return [f"{path}: not {kind}"]
-    if "enum" in schema and value not in schema["enum"]:
+    if kind == "number":
+        return number
+    if kind == "integer":
+        return number and (isinstance(value, int) or value.is_integer())
+    return isinstance(value, _TYPES[kind])
+
+
+def violations(value: object, schema: object, path: str = "$", root: object = None) -> list[str]:
+    """What breaks a schema that is `accepted`."""
+    root = schema if root is None else root
+    if isinstance(schema, bool):
+        return [] if schema else [f"{path}: not allowed"]
+    out, kinds = [], schema.get("type")
+    kinds = [kinds] if isinstance(kinds, str) else kinds
+    if kinds is not None and not any(_fits(value, k) for k in kinds):
+        return [f"{path}: not {' or '.join(kinds)}"]
+    if "$ref" in schema:
+        out += violations(value, _target(schema["$ref"], root), path, root)
+    if "enum" in schema and _same(value) not in [_same(v) for v in schema["enum"]]:
         out.append(f"{path}: not in enum")
-    if number:
-        out += [f"{path}: below minimum"] * (value < schema.get("minimum", -math.inf)) + [f"{path}: above maximum"] * (value > schema.get("maximum", math.inf))
+    if "const" in schema and _same(value) != _same(schema["const"]):
+        out.append(f"{path}: not the constant")
+    if "anyOf" in schema and all(violations(value, s, path, root) for s in schema["anyOf"]):
+        out.append(f"{path}: none of anyOf")
+    if "oneOf" in schema and sum(not violations(value, s, path, root) for s in schema["oneOf"]) != 1:
+        out.append(f"{path}: not one of oneOf")
+    for s in schema.get("allOf", []):
+        out += violations(value, s, path, root)
+    if "not" in schema and not violations(value, schema["not"], path, root):
+        out.append(f"{path}: what it must not be")
+    if _fits(value, "number"):
+        out += [f"{path}: below minimum"] * (value < schema.get("minimum", -math.inf) or value <= schema.get("exclusiveMinimum", -math.inf))
+        out += [f"{path}: above maximum"] * (value > schema.get("maximum", math.inf) or value >= schema.get("exclusiveMaximum", math.inf))
+        if "multipleOf" in schema and Fraction(value) % Fraction(str(schema["multipleOf"])) and Fraction(str(value)) % Fraction(str(schema["multipleOf"])):
+            out.append(f"{path}: no multiple")
     if isinstance(value, str):
         out += [f"{path}: too short"] * (len(value) < schema.get("minLength", 0)) + [f"{path}: too long"] * (len(value) > schema.get("maxLength", math.inf))
+        out += [f"{path}: not of the pattern"] * ("pattern" in schema and not re.search(schema["pattern"], value))
     if isinstance(value, dict):
-        known = schema.get("properties", {})
+        known, patterns, more = schema.get("properties", {}), schema.get("patternProperties", {}), schema.get("additionalProperties", True)
         out += [f"{path}.{k}: missing" for k in schema.get("required", []) if k not in value]
-        out += [f"{path}.{k}: unknown" for k in sorted(value) if k not in known] if schema.get("additionalProperties") is False else []
-        for k in sorted(set(known) & set(value)):
-            out += violations(value[k], known[k], f"{path}.{k}")
-    if isinstance(value, list) and "items" in schema:
+        out += [f"{path}: too few properties"] * (len(value) < schema.get("minProperties", 0)) + [f"{path}: too many properties"] * (len(value) > schema.get("maxProperties", math.inf))
+        for k in sorted(value):
+            fitting = ([known[k]] if k in known else []) + [s for p, s in patterns.items() if re.search(p, k)]
+            if not fitting and more is False:
+                out.append(f"{path}.{k}: unknown")
+            for s in fitting or ([more] if more is not False else []):
+                out += violations(value[k], s, f"{path}.{k}", root)
+            if "propertyNames" in schema:
+                out += violations(k, schema["propertyNames"], f"{path}.{k}", root)
+    if isinstance(value, list):
+        out += [f"{path}: too few items"] * (len(value) < schema.get("minItems", 0)) + [f"{path}: too many items"] * (len(value) > schema.get("maxItems", math.inf))
+        out += [f"{path}: items repeat"] * (bool(schema.get("uniqueItems")) and len({_same(v) for v in value}) < len(value))
         for i, v in enumerate(value):
-            out += violations(v, schema["items"], f"{path}[{i}]")
+            out += violations(v, schema.get("items", True), f"{path}[{i}]", root)
     return out
 
 
 def checked(calls: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """calls (conv_id, call_id, turn, name, arguments) with arguments canonical, valid, problems."""
+    """calls (conv_id, call_id, turn, name, arguments) with arguments canonical, valid, problems. A schema that isn't `accepted` is an error before any row is read."""
+    for schema in schemas.values():
+        accepted(schema)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,14 +251,18 @@ def levels(calls: DataFrame, depends: DataFrame) -> DataFrame:
 
 def linked(calls: DataFrame, results: DataFrame, depends: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """A row a call: conv_id, call_id, turn, name, level, arguments, valid, problems, repeated, n_results, result (canonical JSON of the first), linked. A conversation's topological order is (level, turn, call_id)."""
-    good = checked(calls, schemas)
-    first = good.groupBy("conv_id", "call_id").agg(F.min("turn").alias("first_turn"))
+    # equal rows are counted, so that one of them can be told from the others without sorting an id's rows
+    good = checked(calls, schemas).groupBy("conv_id", "call_id", "turn", "name", "arguments", "valid", "problems").agg(F.count(F.lit(1)).alias("copies"))
+    row = F.struct("turn", "name", "arguments")
+    first = good.groupBy("conv_id", "call_id").agg(F.min(row).alias("first"))
     found = results.select(F.col("conv_id").cast("long"), F.col("call_id").cast("string"), F.col("turn").cast("long").alias("result_turn"), F.col("content").cast("string").alias("content"))
     found = found.groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("n_results"), F.min(F.struct("result_turn", "content")).alias("r"))
     joined = good.join(first, ["conv_id", "call_id"], "left").join(found, ["conv_id", "call_id"], "left").join(levels(calls, depends), ["conv_id", "call_id"], "left")
     text = F.to_json(F.struct(F.col("r.content").alias("content")))
+    joined = joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
+    again = (F.col("copy") > 1) | ~row.eqNullSafe(F.col("first"))
     return joined.select(
-        "conv_id", "call_id", "turn", "name", "level", "arguments", "valid", "problems", (F.coalesce(F.col("turn") > F.col("first_turn"), F.lit(False))).alias("repeated"),
+        "conv_id", "call_id", "turn", "name", "level", "arguments", "valid", "problems", (F.col("conv_id").isNotNull() & F.col("call_id").isNotNull() & again).alias("repeated"),
         F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"), F.when(F.col("r").isNotNull(), text).alias("result"), F.col("r").isNotNull().alias("linked"),
     )
 

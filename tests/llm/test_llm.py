@@ -618,6 +618,46 @@ def test_odd_arguments_in_the_job(spark):
     assert [r.valid for r in got] == [True, False, False, False, False, False] and got[0].arguments == '{"x":"\\ud800"}'
 
 
+SCHEMAS = [
+    ({"type": ["string", "null"]}, ["a", None], [1, [], True]),
+    ({"enum": [1, "x", None]}, [1, 1.0, "x", None], [True, 0, "1"]),
+    ({"const": False}, [False], [0, None]),
+    ({"pattern": "^a+$"}, ["aa", 3], ["b", ""]),
+    ({"anyOf": [{"type": "integer"}, {"minLength": 2}]}, [3, "ab"], ["a"]),
+    ({"oneOf": [{"type": "number"}, {"type": "integer"}]}, [1.5], [1]),
+    ({"allOf": [{"minimum": 1}, {"exclusiveMaximum": 3}], "not": {"const": 2}}, [1, 2.5], [0, 2, 3]),
+    ({"type": "object", "additionalProperties": {"type": "integer"}, "properties": {"s": {"type": "string"}}}, [{"s": "x", "n": 1}, {}], [{"n": "x"}, {"s": 1}]),
+    ({"additionalProperties": False, "patternProperties": {"^x": {"type": "null"}}}, [{"x1": None}], [{"x1": 0}, {"y": None}]),
+    ({"$ref": "#/$defs/node", "$defs": {"node": {"type": "object", "required": ["v"], "properties": {"next": {"$ref": "#/$defs/node"}}}}}, [{"v": 1}, {"v": 1, "next": {"v": 2}}], [{}, {"v": 1, "next": {}}]),
+    ({"items": {"type": "integer"}, "minItems": 1, "uniqueItems": True}, [[1, 2]], [[], [1, 1.0], ["a"]]),
+    ({"multipleOf": 0.1}, [0.3, 2], [0.25]),
+    ({"type": "integer"}, [2, 2.0, 10**400], [2.5, True, "2"]),
+    (False, [], [1]),
+    ({"propertyNames": {"maxLength": 1}, "maxProperties": 2}, [{"a": 1}], [{"ab": 1}, {"a": 1, "b": 1, "c": 1}]),
+]
+
+
+@pytest.mark.parametrize(("schema", "good", "bad"), SCHEMAS)
+def test_schemas(schema, good, bad):
+    toolcalls.accepted(schema)
+    assert all(toolcalls.violations(v, schema) == [] for v in good) and all(toolcalls.violations(v, schema) for v in bad)
+
+
+@pytest.mark.parametrize("schema", [{"minimun": 1}, {"type": "text"}, {"type": ["null", 3]}, {"properties": {"a": {"if": {}}}}, {"$ref": "#/$defs/none"}, {"$ref": "http://x"}, {"items": [1]}, []])
+def test_schemas_that_cannot_be_followed_are_refused(spark, schema):
+    with pytest.raises(ValueError):
+        toolcalls.checked(spark.createDataFrame([], "conv_id long, call_id string, turn long, name string, arguments string"), {"f": schema})
+
+
+def test_of_equal_calls_one_counts(spark):
+    rows = [(1, "a", 0, "f", "{}"), (1, "a", 0, "f", "{}"), (1, "a", 0, "f", '{"x":1}'), (1, "a", 2, "f", "{}"), (1, None, 0, "f", "{}"), (1, None, 0, "f", "{}"), (2, "a", 0, "f", "{}")]
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, turn long, name string, arguments string")
+    nothing = spark.createDataFrame([], "conv_id long, call_id string, turn long, content string")
+    got = toolcalls.linked(calls, nothing, spark.createDataFrame([], "conv_id long, call_id string, on_id string"), {"f": {"type": "object"}}).collect()
+    assert len(got) == len(rows)
+    assert sorted((r.arguments, r.turn) for r in got if r.repeated) == [("{}", 0), ("{}", 2), ('{"x":1}', 0)]
+
+
 def test_names_that_clash(spark):
     """Callers' columns with the operators' inner names stay as they are."""
     inner = ["quire_id", "quire_text", "quire_bucket", "quire_words", "quire_removed", "quire_kept", "quire_score", "quire_place", "quire_gone", "quire_kind", "quire_size", "quire_pieces", "quire_own", "quire_row", "quire_piece"]
