@@ -64,8 +64,8 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
 
 
-def _give_back() -> None:
-    """Hands memory that is free to the system: a Python worker lives on after its task, beside others."""
+def give_back() -> None:
+    """Hands memory that is free to the system: a Python worker lives on after its task, beside others, and the driver after a fit."""
     pa.default_memory_pool().release_unused()
     if _LIBC is not None:
         _LIBC.malloc_trim(0)
@@ -87,7 +87,7 @@ def pieces_of(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 20)
         to = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
         yield batch.slice(at, to - at)
         at = to
-    _give_back()
+    give_back()
 
 
 def flat(column) -> pa.Array:

@@ -8,18 +8,26 @@ from pyspark.sql import functions as F
 from quire.llm.common import removed, written
 
 
+#: Large and small stars from one table to the next: with two, a component of any size takes half as many jobs, and the driver remembers half as many.
+TWICE = 2
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the least node that it reaches) of every node with an edge (a, b: long).
 
     Each round links every node's larger neighbours to the least node around it (large star), then its
     smaller ones (small star). A hub's edges are grouped by minimum before the join, and the join's rows are
-    a row an edge, so a component that holds a third of all nodes is no group in one task. It ends when a
-    round changes nothing, after about log² rounds of the largest component's size.
+    a row an edge, so a component that holds a third of all nodes is no group in one task. It ends when TWICE
+    rounds change nothing, after about log² rounds of the largest component's size. Null ends link nothing, repeated and
+    loop edges count once or not at all, and no edges give no rows.
     """
     pairs = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs, before = written(pairs, "edges"), None
     while True:
-        last, pairs = pairs, written(_star(_star(pairs, True), False), "stars")
+        last = pairs
+        for large in (True, False) * TWICE:
+            pairs = _star(pairs, large)
+        pairs = written(pairs, "stars")
         removed(last)
         now = pairs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.lit(0)).alias("h")).first()
         if now == before:

@@ -11,12 +11,13 @@ It is fitted on the driver on a bounded sample of labelled rows (`most_rows`, th
 `MOST_FEATURES` features that most of them have; scoring is a map over documents with the nonzero weights.
 
 Cases: a null text is empty and gets the score of the intercept alone; a label that is null is no label;
-several labels of one document count as their maximum; with no labelled rows, or labels of one kind only,
+several labels of one document count as their maximum, several rows of one id as the least text; with no labelled rows, or labels of one kind only,
 the model is the intercept of the smoothed rate, a quarter without any; extra columns are left out by `scored` and kept by `without_toxic`.
 """
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import crc_mod, fresh, mix64, pieces_of, texts, words_of, written
+from quire.llm.common import crc_mod, fresh, give_back, mix64, pieces_of, removed, texts, words_of, written
 
 BITS = 20
 FEATURES = 1 << BITS
@@ -87,7 +88,7 @@ class Model:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, folds: int = FOLDS) -> DataFrame:
-    """(doc_id, toxic, features) of at most `most_rows` labelled rows outside the held-out fold."""
+    """(doc_id, toxic, features) of at most `most_rows` labelled rows outside the held-out fold: a row an id, with the least of its texts."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = known.where(crc_mod(F.col("doc_id"), folds) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
 
@@ -101,7 +102,8 @@ def labelled(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, fol
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), lists], ["doc_id", "toxic", "features"])
 
     # at most `most_rows` ids and labels are broadcast
-    return texts(docs).join(F.broadcast(sample), "doc_id").mapInArrow(features, "doc_id long, toxic int, features array<int>")
+    own = texts(docs).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    return own.mapInArrow(features, "doc_id long, toxic int, features array<int>")
 
 
 PARTNERS = 8
@@ -223,7 +225,11 @@ def model(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, least:
             ends = np.concatenate([[0], np.cumsum(np.bincount(np.repeat(np.arange(len(sizes)), sizes)[hit], minlength=len(sizes)))])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat_[hit]))], ["doc_id", "toxic", "features"])
 
-    return fitted(rows.mapInArrow(slim, "doc_id long, toxic int, features array<int>").toArrow(), least, **how)
+    fit = fitted(rows.mapInArrow(slim, "doc_id long, toxic int, features array<int>").toArrow(), least, **how)
+    removed(rows)
+    gc.collect()
+    give_back()  # the fit's arrays
+    return fit
 
 
 def _scores(docs: DataFrame, fit: Model, text: str, score: str) -> DataFrame:
