@@ -32,8 +32,9 @@ SEED = 17
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words of the text)."""
-    return texts(docs, F.col("source").cast("string").alias("source")).select("doc_id", "source", F.size(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).cast("long").alias("size"))
+    """doc_id, source, size (words of the text), nameless (a hash of the text where there is no id, so that such rows are dealt too; else null)."""
+    nameless = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("nameless")
+    return texts(docs, F.col("source").cast("string").alias("source")).select("doc_id", "source", F.size(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).cast("long").alias("size"), nameless)
 
 
 def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -93,8 +94,8 @@ def streams(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
     by_key = wanted.withColumn("source_key", key).drop("source").withColumn("n_shards", F.greatest(F.lit(1), F.least(F.lit(SHARDS), F.floor(F.col("source_size") / shard))))
     laid = sized.withColumn("source_key", key).join(by_key, "source_key")
-    laid = laid.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), "n_shards"))
-    stream = Window.partitionBy("source_key", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size")
+    laid = laid.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "nameless"), "n_shards"))  # a null leaves the hash as it is
+    stream = Window.partitionBy("source_key", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "nameless"), "doc_id", "size")
     placed = laid.withColumn("end", F.sum("size").over(stream.rowsBetween(Window.unboundedPreceding, 0)))
     placed = written(placed.select("doc_id", "source", "source_key", "shard", "size", "source_size", "target", "end"), "placed")
 

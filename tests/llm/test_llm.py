@@ -377,6 +377,12 @@ def test_counterfactuals_of_the_test_tables(spark):
     assert sum(got[i].predicted for i in held if not truth[i]) <= 1
 
 
+def test_rows_without_id_are_dealt_to_all_shards(spark):
+    docs = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.concat_ws(" ", *[F.col("id")] * 40).alias("text"), F.lit("s").alias("source"))
+    placed, _ = mixing.streams(docs, shard=2000)
+    assert placed.select("shard").distinct().count() == 3000 * 40 // 2000
+
+
 def test_targets(spark):
     sized = spark.createDataFrame([("a", 10), ("b", 100), ("c", 1000), (None, 50), ("d", 0)], "source string, size long")
     got = {r.source: r.target for r in mixing.targets(sized).collect()}
