@@ -62,7 +62,7 @@ def contrast(pixels: DataFrame) -> DataFrame:
 def labels(samples: DataFrame) -> DataFrame:
     """V9 blank and reference agree, V10 spans select their text, V11 the zwnj tag has a ZWNJ, V18 no forbidden control characters."""
     spans = samples.select("sample_id", "reference_raw", F.explode("numeric_spans").alias("s"))
-    selected = slice_of(F.col("reference_raw"), F.col("s.start"), F.col("s.end") - F.lit(0))
+    selected = slice_of(F.col("reference_raw"), F.col("s.start"), F.col("s.end"))
     parts = [
         _where(samples, "V9", F.col("is_blank") != (F.col("reference_raw") == ""), F.col("reference_raw")),
         _where(spans, "V10", selected != F.col("s.raw"), F.col("s.raw")),

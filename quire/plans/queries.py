@@ -450,10 +450,16 @@ def score_board(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def board_views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the nine views."""
+    """The nine views in one table: view, model_id, item (the column, after what else names the row), number or label."""
     out = None
     for name, view in views(spark, sf_dir).items():
-        rows = view.select(F.lit(name).alias("view"), F.to_json(F.struct(*[c for c in view.columns])).alias("row"))
+        kinds = {k: v for k, v in view.dtypes if k != "model_id"}
+        named = [k for k in ("type", "primary_stratum", "corruption", "severity") if k in kinds]
+        text_ = [k for k, v in kinds.items() if k not in named and v in ("string", "boolean")]
+        item = lambda k: F.concat_ws("|", *named, F.lit(k))  # noqa: E731, B023
+        cells = [F.struct(item(k).alias("item"), F.lit(None).cast("double").alias("number"), F.col(k).cast("string").alias("label")) for k in text_]
+        cells += [F.struct(item(k).alias("item"), F.col(k).cast("double").alias("number"), F.lit(None).cast("string").alias("label")) for k in kinds if k not in named + text_]
+        rows = view.select(F.lit(name).alias("view"), "model_id", F.explode(F.array(*cells)).alias("c")).select("view", "model_id", "c.*")
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -719,6 +725,17 @@ def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.manifest(spark, path).select("sample_id", "split", "sha256", "source_document_id", "writer_id", "reference_raw", "primary_stratum", "origin", "is_blank", F.size(s).alias("n_spans"), F.concat(F.get(s, F.lit(0))["raw"], F.lit("="), F.get(s, F.lit(0))["canonical_value"]).alias("span"))
 
 
+@query(f"""WITH {SAMPLES_SQL} SELECT sample_id, split, sha256, source_document_id, writer_id, reference_raw, primary_stratum, is_blank, CASE WHEN is_blank THEN NULL ELSE digits || '=' || number END AS span FROM samples""")
+def manifest_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K6: the manifest as CSV, spans as JSON in a field, and read again."""
+    path, own = place(spark, "manifest"), demo.samples(spark, sf_dir).drop("item_id", "attributes")
+    writers.csv(own, path)
+    kinds = {"numeric_spans": "string"}
+    good, rejected = readers.csv_rows(spark, path, ", ".join(f"{k} {kinds.get(k, v)}" for k, v in own.dtypes))
+    s = F.get(F.from_json("numeric_spans", demo.SPANS), F.lit(0))
+    return good.select("sample_id", "split", "sha256", "source_document_id", "writer_id", F.coalesce("reference_raw", F.lit("")).alias("reference_raw"), "primary_stratum", "is_blank", F.concat(s["raw"], F.lit("="), s["canonical_value"]).alias("span"))
+
+
 @query(f"""WITH {PREDICTIONS_SQL} SELECT model_id, sample_id, retry_count, status, raw_prediction, runtime_ms, peak_vram_mb, config_hash FROM predictions""")
 def prediction_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions as JSON lines in a folder a model, and read again."""
@@ -897,6 +914,19 @@ def manifest_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@query(f"""WITH {SAMPLES_SQL}, hashed AS (SELECT doc_id, sha256(text) AS h FROM documents), firsts AS (SELECT h, min(doc_id) AS first_id FROM hashed GROUP BY h)
+SELECT 'V4' AS "check", doc_id::VARCHAR AS sample_id, d.h AS detail FROM hashed d JOIN firsts f ON f.h = d.h WHERE doc_id > first_id
+UNION ALL SELECT 'V18', doc_id::VARCHAR, 'control character' FROM documents WHERE doc_id % 50 = 7
+UNION ALL SELECT 'V17', NULL, 'source_document_id ' || source_document_id FROM samples GROUP BY source_document_id HAVING count(DISTINCT split) > 1
+UNION ALL SELECT 'V17', NULL, 'writer_id ' || writer_id FROM samples WHERE writer_id IS NOT NULL GROUP BY writer_id HAVING count(DISTINCT split) > 1""")
+def text_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated checksums and control characters (put into one text of fifty) of all documents, and what leaks between splits of `benchmark`."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"), "text", F.sha2("text", 256).alias("sha256"))
+    spoilt = docs.select("sample_id", F.when(F.col("sample_id") % 50 == 7, F.concat("text", F.lit("\x07"))).otherwise(F.col("text")).alias("reference_raw"))
+    asked = spoilt.withColumns({"is_blank": F.col("reference_raw") == "", "attributes": F.array().cast("array<string>"), "numeric_spans": F.array().cast(demo.SPANS)})
+    return checks.repeated_files(docs).unionByName(checks.labels(asked)).unionByName(checks.leakage(demo.samples(spark, sf_dir)))
+
+
 @query(f"""WITH {PREDICTIONS_SQL} SELECT 'V21' AS "check", sample_id, model_id || ' ' || raw_prediction AS detail FROM predictions WHERE model_id = 'preamble' AND status = 'success' AND item_id % 4 = 0
 UNION ALL SELECT 'V21', sample_id, model_id || ' ' || raw_prediction || '!' FROM predictions WHERE model_id = 'preamble' AND status = 'success' AND item_id % 4 = 0""")
 def repeat_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -907,4 +937,48 @@ def repeat_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.repeats(first, second)
 
 
+def _views_sql() -> str:
+    """Of the board's tables and the parts' own queries."""
+    board = _board_sql()
+    head, last = board[: board.index("SELECT CASE WHEN able THEN rank()")], board[board.index("SELECT CASE WHEN able THEN rank()") :]
+
+    def cells(view: str, source: str, numbers: list[str], labels: list[str] = (), item: str = "") -> list[str]:
+        name = lambda c: f"{item} || '|{c}'" if item else f"'{c}'"
+        rows = [f"SELECT '{view}' AS view, model_id, {name(c)} AS item, {c}::DOUBLE AS number, NULL::VARCHAR AS label FROM {source}" for c in numbers]
+        return rows + [f"SELECT '{view}', model_id, {name(c)}, NULL, {c}::VARCHAR FROM {source}" for c in labels]
+
+    speed = ["latency_mean", "latency_p95", "peak_vram_mb", "api_cost"]
+    texts = ["model_name", "track", "status", "model_revision", "adapter_version", "prompt_hash", "canonical_version"]
+    rates = ["completion", "failure_rate", "timeouts", "crashes", "truncations", "missing"]
+    nine = [c for c in METRIC_WEIGHTS if c != "robustness"]
+    own = "CASE WHEN cn > 0 THEN 100 * greatest(0.0, 1 - ci::DOUBLE / cn) END"
+    lines = f"CASE WHEN {own} IS NOT NULL THEN lines ELSE 0 END"
+    parts = [
+        *cells("general", "(SELECT * FROM board WHERE rank IS NOT NULL) g", ["rank", "statistical_tier", "persian_ocr_score", "ci_low", "ci_high", *METRIC_WEIGHTS, "failure_rate", *speed], texts),
+        *cells("handwriting", "(SELECT * FROM domains WHERE primary_stratum = 'persian_handwriting') h", ["canonical_cer"]),
+        *cells("digits", "digits", ["spans", "spans_exact"], item="'integer'"),
+        *cells("support", "board", [], ["track", "status"]),
+        *cells("domains", "domains", nine, item="primary_stratum"),
+        *cells("robustness", "kept_cells", ["kept"], item="corruption || '|' || severity"),
+        *cells("efficiency", "board", speed),
+        *cells("failures", "failed", rates),
+        *cells("reproducibility", f"(SELECT *, '{text.VERSION}' AS canonical_version FROM ({ORACLE_SQL['reproducible_settings']}) r) p", [], ["model_name", "track", "model_revision", "adapter_version", "prompt_hash", "config_hash", "frozen", "reproducible", "canonical_version"]),
+    ]
+    return head + f""", board AS ({last}), domains AS (
+  SELECT model_id, primary_stratum, {", ".join(f"round({m}, 6) AS {m}" for m in nine)} FROM (
+    SELECT s.model_id, s.primary_stratum, m.canonical_cer, m.strict_cer, m.canonical_wer, m.chrfpp, m.exact_line, m.omission, 100 * coalesce(({F1.format('space')} + {F1.format('zwnj')}) / 2, {F1.format('space')}, {F1.format('zwnj')}) AS spacing_f1,
+           CASE WHEN spans + spans_extra > 0 THEN 100.0 * spans_exact / (spans + spans_extra) END AS numeric_span,
+           (coalesce({own}, 0) * {lines} + coalesce(100.0 * blanks_empty / nullif(blanks, 0), 0) * blanks) / nullif({lines} + blanks, 0) AS hallucination
+    FROM {SUMS_BY_STRATUM} s JOIN scored_strata m ON m.model_id = s.model_id AND m.primary_stratum = s.primary_stratum) t
+), digits AS (
+  SELECT n.model_id, sum(n.spans) AS spans, sum(n.spans_exact) AS spans_exact FROM line_spans n JOIN clustered USING (sample_id) GROUP BY n.model_id
+), kept_cells AS (
+  SELECT a.model_id, a.corruption, a.severity, round(least(1.0, a.accuracy / greatest(o.accuracy, 1e-9)), 6) AS kept FROM scored_accuracy a JOIN scored_accuracy o ON o.model_id = a.model_id AND o.severity = 0 WHERE a.severity > 0
+), failed AS (
+  SELECT model_id, {", ".join(f"round(avg((coalesce(status, 'none') {test})::INT), 6) AS {c}" for c, test in zip(rates, ("= 'success'", "<> 'success'", "= 'timeout'", "= 'crash'", "= 'truncated'", "= 'none'"), strict=True))} FROM grid WHERE split = 'test' GROUP BY model_id
+)
+""" + "\nUNION ALL ".join(parts)
+
+
 ORACLE_SQL["score_board"] = _board_sql()  # after smoke_gate, which it asks for the statuses
+ORACLE_SQL["board_views"] = _views_sql()
