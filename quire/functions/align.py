@@ -62,7 +62,8 @@ class _Band:
 
     def __init__(self, x: np.ndarray, y: np.ndarray):
         n, m = len(x), len(y)
-        spare = (distance(x, y) - abs(m - n)) // 2  # steps off the diagonals between start and end, and back
+        self.distance = distance(x, y)
+        spare = (self.distance - abs(m - n)) // 2  # steps off the diagonals between start and end, and back
         self.x, self.m = x.tolist(), m
         self.lo, hi = min(0, m - n) - spare, max(0, m - n) + spare
         self.width = hi - self.lo + 1
@@ -103,6 +104,10 @@ def counts(a, b) -> tuple[int, int, int]:
     if not n or not m:
         return 0, n, m
     band = _Band(x, y)
+    if band.distance == abs(m - n):  # nothing but deletions or insertions
+        return 0, max(0, n - m), max(0, m - n)
+    if n == m and band.distance == np.count_nonzero(x != y):
+        return band.distance, 0, 0
     row = band.first()
     for row, _, _ in band.rows(row, 0, n):
         pass
@@ -151,6 +156,8 @@ def path(a, b) -> str:
     end = _shared(x[::-1], y[::-1])
     x, y = x[: len(x) - end], y[: len(y) - end]
     band, out = _Band(x, y), ["=" * end]
+    if len(x) == len(y) and band.distance == np.count_nonzero(x != y):  # the diagonal is a best path, and goes first
+        return "".join(np.where(x == y, "=", "S").tolist()) + "=" * end
     j = _back(band, band.first(), 0, len(x), len(y), out)
     out.append("I" * j)
     return "".join(reversed(out))

@@ -53,8 +53,9 @@ def _composed(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFC", x).translate(table))
 
 
-def composed(text: Column) -> Column:
+def composed(text: Column | str) -> Column:
     """NFC, then presentation forms folded; null stays null. A text of inert characters, which an expression tells, is its own composed form and isn't sent to Python."""
+    text = F.col(text) if isinstance(text, str) else text
     return F.coalesce(_composed(F.when(text.rlike(f"[^{inert()}]"), text)), text)
 
 
