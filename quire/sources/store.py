@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -50,3 +51,9 @@ def removed(*tables: DataFrame) -> None:
             if re.search(r"/quire-[^/]*$", folder):
                 path = spark._jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tidied(spark: SparkSession) -> None:
+    """Between the rounds of a long job: the driver lets go of plans, broadcasts and shuffle files of tables that are gone, which it else keeps until its memory is full."""
+    gc.collect()
+    spark._jvm.System.gc()
