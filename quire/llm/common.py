@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.sources.store import removed, shared_folder  # noqa: F401
+from quire.sources.store import removed, shared_folder, tidied  # noqa: F401
 from quire.sources.store import stored as written  # noqa: F401
 
 # The word rule of the query contracts.

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import mix64, pieces_of, removed, texts, words_of, written
+from quire.llm.common import mix64, pieces_of, removed, texts, tidied, words_of, written
 from quire.llm.components import components
 from quire.llm.hashing import word_hashes
 
@@ -441,6 +441,7 @@ def near_groups(nodes: DataFrame, own: DataFrame, similar: float = SIMILAR) -> D
         return links.select(F.col("a").alias("doc_id")).union(links.select("b")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("degree"))
 
     links = verified(candidates, nodes, own, similar)
+    tidied(own.sparkSession)
     groups, seen, pivots = written(components(links).toDF("doc_id", "component"), "groups"), candidates, PIVOTS
     while not left.isEmpty():
         state = weights.join(groups.hint("merge"), "doc_id", "left").join(degrees(links).hint("merge"), "doc_id", "left")
@@ -455,6 +456,7 @@ def near_groups(nodes: DataFrame, own: DataFrame, similar: float = SIMILAR) -> D
             edges = groups.select(F.col("component").alias("a"), F.col("doc_id").alias("b")).unionByName(found)
             groups = written(components(edges).toDF("doc_id", "component"), "groups")
         pivots *= MORE
+        tidied(own.sparkSession)
     return groups
 
 
