@@ -30,7 +30,7 @@ from quire.llm.common import mix64, written
 
 TABLES = 8
 BUCKET = 8
-BLOCK = 65_536
+BLOCK = 1 << 22  # numbers of a block: 65,536 vectors of 64 components
 RECALL = 0.98
 SAMPLE = 256
 SEED = 12
@@ -263,7 +263,8 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     classes, queries, held, dim = _distinct(vectors, k, every)
     n = held.count()
     bits = max(1, round(math.log2(max(1, n) / BUCKET))) if n > BUCKET else 1
-    make, blocks = functools.partial(Polytopes, dim, bits), -(-max(1, n) // BLOCK)
+    size = max(1024, BLOCK // dim)  # vectors of a block
+    make, blocks = functools.partial(Polytopes, dim, bits), -(-max(1, n) // size)
     asked = written(held.join(queries.select("rep").distinct(), "rep", "left_semi"), "queries")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +276,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(list(held_by), pa.int64()), pa.array(list(held_by.values()), pa.int64())], ["block", "rows"])
 
     sizes = held.mapInArrow(counted, "block bigint, rows bigint").groupBy("block").agg(F.sum("rows").alias("rows"))
-    big = written(sizes.where(F.col("rows") > 2 * BLOCK).select("block", F.ceil(F.col("rows") / BLOCK).cast("bigint").alias("parts")), "blocks")
+    big = written(sizes.where(F.col("rows") > 2 * size).select("block", F.ceil(F.col("rows") / size).cast("bigint").alias("parts")), "blocks")
     radius, most = _radius(held, asked, make, k), make().dearest
     found, left = [], asked
     while True:

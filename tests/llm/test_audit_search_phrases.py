@@ -134,6 +134,16 @@ def test_nearest_copies_ties_and_odd_vectors(spark):
     assert all(len(v) == 5 for v in got.values())
 
 
+def test_blocks_with_too_many_rows_are_dealt(spark, monkeypatch):
+    """A bucket of near copies is more than a block: the parts together find what one block would."""
+    monkeypatch.setattr(ann, "BLOCK", 1024 * 8)
+    rng = np.random.default_rng(9)
+    centre = rng.normal(size=8)
+    rows = [(i, (centre + 0.001 * rng.normal(size=8) if i % 2 else rng.normal(size=8)).tolist()) for i in range(5000)]
+    got, want = found(ann.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), every=500)), nearest_by_hand(rows, every=500)
+    assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) >= 0.9 * 5 * len(want) and all(len(v) == 5 for v in got.values())
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 4, 7])
 def test_nearest_of_few(spark, n):
     rng = np.random.default_rng(n)
