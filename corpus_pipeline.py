@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs.
 Between stages the documents are written as Parquet and read again.
+
+A null text is empty. Rows without an id stay in every stage (no label and no smaller id can name them), and rows of one id are judged one by one by
+the classifier and together as near copies. Of near copies the least id stays; of equal rows, ids and passages no more is cut than the stages say. A document that the mix
+takes no words of, an empty one too, has no row after it. No documents give no rows.
 """
 
 from __future__ import annotations
