@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import flat, fresh, mix64, text_bytes, texts, words_of
+from quire.llm.common import flat, fresh, give_back, mix64, text_bytes, texts, words_of
 from quire.llm.hashing import BASES, word_hashes
 
 WIDTH = 13
@@ -119,6 +119,7 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, depth: int = DEPTH) -> tup
 
     def counted(table):
         """The bucket's part of the sketch."""
+        give_back()  # what the last bucket took
         if not table.num_rows:
             return _table(link, [])
         bucket = table[bucket_][0].as_py()
@@ -140,6 +141,7 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, depth: int = DEPTH) -> tup
 
     def merged(table):
         """For each bucket, a bit for each of its cells: whether the merged count is over 1."""
+        give_back()  # what the last bucket took
         parts, size = table.to_pylist(), 1 << (plan.bits - plan.shard_bits)
         if not parts:
             return _table(link, [])
@@ -153,6 +155,7 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, depth: int = DEPTH) -> tup
 
     def repeated(texts_, marks):
         """The bucket's distinct windows whose cells are all marked, with the least document of each."""
+        give_back()  # what the last bucket took
         if not texts_.num_rows or not marks.num_rows:
             return _table(keyed, [])
         bucket = texts_[bucket_][0].as_py()
@@ -169,6 +172,7 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, depth: int = DEPTH) -> tup
 
     def settled(table):
         """For each bucket, a bit for each of its windows: whether an earlier document outside the bucket starts it."""
+        give_back()  # what the last bucket took
         parts = table.to_pylist()
         if not parts:
             return _table(keyed, [])
@@ -184,6 +188,7 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, depth: int = DEPTH) -> tup
 
     def removed(texts_, both):
         """The rows of the result. both: what `merged` (row >= 0) and `settled` (row < 0) answered."""
+        give_back()  # what the last bucket took
         own = texts_.select(columns)
         if not texts_.num_rows:
             return own.append_column(n_words_, pa.array([], pa.int64())).append_column(n_removed_, pa.array([], pa.int64())).append_column(kept_, pa.array([], pa.string()))
