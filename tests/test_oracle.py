@@ -34,3 +34,33 @@ def test_same_rows(spark, name):
     assert sorted(result.columns) == columns
     at = [result.columns.index(c) for c in columns]
     assert got == sorted(str([plain(r[i]) for i in at]) for r in result.fetchall())
+
+
+def rows_of(spark, name, folder):
+    """(rows of the query, rows of its SQL), sorted."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    db = duckdb.connect()
+    for p in glob.glob(f"{folder}/*.parquet"):
+        db.sql(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM '{p}/*.parquet'" if os.path.isdir(p) else f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM '{p}'")
+    df = entry.queries()[name](spark, str(folder))
+    columns = sorted(df.columns)
+    result = db.sql(entry.oracle_sql()[name])
+    at = [result.columns.index(c) for c in columns]
+    return sorted(str([plain(r[c]) for c in columns]) for r in df.collect()), sorted(str([plain(r[i]) for i in at]) for r in result.fetchall())
+
+
+def test_near_embeddings_judges_the_signs_of_all_components(spark, tmp_path):
+    """Ten of 64 signs may differ, wherever they are; eleven may not."""
+    base = [1.0 if k % 3 else -1.0 for k in range(64)]
+    turned = lambda places: [-3 * x if k in places else x for k, x in enumerate(base)]
+    rows = [(0, base), (1, turned(range(10))), (2, turned(range(54, 64))), (3, turned(range(20, 31))), (4, base), (5, turned({63}))]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got, want = rows_of(spark, "near_embeddings", tmp_path)
+    assert got == want
+    import __spark_entry__ as entry
+
+    pairs = {(r.id_a, r.id_b): r.distance for r in entry.queries()["near_embeddings"](spark, str(tmp_path)).collect()}
+    assert pairs == {(0, 1): 10, (0, 2): 10, (0, 4): 0, (0, 5): 1, (2, 5): 9}
