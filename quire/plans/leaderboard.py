@@ -66,8 +66,8 @@ class Sums:
         kept = metrics.robustness(cells.where("severity = 0").drop("corruption", "severity"), cells.where("severity > 0"))
         return metrics.composite(metrics.balanced(by_stratum, overall, ["model_id"]).join(kept, "model_id", "left"))
 
-    def replicates(self, replicates: int = bootstrap.REPLICATES) -> DataFrame:
-        return stored(bootstrap.replicate_scores(self.clusters, self.degraded, replicates), "scores")
+    def replicates(self, replicates: int = bootstrap.REPLICATES, drawn=bootstrap.draws) -> DataFrame:
+        return stored(bootstrap.replicate_scores(self.clusters, self.degraded, replicates, drawn=drawn), "scores")
 
 
 def leaderboard(spark: SparkSession, sf_dir: str, replicates: int = bootstrap.REPLICATES, sums: Sums | None = None) -> DataFrame:

@@ -425,3 +425,16 @@ def test_flagship(spark):
     best = next(r for r in rows if r.model_id == "exact")
     assert best["rank"] == 1 and best.statistical_tier == 1 and 100.0 > best.persian_ocr_score > 99.0 > best.robustness
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_replicates_draw_as_many_clusters_as_there_are(spark):
+    """Each replicate's weights add up to the number of clusters, however few there are, and the sums are those of a join."""
+    rows = [(f"m{i % 5}", f"c{i % 3}", i * 1_000_003, -i) for i in range(200)]
+    frame = spark.createDataFrame(rows, "model_id string, cluster_id string, x bigint, y bigint").repartition(5)
+    drawn = bootstrap.resampled_weights(frame, 64, "s")
+    totals = {r.replicate: r.n for r in drawn.groupBy("replicate").agg(F.sum("weight").alias("n")).collect()}
+    assert totals == {r: 3 for r in range(64)}
+    got = bootstrap.replicate_sums(frame, ["model_id"], ["x", "y"], 64, "s", None).where("x <> 0 OR y <> 0")
+    want = drawn.join(frame, "cluster_id").groupBy("replicate", "model_id").agg(F.sum(F.col("x") * F.col("weight")), F.sum(F.col("y") * F.col("weight")))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect())))
+    assert bootstrap.replicate_sums(frame.limit(0), ["model_id"], ["x"], 24, "s", None).count() == 0

@@ -64,3 +64,14 @@ def test_near_embeddings_judges_the_signs_of_all_components(spark, tmp_path):
 
     pairs = {(r.id_a, r.id_b): r.distance for r in entry.queries()["near_embeddings"](spark, str(tmp_path)).collect()}
     assert pairs == {(0, 1): 10, (0, 2): 10, (0, 4): 0, (0, 5): 1, (2, 5): 9}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_weights_of_a_replicate_add_up_to_the_clusters(spark):
+    import __spark_entry__ as entry
+
+    weights = entry.queries()["bootstrap_weights"](spark, SF).collect()
+    clusters, totals = {r.cluster_id for r in weights}, {}
+    for r in weights:
+        totals[r.replicate] = totals.get(r.replicate, 0) + r.weight
+    assert totals == {r: len(clusters) for r in range(2000)}
