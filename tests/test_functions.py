@@ -207,3 +207,19 @@ def test_inert_texts_are_composed():
     for _ in range(3000):
         x = "".join(rng.choices(alphabet, k=8))
         assert unicodedata.normalize("NFC", x).translate(text.presentation_forms()) == x
+
+
+def test_distance_by_pieces_is_the_distance(spark):
+    """Where letters only go, where some are exchanged (no piece's lengths differ then), and over texts that no band of the whole could get through in time."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    rows = [("".join(rng.choices("thab ", k=rng.randint(0, 60))),) for _ in range(200)] + [("",), (None,), ("th",), ("thth" * 8,)]
+    frame = spark.createDataFrame(rows, "x string")
+    for old, new in (("th", "t"), ("th", "ht"), ("th", "xyz"), ("th", "")):
+        lost = lambda c, old=old, new=new: F.replace(c, F.lit(old), F.lit(new))
+        got = frame.select(text.distance_by_pieces(F.col("x"), lost(F.col("x")), F.split("x", "(?<=th)"), lost).alias("d"), F.levenshtein("x", lost(F.col("x"))).alias("w"))
+        assert got.where("NOT d <=> w").isEmpty()
+    long = spark.createDataFrame([("th" * 300_000 + "b" * 100_000,)], "x string")
+    lost = lambda c: F.replace(c, F.lit("th"), F.lit("t"))
+    assert long.select(text.distance_by_pieces(F.col("x"), lost(F.col("x")), F.split("x", "(?<=th)"), lost)).first()[0] == 300_000
