@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quire.llm import lattice, mixing, perplexity
 from quire.llm.queries import vocabulary
@@ -171,3 +172,20 @@ def test_bits_of_the_quality_model(spark):
     got = {r.doc_id: (r.n, r.bits) for r in perplexity.document_bits(docs, five, fit).collect()}
     assert got == {i: (len((t or "").encode()) + 1, pytest.approx(-sum(math.log2(p(g)) for g in grams(t)), rel=1e-5)) for i, t in enumerate(texts)}
     assert pa.array(texts).null_count == 1
+
+
+def test_kneser_ney_learns_from_all_good_documents(spark, monkeypatch):
+    """Not from some of them, however many there are; a task that counts in several turns counts the same."""
+    rows = [(i, f"word{i % 97} and more") for i in range(26_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    fit = [i for i, _ in rows if zlib.crc32(str(i).encode()) % perplexity.FOLDS]
+    assert len(fit) > 20_000
+    ids = perplexity.trusted(labels)
+    assert sorted(r.doc_id for r in ids.collect()) == fit
+    five, _ = perplexity.trained(docs, ids)
+    want = sum(len(rows[i][1]) + 1 for i in fit)  # a 5-gram a byte and end
+    assert five.agg(F.sum("n")).first()[0] == want
+    monkeypatch.setattr(perplexity, "HELD_GRAMS", 8)
+    turns, _ = perplexity.trained(docs, ids)
+    assert turns.exceptAll(five).isEmpty() and five.exceptAll(turns).isEmpty()
