@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType
 
 from quire.functions import align, text
 
@@ -33,6 +34,30 @@ def _tokens(canonical: str) -> list[str]:
     return regex.findall(text.NUMBER + "|[\\p{L}\\p{M}\\p{N}\u200c]+|[^\\s]", canonical)
 
 
+def _places(reference: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Spans with offsets in the canonical text, by the length of what stands before."""
+    if text.keeps_places(reference):
+        return [(min(s, n), min(e, n), v) for n in [len(reference)] for s, e, v in spans]
+    return [(len(text.canonical_text(reference[:s])), len(text.canonical_text(reference[:e])), v) for s, e, v in spans]
+
+
+@F.pandas_udf(ArrayType(BooleanType()))
+def _hits(reference: pd.Series, prediction: pd.Series, starts: pd.Series, ends: pd.Series, values: pd.Series) -> pd.Series:
+    def of(r: str, p: str, *spans) -> list[bool]:
+        b = text.canonical_text(p.replace("\r\n", "\n").removesuffix("\n"))
+        moves = align.path(text.canonical_text(r.replace("\r\n", "\n")), b)
+        return align.numeric(moves, _places(r, list(zip(*spans, strict=True))), _found(b))[0]
+
+    lists = [[x.tolist() for x in c] for c in (starts, ends, values)]
+    return pd.Series([of(*row) for row in zip(reference, prediction, *lists, strict=True)])
+
+
+def span_hits(grid: DataFrame) -> DataFrame:
+    """grid (reference_raw, prediction, numeric_spans and more) with the span_hits of line_statistics alone: one path a line, no other counts, and no shuffle. For lines that hardly repeat."""
+    spans = F.coalesce("numeric_spans", F.array().cast(grid.schema["numeric_spans"].dataType))
+    return grid.withColumn("span_hits", _hits("reference_raw", "prediction", spans["start"], spans["end"], spans["canonical_value"]))
+
+
 def line_counts(reference: str, prediction: str, spans: list) -> list:
     """COUNTS, the chrF counts and the exact spans of one pair. The canonical texts are aligned once: the edit counts, the longest omission and the places of numbers all come from that path."""
     strict_a, strict_b = reference.replace("\r\n", "\n"), prediction.replace("\r\n", "\n").removesuffix("\n")
@@ -42,8 +67,7 @@ def line_counts(reference: str, prediction: str, spans: list) -> list:
     s = c if (a, b) == (strict_a, strict_b) else align.counts(strict_a, strict_b)
     words_a, words_b = _tokens(a), _tokens(b)
     w = align.counts(words_a, words_b)
-    # offsets in the raw text become offsets in the canonical one by the length of what stands before
-    own = [(len(text.canonical_text(reference[: x["start"]])), len(text.canonical_text(reference[: x["end"]])), x["canonical_value"]) for x in spans]
+    own = _places(reference, [(x["start"], x["end"], x["canonical_value"]) for x in spans])
     hits, extra = align.numeric(moves, own, _found(b))
     return [*c, len(a), *s, len(strict_a), *w, len(words_a), *align.spacing(a, b), len(own), sum(hits), extra, align.longest_omission(moves), align.chrf(a, b), hits]
 

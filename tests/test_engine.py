@@ -438,3 +438,32 @@ def test_replicates_draw_as_many_clusters_as_there_are(spark):
     want = drawn.join(frame, "cluster_id").groupBy("replicate", "model_id").agg(F.sum(F.col("x") * F.col("weight")), F.sum(F.col("y") * F.col("weight")))
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect())))
     assert bootstrap.replicate_sums(frame.limit(0), ["model_id"], ["x"], 24, "s", None).count() == 0
+
+
+def test_span_hits_alone_are_those_of_all_counts(spark):
+    """With composed, tatweel, heh with hamza and presentation forms before a span, lines that lose, gain and exchange letters, CRLF, and no spans; nothing is shuffled."""
+    from quire.operators.statistics import span_hits
+
+    from quire.functions import align
+
+    fronts = ["", "á́ ", "سـ ", "ۀ ", "ﻻ ", "شماره ", "ab\r\n"]
+    rows = []
+    for i, f in enumerate(fronts * 3):
+        raw, line = f"{i}7{i}", f"{f}{i}7{i} با 12.50"
+        spans = [dict(start=len(f), end=len(f) + len(raw), type="integer", raw=raw, canonical_value=raw, preserve_leading_zero=False), dict(start=len(line) - 5, end=len(line), type="price", raw="12.50", canonical_value="12.50", preserve_leading_zero=False)]
+        rows += [(f"m{k}", line, p, False, s) for k, p in enumerate((line, line.replace("7", "1"), line.rsplit(" ", 1)[0], "x " + line + "\n", line.replace("5", "2").replace("2", "5"), "")) for s in (spans, [])]
+    grid = spark.createDataFrame(rows, "model_id string, reference_raw string, prediction string, is_blank boolean, numeric_spans array<struct<start:int,end:int,type:string,raw:string,canonical_value:string,preserve_leading_zero:boolean>>")
+    keys = ["model_id", "reference_raw", "prediction", F.to_json("numeric_spans"), "span_hits"]
+    got, want = span_hits(grid), line_statistics(grid)
+    assert sorted(map(str, got.select(*keys).collect())) == sorted(map(str, want.select(*keys).collect()))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    rng = __import__("random").Random(2)
+    for _ in range(3000):  # moves that need no table are those of the table
+        a = "".join(rng.choices("ab1", k=rng.randint(0, 9)))
+        b = "".join(c for c in a if rng.random() < 0.7) if rng.random() < 0.5 else "".join(rng.choice("ab1c") if rng.random() < 0.3 else c for c in a)
+        a, b = (a, b) if rng.random() < 0.5 else (b, a)
+        plain = align._plain_path(a, b)
+        if a != b and plain is not None:
+            band, out = align._Band(*align._codes(a, b)), []
+            j = align._back(band, band.first(), 0, len(a), len(b), out)
+            assert plain == "".join(reversed([*out, "I" * j])), (a, b)
