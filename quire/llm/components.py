@@ -17,25 +17,28 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round links every node's larger neighbours to the least node around it (large star), then its
     smaller ones (small star). A hub's edges are grouped by minimum before the join, and the join's rows are
-    a row an edge, so a component that holds a third of all nodes is no group in one task. It ends when TWICE
-    rounds change nothing, after about log² rounds of the largest component's size. Null ends link nothing, repeated and
+    a row an edge, so a component that holds a third of all nodes is no group in one task. It ends when all that is left are stars
+    round their least nodes, which one aggregation tells, after about log² rounds of the largest component's size. Null ends link nothing, repeated and
     loop edges count once or not at all, and no edges give no rows.
     """
     pairs = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs, before = written(pairs, "edges"), None
-    while True:
+    pairs = written(pairs, "edges")
+    while not _settled(pairs):
         last = pairs
         for large in (True, False) * TWICE:
             pairs = _star(pairs, large)
         pairs = written(pairs, "stars")
         removed(last)
-        now = pairs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.lit(0)).alias("h")).first()
-        if now == before:
-            break
-        before = now
     return pairs.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(pairs.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
 
 
+def _settled(pairs: DataFrame) -> bool:
+    """Whether no node has two smaller neighbours, or smaller and larger ones: then each pair is a component's least node and another."""
+    ends = pairs.select(F.col("a").alias("node"), F.lit(0).alias("below")).unionByName(pairs.select(F.col("b").alias("node"), F.lit(1).alias("below")))
+    nodes = ends.groupBy("node").agg(F.sum("below").alias("n"), F.min("below").alias("least"))
+    return nodes.where("n > 1 OR n > 0 AND least = 0").agg(F.count(F.lit(1))).first()[0] == 0
+
+
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
     """large: link each node's larger neighbours to the least of it and its neighbours; else the node and its smaller neighbours to the least of these. Pairs are (smaller, larger)."""
     around = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))

@@ -444,7 +444,9 @@ def near_groups(nodes: DataFrame, own: DataFrame, similar: float = SIMILAR) -> D
     tidied(own.sparkSession)
     groups, seen, pivots = written(components(links).toDF("doc_id", "component"), "groups"), candidates, PIVOTS
     while not left.isEmpty():
-        state = weights.join(groups.hint("merge"), "doc_id", "left").join(degrees(links).hint("merge"), "doc_id", "left")
+        # documents that are left, not all: a few full keys may take many rounds
+        active = weights.join(left.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
+        state = active.join(groups.hint("merge"), "doc_id", "left").join(degrees(links).hint("merge"), "doc_id", "left")
         state = state.select("doc_id", F.coalesce("component", "doc_id").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree"), "weight")
         pairs, rest, heads = met(left, state, pivots, similar)
         fresh, before = written(pairs.join(seen.hint("merge"), ["a", "b"], "left_anti"), "candidates"), left

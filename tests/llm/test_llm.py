@@ -688,3 +688,15 @@ def test_pipeline_keeps_columns(spark, docs, tmp_path, monkeypatch):
         assert frame.columns == docs.columns, name
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 20
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_stars_need_no_round(spark, monkeypatch):
+    """Edges that are stars round their least nodes are components as they are; others are not."""
+    made = []
+    monkeypatch.setattr(components, "_star", lambda pairs, large, own=components._star: made.append(large) or own(pairs, large))
+    edges = lambda *rows: spark.createDataFrame(list(rows), "a long, b long")
+    found = lambda e: {(r.node, r.component) for r in components.components(e).collect()}
+    assert found(edges((1, 5), (7, 1), (2, 3))) == {(1, 1), (5, 1), (7, 1), (2, 2), (3, 2)} and not made
+    assert found(edges((1, 5), (5, 7))) == {(1, 1), (5, 1), (7, 1)} and made
+    assert found(edges((1, 5), (3, 5))) == {(1, 1), (5, 1), (3, 1)}
+    assert found(edges()) == set()
