@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import removed, written
+from quire.llm.common import removed, tidied, written
 
 
-#: Large and small stars from one table to the next: with two, a component of any size takes half as many jobs, and the driver remembers half as many.
-TWICE = 2
+TWICE = 2  # large and small stars between two looks at whether all are stars
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,18 +16,18 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round links every node's larger neighbours to the least node around it (large star), then its
     smaller ones (small star). A hub's edges are grouped by minimum before the join, and the join's rows are
-    a row an edge, so a component that holds a third of all nodes is no group in one task. It ends when all that is left are stars
+    a row an edge, so a component that holds a third of all nodes is no group in one task. Every star is a table of its own: it reads
+    its pairs several times, so that in one plan each star would multiply those before it. It ends when all that is left are stars
     round their least nodes, which one aggregation tells, after about log² rounds of the largest component's size. Null ends link nothing, repeated and
     loop edges count once or not at all, and no edges give no rows.
     """
     pairs = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = written(pairs, "edges")
     while not _settled(pairs):
-        last = pairs
         for large in (True, False) * TWICE:
-            pairs = _star(pairs, large)
-        pairs = written(pairs, "stars")
-        removed(last)
+            last, pairs = pairs, written(_star(pairs, large), "stars")
+            removed(last)
+        tidied(edges.sparkSession)
     return pairs.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(pairs.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
 
 

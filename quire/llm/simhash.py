@@ -370,7 +370,7 @@ def sieve(frame: DataFrame, column: str, ids: DataFrame, kind: str = "left_semi"
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
-    return written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ends")
+    return pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, own: DataFrame, similar: float) -> DataFrame:
@@ -382,12 +382,15 @@ def verified(pairs: DataFrame, nodes: DataFrame, own: DataFrame, similar: float)
     near = near.where(F.least("na", "nb") >= similar * F.greatest("na", "nb") - 1e-9)
     most = F.size(F.array_intersect("ka", "kb")) + F.greatest(F.col("na") - F.size("ka"), F.col("nb") - F.size("kb"))
     near = written(near.where(most >= least).select("a", "b", "na", "nb"), "near")
+    tidied(own.sparkSession)
+    if near.isEmpty():
+        return near.select("a", "b")
     ends = _ends(near)
-    texts_ = sieve(own, "doc_id", ends).join(ends.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    texts_ = sieve(own, "doc_id", ends).join(ends.distinct().hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     sets = written(whole_sets(texts_), "sets")
     both = near.join(side(sets, "a", "s"), "a").join(side(sets, "b", "s"), "b")
     links = written(both.where(F.size(F.array_intersect("sa", "sb")) >= least).select("a", "b"), "links")
-    removed(sets, near, ends)
+    removed(sets, near)
     return links
 
 
@@ -401,25 +404,29 @@ def by_fingerprint(nodes: DataFrame) -> DataFrame:
     return stars.unionByName(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
 
 
-def met(members: DataFrame, state: DataFrame, pivots: int, similar: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(pairs of a key's pivots with its other rows, rows left, the pivots' table) of members (key, doc_id, n, pos).
+def heads_of(members: DataFrame, pivots: int) -> DataFrame:
+    """key, ahead (its pivots) of the keys whose rows are of several components; members: key, doc_id, n, pos, weight, component, degree.
 
-    state: doc_id, component, degree, weight. A key's rows are dealt to `pivots` parts by a hash, and the row of each part
-    with the most links, then with the most keys that others have, is a pivot; so no key is brought together in one task. Keys
-    whose rows are all of one component are done. A pair isn't made within a component, nor where too little is left of a
-    set after the key: at the first key that two similar sets share enough is left.
+    A key's rows are dealt to `pivots` parts by a hash, and the row of each part with the most links, then with the most
+    keys that others have, is a pivot; so no key is brought together in one task.
     """
-    rows = members.join(state, "doc_id")
     part = F.pmod(F.xxhash64(F.lit(pivots), "doc_id"), F.lit(pivots))
     best = F.max(F.struct("degree", "weight", (-F.col("doc_id")).alias("back"), "n", "pos", "component")).alias("p")
-    heads = rows.groupBy("key", part.alias("part")).agg(best, F.min("component").alias("lo"), F.max("component").alias("hi"))
-    heads = heads.groupBy("key").agg(F.collect_list("p").alias("ahead"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("key", "ahead")
-    heads = written(heads, "pivots")
-    both = rows.join(heads.hint("merge"), "key")
+    heads = members.groupBy("key", part.alias("part")).agg(best, F.min("component").alias("lo"), F.max("component").alias("hi"))
+    return heads.groupBy("key").agg(F.collect_list("p").alias("ahead"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("key", "ahead")
+
+
+def met(members: DataFrame, heads: DataFrame, similar: float) -> tuple[DataFrame, DataFrame]:
+    """(pairs of a key's pivots with its other rows, rows left: key, doc_id, n, pos, weight).
+
+    A pair isn't made within a component, nor where too little is left of a set after the key: at the first key that two
+    similar sets share enough is left.
+    """
+    both = members.join(heads.hint("merge"), "key")
     able = F.filter("ahead", lambda p: (p["component"] != F.col("component")) & (F.least(p["n"] - p["pos"], F.col("n") - F.col("pos")) >= similar / (1 + similar) * (p["n"] + F.col("n")) - 1e-9))
     pairs = both.select("doc_id", F.explode(able).alias("p")).select("doc_id", (-F.col("p.back")).alias("other"))
     pairs = pairs.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
-    return pairs, both.where(~F.exists("ahead", lambda p: p["back"] == -F.col("doc_id"))).select("key", "doc_id", "n", "pos"), heads
+    return pairs, both.where(~F.exists("ahead", lambda p: p["back"] == -F.col("doc_id"))).select("key", "doc_id", "n", "pos", "weight")
 
 
 def near_groups(nodes: DataFrame, own: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -430,36 +437,44 @@ def near_groups(nodes: DataFrame, own: DataFrame, similar: float = SIMILAR) -> D
     shingle of their prefixes. Under each such shingle, the pivots meet the rows of other components, and leave, in
     rounds, until its rows are of one component or all were pivots. No row is passed over; a pivot round which all others lie ends a key at
     once, and rows that share a key, aren't similar and have no such pivot cost a pair each two.
+
+    Rows carry what is known of their document from round to round, and a round without pivots, pairs or links does no more: what the
+    driver keeps follows the number of jobs.
     """
     exploded = nodes.select(F.posexplode("keys").alias("pos", "key"), "doc_id", "n").select("key", "doc_id", "n", "pos")
     several = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("several")).where("several > 1").select("key")
-    left = written(exploded.join(several.hint("merge"), "key"), "members")
+    first = written(exploded.join(several.hint("merge"), "key"), "members")
     candidates = written(by_fingerprint(nodes), "candidates")
-    weights = written(left.groupBy("doc_id").agg(F.count(F.lit(1)).alias("weight")), "weights")
+    tidied(own.sparkSession)
 
-    def degrees(links: DataFrame) -> DataFrame:
-        return links.select(F.col("a").alias("doc_id")).union(links.select("b")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("degree"))
+    def grouped_by(edges: DataFrame, links: DataFrame) -> DataFrame:
+        degrees = _ends(links).groupBy("doc_id").agg(F.count(F.lit(1)).alias("degree"))
+        return written(components(edges).toDF("doc_id", "component").join(degrees.hint("merge"), "doc_id"), "groups")
+
+    def placed(rows: DataFrame) -> DataFrame:
+        rows = rows.join(groups.hint("merge"), "doc_id", "left")
+        return written(rows.select("key", "doc_id", "n", "pos", "weight", F.coalesce("component", "doc_id").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree")), "members")
 
     links = verified(candidates, nodes, own, similar)
     tidied(own.sparkSession)
-    groups, seen, pivots = written(components(links).toDF("doc_id", "component"), "groups"), candidates, PIVOTS
-    while not left.isEmpty():
-        # documents that are left, not all: a few full keys may take many rounds
-        active = weights.join(left.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
-        state = active.join(groups.hint("merge"), "doc_id", "left").join(degrees(links).hint("merge"), "doc_id", "left")
-        state = state.select("doc_id", F.coalesce("component", "doc_id").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree"), "weight")
-        pairs, rest, heads = met(left, state, pivots, similar)
-        fresh, before = written(pairs.join(seen.hint("merge"), ["a", "b"], "left_anti"), "candidates"), left
-        left, seen = written(rest, "members"), seen.unionByName(fresh)
+    groups, seen, pivots = grouped_by(links, links), candidates, PIVOTS
+    left = placed(first.join(first.groupBy("doc_id").agg(F.count(F.lit(1)).alias("weight")).hint("merge"), "doc_id"))
+    removed(first)
+    while not (heads := written(heads_of(left, pivots), "pivots")).isEmpty():
+        pairs, rest = met(left, heads, similar)
+        fresh = written(pairs.join(seen.hint("merge"), ["a", "b"], "left_anti"), "candidates")
+        tidied(own.sparkSession)
+        if not fresh.isEmpty():
+            seen, found = seen.unionByName(fresh), verified(fresh, nodes, own, similar)
+            if not found.isEmpty():
+                links = links.unionByName(found)
+                groups = grouped_by(groups.select(F.col("component").alias("a"), F.col("doc_id").alias("b")).unionByName(found), links)
+        before, left = left, placed(rest)
         removed(before, heads)
-        found = verified(fresh, nodes, own, similar)
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            edges = groups.select(F.col("component").alias("a"), F.col("doc_id").alias("b")).unionByName(found)
-            groups = written(components(edges).toDF("doc_id", "component"), "groups")
         pivots *= MORE
         tidied(own.sparkSession)
-    return groups
+    removed(left, heads)
+    return groups.select("doc_id", "component")
 
 
 def without_near_copies(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:

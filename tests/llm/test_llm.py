@@ -700,3 +700,25 @@ def test_stars_need_no_round(spark, monkeypatch):
     assert found(edges((1, 5), (5, 7))) == {(1, 1), (5, 1), (7, 1)} and made
     assert found(edges((1, 5), (3, 5))) == {(1, 1), (5, 1), (3, 1)}
     assert found(edges()) == set()
+
+
+def test_near_copies_take_few_jobs(spark):
+    """Texts that share a passage and aren't similar are met in several rounds; the driver keeps something of each job."""
+    rows = [(i, " ".join([*(f"c{k}" for k in range(9)), *(f"u{i}x{k}" for k in range(17))])) for i in range(60)] + [(60, " ".join([*(f"c{k}" for k in range(9)), *(f"u7x{k}" for k in range(17))]) + " end")]
+    docs, context = spark.createDataFrame(rows, "doc_id long, text string"), spark.sparkContext
+    context.setJobGroup("near copies", "")
+    try:
+        assert {r.doc_id for r in simhash.without_near_copies(docs).collect()} == set(range(60))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(context.statusTracker().getJobIdsForGroup("near copies")) < 100
+
+
+def test_plans_of_stars_dont_multiply(spark, monkeypatch):
+    """A star reads its pairs several times: each is a table before the next one reads it."""
+    reads = []
+    own = components.written
+    monkeypatch.setattr(components, "written", lambda df, label: reads.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")) or own(df, label))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(9)], "a long, b long")
+    assert {(r.node, r.component) for r in components.components(edges).collect()} == {(i, 0) for i in range(10)}
+    assert 0 < max(reads) <= 4
